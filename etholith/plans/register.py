@@ -90,12 +90,12 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
 def rd(col: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison; the offset keeps decimal half-way values off the rounding edge."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c.cast("double") + F.lit(0.03 * 10.0**-digits), digits) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(0.0314159265 * 10.0**-digits), digits) + F.lit(0.0)
 
 
 def R(expr: str, digits: int = 6) -> str:
     """The SQL form of :func:`rd`."""
-    return f"(round(CAST({expr} AS DOUBLE) + {0.03 * 10.0**-digits!r}, {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {0.0314159265 * 10.0**-digits!r}, {digits}) + 0.0)"
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _NORMAL = NormalDist()
 
@@ -16,12 +17,12 @@ def _phi(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda v: _NORMAL.inv_cdf(v) if 0.0 < v < 1.0 else None)
 
@@ -56,7 +57,7 @@ def t_two_sided_value(t: float, dof: float) -> float:
     return _beta_tail(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -80,7 +81,7 @@ def signed_rank_tail(doubled: np.ndarray, positive: float) -> float:
     return float(min(1.0, ways[distance >= abs(2 * positive - total) - 1e-9].sum()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def signed_rank_p(doubled: pd.Series, positive: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -104,7 +105,7 @@ def rank_sum_tail(doubled: np.ndarray, n1: int, observed: float) -> float:
     return float(min(1.0, share[far].sum()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def rank_sum_p(doubled: pd.Series, n1: pd.Series, observed: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -128,7 +129,7 @@ def bca_bounds(replicates: np.ndarray, theta: float, accel: float, conf: float)
     return out[0], out[1]
 
 
-@pandas_udf("ci_low double, ci_high double")
+@pandas_udf(StructType([StructField("ci_low", DoubleType()), StructField("ci_high", DoubleType())]))
 def bca_interval(replicates: pd.Series, theta: pd.Series, accel: pd.Series, conf: pd.Series) -> pd.DataFrame:
     rows = []
     for r, t, a, c in zip(replicates, theta, accel, conf):

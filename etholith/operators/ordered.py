@@ -77,7 +77,8 @@ def running(
     min; ``totals`` adds group-wide sums. ``order`` must be unique in a group.
     """
     by = list(by)
-    ranged = with_range(df, order)
+    # A frame that already carries its ranges (same order column) is not sampled again.
+    ranged = df if "_range" in df.columns else with_range(df, order)
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     inner = (
         Window.partitionBy(*by, "_range")
@@ -124,6 +125,7 @@ def tie_ranks(
     by: Sequence[str],
     value: str | Column,
     extra: Mapping[str, Column] | None = None,
+    keep_range: bool = False,
 ) -> DataFrame:
     """One row per group and distinct value with its place in the group.
 
@@ -138,6 +140,8 @@ def tie_ranks(
         .groupBy(*by, "value")
         .agg(F.count(F.lit(1)).alias("n_ties"), *[c.alias(n) for n, c in (extra or {}).items()])
     )
+    if keep_range:
+        distinct = with_range(distinct, "value")
     placed = running(
         distinct, by, "value", {"_cum": ("sum", F.col("n_ties"))}, {"n_group": F.col("n_ties")}
     )

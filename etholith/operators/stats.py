@@ -19,6 +19,7 @@ from etholith.operators.ordered import (
     running,
     tie_ranks,
 )
+from etholith.session import cut_lineage
 
 # Fixed values of the study.
 EXACT_MAX_N = 50
@@ -164,9 +165,8 @@ def rank_sum_statistic(
     )
 
 
-def rank_sum(df: DataFrame, by: Sequence[str], group: str, levels: tuple, value: str) -> DataFrame:
-    """Two-sample rank-sum test; exact up to 50 rows, the tie-corrected normal tail beyond."""
-    s = rank_sum_statistic(df, by, group, levels, value)
+def with_rank_sum_p(s: DataFrame) -> DataFrame:
+    """Adds p to :func:`rank_sum_statistic` rows: exact up to 50 rows, the normal tail beyond."""
     usable = (F.col("n1") > 0) & (F.col("n2") > 0)
     exact = F.size("_doubled") > 0
     return s.select(
@@ -181,6 +181,11 @@ def rank_sum(df: DataFrame, by: Sequence[str], group: str, levels: tuple, value:
     )
 
 
+def rank_sum(df: DataFrame, by: Sequence[str], group: str, levels: tuple, value: str) -> DataFrame:
+    """Two-sample rank-sum test, tie-corrected."""
+    return with_rank_sum_p(rank_sum_statistic(df, by, group, levels, value))
+
+
 def paired_t_statistic(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     d = F.col("x") - F.col("y")
     sums = pairs.groupBy(*by).agg(
@@ -350,7 +355,7 @@ def p_adjust(df: DataFrame, by: Sequence[str], p: str, method: str = "holm", out
     distinct values and is joined back to the rows.
     """
     by = list(by)
-    ranks = tie_ranks(df, by, p)
+    ranks = tie_ranks(df, by, p, keep_range=True)
     m = F.col("n_group")
     if method == "holm":
         step = ranks.withColumn("_a", F.least(F.lit(1.0), (m - F.col("n_below")) * F.col("value")))
@@ -380,11 +385,13 @@ def delta_check_statistic(df: DataFrame, by: Sequence[str], flag: str, levels: t
 
 
 def delta_check(df: DataFrame, by: Sequence[str], flag: str, levels: tuple, delta: str) -> DataFrame:
-    """The over-fit and batch checks: rank-sum p per block, BH-adjusted over all blocks."""
-    by = list(by)
-    s = delta_check_statistic(df, by, flag, levels, delta).drop("_doubled")
-    p = rank_sum(df, by, flag, levels, delta).select(*by, "p_value", "method")
-    return p_adjust(null_safe_join(s, p, by), [], "p_value", "bh", "p_fdr")
+    """The over-fit and batch checks: rank-sum p per block, BH-adjusted over all blocks.
+
+    The block table is one row per test; it is written once before the
+    adjustment looks at it several times.
+    """
+    tested = cut_lineage(with_rank_sum_p(delta_check_statistic(df, by, flag, levels, delta)))
+    return p_adjust(tested, [], "p_value", "bh", "p_fdr")
 
 
 def qq_points(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

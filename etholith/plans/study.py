@@ -13,6 +13,7 @@ from etholith.operators import joins as J
 from etholith.operators import resample as B
 from etholith.operators import stats as S
 from etholith.operators.ordered import null_safe_join, quantiles
+from etholith.session import cut_lineage
 
 
 def routed_durations(
@@ -28,9 +29,13 @@ def routed_durations(
 def behaviour_report(
     bouts: DataFrame, sessions: tuple[str, str], behaviors: Sequence[str], directional: Sequence[str]
 ) -> DataFrame:
-    """Per behaviour: medians of both sessions, signed-rank test, effect size and Holm p."""
-    routed = routed_durations(bouts, sessions, behaviors, directional)
-    tests = S.paired_signed_rank(routed, ["behavior", "view"], "animal_id", "session_type", sessions, "duration")
+    """Per behaviour: medians of both sessions, signed-rank test, effect size and Holm p.
+
+    The routed totals (one row per animal, session and behaviour) and the tests
+    (one row per behaviour) are written once; each is read by several branches.
+    """
+    routed = cut_lineage(routed_durations(bouts, sessions, behaviors, directional))
+    tests = cut_lineage(S.paired_signed_rank(routed, ["behavior", "view"], "animal_id", "session_type", sessions, "duration"))
     med = quantiles(routed, ["behavior", "session_type"], "duration", {"m": 0.5})
     wide = med.groupBy("behavior").agg(
         *[F.max(F.when(F.col("session_type") == s, F.col("m"))).alias(f"median_{s}") for s in sessions]

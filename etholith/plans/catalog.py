@@ -1,6 +1,6 @@
 """All registered queries, by area."""
 
-from etholith.plans import frames, relational, scalars, statistics  # noqa: F401
+from etholith.plans import frames, relational, scalars, statistics, trackqueries  # noqa: F401
 from etholith.plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,8 +7,12 @@ first, as written by a bit packer) for storage, and ``words`` ARRAY<BIGINT> of
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 WORD_BITS = 32  # keeps clear of the sign bit
 
@@ -120,3 +124,46 @@ def patch_mean(pixels: Column, h: int, w: int, x: Column, y: Column, radius: int
     )
     total = F.aggregate(rows, F.lit(0).cast("long"), lambda a, b: a + b)
     return F.when((x1 > x0) & (y1 > y0), total / ((x1 - x0) * (y1 - y0)).cast("double"))
+
+
+OUTLINE = StructType(
+    [
+        StructField("edge", ArrayType(IntegerType())),
+        StructField("area", LongType()),
+        StructField("cx", DoubleType()),
+        StructField("cy", DoubleType()),
+    ]
+)
+
+
+def _outline(on: np.ndarray) -> tuple:
+    """Edge pixels (with an unset or missing 4-neighbour), area and pixel mean of one mask."""
+    padded = np.pad(on, 1)
+    inner = padded[:-2, 1:-1] & padded[2:, 1:-1] & padded[1:-1, :-2] & padded[1:-1, 2:]
+    ys, xs = np.nonzero(on)
+    if not len(xs):
+        return [], 0, None, None
+    return np.flatnonzero(on & ~inner).astype("int32"), len(xs), float(xs.mean()), float(ys.mean())
+
+
+def outline(mask: Column, h: int, w: int, packed: bool = False) -> Column:
+    """Struct (edge, area, cx, cy) of a word mask, or of a packed one.
+
+    One mask per row, decoded in tasks from Arrow batches. The nearest set pixel
+    of a point outside the mask is always one of the edge pixels, which are a
+    small part of a large mask.
+    """
+
+    def bits(value) -> np.ndarray:
+        if packed:
+            flat = np.unpackbits(np.frombuffer(value, dtype=np.uint8))
+        else:
+            flat = np.unpackbits(np.asarray(value).astype("<u4").view(np.uint8), bitorder="little")
+        return flat[: h * w].reshape(h, w).astype(bool)
+
+    @pandas_udf(OUTLINE)
+    def of(values: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None, None) if v is None else _outline(bits(v)) for v in values]
+        return pd.DataFrame(rows, columns=OUTLINE.fieldNames())
+
+    return of(mask)

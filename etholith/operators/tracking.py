@@ -45,26 +45,28 @@ COST_NEIGHBOURS = {
 
 
 def mask_frames(masks: DataFrame, key: Sequence[str], h: int, w: int, obj: str = "obj_id") -> DataFrame:
-    """One row per frame: words, set pixels and pixel mean (as centroid) of both objects.
+    """One row per frame: words, edge pixels and centroid of both objects.
 
-    Expensive per-mask work happens here, before any keypoint is joined.
+    Per-mask work happens here, once, before any keypoint is joined.
     """
-    pixels = M.set_pixels(F.col("words"), h * w)
-    with_px = masks.withColumn("_px", pixels).withColumn("_c", M.pixel_mean(F.col("_px"), w))
+    seen = masks.withColumn("_o", M.outline(F.col("words"), h, w))
     picked = F.struct(
-        F.col("words").alias("words"), F.col("_px").alias("pixels"), F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy")
+        F.col("words").alias("words"), F.col("_o.edge").alias("edge"), F.col("_o.cx").alias("cx"), F.col("_o.cy").alias("cy")
     )
-    sides = with_px.groupBy(*key).agg(
+    return seen.groupBy(*key).agg(
         *[F.first(F.when(F.col(obj) == o, picked), ignorenulls=True).alias(f"m{o}") for o in (1, 2)]
     )
-    return sides
+
+
+EVIDENCE = ("oob", *[f"{c}{o}" for o in (1, 2) for c in ("has", "in", "d", "c")])
 
 
 def mask_evidence(rows: DataFrame, h: int, w: int) -> DataFrame:
-    """Adds what each keypoint sees of the two masks of its frame.
+    """What each keypoint sees of the two masks of its frame, in place of the masks.
 
-    ``oob``, ``in1``/``in2``, mask distances ``d1``/``d2`` (NULL for an empty
-    mask) and centroid distances ``c1``/``c2`` (NULL without centroid).
+    ``oob``; per object: ``has`` (a mask is there), ``in``, mask distance ``d``
+    (NULL for an empty mask) and centroid distance ``c`` (NULL without one). The
+    mask payload ends here: later shuffles carry a few numbers per keypoint.
     """
     px, py = M.pixel_of(F.col("x")), M.pixel_of(F.col("y"))
     inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
@@ -73,12 +75,17 @@ def mask_evidence(rows: DataFrame, h: int, w: int) -> DataFrame:
         side = F.col(f"m{o}")
         out = out.withColumns(
             {
+                f"has{o}": side.isNotNull(),
                 f"in{o}": M.word_bit(side["words"], F.col("_at")),
-                f"d{o}": M.nearest(side["pixels"], w, F.col("x"), F.col("y")),
                 f"c{o}": F.hypot(F.col("x") - side["cx"], F.col("y") - side["cy"]),
             }
         )
-    return out.drop("_at")
+        # The pixel under a point inside the mask is its nearest one.
+        own = F.hypot(px - F.col("x"), py - F.col("y"))
+        out = out.withColumn(
+            f"d{o}", F.when(F.col(f"in{o}"), own).otherwise(M.nearest(side["edge"], w, F.col("x"), F.col("y")))
+        )
+    return out.drop("_at", "m1", "m2")
 
 
 def assign_single(tolerance: float = TOLERANCE_PX) -> Column:
@@ -177,7 +184,7 @@ def assign_frames(
     key = F.struct(*order)
     rows = evidence.withColumn("_ord", key)
     blank = F.col("x").isNull() | F.col("y").isNull()
-    lost = F.col("m1").isNull() & F.col("m2").isNull()
+    lost = ~F.col("has1") & ~F.col("has2")
     live = rows.filter(~blank & ~lost)
     per_joint = Window.partitionBy(*frame, joint).orderBy("_ord")
     # A rank filter lets every task keep two rows per joint before the shuffle.
@@ -287,7 +294,7 @@ def _swap_batches(joints: list, edges: list, rounds: int):
     def run(batches):
         for pdf in batches:
             n = len(pdf)
-            pts = np.full((n, 2, len(joints), 3), np.nan)
+            pts = np.full((n, 2, len(joints), 2), np.nan)
             seen = np.full((n, 2, len(joints)), np.inf)
             sizes = pdf["pts"].map(len).to_numpy()
             flat = [p for row in pdf["pts"] for p in row]
@@ -295,11 +302,12 @@ def _swap_batches(joints: list, edges: list, rounds: int):
             s = np.array([p["side"] for p in flat], dtype=int)
             j = np.array([place.get(p["joint"], -1) for p in flat], dtype=int)
             use = j >= 0
-            vals = np.array([[p["x"], p["y"], np.nan if p["likelihood"] is None else p["likelihood"]] for p in flat]).reshape(-1, 3)
+            vals = np.array([[p["x"], p["y"]] for p in flat], dtype=float).reshape(-1, 2)
             order = np.array([p["place"] for p in flat], dtype=float)
             pts[f[use], s[use], j[use]] = vals[use]
             seen[f[use], s[use], j[use]] = order[use]
             touched = np.zeros((n, len(joints)), dtype=bool)
+            flips = np.zeros((n, len(joints)), dtype=int)
             active = np.arange(n)
             for _ in range(rounds):
                 changed = np.zeros(n, dtype=bool)
@@ -314,17 +322,15 @@ def _swap_batches(joints: list, edges: list, rounds: int):
                     pts[fr, side, jo] = pts[fr, 1 - side, jo]
                     pts[fr, 1 - side, jo] = held
                     touched[fr, jo] = True
+                    flips[fr, jo] += 1
                     changed[fr] = True
                 active = np.flatnonzero(changed)
                 if not len(active):
                     break
             fr, jo = np.nonzero(touched)
-            out = pdf.iloc[np.repeat(fr, 2)].drop(columns="pts").reset_index(drop=True)
-            sides = np.tile([0, 1], len(fr))
-            new = pts[np.repeat(fr, 2), sides, np.repeat(jo, 2)] if len(fr) else np.empty((0, 3))
-            out["side"] = sides
-            out["joint"] = [joints[k] for k in np.repeat(jo, 2)]
-            out["_x"], out["_y"], out["_l"] = new[:, 0], new[:, 1], new[:, 2]
+            out = pdf.iloc[fr].drop(columns="pts").reset_index(drop=True)
+            out["joint"] = [joints[k] for k in jo]
+            out["_odd"] = flips[fr, jo] % 2 == 1
             yield out
 
     return run
@@ -339,53 +345,61 @@ def anatomical_swap(
     order: Sequence[str] = ("joint",),
     subject: str = "subject_corrected",
     rounds: int = SWAP_ROUNDS,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Exchange a joint between the subjects where that mends both skeletons.
 
     Each frame becomes one bounded row (the last point with coordinates per
     subject and joint); frames are worked through as Arrow batches with array
-    arithmetic, at most one exchange per subject and round. Only changed joints
-    come back and are joined to the rows: x, y and likelihood travel together
-    and the reason becomes ``anat_swap``.
+    arithmetic, at most one exchange per subject and round. Only the exchanged
+    joints come back. x, y, likelihood and the ``carried`` columns travel
+    together with their point, and the reason becomes ``anat_swap``.
     """
     frame = list(frame)
+    moving = ["x", "y", "likelihood", *carried]
     side = F.when(F.col(subject) == subjects[0], 0).when(F.col(subject) == subjects[1], 1)
     keyed = rows.withColumn("_side", side).withColumn("_ord", F.struct(*order))
     last = (
         keyed.dropna(subset=["x", "y", "_side"])
         .groupBy(*frame, "_side", "joint")
         .agg(
-            F.max_by(F.struct("x", "y", "likelihood"), "_ord").alias("_p"),
+            F.max_by(F.struct(*moving), "_ord").alias("_p"),
             F.min("_ord").alias("_seen"),
         )
     )
     packed = (
         last.groupBy(*frame)
-        .agg(F.sort_array(F.collect_list(F.struct("_seen", "_side", "joint", "_p"))).alias("_l"), F.count_distinct("_side").alias("_sides"))
-        .filter("_sides = 2")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("_seen", "_side", "joint", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")))
+            ).alias("_l"),
+            F.min("_side").alias("_low"),
+            F.max("_side").alias("_high"),
+        )
+        .filter("_low < _high")
         .select(
             *frame,
             F.transform(
                 "_l",
                 lambda e, i: F.struct(
                     e["_side"].alias("side"), e["joint"].alias("joint"), i.alias("place"),
-                    e["_p"]["x"].cast("double").alias("x"), e["_p"]["y"].cast("double").alias("y"),
-                    e["_p"]["likelihood"].cast("double").alias("likelihood"),
+                    e["x"].cast("double").alias("x"), e["y"].cast("double").alias("y"),
                 ),
             ).alias("pts"),
         )
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in frame] + ["side int", f"joint {types['joint']}", "_x double", "_y double", "_l double"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in frame] + [f"joint {types['joint']}", "_odd boolean"])
     moved = packed.mapInPandas(_swap_batches(list(joints), list(edges), rounds), schema)
-    moved = moved.select(*frame, F.col("side").alias("_side"), "joint", F.struct("_x", "_y", F.nanvl("_l", F.lit(None)).alias("_l")).alias("_new"))
-    joined = keyed.join(moved, [*frame, "_side", "joint"], "left")
+    # After an odd number of exchanges a row shows the other subject's point.
+    new = last.join(moved, [*frame, "joint"]).select(
+        *frame, "joint", F.when(F.col("_odd"), 1 - F.col("_side")).otherwise(F.col("_side")).alias("_side"), F.col("_p").alias("_new")
+    )
+    joined = keyed.join(new, [*frame, "_side", "joint"], "left")
     hit = F.col("_new").isNotNull()
     return joined.withColumns(
         {
-            "x": F.when(hit, F.col("_new._x")).otherwise(F.col("x")),
-            "y": F.when(hit, F.col("_new._y")).otherwise(F.col("y")),
-            "likelihood": F.when(hit, F.col("_new._l")).otherwise(F.col("likelihood")),
+            **{c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in moving},
             "reason": F.when(hit, "anat_swap").otherwise(F.col("reason")),
         }
     ).drop("_side", "_ord", "_new")
@@ -394,49 +408,46 @@ def anatomical_swap(
 def mask_cleanup(
     rows: DataFrame,
     object_of: Mapping[str, int],
-    h: int,
-    w: int,
     tolerance: float = TOLERANCE_PX,
     protected: Sequence = ("nose",),
     subject: str = "subject_corrected",
 ) -> DataFrame:
     """Blank points outside their own mask by more than the tolerance, or out of bounds.
 
-    Adds ``mask_status`` (not_checked, kept, kept_protected, removed) and the
-    original values. A point whose mask is missing or empty is not judged.
+    Works on :func:`mask_evidence` columns. Adds ``mask_status`` (not_checked,
+    kept, kept_protected, removed) and the original values. A point whose mask
+    is missing or empty is not judged.
     """
-    own = F.lit(None)
-    for name, o in object_of.items():
-        own = F.when(F.col(subject) == name, F.col(f"m{o}")).otherwise(own)
-    px, py = M.pixel_of(F.col("x")), M.pixel_of(F.col("y"))
-    inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
-    staged = rows.withColumn("_own", own).withColumns(
-        {
-            "_in": M.word_bit(F.col("_own.words"), F.when(inside, py * w + px)),
-            "_d": M.nearest(F.col("_own.pixels"), w, F.col("x"), F.col("y")),
-        }
-    )
-    # Compared without NULLs: an unknown joint is not protected.
+
+    def own(prefix: str) -> Column:
+        out = F.lit(None)
+        for name, o in object_of.items():
+            out = F.when(F.col(subject) == name, F.col(f"{prefix}{o}")).otherwise(out)
+        return out
+
     safe = F.coalesce(F.col("joint").isin(*protected), F.lit(False)) if protected else F.lit(False)
     status = (
         F.when(F.col("x").isNull() | F.col("y").isNull(), "not_checked")
-        .when(F.col("m1").isNull() & F.col("m2").isNull(), "not_checked")
+        .when(~F.col("has1") & ~F.col("has2"), "not_checked")
         .when(safe, "kept_protected")
-        .when(F.col("_own").isNull(), "not_checked")
-        .when(~inside, "removed")
-        .when(F.col("_in"), "kept")
-        .when(F.col("_d").isNull(), "not_checked")
-        .when(F.col("_d") <= tolerance, "kept")
+        .when(~F.coalesce(own("has"), F.lit(False)), "not_checked")
+        .when(F.col("oob"), "removed")
+        .when(own("in"), "kept")
+        .when(own("d").isNull(), "not_checked")
+        .when(own("d") <= tolerance, "kept")
         .otherwise("removed")
     )
-    out = staged.withColumn("mask_status", status).drop("_own", "_in", "_d")
     gone = F.col("mask_status") == "removed"
-    return out.withColumns({f"orig_{c}": F.col(c) for c in ("x", "y", "likelihood")}).withColumns(
-        {
-            "x": F.when(~gone, F.col("x")),
-            "y": F.when(~gone, F.col("y")),
-            "likelihood": F.when(gone, 0.0).otherwise(F.col("likelihood")),
-        }
+    return (
+        rows.withColumn("mask_status", status)
+        .withColumns({f"orig_{c}": F.col(c) for c in ("x", "y", "likelihood")})
+        .withColumns(
+            {
+                "x": F.when(~gone, F.col("x")),
+                "y": F.when(~gone, F.col("y")),
+                "likelihood": F.when(gone, 0.0).otherwise(F.col("likelihood")),
+            }
+        )
     )
 
 

@@ -311,8 +311,7 @@ def anatomical_swap(spark, d):
 
 
 def cleaned(spark, d):
-    together = J.frame_cogroup(cell_points(spark, d), slots(spark, d), ["slot"])
-    return T.mask_cleanup(together, {"s1": 1, "s2": 2}, SIZE, SIZE, 1.0, protected=(1,), subject="subject")
+    return T.mask_cleanup(evidence_of(spark, d), {"s1": 1, "s2": 2}, 1.0, protected=(1,), subject="subject")
 
 
 CLEANED = f"""{EVIDENCE}, cl AS (SELECT *, CASE WHEN x IS NULL THEN 'not_checked' WHEN joint = 1 THEN 'kept_protected' WHEN oob THEN 'removed'
@@ -372,7 +371,14 @@ def repair(spark, d):
     return out.select("video_id", "frame_id", "joint", "subject", "subject_corrected", "x", "y", "likelihood", "reason", "mask_status")
 
 
-@query("wide_keypoints")
+DEDUPED = """dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id, subject, joint
+    ORDER BY CASE WHEN x IS NULL OR y IS NULL THEN 1 ELSE 0 END, l_partkey, l_suppkey, l_extendedprice) AS rn FROM kpts) WHERE rn = 1)"""
+CELLS = ", ".join(
+    f"max({c}) FILTER (subject = '{s}' AND joint = {j}) AS {s}_Joint_{j}_{c}" for s in ("s1", "s2") for j in JOINTS for c in ("x", "y", "likelihood")
+)
+
+
+@query("wide_keypoints", f"WITH {DEDUPED} SELECT video_id, frame_id, {CELLS} FROM dd GROUP BY 1, 2", "kpts")
 def wide_keypoints(spark, d):
     from etholith.sources.keypoints import to_wide
 

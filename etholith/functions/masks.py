@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 WORD_BITS = 32  # keeps clear of the sign bit
 
@@ -66,14 +66,10 @@ def iou(a: Column, b: Column) -> Column:
     )
 
 
-def nearest(pixels: Column, w: int, x: Column, y: Column) -> Column:
-    """Distance from (x, y) to the nearest listed pixel; NULL for an empty mask."""
-    return F.array_min(
-        F.transform(
-            pixels,
-            lambda i: F.hypot((i % w).cast("double") - x, F.floor(i / w).cast("double") - y),
-        )
-    )
+def nearest(xs: Column, ys: Column, x: Column, y: Column) -> Column:
+    """Distance from (x, y) to the nearest of the listed pixels; NULL for none."""
+    squares = F.zip_with(xs, ys, lambda a, b: (a - x) * (a - x) + (b - y) * (b - y))
+    return F.sqrt(F.array_min(squares))
 
 
 def pixel_mean(pixels: Column, w: int) -> Column:
@@ -128,7 +124,8 @@ def patch_mean(pixels: Column, h: int, w: int, x: Column, y: Column, radius: int
 
 OUTLINE = StructType(
     [
-        StructField("edge", ArrayType(IntegerType())),
+        StructField("edge_x", ArrayType(DoubleType())),
+        StructField("edge_y", ArrayType(DoubleType())),
         StructField("area", LongType()),
         StructField("cx", DoubleType()),
         StructField("cy", DoubleType()),
@@ -142,12 +139,13 @@ def _outline(on: np.ndarray) -> tuple:
     inner = padded[:-2, 1:-1] & padded[2:, 1:-1] & padded[1:-1, :-2] & padded[1:-1, 2:]
     ys, xs = np.nonzero(on)
     if not len(xs):
-        return [], 0, None, None
-    return np.flatnonzero(on & ~inner).astype("int32"), len(xs), float(xs.mean()), float(ys.mean())
+        return [], [], 0, None, None
+    ey, ex = np.nonzero(on & ~inner)
+    return ex.astype("float64"), ey.astype("float64"), len(xs), float(xs.mean()), float(ys.mean())
 
 
 def outline(mask: Column, h: int, w: int, packed: bool = False) -> Column:
-    """Struct (edge, area, cx, cy) of a word mask, or of a packed one.
+    """Struct (edge_x, edge_y, area, cx, cy) of a word mask, or of a packed one.
 
     One mask per row, decoded in tasks from Arrow batches. The nearest set pixel
     of a point outside the mask is always one of the edge pixels, which are a
@@ -163,7 +161,7 @@ def outline(mask: Column, h: int, w: int, packed: bool = False) -> Column:
 
     @pandas_udf(OUTLINE)
     def of(values: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None, None) if v is None else _outline(bits(v)) for v in values]
+        rows = [(None,) * 5 if v is None else _outline(bits(v)) for v in values]
         return pd.DataFrame(rows, columns=OUTLINE.fieldNames())
 
     return of(mask)

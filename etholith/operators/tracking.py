@@ -51,7 +51,8 @@ def mask_frames(masks: DataFrame, key: Sequence[str], h: int, w: int, obj: str =
     """
     seen = masks.withColumn("_o", M.outline(F.col("words"), h, w))
     picked = F.struct(
-        F.col("words").alias("words"), F.col("_o.edge").alias("edge"), F.col("_o.cx").alias("cx"), F.col("_o.cy").alias("cy")
+        F.col("words").alias("words"),
+        *[F.col(f"_o.{c}").alias(c) for c in ("edge_x", "edge_y", "cx", "cy")],
     )
     return seen.groupBy(*key).agg(
         *[F.first(F.when(F.col(obj) == o, picked), ignorenulls=True).alias(f"m{o}") for o in (1, 2)]
@@ -83,7 +84,7 @@ def mask_evidence(rows: DataFrame, h: int, w: int) -> DataFrame:
         # The pixel under a point inside the mask is its nearest one.
         own = F.hypot(px - F.col("x"), py - F.col("y"))
         out = out.withColumn(
-            f"d{o}", F.when(F.col(f"in{o}"), own).otherwise(M.nearest(side["edge"], w, F.col("x"), F.col("y")))
+            f"d{o}", F.when(F.col(f"in{o}"), own).otherwise(M.nearest(side["edge_x"], side["edge_y"], F.col("x"), F.col("y")))
         )
     return out.drop("_at", "m1", "m2")
 

@@ -14,6 +14,7 @@ from etholith.operators import rasters
 from etholith.operators.frames import in_ranges
 from etholith.operators.ordered import with_group_stats
 from etholith.plans.register import R, query, rd
+from etholith.session import spread
 
 # The cohorts and training images of the study.
 COHORTS = {
@@ -445,7 +446,7 @@ SUM_Y = " + ".join(f"({b} + {e}) * ({a} * {e} - {c} * {b})" for a, b, c, e in CR
 )
 def polygon_area(spark, d):
     return (
-        V.points(spark, d)
+        spread(V.points(spark, d))
         .withColumn("rings", F.array(_quad()))
         .withColumn("s", G.polygon_area(F.col("rings"), 0.5))
         .groupBy("image_id")
@@ -461,7 +462,7 @@ def polygon_area(spark, d):
 )
 def unpack_centroid(spark, d):
     return (
-        V.points(spark, d)
+        spread(V.points(spark, d))
         .withColumn("ring", _quad())
         .withColumn("c", G.ring_centroid(F.col("ring")))
         .groupBy("image_id")

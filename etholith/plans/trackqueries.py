@@ -14,6 +14,7 @@ from etholith.operators import windows as W
 from etholith.operators.filters import likelihood_gate
 from etholith.plans.register import R, query, rd, rounded
 from etholith.plans.repair import repair_tracks
+from etholith.session import cut_lineage, spread
 
 # The keypoint view in mask units: an 8x8 mask covers 576 px, so one cell is 72 px.
 CELL = 72.0
@@ -127,7 +128,7 @@ def slots(spark, d):
 
 
 def cell_points(spark, d):
-    return V.keypoints(spark, d).withColumns(
+    return spread(V.keypoints(spark, d)).withColumns(
         {"x": F.col("x") / CELL, "y": F.col("y") / CELL, "slot": F.col("frame_id") % 250}
     )
 
@@ -239,7 +240,7 @@ def nan_rows(spark, d):
 
 
 def assigned_frames(spark, d):
-    return T.assign_frames(evidence_of(spark, d), ["video_id", "frame_id"], ORDER, CELL_NEIGHBOURS, tolerance=1.0)
+    return T.assign_frames(cut_lineage(evidence_of(spark, d)), ["video_id", "frame_id"], ORDER, CELL_NEIGHBOURS, tolerance=1.0)
 
 
 @query("assign_frames")

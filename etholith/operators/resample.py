@@ -236,7 +236,8 @@ def rotation_null(
         F.count(F.when(F.col("overlap") <= F.col("real_overlap"), 1)).alias("n_le"),
     )
     smaller = F.least((F.col("n_ge") + 1) / (F.col("n_rotations") + 1), (F.col("n_le") + 1) / (F.col("n_rotations") + 1))
-    return groups.join(tails, by, "left").withColumn("p_value", F.least(F.lit(1.0), 2 * smaller))
+    p = F.when(F.col("n_rotations").isNotNull(), F.least(F.lit(1.0), 2 * smaller))
+    return groups.join(tails, by, "left").withColumn("p_value", p)
 
 
 def null_distribution(overlaps: DataFrame, real: DataFrame, by: Sequence[str]) -> DataFrame:

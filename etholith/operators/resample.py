@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from etholith.functions import prob
 from etholith.functions.geometry import rotate
 from etholith.operators.ordered import null_safe_join, row_index, with_group_stats
-from etholith.operators.spatial import overlapping
+from etholith.operators.spatial import overlapping, radius_count
+from etholith.session import broadcast_if_small, cut_lineage
 
 # Modulus and multipliers of the counter hash, study defaults.
 P = 2_147_483_647
@@ -56,9 +57,11 @@ def replicate_draws(groups: DataFrame, by: Sequence[str], reps: int, seed: int)
 
 
 def _indexed(df: DataFrame, by: Sequence[str], values: Sequence[str], order: Sequence[str]) -> tuple:
-    rows = row_index(df.dropna(subset=list(values)).select(*by, *dict.fromkeys([*values, *order])), by, order)
+    """Numbered rows, written once (draws and group sizes both read them), and group sizes."""
+    kept = df.dropna(subset=list(values)).select(*by, *dict.fromkeys([*values, *order]))
+    rows = cut_lineage(row_index(kept, by, order).select(*by, "idx", *values))
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"))
-    return rows, groups
+    return broadcast_if_small(rows), groups
 
 
 def replicate_means(
@@ -67,7 +70,7 @@ def replicate_means(
     """Bootstrap replicates of a mean: (group, rep, mean). ``order`` fixes the row numbering."""
     rows, groups = _indexed(df, by, [value], order)
     draws = replicate_draws(groups, by, reps, seed)
-    drawn = null_safe_join(draws, rows.select(*by, "idx", value), [*by, "idx"])
+    drawn = null_safe_join(draws, rows, [*by, "idx"])
     return drawn.groupBy(*by, "rep").agg(F.avg(value).alias("mean"))
 
 
@@ -147,7 +150,7 @@ def bca_ci_ccc(
     names = ("n", "sx", "sy", "sxx", "syy", "sxy")
     rows, groups = _indexed(base, by, ["_x", "_y"], order)
     draws = replicate_draws(groups, by, reps, seed)
-    drawn = null_safe_join(draws, rows.select(*by, "idx", "_x", "_y"), [*by, "idx"])
+    drawn = null_safe_join(draws, rows, [*by, "idx"])
     replicates = drawn.groupBy(*by, "rep").agg(*sums("")).select(
         *by, "rep", _ccc_of(*[F.col(k) for k in names]).alias("ccc")
     ).filter(F.col("ccc").isNotNull())
@@ -221,8 +224,6 @@ def rotation_null(
     angles: DataFrame | None = None,
 ) -> DataFrame:
     """Two-sided rotation p of the observed overlap; NULL with under two points of a class."""
-    from etholith.operators.spatial import radius_count
-
     by = list(by)
     groups = points.select(*by).distinct()
     turns = angles if angles is not None else angle_table(groups, by, n_rotations, seed)

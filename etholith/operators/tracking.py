@@ -182,44 +182,40 @@ def assign_frames(
     (``no_mask_frame``), so the folded array is bounded by the joint vocabulary.
     """
     frame = list(frame)
-    key = F.struct(*order)
-    rows = evidence.withColumn("_ord", key)
     blank = F.col("x").isNull() | F.col("y").isNull()
-    lost = ~F.col("has1") & ~F.col("has2")
-    live = rows.filter(~blank & ~lost)
-    per_joint = Window.partitionBy(*frame, joint).orderBy("_ord")
-    # A rank filter lets every task keep two rows per joint before the shuffle.
-    top = live.withColumn("_rank", F.row_number().over(per_joint)).filter("_rank <= 2")
+    rows = evidence.withColumns({"_ord": F.struct(*order), "_blank": blank, "_lost": ~F.col("has1") & ~F.col("has2")})
+    # A rank filter lets every task keep two rows per joint before the shuffle. Blank rows
+    # stay in view because a joint takes its turn at its first row of any kind.
+    per_joint = Window.partitionBy(*frame, joint, "_blank").orderBy("_ord")
+    top = rows.filter(~F.col("_lost")).withColumn("_rank", F.row_number().over(per_joint)).filter("_rank <= 2")
     single = assign_single(tolerance)
-    det = F.struct(
-        "_ord", F.col("x").alias("x"), F.col("y").alias("y"),
+    seen = top.select(*frame, F.struct(
+        "_ord", F.col(joint).alias("joint"), "_blank", "x", "y",
         detection_cost(1).alias("k1"), detection_cost(2).alias("k2"),
         single["assigned"].alias("alone"), single["reason"].alias("why"),
+    ).alias("_d"))
+    listed = seen.groupBy(*frame).agg(F.sort_array(F.collect_list("_d")).alias("_l"))
+    turns = F.array_distinct(F.transform("_l", lambda d: d["joint"]))
+    paired_up = F.transform(
+        F.transform(
+            turns,
+            lambda j: F.struct(
+                j.alias("joint"), F.filter("_l", lambda d: (d["joint"] == j) & ~d["_blank"]).alias("dets")
+            ),
+        ),
+        lambda e: F.struct(e["joint"].alias("joint"), F.get(e["dets"], F.lit(0)).alias("p"), F.get(e["dets"], F.lit(1)).alias("q")),
     )
-    joints = top.groupBy(*frame, joint).agg(
-        F.min("_ord").alias("_seen"),
-        F.max(F.when(F.col("_rank") == 1, det)).alias("p"),
-        F.max(F.when(F.col("_rank") == 2, det)).alias("q"),
-    )
-    listed = joints.groupBy(*frame).agg(
-        F.sort_array(F.collect_list(F.struct("_seen", F.col(joint).alias("joint"), "p", "q"))).alias("_joints")
-    )
-    schema = evidence.schema[joint].dataType.simpleString()
-    place = f"map<{schema},struct<x:double,y:double>>"
-    ord_type = listed.schema["_joints"].dataType.elementType["_seen"].dataType.simpleString()
+    folded = listed.select(*frame, F.filter(paired_up, lambda e: e["p"].isNotNull()).alias("_joints"))
+    joint_type = evidence.schema[joint].dataType.simpleString()
+    place = f"map<{joint_type},struct<x:double,y:double>>"
+    ord_type = rows.schema["_ord"].dataType.simpleString()
     result = f"array<struct<_ord:{ord_type},assigned:string,reason:string>>"
     start = F.struct(
-        F.from_json(F.lit(None).cast("string"), "a int").isNull().alias("_s"),
         F.create_map().cast(place).alias("one"),
         F.create_map().cast(place).alias("two"),
         F.array().cast(result).alias("out"),
     )
 
-    def put(state: Column, one: Column, two: Column, found: Column) -> Column:
-        return F.struct(
-            state["_s"].alias("_s"), one.alias("one"), two.alias("two"), F.concat(state["out"], found).alias("out")
-        )
-
     def at(j: Column, d: Column) -> Column:
         return F.create_map(j, F.struct(d["x"].alias("x"), d["y"].alias("y"))).cast(place)
 
@@ -229,38 +225,44 @@ def assign_frames(
     def step(state: Column, e: Column) -> Column:
         j, p, q = e["joint"], e["p"], e["q"]
         none = F.create_map().cast(place)
+        lone = q.isNull()
 
         def cost(d: Column, obj: int) -> Column:
-            places = state["one"] if obj == 1 else state["two"]
-            return d[f"k{obj}"] + _excess(places, j, d["x"], d["y"], neighbours)
+            return d[f"k{obj}"] + _excess(state["one" if obj == 1 else "two"], j, d["x"], d["y"], neighbours)
 
-        lone = q.isNull()
         straight = cost(p, 1) + cost(q, 2) <= cost(p, 2) + cost(q, 1)
-        first_to_one = F.when(lone, p["alone"] == "obj1").otherwise(F.coalesce(straight, F.lit(True)))
-        add_one = F.when(first_to_one, at(j, p)).when(~lone, at(j, q)).otherwise(none)
-        add_two = F.when(~first_to_one, at(j, p)).when(~lone, at(j, q)).otherwise(none)
-        p_obj = F.when(first_to_one, "obj1").otherwise("obj2")
-        q_obj = F.when(first_to_one, "obj2").otherwise("obj1")
-        pair = F.lit("exclusive_pair")
-        found_rows = F.when(lone, F.array(found(p, p_obj, p["why"]))).otherwise(
-            F.array(found(p, p_obj, pair), found(q, q_obj, pair))
-        )
-        return put(state, F.map_concat(state["one"], add_one), F.map_concat(state["two"], add_two), found_rows.cast(result))
+        decided = F.when(lone, p["alone"] == "obj1").otherwise(F.coalesce(straight, F.lit(True)))
+
+        def settle(first: Column) -> Column:
+            add_one = F.when(first, at(j, p)).when(~lone, at(j, q)).otherwise(none)
+            add_two = F.when(~first, at(j, p)).when(~lone, at(j, q)).otherwise(none)
+            p_obj = F.when(first, "obj1").otherwise("obj2")
+            q_obj = F.when(first, "obj2").otherwise("obj1")
+            pair = F.lit("exclusive_pair")
+            news = F.when(lone, F.array(found(p, p_obj, p["why"]))).otherwise(
+                F.array(found(p, p_obj, pair), found(q, q_obj, pair))
+            )
+            return F.struct(
+                F.map_concat(state["one"], add_one).alias("one"),
+                F.map_concat(state["two"], add_two).alias("two"),
+                F.concat(state["out"], news.cast(result)).alias("out"),
+            )
+
+        # A one-element transform names the decision, so that its costs are worked out once.
+        return F.get(F.transform(F.array(decided), settle), F.lit(0))
 
     settled = (
-        listed.select(*frame, F.aggregate("_joints", start, step)["out"].alias("_out"))
+        folded.select(*frame, F.aggregate("_joints", start, step)["out"].alias("_out"))
         .select(*frame, F.inline("_out"))
     )
-    done = live.join(settled, [*frame, "_ord"], "left").withColumn(
-        "reason", F.coalesce("reason", F.lit("extra_detection"))
+    unsettled = (
+        F.when(F.col("_blank"), "nan_coords").when(F.col("_lost"), "no_mask_frame").otherwise("extra_detection")
     )
-    aside = rows.filter(blank | lost).withColumns(
-        {
-            "assigned": F.lit(None).cast("string"),
-            "reason": F.when(blank, "nan_coords").otherwise("no_mask_frame"),
-        }
+    return (
+        rows.join(settled, [*frame, "_ord"], "left")
+        .withColumn("reason", F.coalesce("reason", unsettled))
+        .drop("_ord", "_blank", "_lost")
     )
-    return done.unionByName(aside).drop("_ord")
 
 
 def skeleton_violation(
@@ -297,16 +299,11 @@ def _swap_batches(joints: list, edges: list, rounds: int):
             n = len(pdf)
             pts = np.full((n, 2, len(joints), 2), np.nan)
             seen = np.full((n, 2, len(joints)), np.inf)
-            sizes = pdf["pts"].map(len).to_numpy()
-            flat = [p for row in pdf["pts"] for p in row]
+            sizes = pdf["sides"].map(len).to_numpy()
             f = np.repeat(np.arange(n), sizes)
-            s = np.array([p["side"] for p in flat], dtype=int)
-            j = np.array([place.get(p["joint"], -1) for p in flat], dtype=int)
-            use = j >= 0
-            vals = np.array([[p["x"], p["y"]] for p in flat], dtype=float).reshape(-1, 2)
-            order = np.array([p["place"] for p in flat], dtype=float)
-            pts[f[use], s[use], j[use]] = vals[use]
-            seen[f[use], s[use], j[use]] = order[use]
+            s, j, xs, ys = (np.concatenate(pdf[c].to_numpy()) if n else np.empty(0, int) for c in ("sides", "at", "xs", "ys"))
+            turn = np.arange(len(f)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            pts[f, s, j, 0], pts[f, s, j, 1], seen[f, s, j] = xs, ys, turn
             touched = np.zeros((n, len(joints)), dtype=bool)
             flips = np.zeros((n, len(joints)), dtype=int)
             active = np.arange(n)
@@ -329,7 +326,7 @@ def _swap_batches(joints: list, edges: list, rounds: int):
                 if not len(active):
                     break
             fr, jo = np.nonzero(touched)
-            out = pdf.iloc[fr].drop(columns="pts").reset_index(drop=True)
+            out = pdf.iloc[fr].drop(columns=["sides", "at", "xs", "ys"]).reset_index(drop=True)
             out["joint"] = [joints[k] for k in jo]
             out["_odd"] = flips[fr, jo] % 2 == 1
             yield out
@@ -368,11 +365,14 @@ def anatomical_swap(
             F.min("_ord").alias("_seen"),
         )
     )
+    # Joints outside the vocabulary take no part.
+    known = F.array(*[F.lit(j) for j in joints])
+    placed = last.withColumn("_at", (F.array_position(known, F.col("joint")) - 1).cast("int")).filter("_at >= 0")
     packed = (
-        last.groupBy(*frame)
+        placed.groupBy(*frame)
         .agg(
             F.sort_array(
-                F.collect_list(F.struct("_seen", "_side", "joint", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")))
+                F.collect_list(F.struct("_seen", "_side", "_at", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")))
             ).alias("_l"),
             F.min("_side").alias("_low"),
             F.max("_side").alias("_high"),
@@ -380,13 +380,10 @@ def anatomical_swap(
         .filter("_low < _high")
         .select(
             *frame,
-            F.transform(
-                "_l",
-                lambda e, i: F.struct(
-                    e["_side"].alias("side"), e["joint"].alias("joint"), i.alias("place"),
-                    e["x"].cast("double").alias("x"), e["y"].cast("double").alias("y"),
-                ),
-            ).alias("pts"),
+            F.transform("_l", lambda e: e["_side"]).alias("sides"),
+            F.transform("_l", lambda e: e["_at"]).alias("at"),
+            F.transform("_l", lambda e: e["x"].cast("double")).alias("xs"),
+            F.transform("_l", lambda e: e["y"].cast("double")).alias("ys"),
         )
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

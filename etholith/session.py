@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A broadcast side of a few narrow columns stays in the tens of megabytes below this.
+BROADCAST_ROWS = 1_000_000
 
 
 def get_spark(app: str = "etholith", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,3 +62,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same rows, marked for broadcast if counting shows few enough of them.
+
+    For frames that are already written (see :func:`cut_lineage`), where a count
+    is cheap. Above the limit the join is an ordinary shuffled one.
+    """
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored

@@ -253,7 +253,7 @@ def assign_frames(
 
     settled = (
         folded.select(*frame, F.aggregate("_joints", start, step)["out"].alias("_out"))
-        .select(*frame, F.inline("_out"))
+        .select(*frame, F.inline_outer("_out"))  # plain inline would test the array's size, folding twice
     )
     unsettled = (
         F.when(F.col("_blank"), "nan_coords").when(F.col("_lost"), "no_mask_frame").otherwise("extra_detection")
@@ -265,15 +265,29 @@ def assign_frames(
     )
 
 
+def last_points(
+    points: DataFrame, key: Sequence[str], order: Sequence[str], joint: str = "joint", values: Sequence[str] = ("x", "y")
+) -> DataFrame:
+    """The last point with coordinates per key and joint; copies are settled before any join."""
+    return (
+        points.dropna(subset=["x", "y"])
+        .groupBy(*key, joint)
+        .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_p"))
+        .select(*key, joint, *[F.col(f"_p.{v}").alias(v) for v in values])
+    )
+
+
 def skeleton_violation(
-    points: DataFrame, edges: Sequence[tuple] = SKELETON, key: Sequence[str] = ("video_id", "frame_id", "subject"),
+    points: DataFrame,
+    edges: Sequence[tuple] = SKELETON,
+    key: Sequence[str] = ("video_id", "frame_id", "subject"),
+    order: Sequence[str] = ("x", "y"),
     factor: float = 1.0,
 ) -> DataFrame:
     """(key, joint) of points farther from a present neighbour than the edge allows."""
-    present = points.dropna(subset=["x", "y"])
     d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
     return (
-        skeleton_join(present, edges, key)
+        skeleton_join(last_points(points, key, order), edges, key)
         .groupBy(*key, "joint")
         .agg(F.bool_or(d > F.col("limit") * factor).alias("violated"))
         .filter("violated")

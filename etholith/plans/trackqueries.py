@@ -14,7 +14,7 @@ from etholith.operators import windows as W
 from etholith.operators.filters import likelihood_gate
 from etholith.plans.register import R, query, rd, rounded
 from etholith.plans.repair import repair_tracks
-from etholith.session import cut_lineage, spread
+from etholith.session import cut_lineage
 
 # The keypoint view in mask units: an 8x8 mask covers 576 px, so one cell is 72 px.
 CELL = 72.0
@@ -128,7 +128,7 @@ def slots(spark, d):
 
 
 def cell_points(spark, d):
-    return spread(V.keypoints(spark, d)).withColumns(
+    return V.keypoints(spark, d, spread_out=True).withColumns(
         {"x": F.col("x") / CELL, "y": F.col("y") / CELL, "slot": F.col("frame_id") % 250}
     )
 
@@ -253,29 +253,31 @@ def assign_frames(spark, d):
 # ---------------------------------------------------------------- skeleton and swaps
 
 
+COPIES = ["l_partkey", "l_suppkey", "l_extendedprice"]
+LAST = """la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id, subject, joint
+    ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM kpts WHERE x IS NOT NULL AND y IS NOT NULL) WHERE rn = 1)"""
+BONES = """FROM la a JOIN la b ON a.video_id = b.video_id AND a.frame_id = b.frame_id AND a.subject = b.subject AND abs(a.joint - b.joint) = 1"""
+
+
 @query(
     "skeleton_join",
-    f"""SELECT a.joint, b.joint AS other, count(*) AS n, {R('sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2))')} AS total FROM kpts a JOIN kpts b
-        ON a.video_id = b.video_id AND a.frame_id = b.frame_id AND a.subject = b.subject AND abs(a.joint - b.joint) = 1
-        WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2""",
+    f"""WITH {LAST} SELECT a.joint, b.joint AS other, count(*) AS n, {R('sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2))')} AS total {BONES} GROUP BY 1, 2""",
     "kpts",
 )
 def skeleton_join(spark, d):
-    present = V.keypoints(spark, d).dropna(subset=["x", "y"])
+    key = ["video_id", "frame_id", "subject"]
+    points = T.last_points(V.keypoints(spark, d), key, COPIES)
     dist = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
-    return J.skeleton_join(present, CHAIN, ["video_id", "frame_id", "subject"]).groupBy("joint", "other").agg(
-        F.count("*").alias("n"), rd(F.sum(dist)).alias("total")
-    )
+    return J.skeleton_join(points, CHAIN, key).groupBy("joint", "other").agg(F.count("*").alias("n"), rd(F.sum(dist)).alias("total"))
 
 
 @query(
     "skeleton_violation",
-    """SELECT DISTINCT a.video_id, a.frame_id, a.subject, a.joint FROM kpts a JOIN kpts b ON a.video_id = b.video_id AND a.frame_id = b.frame_id
-        AND a.subject = b.subject AND abs(a.joint - b.joint) = 1 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 > 35 * 35""",
+    f"""WITH {LAST} SELECT DISTINCT a.video_id, a.frame_id, a.subject, a.joint {BONES} WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 > 35 * 35""",
     "kpts",
 )
 def skeleton_violation(spark, d):
-    return T.skeleton_violation(V.keypoints(spark, d), CHAIN)
+    return T.skeleton_violation(V.keypoints(spark, d, spread_out=True), CHAIN, order=COPIES)
 
 
 RANGES = "ranges AS (SELECT n_nationkey % 4 AS video_id, n_nationkey * 500 AS start, n_nationkey * 500 + 700 + (n_nationkey % 3) * 1400 AS stop FROM nation)"
@@ -302,7 +304,7 @@ def toggle_range_swap(spark, d):
 
 @query("anatomical_swap")
 def anatomical_swap(spark, d):
-    rows = V.keypoints(spark, d).withColumnRenamed("subject", "subject_corrected").withColumn("reason", F.lit("exclusive_pair"))
+    rows = V.keypoints(spark, d, spread_out=True).withColumnRenamed("subject", "subject_corrected").withColumn("reason", F.lit("exclusive_pair"))
     order = ["joint", "l_partkey", "l_suppkey", "l_extendedprice"]
     out = T.anatomical_swap(rows, ("s1", "s2"), JOINTS, CHAIN, order=order)
     return out.groupBy("subject_corrected", "joint", "reason").agg(F.count("*").alias("n"), F.sum("frame_id").alias("sum_frame"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from etholith.session import spread
+
 ORDER_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -79,8 +81,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keypoints(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
+    if spread_out:
+        line = spread(line)
     ok, pk, sk, ln = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
 
     def subject(name: str, dx: Column, dy: Column, lost: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A plain window partitioned by the group puts a hot group into one task. Here an
 ordered group is cut into value ranges first: a bounded, hash-chosen sample of
-the ordering keys (at most ``bins - 1`` of them, picked by smallest hash, so the
+the ordering keys (at most ``RANGES - 1`` of them, picked by smallest hash, so the
 choice does not depend on how rows are spread) gives the split points; running
 aggregates are computed inside each (group, range) and shifted by what the
 earlier ranges of the group hold. The only window over a whole group sees one
@@ -16,14 +16,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FAN = 32  # ranges are found by a two-step search over _FAN pivots each
-BINS = _FAN * _FAN
+_STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
+RANGES = 1 + sum(_STEPS)
 
-_COMBINE = {
-    "sum": (F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + own),
-    "max": (F.max, lambda before, own: F.greatest(before, own)),
-    "min": (F.min, lambda before, own: F.least(before, own)),
-}
+_KINDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def with_range(df: DataFrame, order: str, out: str = "_range") -> DataFrame:
@@ -33,20 +29,17 @@ def with_range(df: DataFrame, order: str, out: str = "_range") -> DataFrame:
         df.filter(key.isNotNull())
         .select(key.alias("k"))
         .orderBy(F.xxhash64("k"), "k")
-        .limit(BINS - 1)
+        .limit(RANGES - 1)
         .agg(F.sort_array(F.collect_list("k")).alias("points"))
     )
     points = F.col("_points")
-    pivots = F.transform(
-        F.sequence(F.lit(1), F.lit(_FAN - 1)), lambda i: F.try_element_at(points, i * _FAN)
+    # Binary search: ever smaller steps while the point reached is not above the key.
+    found = F.aggregate(
+        F.array(*[F.lit(step) for step in _STEPS]),
+        F.lit(0),
+        lambda at, step: at + F.when(F.get(points, at + step - 1) <= key, step).otherwise(0),
     )
-    located = df.withColumn("_points", sample.scalar()).withColumn(
-        "_block", F.size(F.filter(pivots, lambda p: p <= key))
-    )
-    inside = F.slice(points, F.col("_block") * _FAN + 1, _FAN - 1)
-    return located.withColumn(
-        out, F.col("_block") * _FAN + F.size(F.filter(inside, lambda p: p <= key))
-    ).drop("_points", "_block")
+    return df.withColumn("_points", sample.scalar()).withColumn(out, found).drop("_points")
 
 
 def null_safe_join(
@@ -79,44 +72,46 @@ def running(
     by = list(by)
     # A frame that already carries its ranges (same order column) is not sampled again.
     ranged = df if "_range" in df.columns else with_range(df, order)
-    direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    inner = (
-        Window.partitionBy(*by, "_range")
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    totals = dict(totals or {})
+
+    def along(column: str) -> Column:
+        return F.col(column).desc() if reverse else F.col(column).asc()
+
     before = (
-        Window.partitionBy(*by)
-        .orderBy(direction("_range"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by).orderBy(along("_range")).rowsBetween(Window.unboundedPreceding, -1)
     )
     whole = Window.partitionBy(*by)
-    totals = dict(totals or {})
     per_range = ranged.groupBy(*by, "_range").agg(
-        *[_COMBINE[kind][0](col).alias(f"_o_{name}") for name, (kind, col) in outs.items()],
+        *[_KINDS[kind](col).alias(f"_v_{name}") for name, (kind, col) in outs.items()],
         *[F.sum(col).alias(f"_t_{name}") for name, col in totals.items()],
     )
-    shifts = per_range.select(
+    # One seed row per range holds what the earlier ranges amount to. It enters the range's
+    # window as its first row, so rows are shuffled once and never joined.
+    seeds = per_range.select(
         *by,
         "_range",
-        *[
-            _COMBINE[kind][0](f"_o_{name}").over(before).alias(f"_o_{name}")
-            for name, (kind, _) in outs.items()
-        ],
-        *[F.sum(f"_t_{name}").over(whole).alias(name) for name in totals],
+        F.lit(True).alias("_seed"),
+        *[_KINDS[kind](f"_v_{name}").over(before).alias(f"_v_{name}") for name, (kind, _) in outs.items()],
+        *[F.sum(f"_t_{name}").over(whole).alias(f"_t_{name}") for name in totals],
     )
     own = ranged.select(
-        "*",
-        *[_COMBINE[kind][0](col).over(inner).alias(f"_i_{name}") for name, (kind, col) in outs.items()],
+        "*", F.lit(False).alias("_seed"), *[col.alias(f"_v_{name}") for name, (_, col) in outs.items()]
     )
-    joined = null_safe_join(own, shifts, [*by, "_range"])
-    return joined.select(
-        *df.columns,
-        *[
-            _COMBINE[kind][1](F.col(f"_o_{name}"), F.col(f"_i_{name}")).alias(name)
-            for name, (kind, _) in outs.items()
-        ],
-        *list(totals),
+    inner = (
+        Window.partitionBy(*by, "_range")
+        .orderBy(F.col("_seed").desc(), along(order))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        own.unionByName(seeds, allowMissingColumns=True)
+        .select(
+            *df.columns,
+            "_seed",
+            *[_KINDS[kind](f"_v_{name}").over(inner).alias(name) for name, (kind, _) in outs.items()],
+            *[F.max(f"_t_{name}").over(inner).alias(name) for name in totals],
+        )
+        .filter(~F.col("_seed"))
+        .drop("_seed")
     )
 
 

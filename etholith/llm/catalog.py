@@ -1,6 +1,6 @@
 """All queries of the operators and the pipeline."""
 
-from etholith.llm import substring  # noqa: F401
+from etholith.llm import decontaminate, mixing, simhash, substring  # noqa: F401
 from etholith.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

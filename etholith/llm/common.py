@@ -88,8 +88,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``values[s:e]`` for sorted spans, from prefix sums taken in blocks."""
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of ``values[s:e]`` (or of ``codes[values[s:e]]``) for sorted spans, from prefix sums taken in blocks."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -97,7 +97,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         j = max(i + 1, int(np.searchsorted(starts, first + _BLOCK // 2)))
         top = int(ends[i:j].max())
         up, down = _tables(top - first)
-        part = values[first:top]
+        part = values[first:top] if codes is None else codes[values[first:top]]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * up[: len(part)], out=sums[1:])
         s = starts[i:j] - first
@@ -127,7 +127,7 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(_RANDOM[self.data], self.starts, self.ends)
+        return span_hashes(self.data, self.starts, self.ends, _RANDOM)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words with one space after each, and where each word starts and ends there."""
@@ -153,7 +153,7 @@ def binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
-def blocks(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after, bytes, offsets) of runs of texts of about ``limit`` bytes; null is empty.
 
     A text longer than that is a run of its own: texts are never cut.

@@ -25,7 +25,7 @@ from etholith.llm.common import ALNUM, Words, binary, blocks, lower, query, stor
 
 WINDOW = 10
 SLOP = 2
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
 
 

@@ -32,7 +32,7 @@ WIDTH = 35
 GRAM = 8
 FILTER_BITS = 26
 HOT = 20_000
-SHARD_WORDS = 600_000
+SHARD_WORDS = 400_000
 
 
 # --- the index of one shard -----------------------------------------------------------------

@@ -1,6 +1,6 @@
 """All queries of the operators and the pipeline."""
 
-from etholith.llm import decontaminate, language, mixing, pages, quality, simhash, substring  # noqa: F401
+from etholith.llm import contexts, decontaminate, language, mixing, neighbours, pages, quality, simhash, substring  # noqa: F401
 from etholith.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,12 +6,12 @@ context tree with a Krichevsky-Trofimov estimate, and the tree weighs all depths
 probability is half its own estimate plus half the product of its children's. The learned counts are
 frozen, so the code length of a byte is a function of it and its context.
 
-Counts come from all learned texts. Texts are dealt into shards by hash; a shard lists its distinct
-contexts with the next byte (and its distinct words, for the base score) with their numbers in
-learned texts. Contexts meet by their two latest bytes (at most 65,536 groups, in each no more than
-256 ** (DEPTH - 1) byte sequences); the levels above, at most 65,280 nodes, are summed once and sent
-to all tasks. Every shard gets back values for the contexts and words that it listed, whether any
-learned text has them or not, so no model is ever held as a whole.
+Counts come from all learned texts. The scan packs texts into shards of about ``SHARD_BYTES`` and
+lists, per shard, its distinct contexts with the next byte and its distinct words (for the base
+score) with their numbers in learned texts; the packed texts and the lists are written once. Totals
+are summed per context. Contexts meet by their two latest bytes to be weighed; the levels above, at
+most 65,280 nodes, are summed and sent to all tasks. Every shard then gets back, by a join, values
+for what it listed, whether a learned text has it or not: no task ever holds the whole model.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from etholith.llm.common import Words, blocks, lower, query, signed, stored, table
 from etholith.llm.quality import fold
 
-DEPTH = 4
-SHARD_BYTES = 32 << 20
+DEPTH = 5
+SHARD_BYTES = 48 << 20
 END = 10
 
 
@@ -45,7 +46,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift[small] -= np.log(x[small])
         x[small] += 1
     inv = 1 / x
-    series = inv / 12 - inv**3 / 360 + inv**5 / 1260 - inv**7 / 1680
+    series = inv / 12 - inv**3 / 360 + inv**5 / 1260 - inv**7 / 1680 + inv**9 / 1188
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
 
 
@@ -148,64 +149,117 @@ class Stream:
         self.code, self.words, self.word_text = code, signed(words.hashes()), words.text
 
 
-def _tally(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, place = np.unique(keys, return_inverse=True)
-    return key, np.bincount(place, learned, len(key)).astype(np.int64)
-
-
-def listed(depth: int):
-    """Per shard its distinct codes (kind 0) and words (kind 1) with their numbers in learned texts."""
-
-    def run(shard):
-        kinds = []
-        learned = shard["learned"].to_numpy().astype(np.float64)
-        parts = {0: [], 1: []}
-        for i, j, data, offsets in blocks(shard["text"]):
-            s = Stream(data, offsets, depth)
-            parts[0].append(_tally(s.code, learned[i:j][s.text]))
-            parts[1].append(_tally(s.words, learned[i:j][s.word_text]))
-        for kind, found in parts.items():
-            keys = np.concatenate([k for k, _ in found])
-            n = np.concatenate([n for _, n in found])
-            key, place = np.unique(keys, return_inverse=True)
-            kinds.append((np.full(len(key), kind, np.int8), key, np.bincount(place, n, len(key)).astype(np.int64)))
-        kind, key, n = (np.concatenate(x) for x in zip(*kinds, strict=True))
-        return pa.table({"shard": pa.array(np.full(len(key), shard["shard"][0].as_py(), np.int64)), "kind": kind, "key": key, "n": n})
+def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their numbers."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.append(0, np.cumsum(n[order]))
+    return keys[begin], sums[np.append(begin[1:], len(keys))[: len(begin)]] - sums[begin]
+
+
+def _tally_codes(codes: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_tally` for zeros and ones as numbers: they ride in the sorted keys' last bit."""
+    both = np.sort(codes << 1 | learned)
+    keys, ones = both >> 1, np.append(0, np.cumsum(both & 1))
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], ones[np.append(begin[1:], len(keys))[: len(begin)]] - ones[begin]
+
+
+class Lookup:
+    """Values of distinct keys by open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.slot = keys, values, np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]  # of several on one place the last stays
+            placed = self.slot[at] == left
+            left, at = left[~placed], (at[~placed] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all there."""
+        at = self._home(keys)
+        found = self.slot[at]
+        left = np.flatnonzero(self.keys[found] != keys)
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left] = self.slot[at[left]]
+            left = left[self.keys[found[left]] != keys[left]]
+        return self.values[found]
+
+
+LIST, WORD, TEXT = 0, 1, 2
+
+
+def packed(depth: int, shard_bytes: int):
+    """Rows (shard, kind, key, n, texts): lists of each shard, and its texts as compressed batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, size = TaskContext.get().partitionId() << 32, 0
+        empty = {LIST: (np.zeros(0, np.int64), np.zeros(0, np.int64)), WORD: (np.zeros(0, np.int64), np.zeros(0, np.int64))}
+        lists = dict(empty)
+
+        def flush():
+            for kind, (key, n) in lists.items():
+                for a in range(0, len(key), 50_000):
+                    part = key[a : a + 50_000]
+                    yield pa.record_batch({"shard": np.full(len(part), shard), "kind": np.full(len(part), kind, np.int8), "key": part, "n": n[a : a + 50_000], "texts": pa.nulls(len(part), pa.binary())})
+
+        def merge(kind, found):
+            lists[kind] = _tally(*(np.concatenate(x) for x in zip(lists[kind], found, strict=True)))
+
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch["text"]):
+                if size and size + len(data) > shard_bytes:
+                    yield from flush()
+                    shard, size, lists = shard + 1, 0, dict(empty)
+                part = batch.slice(i, j - i)
+                learned = part["learned"].to_numpy(zero_copy_only=False).astype(np.int64)
+                s = Stream(data, offsets, depth)
+                merge(LIST, _tally_codes(s.code, learned[s.text]))
+                merge(WORD, _tally(s.words, learned[s.word_text]))
+                size += len(data)
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(part)
+                yield pa.record_batch({"shard": [shard], "kind": pa.array([TEXT], pa.int8()), "key": [0], "n": [part.num_rows], "texts": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+        yield from flush()
 
     return run
 
 
-def _group_rows(rows, depth: int):
-    """A group's rows with totals over shards: (rows in key order, distinct keys, totals, place of each row)."""
-    key = rows["key"].to_numpy()
-    distinct, place = np.unique(key, return_inverse=True)
-    total = np.bincount(place, rows["n"].to_numpy(), len(distinct))
-    older = (distinct >> 24) & ((1 << 8 * (depth - 2)) - 1)
-    return distinct, total, place, Subtree(older, distinct & 255, total, depth)
-
-
 def model_values(lists: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(shard, key, value): log10 of the byte's probability for every listed context and byte."""
-    codes = lists.filter("kind = 0").select("shard", "key", "n", F.expr("cast((key >> 8) & 65535 AS int)").alias("latest"))
+    """(key, value): log10 of the byte's probability for every listed context and byte."""
+    latest = F.expr("cast((key >> 8) & 65535 AS int)").alias("latest")
+    totals = stored(lists.groupBy("key").agg(F.sum("n").alias("n")).select("key", "n", latest))
+
+    def subtree(rows):
+        key = rows["key"].to_numpy()
+        return key, Subtree((key >> 24) & ((1 << 8 * (depth - 2)) - 1), key & 255, rows["n"].to_numpy(), depth)
 
     def upper(rows):
-        _, _, _, tree = _group_rows(rows, depth)
-        latest = rows["latest"][0].as_py()
-        return pa.table({"latest": np.full(len(tree.nodes), latest & 255, np.int32), "node": tree.nodes.astype(np.int32), "zeros": tree.zeros, "ones": tree.ones, "below": tree.weighted})
+        _, tree = subtree(rows)
+        last = rows["latest"][0].as_py() & 255
+        return pa.table({"last": np.full(len(tree.nodes), last, np.int32), "node": tree.nodes.astype(np.int32), "zeros": tree.zeros, "ones": tree.ones, "below": tree.weighted})
 
-    level = codes.groupBy("latest").applyInArrow(upper, "latest int, node int, zeros double, ones double, below double")
-    level = level.groupBy("latest", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow().sort_by([("latest", "ascending"), ("node", "ascending")])
-    top = Top(*(c.to_numpy() for c in level.columns))
-    sent = lists.sparkSession.sparkContext.broadcast(top)
+    level = totals.groupBy("latest").applyInArrow(upper, "last int, node int, zeros double, ones double, below double")
+    level = level.groupBy("last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow().sort_by([("last", "ascending"), ("node", "ascending")])
+    sent = lists.sparkSession.sparkContext.broadcast(Top(*(c.to_numpy() for c in level.columns)))
 
     def valued(rows):
-        distinct, _, place, tree = _group_rows(rows, depth)
-        node, bit = _decisions(distinct & 255)
+        key, tree = subtree(rows)
+        node, bit = _decisions(key & 255)
         p = sent.value.mixed(rows["latest"][0].as_py() & 255, node.ravel(), bit.ravel(), tree.probability())
-        value = np.log10(p).reshape(-1, 8).sum(axis=1)
-        return pa.table({"shard": rows["shard"], "key": rows["key"], "value": value[place]})
+        return pa.table({"key": key, "value": np.log10(p).reshape(-1, 8).sum(axis=1)})
 
-    return codes.groupBy("latest").applyInArrow(valued, "shard long, key long, value double")
+    return totals.groupBy("latest").applyInArrow(valued, "key long, value double")
 
 
 def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -213,52 +267,44 @@ def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: in
 
     ``learned`` says which rows are learned from. Tokens are words and one end per text; null and
     empty texts are an end alone. The base is add-one over the learned tokens. Repeated rows count
-    each. The number of shards follows from the bytes of all texts, so each stays near ``shard_bytes``.
+    each. The number of tasks follows from the bytes of all texts, so shards stay near ``shard_bytes``.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(1, -(-total // shard_bytes))
-    dealt = docs.select(
-        "doc_id", F.xxhash64("text").alias("content"), F.coalesce(learned, F.lit(False)).alias("learned"), "text",
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).alias("shard"),
-    )
-    lists = stored(dealt.select("shard", "learned", "text").groupBy("shard").applyInArrow(listed(depth), "shard long, kind byte, key long, n long"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), F.coalesce(learned, F.lit(False)).alias("learned"), "text")
+    rows = rows.coalesce(max(1, -(-total // shard_bytes)))
+    known = stored(rows.mapInArrow(packed(depth, shard_bytes), "shard long, kind byte, key long, n long, texts binary"))
+    lists = known.filter(F.col("kind") == LIST).select("shard", "key", "n")
+    codes = lists.join(model_values(lists, depth), "key").select("shard", F.lit(LIST).cast("byte").alias("kind"), "key", "value", F.lit(False).alias("first"))
     same = Window.partitionBy("key")
-    words = lists.filter("kind = 1").select(
-        "shard", "key", F.sum("n").over(same).cast("double").alias("value"), (F.min("shard").over(same) == F.col("shard")).alias("first")
-    )
-    values = (
-        model_values(lists, depth)
-        .select("shard", F.lit(0).cast("byte").alias("kind"), "key", "value", F.lit(False).alias("first"))
-        .union(words.select("shard", F.lit(1).cast("byte"), "key", "value", "first"))
+    words = known.filter(F.col("kind") == WORD).select(
+        "shard", "kind", "key", F.sum("n").over(same).cast("double").alias("value"), (F.min("shard").over(same) == F.col("shard")).alias("first")
     )
+    texts = known.filter(F.col("kind") == TEXT).select(F.col("shard").alias("owner"), "texts")
 
     def scored(texts, found):
-        if not texts.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in _RESULT(texts).items()})
         kind, key, value = (found[c].to_numpy() for c in ("kind", "key", "value"))
-        tables = []
-        for k in (0, 1):
-            own = kind == k
-            order = np.argsort(key[own])
-            tables.append((key[own][order], value[own][order]))
-        fresh = int((found["first"].to_numpy(zero_copy_only=False) & (value > 0)).sum())
-        n = texts.num_rows
-        tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for i, j, data, offsets in blocks(texts["text"]):
-            s = Stream(data, offsets, depth)
-            got = tables[0][1][np.searchsorted(tables[0][0], s.code)]
-            score[i:j] = np.bincount(s.text, got, j - i)
-            c = tables[1][1][np.searchsorted(tables[1][0], s.words)] if len(s.words) else np.zeros(0)
-            tokens[i:j] = np.bincount(s.word_text, minlength=j - i)
-            known[i:j] = np.bincount(s.word_text, c > 0, j - i)
-            base[i:j] = np.bincount(s.word_text, np.log10(c + 1), j - i)
-        new = np.zeros(n, np.int64)
-        new[0] = fresh
-        return pa.table([texts["doc_id"], texts["content"], texts["learned"], pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(new)], names=["doc_id", "content", "learned", "tokens", "known", "base", "score", "fresh"])
-
-    doc_kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {doc_kind}, content long, learned boolean, tokens long, known long, base double, score double, fresh long"
-    raw = stored(dealt.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(scored, schema))
+        tables = [Lookup(key[kind == k], value[kind == k]) for k in (LIST, WORD)]
+        fresh = int((found["first"].to_numpy() & (value > 0)).sum())
+        out = []
+        for raw in texts["texts"]:
+            for part in pa.ipc.open_stream(raw.as_py()):
+                n = part.num_rows
+                tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+                for i, j, data, offsets in blocks(part["text"]):
+                    s = Stream(data, offsets, depth)
+                    score[i:j] = np.bincount(s.text, tables[LIST](s.code), j - i)
+                    if len(s.words):
+                        c = tables[WORD](s.words)
+                        tokens[i:j] = np.bincount(s.word_text, minlength=j - i)
+                        known[i:j] = np.bincount(s.word_text, c > 0, j - i)
+                        base[i:j] = np.bincount(s.word_text, np.log10(c + 1), j - i)
+                new = np.zeros(n, np.int64)
+                new[:1], fresh = fresh, 0 if n else fresh
+                out.append(pa.table([*(part[c] for c in ("doc_id", "content", "learned")), tokens, known, base, score, new], names=["doc_id", "content", "learned", "tokens", "known", "base", "score", "fresh"]))
+        return pa.concat_tables(out)
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, content long, learned boolean, tokens long, known long, base double, score double, fresh long"
+    raw = stored(texts.groupBy("owner").cogroup(codes.union(words).groupBy("shard")).applyInArrow(scored, schema))
     ends, inner, vocabulary = raw.agg(F.count(F.when(F.col("learned"), 1)), F.sum(F.when(F.col("learned"), F.col("tokens")).otherwise(0)), F.sum("fresh")).first()
     train = (inner or 0) + ends
     kinds = (vocabulary or 0) + (1 if ends else 0)
@@ -270,10 +316,6 @@ def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: in
     )
 
 
-def _RESULT(texts):
-    return {"doc_id": texts.schema.field("doc_id").type, "content": pa.int64(), "learned": pa.bool_(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "fresh": pa.int64()}
-
-
 @query("op7_language_model")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -60,7 +60,7 @@ SQL_VIEWS = {
         list_transform(embedding, lambda v: CAST(floor((CAST(v AS DOUBLE) + 1) * 127.5) AS INTEGER)) AS pixels
         FROM embeddings""",
     "masks": """SELECT vec_id, label, vec_id // 2 AS slot, 1 + vec_id % 2 AS obj_id,
-        list_filter(range(64), lambda i: embedding[i + 1] > 0) AS px FROM embeddings WHERE vec_id < 500""",
+        list_filter(range(64), lambda i: embedding[i + 1] > 0) AS px FROM embeddings""",
 }
 
 

@@ -476,7 +476,7 @@ def unpack_centroid(spark, d):
 @query(
     "mask_bit",
     """SELECT vec_id, px, py, CASE WHEN px BETWEEN 0 AND 7 AND py BETWEEN 0 AND 7 THEN embedding[py * 8 + px + 1] > 0 END AS is_set
-        FROM (SELECT vec_id, embedding, unnest(range(-1, 9)) AS px FROM embeddings WHERE vec_id < 500), range(-1, 9) t(py)""",
+        FROM (SELECT vec_id, embedding, unnest(range(-1, 9)) AS px FROM embeddings), range(-1, 9) t(py)""",
 )
 def mask_bit(spark, d):
     def byte(row: int):

@@ -120,7 +120,7 @@ def connected_objects(spark, d):
 
 
 def slots(spark, d):
-    """Mask frames of the view: slot = frame % 250 holds objects 1 and 2."""
+    """Mask frames of the view: slot s holds masks 2s and 2s + 1 as objects 1 and 2."""
     masks = V.masks(spark, d).withColumns(
         {"slot": F.floor(F.col("vec_id") / 2).cast("long"), "obj_id": F.col("vec_id") % 2 + 1}
     )
@@ -129,7 +129,7 @@ def slots(spark, d):
 
 def cell_points(spark, d):
     return V.keypoints(spark, d, spread_out=True).withColumns(
-        {"x": F.col("x") / CELL, "y": F.col("y") / CELL, "slot": F.col("frame_id") % 250}
+        {"x": F.col("x") / CELL, "y": F.col("y") / CELL, "slot": F.col("frame_id") % V.mask_slots(spark, d)}
     )
 
 
@@ -145,7 +145,7 @@ def _centre(p: str) -> str:
     return f"sqrt(power(u - list_avg(list_transform({p}, lambda i: i % 8)), 2) + power(v - list_avg(list_transform({p}, lambda i: i // 8)), 2))"
 
 
-EVIDENCE = f"""{PAIRS}, k0 AS (SELECT k.*, x / 72 AS u, y / 72 AS v, p1, p2 FROM kpts k LEFT JOIN pairs ON slot = frame_id % 250),
+EVIDENCE = f"""{PAIRS}, k0 AS (SELECT k.*, x / 72 AS u, y / 72 AS v, p1, p2 FROM kpts k LEFT JOIN pairs ON slot = frame_id % (SELECT greatest(count(*) // 2, 1) FROM embeddings)),
     k1 AS (SELECT *, CAST(round_even(u, 0) AS BIGINT) AS pu, CAST(round_even(v, 0) AS BIGINT) AS pv FROM k0),
     ev AS (SELECT *, NOT (pu BETWEEN 0 AND 7 AND pv BETWEEN 0 AND 7) AS oob,
       CASE WHEN pu BETWEEN 0 AND 7 AND pv BETWEEN 0 AND 7 THEN list_contains(p1, pv * 8 + pu) END AS in1,
@@ -338,7 +338,7 @@ def mask_cleanup(spark, d):
 def _pct(cond: str) -> str:
     return (
         f"count(*) FILTER ({cond}) AS {{0}}_total, count(*) FILTER ({cond} AND mask_status = 'removed') AS {{0}}_removed, "
-        f"coalesce({R(f'''100.0 * count(*) FILTER ({cond} AND mask_status = 'removed') / nullif(count(*) FILTER ({cond}), 0)''', 2)}, 0) AS {{0}}_pct_removed"
+        f"coalesce(round(100.0 * count(*) FILTER ({cond} AND mask_status = 'removed') / nullif(count(*) FILTER ({cond}), 0), 2), 0) AS {{0}}_pct_removed"
     )
 
 
@@ -346,12 +346,11 @@ def _pct(cond: str) -> str:
     "cleanup_summary",
     f"""WITH {CLEANED} SELECT coalesce(CAST(joint AS VARCHAR), 'TOTAL') AS joint, {_pct("subject = 's1'").format('s1')}, {_pct("subject = 's2'").format('s2')},
         count(*) AS total_all, count(*) FILTER (mask_status = 'removed') AS removed_all,
-        {R("100.0 * count(*) FILTER (mask_status = 'removed') / count(*)", 2)} AS pct_removed_all FROM cl WHERE mask_status <> 'not_checked' GROUP BY ROLLUP (cl.joint)""",
+        round(100.0 * count(*) FILTER (mask_status = 'removed') / count(*), 2) AS pct_removed_all FROM cl WHERE mask_status <> 'not_checked' GROUP BY ROLLUP (cl.joint)""",
     "masks kpts",
 )
 def cleanup_summary(spark, d):
-    out = A.cleanup_summary(cleaned(spark, d), ("s1", "s2"))
-    return rounded(out, "s1_pct_removed", "s2_pct_removed", "pct_removed_all", digits=2)
+    return A.cleanup_summary(cleaned(spark, d), ("s1", "s2"))
 
 
 @query(
@@ -399,8 +398,9 @@ def brightness_frames(spark, d):
     """Patch brightness under the centre joint (4) of both subjects, per frame."""
     centre = likelihood_gate(V.keypoints(spark, d).filter("joint = 4"), 0.75).dropna(subset=["x", "y"])
     pairs = J.pair_self_join(centre, ["video_id", "frame_id"], ("s1", "s2"), ["x", "y"])
-    tiles = V.tiles(spark, d).select(F.col("z").alias("tile"), "pixels").filter("tile < 500")
-    rows = pairs.withColumn("tile", F.col("frame_id") % 500).join(tiles, "tile")
+    tiles = V.tiles(spark, d).select(F.col("z").alias("tile"), "pixels")
+    number = max(1, V.table(spark, d, "embeddings").count())
+    rows = pairs.withColumn("tile", F.col("frame_id") % number).join(tiles, "tile")
     for side, name in (("a", "light"), ("b", "dark")):
         patch = M.patch_mean(F.col("pixels"), SIZE, SIZE, F.col(f"{side}_x") / CELL, F.col(f"{side}_y") / CELL, 1)
         rows = rows.withColumn(name, F.when(F.col(f"{side}_x").isNotNull(), patch))
@@ -415,7 +415,7 @@ BRIGHT = f"""ce AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id
     fr AS (SELECT video_id, frame_id, max(x) FILTER (subject = 's1') AS ax, max(y) FILTER (subject = 's1') AS ay, max(x) FILTER (subject = 's2') AS bx, max(y) FILTER (subject = 's2') AS by_
       FROM ce WHERE rn = 1 GROUP BY 1, 2),
     pp AS (SELECT video_id, frame_id, pixels, CAST(round_even(ax / 72, 0) AS BIGINT) AS au, CAST(round_even(ay / 72, 0) AS BIGINT) AS av, CAST(round_even(bx / 72, 0) AS BIGINT) AS bu,
-      CAST(round_even(by_ / 72, 0) AS BIGINT) AS bv FROM fr JOIN tiles ON z = frame_id % 500 AND z < 500),
+      CAST(round_even(by_ / 72, 0) AS BIGINT) AS bv FROM fr JOIN tiles ON z = frame_id % (SELECT count(*) FROM embeddings)),
     br AS (SELECT video_id, frame_id, {_patch('a')} AS light, {_patch('b')} AS dark FROM pp),
     fl AS (SELECT *, coalesce(dark - light > 5.0, false) AS flagged FROM br)"""
 

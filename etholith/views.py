@@ -168,7 +168,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 500 masks present at every scale: 8x8, bit ``py*8+px`` in two 32-bit words."""
+    """One mask per embedding: 8x8, bit ``py*8+px`` in two 32-bit words."""
 
     def word(first: int) -> Column:
         bits = F.transform(
@@ -181,6 +181,10 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (
         table(spark, sf_dir, "embeddings")
-        .filter(F.col("vec_id") < 500)
         .select("vec_id", "label", F.array(word(0), word(32)).alias("words"))
     )
+
+
+def mask_slots(spark: SparkSession, sf_dir: str) -> int:
+    """Number of mask frames, two masks each; keypoint frames go round them, so their number grows with the table."""
+    return max(1, table(spark, sf_dir, "embeddings").count() // 2)

@@ -6,9 +6,12 @@ write, so the whole result is computed and nothing is collected.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -51,6 +54,8 @@ HEADLINE = (
 
 
 def main() -> None:
+    shared = tempfile.mkdtemp(prefix="bench-")
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
     spark = get_spark(
         "bench",
         master=f"local[{CPUS}]",
@@ -59,6 +64,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": shared,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

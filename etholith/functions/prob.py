@@ -1,4 +1,4 @@
-"""Tail probabilities over result rows (one row per test, never per data row)."""
+"""Tail probabilities: normal ones as expressions, others over result rows (one row per test)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -17,14 +19,66 @@ def _phi(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-@pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
+# Coefficients of the rational approximations of the normal tail (Hart) and of the
+# normal quantile (Acklam), lowest power first.
+TAIL_TOP = (220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688, 0.0352624965998911)
+TAIL_BOTTOM = (
+    440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207, 1.75566716318264, 0.0883883476483184,
+)
+CENTRE_TOP = (2.506628277459239, -30.66479806614716, 138.3577518672690, -275.9285104469687, 220.9460984245205, -39.69683028665376)
+CENTRE_BOTTOM = (1.0, -13.28068155288572, 66.80131188771972, -155.6989798598866, 161.5858368580409, -54.47609879822406)
+EDGE_TOP = (2.938163982698783, 4.374664141464968, -2.549732539343734, -2.400758277161838, -0.3223964580411365, -0.007784894002430293)
+EDGE_BOTTOM = (1.0, 3.754408661907416, 2.445134137142996, 0.3224671290700398, 0.007784695709041462)
+
+
+def _poly(coefficients: tuple, x: str) -> str:
+    """The polynomial as SQL text, by Horner's rule."""
+    out = f"{coefficients[-1]:.16g}e0" if "e" not in f"{coefficients[-1]:.16g}" else f"{coefficients[-1]:.16g}"
+    for c in reversed(coefficients[:-1]):
+        term = f"{c:.16g}" if "e" in f"{c:.16g}" else f"{c:.16g}e0"
+        out = f"({out} * {x} + {term})"
+    return out
+
+
+def upper_tail_sql(x: str) -> str:
+    """P(Z > x) for x >= 0 as SQL text; the same text runs in Spark and elsewhere."""
+    far = f"({x} + 1e0 / ({x} + 2e0 / ({x} + 3e0 / ({x} + 4e0 / ({x} + 0.65e0)))))"
+    return (
+        f"(CASE WHEN {x} > 37 THEN 0e0 WHEN {x} < 7.07106781186547e0 THEN exp(-{x} * {x} / 2e0) * {_poly(TAIL_TOP, x)} / {_poly(TAIL_BOTTOM, x)} "
+        f"ELSE exp(-{x} * {x} / 2e0) / {far} / 2.506628274631e0 END)"
+    )
 
 
-@pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(lambda v: _NORMAL.inv_cdf(v) if 0.0 < v < 1.0 else None)
+def normal_two_sided_sql(z: str) -> str:
+    return f"(2e0 * {upper_tail_sql(f'abs({z})')})"
+
+
+def normal_start_sql(p: str) -> str:
+    """The standard normal quantile to nine digits as SQL text; null outside (0, 1)."""
+    low = f"sqrt(-2e0 * ln({p}))"
+    high = f"sqrt(-2e0 * ln(1e0 - {p}))"
+    q, r = f"({p} - 0.5e0)", f"(({p} - 0.5e0) * ({p} - 0.5e0))"
+    return (
+        f"(CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < 0.02425e0 THEN {_poly(EDGE_TOP, low)} / {_poly(EDGE_BOTTOM, low)} "
+        f"WHEN {p} > 0.97575e0 THEN -{_poly(EDGE_TOP, high)} / {_poly(EDGE_BOTTOM, high)} ELSE {q} * {_poly(CENTRE_TOP, r)} / {_poly(CENTRE_BOTTOM, r)} END)"
+    )
+
+
+def normal_step_sql(p: str, x: str) -> str:
+    """How far ``x`` is from the quantile, by the tail; the quantile is x - step / (1 + x * step / 2)."""
+    below = f"(CASE WHEN {x} < 0 THEN {upper_tail_sql(f'abs({x})')} ELSE 1e0 - {upper_tail_sql(f'abs({x})')} END)"
+    return f"(({below} - {p}) * 2.5066282746310002e0 * exp({x} * {x} / 2e0))"
+
+
+def normal_two_sided(z: str) -> Column:
+    """Two-sided normal p of the column named ``z``."""
+    return F.expr(normal_two_sided_sql(z))
+
+
+def with_normal_quantile(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Adds the normal quantile of the column named ``p``; null outside (0, 1)."""
+    staged = df.withColumn("_x", F.expr(normal_start_sql(p))).withColumn("_step", F.expr(normal_step_sql(p, "_x")))
+    return staged.withColumn(out, F.expr("_x - _step / (1e0 + _x * _step / 2e0)")).drop("_x", "_step")
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
@@ -68,6 +122,10 @@ def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     )
 
 
+def _unfold(pairs) -> np.ndarray:
+    return np.repeat([p["r"] for p in pairs], [p["n"] for p in pairs])
+
+
 def signed_rank_tail(doubled: np.ndarray, positive: float) -> float:
     """Exact two-sided p of a signed-rank sum; ranks and sum are doubled to integers."""
     total = int(doubled.sum())
@@ -82,11 +140,12 @@ def signed_rank_tail(doubled: np.ndarray, positive: float) -> float:
 
 
 @pandas_udf(DoubleType())
-def signed_rank_p(doubled: pd.Series, positive: pd.Series) -> pd.Series:
+def signed_rank_p(ranks: pd.Series, positive: pd.Series) -> pd.Series:
+    """Exact p from (doubled rank, rows) pairs. Cost: rows times the doubled rank sum, so rows cubed."""
     return pd.Series(
         [
-            None if r is None or len(r) == 0 or pd.isna(v) else signed_rank_tail(np.asarray(r), float(v))
-            for r, v in zip(doubled, positive)
+            None if r is None or len(r) == 0 or pd.isna(v) else signed_rank_tail(_unfold(r), float(v))
+            for r, v in zip(ranks, positive)
         ],
         dtype="float64",
     )
@@ -106,11 +165,12 @@ def rank_sum_tail(doubled: np.ndarray, n1: int, observed: float) -> float:
 
 
 @pandas_udf(DoubleType())
-def rank_sum_p(doubled: pd.Series, n1: pd.Series, observed: pd.Series) -> pd.Series:
+def rank_sum_p(ranks: pd.Series, n1: pd.Series, observed: pd.Series) -> pd.Series:
+    """Exact p from (doubled rank, rows) pairs. Cost: rows times ``n1`` times the doubled rank sum."""
     return pd.Series(
         [
-            None if r is None or len(r) == 0 or pd.isna(v) else rank_sum_tail(np.asarray(r), int(k), float(v))
-            for r, k, v in zip(doubled, n1, observed)
+            None if r is None or len(r) == 0 or pd.isna(v) else rank_sum_tail(_unfold(r), int(k), float(v))
+            for r, k, v in zip(ranks, n1, observed)
         ],
         dtype="float64",
     )

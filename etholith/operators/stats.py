@@ -22,7 +22,7 @@ from etholith.operators.ordered import (
 from etholith.session import cut_lineage
 
 # Fixed values of the study.
-EXACT_MAX_N = 50
+METHODS = ("exact", "normal")
 LOA_Z = 1.96
 FAN_ALPHA = 0.05
 
@@ -47,8 +47,23 @@ def effect_size(z: Column, n: Column, signed: bool = True) -> Column:
     return r if signed else F.abs(r)
 
 
+def _method(name: str) -> bool:
+    """Whether the exact distribution is asked for."""
+    if name not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, not {name!r}")
+    return name == "exact"
+
+
+def _rank_pairs(exact: bool, kept: Column) -> Column:
+    """Distinct doubled ranks with their numbers of rows, for the exact distribution only."""
+    if not exact:
+        return F.array().cast("array<struct<r:int,n:int>>")
+    pair = F.struct((F.col("avg_rank") * 2).cast("int").alias("r"), F.col("n_ties").cast("int").alias("n"))
+    return F.sort_array(F.collect_list(F.when(kept, pair)))
+
+
 def signed_rank(
-    pairs: DataFrame, by: Sequence[str], zero_method: str = "pratt", digits: int = 9
+    pairs: DataFrame, by: Sequence[str], zero_method: str = "pratt", digits: int = 9, method: str = "normal"
 ) -> DataFrame:
     """Signed-rank statistic of ``x - y`` per group, without p values.
 
@@ -72,21 +87,14 @@ def signed_rank(
         F.coalesce(
             F.sum(F.when(nonzero, F.col("n_ties") * F.col("avg_rank") * F.col("avg_rank"))), F.lit(0.0)
         ).alias("_s2"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    nonzero & (F.col("n_group") <= EXACT_MAX_N),
-                    F.struct((F.col("avg_rank") * 2).cast("int").alias("r"), F.col("n_ties").cast("int").alias("n")),
-                )
-            )
-        ).alias("_exact"),
+        _rank_pairs(_method(method), nonzero).alias("_exact"),
     )
     drop = F.col("n_zero") if zero_method == "wilcox" else F.lit(0)
     v = F.col("_v") - F.col("n_pos") * drop
     s1 = F.col("_s1") - F.col("_m") * drop
     s2 = F.col("_s2") - 2 * drop * F.col("_s1") + F.col("_m") * drop * drop
     z = F.try_divide(v - s1 / 2, F.sqrt(s2 / 4))
-    doubled = F.flatten(F.transform("_exact", lambda e: F.array_repeat(e["r"] - (2 * drop).cast("int"), e["n"])))
+    shifted = F.transform("_exact", lambda e: F.struct((e["r"] - (2 * drop).cast("int")).alias("r"), e["n"].alias("n")))
     note = (
         F.when(F.col("n_pairs") < 2, "too few pairs").when(F.col("_m") == 0, "all diffs zero").otherwise("")
     )
@@ -99,7 +107,17 @@ def signed_rank(
         F.when(usable, z).alias("z"),
         F.when(usable, effect_size(z, F.col("n_pairs"))).alias("effect_r"),
         note.alias("note"),
-        F.when(usable, doubled).alias("_doubled"),
+        F.when(usable, shifted).alias("_ranks"),
+    )
+
+
+def with_signed_rank_p(tested: DataFrame, method: str) -> DataFrame:
+    """Adds p by ``method`` to :func:`signed_rank` rows made with the same method."""
+    p = prob.signed_rank_p(F.col("_ranks"), F.col("statistic") * 2) if _method(method) else prob.normal_two_sided("z")
+    return tested.select(
+        *[c for c in tested.columns if c != "_ranks"],
+        F.when(F.col("note") == "", p).alias("p_value"),
+        F.when(F.col("note") == "", method).alias("method"),
     )
 
 
@@ -112,24 +130,18 @@ def paired_signed_rank(
     value: str,
     zero_method: str = "pratt",
     digits: int = 9,
+    method: str = "exact",
 ) -> DataFrame:
-    """Signed-rank test with p: exact up to 50 pairs, the normal tail beyond (see ``method``)."""
-    tested = signed_rank(paired(df, by, unit, cond, levels, value), by, zero_method, digits)
-    exact = F.size("_doubled") > 0
-    return tested.select(
-        *[c for c in tested.columns if c != "_doubled"],
-        F.when(
-            F.col("note") == "",
-            F.when(exact, prob.signed_rank_p(F.col("_doubled"), F.col("statistic") * 2)).otherwise(
-                prob.normal_two_sided(F.col("z"))
-            ),
-        ).alias("p_value"),
-        F.when(F.col("note") == "", F.when(exact, "exact").otherwise("normal")).alias("method"),
-    )
+    """Signed-rank test with p by ``method`` at every size: ``exact`` or the ``normal`` tail.
+
+    The exact distribution of n pairs takes about n cubed steps in one task per test.
+    """
+    tested = signed_rank(paired(df, by, unit, cond, levels, value), by, zero_method, digits, method)
+    return with_signed_rank_p(tested, method)
 
 
 def rank_sum_statistic(
-    df: DataFrame, by: Sequence[str], group: str, levels: tuple, value: str
+    df: DataFrame, by: Sequence[str], group: str, levels: tuple, value: str, method: str = "normal"
 ) -> DataFrame:
     """Rank sum of the first level, and its tie-corrected Z, per group of tests."""
     by = list(by)
@@ -142,14 +154,7 @@ def rank_sum_statistic(
         F.sum("n_first").alias("n1"),
         F.sum(F.col("n_first") * F.col("avg_rank")).alias("w"),
         F.sum(t * t * t - t).alias("_ties"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    F.col("n_group") <= EXACT_MAX_N,
-                    F.struct((F.col("avg_rank") * 2).cast("int").alias("r"), F.col("n_ties").cast("int").alias("n")),
-                )
-            )
-        ).alias("_exact"),
+        _rank_pairs(_method(method), F.lit(True)).alias("_ranks"),
     )
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n2 = n - n1
@@ -161,29 +166,20 @@ def rank_sum_statistic(
         (F.col("n") - F.col("n1")).alias("n2"),
         "w",
         z.alias("z"),
-        F.flatten(F.transform("_exact", lambda e: F.array_repeat(e["r"], e["n"]))).alias("_doubled"),
+        "_ranks",
     )
 
 
-def with_rank_sum_p(s: DataFrame) -> DataFrame:
-    """Adds p to :func:`rank_sum_statistic` rows: exact up to 50 rows, the normal tail beyond."""
+def with_rank_sum_p(s: DataFrame, method: str) -> DataFrame:
+    """Adds p by ``method`` to :func:`rank_sum_statistic` rows made with the same method."""
     usable = (F.col("n1") > 0) & (F.col("n2") > 0)
-    exact = F.size("_doubled") > 0
-    return s.select(
-        *[c for c in s.columns if c != "_doubled"],
-        F.when(
-            usable,
-            F.when(exact, prob.rank_sum_p(F.col("_doubled"), F.col("n1"), F.col("w") * 2)).otherwise(
-                prob.normal_two_sided(F.col("z"))
-            ),
-        ).alias("p_value"),
-        F.when(exact, "exact").otherwise("normal").alias("method"),
-    )
+    p = prob.rank_sum_p(F.col("_ranks"), F.col("n1"), F.col("w") * 2) if _method(method) else prob.normal_two_sided("z")
+    return s.select(*[c for c in s.columns if c != "_ranks"], F.when(usable, p).alias("p_value"), F.lit(method).alias("method"))
 
 
-def rank_sum(df: DataFrame, by: Sequence[str], group: str, levels: tuple, value: str) -> DataFrame:
-    """Two-sample rank-sum test, tie-corrected."""
-    return with_rank_sum_p(rank_sum_statistic(df, by, group, levels, value))
+def rank_sum(df: DataFrame, by: Sequence[str], group: str, levels: tuple, value: str, method: str = "exact") -> DataFrame:
+    """Two-sample rank-sum test, tie-corrected, with p by ``method`` at every size."""
+    return with_rank_sum_p(rank_sum_statistic(df, by, group, levels, value, method), method)
 
 
 def paired_t_statistic(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -372,7 +368,7 @@ def p_adjust(df: DataFrame, by: Sequence[str], p: str, method: str = "holm", out
     return known.unionByName(df.filter(F.col(p).isNull()), allowMissingColumns=True)
 
 
-def delta_check_statistic(df: DataFrame, by: Sequence[str], flag: str, levels: tuple, delta: str) -> DataFrame:
+def delta_check_statistic(df: DataFrame, by: Sequence[str], flag: str, levels: tuple, delta: str, method: str = "normal") -> DataFrame:
     """Difference distribution by flag: sizes, medians, rank sum and Z (no p)."""
     by = list(by)
     first, second = levels
@@ -381,16 +377,16 @@ def delta_check_statistic(df: DataFrame, by: Sequence[str], flag: str, levels: t
         F.max(F.when(F.col(flag) == first, F.col("m"))).alias("median_first"),
         F.max(F.when(F.col(flag) == second, F.col("m"))).alias("median_second"),
     )
-    return null_safe_join(rank_sum_statistic(df, by, flag, levels, delta), wide, by)
+    return null_safe_join(rank_sum_statistic(df, by, flag, levels, delta, method), wide, by)
 
 
-def delta_check(df: DataFrame, by: Sequence[str], flag: str, levels: tuple, delta: str) -> DataFrame:
+def delta_check(df: DataFrame, by: Sequence[str], flag: str, levels: tuple, delta: str, method: str = "exact") -> DataFrame:
     """The over-fit and batch checks: rank-sum p per block, BH-adjusted over all blocks.
 
     The block table is one row per test; it is written once before the
     adjustment looks at it several times.
     """
-    tested = cut_lineage(with_rank_sum_p(delta_check_statistic(df, by, flag, levels, delta)))
+    tested = cut_lineage(with_rank_sum_p(delta_check_statistic(df, by, flag, levels, delta, method), method))
     return p_adjust(tested, [], "p_value", "bh", "p_fdr")
 
 
@@ -399,12 +395,12 @@ def qq_points(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str]
     placed = row_index(df.filter(F.col(value).isNotNull()), by, [value, *order], "_i")
     a = F.when(F.col("n_group") <= 10, 3.0 / 8).otherwise(0.5)
     prob_point = (F.col("_i") + 1 - a) / (F.col("n_group") + 1 - 2 * a)
-    return placed.select(
+    points = placed.select(
         *by,
         (F.col("_i") + 1).alias("place"),
         F.col(value).alias("sample"),
         prob_point.alias("probability"),
-        prob.normal_quantile(prob_point).alias("theoretical"),
     )
+    return prob.with_normal_quantile(points, "probability", "theoretical")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from etholith import views as V
+from etholith.functions.prob import normal_start_sql, normal_step_sql, normal_two_sided_sql
 from etholith.operators import joins as J
 from etholith.operators import resample as B
 from etholith.operators import spatial as P
@@ -41,7 +42,7 @@ def _signed_rank_sql(pairs: str, by: str = "") -> str:
 def paired_signed_rank(spark, d):
     routed = J.view_router(totals_of(spark, d), DIRECTIONAL)
     pairs = S.paired(routed, ["behavior", "view"], "animal_id", "session_type", SESSIONS, "duration")
-    return rounded(S.signed_rank(pairs, ["behavior", "view"]).drop("_doubled"), "statistic", "z", "effect_r")
+    return rounded(S.signed_rank(pairs, ["behavior", "view"]).drop("_ranks"), "statistic", "z", "effect_r")
 
 
 @query(
@@ -55,9 +56,30 @@ def latency_signed_rank(spark, d):
     return rounded(S.signed_rank(pairs, []).select("n_pairs", "n_zero", "statistic", "z"), "statistic", "z")
 
 
-@query("behaviour_report")
+LONG_ROUTED = ROUTED_SQL.replace("FROM bouts", "FROM (SELECT * FROM bouts WHERE duration_sec >= 0.5)")
+
+
+def _holm(by: str, order: str) -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"least(1.0, max((m - i + 1) * p) OVER ({part}ORDER BY {order} ROWS UNBOUNDED PRECEDING))"
+
+
+@query(
+    "behaviour_report",
+    f"""WITH {LONG_ROUTED}, {_signed_rank_sql("SELECT behavior, view, animal_id, max(duration) FILTER (session_type = 'S1') AS x, max(duration) FILTER (session_type = 'S2') AS y FROM routed GROUP BY 1, 2, 3", "behavior, view")},
+        tn AS (SELECT *, CASE WHEN n_pairs < 2 THEN 'too few pairs' WHEN n_zero = n_pairs THEN 'all diffs zero' ELSE '' END AS note FROM t),
+        tp AS (SELECT *, CASE WHEN note = '' THEN {normal_two_sided_sql('z')} END AS p FROM tn),
+        ad AS (SELECT behavior, view, {_holm('', 'i')} AS h FROM (SELECT *, row_number() OVER (ORDER BY p, behavior, view) AS i, count(*) OVER () AS m FROM tp WHERE p IS NOT NULL)),
+        md AS (SELECT behavior, quantile_cont(duration, 0.5) FILTER (session_type = 'S1') AS m1, quantile_cont(duration, 0.5) FILTER (session_type = 'S2') AS m2 FROM routed GROUP BY 1)
+        SELECT behavior, view, n_pairs, n_zero, CASE WHEN note = '' THEN {R('v')} END AS statistic, CASE WHEN note = '' THEN {R('z')} END AS z,
+        CASE WHEN note = '' THEN {R('z / sqrt(n_pairs)')} END AS effect_r, note, {R('p')} AS p_value, CASE WHEN note = '' THEN 'normal' END AS method,
+        {R('h')} AS p_holm, {R('m1')} AS "median_S1", {R('m2')} AS "median_S2" FROM tp LEFT JOIN ad USING (behavior, view) JOIN md USING (behavior)""",
+    "bouts",
+)
 def behaviour_report(spark, d):
-    return study.behaviour_report(V.bouts(spark, d), SESSIONS, BEHAVIORS, DIRECTIONAL)
+    """The normal tail, since the number of animals grows with the tables; the exact one is an argument away."""
+    out = study.behaviour_report(V.bouts(spark, d), SESSIONS, BEHAVIORS, DIRECTIONAL, method="normal")
+    return rounded(out, "statistic", "z", "effect_r", "p_value", "p_holm", "median_S1", "median_S2")
 
 
 DELTA = "SELECT *, round(auto_total - manual_total, 6) AS delta, CASE WHEN image_id % 9 = 0 THEN 'Training' ELSE 'Held-out' END AS status FROM counts"
@@ -70,6 +92,9 @@ def deltas(spark, d):
     )
 
 
+# The cohorts of the view (order priorities).
+COHORTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
 RANK_SUM = f"""r AS (SELECT cohort, status, delta, count(*) OVER (PARTITION BY cohort, delta) AS t,
       rank() OVER (PARTITION BY cohort ORDER BY delta) + (count(*) OVER (PARTITION BY cohort, delta) - 1) / 2.0::DOUBLE AS k FROM ({DELTA})),
     s AS (SELECT cohort, count(*) FILTER (status = 'Held-out') AS n1, count(*) FILTER (status = 'Training') AS n2, count(*)::DOUBLE AS n,
@@ -81,7 +106,7 @@ RANK_SUM = f"""r AS (SELECT cohort, status, delta, count(*) OVER (PARTITION BY c
 @query("rank_sum", f"WITH {RANK_SUM} SELECT cohort, n1, n2, {R('w')} AS w, {R('z')} AS z FROM z", "counts")
 def rank_sum(spark, d):
     out = S.rank_sum_statistic(deltas(spark, d), ["cohort"], "status", ("Held-out", "Training"), "delta")
-    return rounded(out.drop("_doubled"), "w", "z")
+    return rounded(out.drop("_ranks"), "w", "z")
 
 
 @query(
@@ -91,17 +116,45 @@ def rank_sum(spark, d):
 )
 def overfit_check(spark, d):
     out = S.delta_check_statistic(deltas(spark, d), ["cohort"], "status", ("Held-out", "Training"), "delta")
-    return rounded(rounded(out.drop("_doubled"), "w", "z"), "median_first", "median_second", digits=4)
+    return rounded(rounded(out.drop("_ranks"), "w", "z"), "median_first", "median_second", digits=4)
+
+
+def _adjusted_check(part: str) -> str:
+    """Sums ``z`` with p, and Benjamini-Hochberg over all blocks."""
+    return f"""zp AS (SELECT *, {normal_two_sided_sql('z')} AS p FROM z),
+        bh AS (SELECT *, least(1.0, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS f
+          FROM (SELECT *, row_number() OVER (ORDER BY p, {part}) AS i, count(*) OVER () AS m FROM zp WHERE p IS NOT NULL))
+        SELECT {part}, n1, n2, {R('w')} AS w, {R('z')} AS z, {R('m1', 4)} AS median_first, {R('m2', 4)} AS median_second, {R('p')} AS p_value,
+        'normal' AS method, {R('f')} AS p_fdr FROM bh"""
+
 
+def _rounded_check(out):
+    return rounded(rounded(out, "w", "z", "p_value", "p_fdr"), "median_first", "median_second", digits=4)
 
-@query("overfit_check_with_p")
+
+@query("overfit_check_with_p", f"WITH {RANK_SUM}, {_adjusted_check('cohort')}", "counts")
 def overfit_check_with_p(spark, d):
-    return S.delta_check(deltas(spark, d), ["cohort"], "status", ("Held-out", "Training"), "delta")
+    return _rounded_check(S.delta_check(deltas(spark, d), ["cohort"], "status", ("Held-out", "Training"), "delta", method="normal"))
+
+
+EACH_REST = f"""co AS (SELECT DISTINCT cohort AS batch FROM counts),
+    q AS (SELECT status, batch, delta, CASE WHEN cohort = batch THEN 'batch' ELSE 'rest' END AS side FROM ({DELTA}), co),
+    r AS (SELECT status, batch, side, delta, count(*) OVER (PARTITION BY status, batch, delta) AS t,
+      rank() OVER (PARTITION BY status, batch ORDER BY delta) + (count(*) OVER (PARTITION BY status, batch, delta) - 1) / 2.0::DOUBLE AS k FROM q),
+    s AS (SELECT status, batch, count(*) FILTER (side = 'batch') AS n1, count(*) FILTER (side = 'rest') AS n2, count(*)::DOUBLE AS n,
+      sum(k) FILTER (side = 'batch') AS w, sum((t * t - 1)::DOUBLE) AS ties,
+      quantile_cont(delta, 0.5) FILTER (side = 'batch') AS m1, quantile_cont(delta, 0.5) FILTER (side = 'rest') AS m2 FROM r GROUP BY 1, 2),
+    z AS (SELECT *, (w - n1 * (n + 1) / 2) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM s)"""
 
 
-@query("batch_check_with_p")
+@query("batch_check_with_p", f"WITH {EACH_REST}, {_adjusted_check('status, batch')}", "counts")
 def batch_check_with_p(spark, d):
-    return S.delta_check(deltas(spark, d), ["status"], "cohort", ("1-URGENT", "5-LOW"), "delta")
+    """Each of the five cohorts against the rest, among training and among held-out images."""
+    sides = [
+        F.struct(F.lit(c).alias("batch"), F.when(F.col("cohort") == c, "batch").otherwise("rest").alias("side")) for c in COHORTS
+    ]
+    rows = deltas(spark, d).select("status", "delta", F.inline(F.array(*sides)))
+    return _rounded_check(S.delta_check(rows, ["status", "batch"], "side", ("batch", "rest"), "delta", method="normal"))
 
 
 @query(
@@ -229,9 +282,34 @@ def proportional_bias(spark, d):
     return rounded(rounded(out, "rho", "slope", "r_squared"), "intercept", digits=4)
 
 
-@query("proportional_bias_with_p")
+def t_two_sided_sql(t: str, dof: str) -> str:
+    """Two-sided t tail for whole degrees of freedom by its finite series."""
+    c2 = f"({dof} / ({dof} + {t} * {t}))"
+    angle = f"atan(abs({t}) / sqrt({dof}))"
+
+    def series(last: str, ratio: str) -> str:
+        return f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({last}, 0, -1), lambda k: k::DOUBLE)), lambda a, k: 1 + {ratio} * {c2} * a)"
+
+    even = f"sin({angle}) * {series(f'({dof})::BIGINT // 2 - 1', '((2 * k - 1) / (2 * k))')}"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {series(f'(({dof})::BIGINT - 3) // 2', '(2 * k / (2 * k + 1))')})"
+    return f"(1 - CASE WHEN ({dof})::BIGINT % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+@query(
+    "proportional_bias_with_p",
+    f"""WITH a AS (SELECT cohort, (manual_total + auto_total) / 2 AS m, abs(auto_total - manual_total) AS e FROM counts),
+        f AS (SELECT cohort, regr_slope(e, m) AS s, regr_intercept(e, m) AS i, regr_r2(e, m) AS r2 FROM a GROUP BY 1),
+        k AS (SELECT cohort, {_mid_rank('round(m, 9)', 'cohort')} AS rx, {_mid_rank('round(e, 9)', 'cohort')} AS ry FROM a),
+        g AS (SELECT cohort, n, rho, s, i, r2, (n - 2)::DOUBLE AS dof, rho * sqrt((n - 2) / (1 - rho * rho)) AS t1, sqrt(r2 * (n - 2) / (1 - r2)) AS t2
+          FROM f JOIN (SELECT cohort, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY 1) USING (cohort)),
+        h AS (SELECT *, {t_two_sided_sql('t1', 'dof')} AS p1, {t_two_sided_sql('t2', 'dof')} AS p2 FROM g)
+        SELECT cohort, n, {R('rho')} AS rho, {R('p1')} AS rho_p, {R('s')} AS slope, {R('i', 4)} AS intercept, {R('r2')} AS r_squared, {R('p2')} AS slope_p,
+        p1 < 0.05 AS fan_shape FROM h""",
+    "counts",
+)
 def proportional_bias_with_p(spark, d):
-    return S.proportional_bias(V.counts(spark, d), ["cohort"], "manual_total", "auto_total")
+    out = S.proportional_bias(V.counts(spark, d), ["cohort"], "manual_total", "auto_total")
+    return rounded(rounded(out, "rho", "rho_p", "slope", "r_squared", "slope_p"), "intercept", digits=4)
 
 
 @query(
@@ -294,10 +372,22 @@ def qq_points(spark, d):
     return rounded(S.qq_points(diff, [], "diff", ["animal_id"]).drop("theoretical"), "sample", "probability")
 
 
-@query("qq_points_with_quantiles")
+QQ_BLOCKS = "SELECT animal_id % 8 AS block, animal_id, round(o - chance, 9) AS v FROM (" + ROLLED + ") WHERE chance IS NOT NULL"
+
+
+@query(
+    "qq_points_with_quantiles",
+    f"""WITH b AS ({QQ_BLOCKS}), o AS (SELECT block, v, row_number() OVER (PARTITION BY block ORDER BY v, animal_id) AS place, count(*) OVER (PARTITION BY block) AS n FROM b),
+        q AS (SELECT *, CASE WHEN n <= 10 THEN (place - 0.375) / (n + 0.25) ELSE (place - 0.5) / n END::DOUBLE AS pr FROM o),
+        q0 AS (SELECT *, {normal_start_sql('pr')} AS x0 FROM q), q1 AS (SELECT *, {normal_step_sql('pr', 'x0')} AS e FROM q0)
+        SELECT block, place, {R('v')} AS sample, {R('pr')} AS probability, {R('x0 - e / (1 + x0 * e / 2)')} AS theoretical FROM q1""",
+    "counts",
+)
 def qq_points_with_quantiles(spark, d):
-    diff = rollup_of(spark, d, ("cohort", "animal_id")).withColumn("diff", F.round(F.col("manual_both") - F.col("manual_chance_overlap"), 9))
-    return S.qq_points(diff, ["cohort"], "diff", ["animal_id"])
+    diff = rollup_of(spark, d).select(
+        (F.col("animal_id") % 8).alias("block"), "animal_id", F.round(F.col("manual_both") - F.col("manual_chance_overlap"), 9).alias("diff")
+    )
+    return rounded(S.qq_points(diff, ["block"], "diff", ["animal_id"]), "sample", "probability", "theoretical")
 
 
 KEY_TESTS = f"ro AS ({ROLLED}), " + ", ".join(

@@ -27,7 +27,7 @@ def routed_durations(
 
 
 def behaviour_report(
-    bouts: DataFrame, sessions: tuple[str, str], behaviors: Sequence[str], directional: Sequence[str]
+    bouts: DataFrame, sessions: tuple[str, str], behaviors: Sequence[str], directional: Sequence[str], method: str = "exact"
 ) -> DataFrame:
     """Per behaviour: medians of both sessions, signed-rank test, effect size and Holm p.
 
@@ -35,7 +35,7 @@ def behaviour_report(
     (one row per behaviour) are written once; each is read by several branches.
     """
     routed = cut_lineage(routed_durations(bouts, sessions, behaviors, directional))
-    tests = cut_lineage(S.paired_signed_rank(routed, ["behavior", "view"], "animal_id", "session_type", sessions, "duration"))
+    tests = cut_lineage(S.paired_signed_rank(routed, ["behavior", "view"], "animal_id", "session_type", sessions, "duration", method=method))
     med = quantiles(routed, ["behavior", "session_type"], "duration", {"m": 0.5})
     wide = med.groupBy("behavior").agg(
         *[F.max(F.when(F.col("session_type") == s, F.col("m"))).alias(f"median_{s}") for s in sessions]
@@ -43,9 +43,9 @@ def behaviour_report(
     return S.p_adjust(tests, [], "p_value", "holm", "p_holm").join(wide, "behavior")
 
 
-def latency_test(latency: DataFrame, sessions: tuple[str, str]) -> DataFrame:
+def latency_test(latency: DataFrame, sessions: tuple[str, str], method: str = "exact") -> DataFrame:
     """Signed-rank test of the first-contact latency between the sessions."""
-    return S.paired_signed_rank(latency, [], "animal_id", "session_type", sessions, "latency_sec")
+    return S.paired_signed_rank(latency, [], "animal_id", "session_type", sessions, "latency_sec", method=method)
 
 
 def real_chance_pairs(animals: DataFrame, real: str, chance: str) -> DataFrame:
@@ -64,17 +64,13 @@ def real_vs_chance(
     radii: Sequence[float] = (5.0, 10.0),
     n_rotations: int = B.ROTATIONS,
     reps: int = B.REPLICATES,
+    method: str = "exact",
 ) -> DataFrame:
     """One row: paired tests, bootstrap interval, overlap index and rotation-null summary."""
     pairs = real_chance_pairs(animals, "manual_both", "manual_chance_overlap")
-    ranked = S.signed_rank(pairs, [])
-    from etholith.functions import prob
-
-    exact = F.size("_doubled") > 0
+    ranked = S.with_signed_rank_p(S.signed_rank(pairs, [], method=method), method)
     wilcoxon = ranked.select(
-        "n_pairs", F.col("z").alias("wilcoxon_z"), F.abs("effect_r").alias("effect_r"),
-        F.when(exact, prob.signed_rank_p(F.col("_doubled"), F.col("statistic") * 2))
-        .otherwise(prob.normal_two_sided(F.col("z"))).alias("wilcoxon_p"),
+        "n_pairs", F.col("z").alias("wilcoxon_z"), F.abs("effect_r").alias("effect_r"), F.col("p_value").alias("wilcoxon_p"), "method"
     )
     t = S.paired_t(pairs, []).select("t", "dof", F.col("p_value").alias("t_p"))
     ci = B.bca_ci_mean(

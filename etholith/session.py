@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,9 @@ def get_spark(app: str = "etholith", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session names none (unit tests) a local one is made.
+    A session in one process (``local[n]``) that names none gets a folder of its own, removed at
+    its end. On a cluster a missing setting is an error: a machine-local folder would be lost on
+    the other machines.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,7 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
-    return tempfile.mkdtemp(prefix="etholith-")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="etholith-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -318,128 +319,75 @@ def test_connected_objects(spark):
 NEIGH = {"a": (("b", 2.0),), "b": (("a", 2.0), ("c", 2.0)), "c": (("b", 2.0),)}
 
 
-def sequential_assignment(frame):
-    """The rule, one detection after the other: ``frame`` lists (ord, joint, x, evidence)."""
-    placed, out = {1: {}, 2: {}}, {}
-    for joint in dict.fromkeys(d["joint"] for d in frame):
-        dets = [d for d in frame if d["joint"] == joint and d["x"] is not None]
-        for d in frame:
-            if d["joint"] == joint and d["x"] is None:
-                out[d["ord"]] = (None, "nan_coords")
-
-        def cost(d, o):
-            extra = 0.0
-            for other, limit in NEIGH[joint]:
-                if other in placed[o]:
-                    q = placed[o][other]
-                    extra += max(0.0, math.hypot(d["x"] - q[0], d["y"] - q[1]) - limit)
-            return d[f"d{o}"] + extra
-
-        for d in dets[2:]:
-            out[d["ord"]] = (None, "extra_detection")
-        if len(dets) == 1:
-            d = dets[0]
-            o = 1 if d["d1"] < d["d2"] else 2
-            why = "mask_nearest"
-            if min(d["d1"], d["d2"]) > 3:
-                o, why = (1 if d["c1"] < d["c2"] else 2), "no_mask_centroid_fallback"
-            placed[o][joint] = (d["x"], d["y"])
-            out[d["ord"]] = (f"obj{o}", why)
-        elif len(dets) >= 2:
-            p, q = dets[:2]
-            first = cost(p, 1) + cost(q, 2) <= cost(p, 2) + cost(q, 1)
-            for d, o in ((p, 1 if first else 2), (q, 2 if first else 1)):
-                placed[o][joint] = (d["x"], d["y"])
-                out[d["ord"]] = (f"obj{o}", "exclusive_pair")
-    return out
-
-
-def test_assign_frames_equals_sequential(spark):
-    rng = random.Random(8)
-    data = []
-    for f in range(60):
-        n = 0
-        for joint in rng.sample("abc", 3):
-            for _ in range(rng.choice((1, 2, 2, 3))):
-                lost = rng.random() < 0.1
-                d = {"frame_id": f, "ord": n, "joint": joint, "subject": "s", "x": None if lost else rng.uniform(0, 9), "y": None if lost else rng.uniform(0, 9)}
-                d.update({k: rng.uniform(0, 6) for k in ("d1", "d2", "c1", "c2")})
-                data.append(d)
-                n += 1
-    schema = "frame_id int, ord int, joint string, subject string, x double, y double, d1 double, d2 double, c1 double, c2 double"
-    df = spark.createDataFrame([tuple(d.values()) for d in data], schema).withColumns(
-        {"oob": F.lit(False), "in1": F.lit(False), "in2": F.lit(False), "has1": F.lit(True), "has2": F.lit(True)}
+def test_assign_frames_by_hand(spark):
+    """Costs are worked out in the comments; neighbours of one object may be 2 apart for free."""
+    data = [
+        # frame, ord, joint, x, y, d1, d2, c1, c2, expected
+        (0, 0, "a", 0.0, 0.0, 1.0, 2.0, 0.0, 0.0, ("obj1", "mask_nearest")),
+        (0, 1, "b", 0.0, 1.0, 1.0, 2.0, 0.0, 0.0, ("obj1", "exclusive_pair")),  # straight 1 + 1; crossed 2 + 2 + 10.7
+        (0, 2, "b", 9.0, 9.0, 2.0, 1.0, 0.0, 0.0, ("obj2", "exclusive_pair")),
+        (0, 3, "b", 5.0, 5.0, 0.0, 0.0, 0.0, 0.0, (None, "extra_detection")),
+        (0, 4, "c", None, None, 0.0, 0.0, 0.0, 0.0, (None, "nan_coords")),
+        (1, 0, "a", 0.0, 0.0, 1.0, 2.0, 0.0, 0.0, ("obj1", "mask_nearest")),
+        (1, 1, "b", 9.0, 9.0, 1.0, 1.5, 0.0, 0.0, ("obj2", "exclusive_pair")),  # straight 1 + 10.7 + 1; crossed 1.5 + 1.5
+        (1, 2, "b", 0.0, 1.0, 1.5, 1.0, 0.0, 0.0, ("obj1", "exclusive_pair")),
+        (1, 3, "c", 0.0, 2.0, 2.0, 2.0, 0.0, 0.0, ("obj1", "exclusive_pair")),  # straight 4; crossed 4 + two stretches
+        (1, 4, "c", 9.0, 8.0, 2.0, 2.0, 0.0, 0.0, ("obj2", "exclusive_pair")),
+        (2, 0, "a", 4.0, 4.0, 4.0, 5.0, 2.0, 1.0, ("obj2", "no_mask_centroid_fallback")),  # both masks over 3 away
+        (2, 1, "c", 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, ("obj1", "exclusive_pair")),  # a tie keeps the order
+        (2, 2, "c", 2.0, 2.0, 1.0, 1.0, 0.0, 0.0, ("obj2", "exclusive_pair")),
+    ]
+    schema = "frame_id int, ord int, joint string, x double, y double, d1 double, d2 double, c1 double, c2 double"
+    df = spark.createDataFrame([d[:-1] for d in data], schema).withColumns(
+        {"subject": F.lit("s"), "oob": F.lit(False), "in1": F.lit(False), "in2": F.lit(False), "has1": F.lit(True), "has2": F.lit(True)}
     )
     got = {(r["frame_id"], r["ord"]): (r["assigned"], r["reason"]) for r in T.assign_frames(df, ["frame_id"], ["ord"], NEIGH, 3.0).collect()}
-    assert len(got) == len(data)
-    for f in range(60):
-        for n, answer in sequential_assignment([d for d in data if d["frame_id"] == f]).items():
-            assert got[f, n] == answer, (f, n)
+    assert got == {(d[0], d[1]): d[-1] for d in data}
     masked = df.withColumns({"has1": F.col("frame_id") > 0, "has2": F.col("frame_id") > 0})
     none = T.assign_frames(masked, ["frame_id"], ["ord"], NEIGH, 3.0).filter("frame_id = 0 AND x IS NOT NULL")
     assert {r["reason"] for r in none.collect()} == {"no_mask_frame"}
 
 
-def sequential_swaps(points, edges, rounds=10):
-    """points[subject][joint] = (x, y); exchanges in place and gives the touched joints."""
-    near = defaultdict(list)
-    for a, b, t in edges:
-        near[a].append((b, t))
-        near[b].append((a, t))
-
-    def fine(joint, at, pts):
-        return all(math.hypot(at[0] - pts[o][0], at[1] - pts[o][1]) <= t for o, t in near[joint] if o in pts)
-
-    touched = set()
-    for _ in range(rounds):
-        moved = False
-        for s in (0, 1):
-            own, other = points[s], points[1 - s]
-            for j in own:
-                if j in other and not fine(j, own[j], own) and fine(j, other[j], own) and fine(j, own[j], other):
-                    own[j], other[j] = other[j], own[j]
-                    touched.add(j)
-                    moved = True
-                    break
-        if not moved:
-            break
-    return touched
-
-
-def test_anatomical_swap_equals_sequential(spark):
-    rng = random.Random(4)
+def test_anatomical_swap_by_hand(spark):
+    """Five joints in a row; ``a`` belongs at y = 0 and ``b`` at y = 8, bones reach 3."""
     edges = [(1, 2, 3.0), (2, 3, 3.0), (3, 4, 3.0), (4, 5, 3.0)]
-    data, frames = [], {}
-    for f in range(80):
-        pts = [{}, {}]
-        for j in range(1, 6):
-            pair = [(j * 1.0, rng.uniform(0, 2)), (j * 1.0, 8 + rng.uniform(0, 2))]
-            if rng.random() < 0.4:
-                pair.reverse()
-            for s in (0, 1):
-                if rng.random() < 0.9:
-                    pts[s][j] = pair[s]
-                    data.append((f, "ab"[s], j, *pair[s], 0.5 + s / 10))
-                else:
-                    data.append((f, "ab"[s], j, None, None, 0.0))
-        frames[f] = pts
-    data.append((0, "other", 1, 1.0, 1.0, 0.1))
+    frames = {
+        # y of joints 1-5 of a and of b as seen; y wanted; joints that are exchanged
+        0: ([0, 0, 0, 0, 0], [8, 8, 8, 8, 8], [0, 0, 0, 0, 0], [8, 8, 8, 8, 8], set()),
+        1: ([0, 0, 8, 0, 0], [8, 8, 0, 8, 8], [0, 0, 0, 0, 0], [8, 8, 8, 8, 8], {3}),
+        2: ([8, 0, 0, 0, 0], [0, 8, 8, 8, 8], [0, 0, 0, 0, 0], [8, 8, 8, 8, 8], {1}),
+        3: ([0, 0, 0, 0, 8], [8, 8, 8, 8, 0], [0, 0, 0, 0, 0], [8, 8, 8, 8, 8], {5}),
+        4: ([8, 0, 0, 0, 8], [0, 8, 8, 8, 0], [0, 0, 0, 0, 0], [8, 8, 8, 8, 8], {1, 5}),
+        5: ([0, 0, 8, 0, 0], [8, 8, None, 8, 8], [0, 0, 8, 0, 0], [8, 8, None, 8, 8], set()),  # nothing to exchange with
+        6: ([0, 0, 4, 0, 0], [8, 8, 4, 8, 8], [0, 0, 4, 0, 0], [8, 8, 4, 8, 8], set()),  # an exchange mends nothing
+    }
+    data = [
+        (f, s, j + 1, None if y is None else float(j), None if y is None else float(y), 0.5 + s / 10)
+        for f, sides in frames.items() for s in (0, 1) for j, y in enumerate(sides[s])
+    ]
+    data = [(f, "ab"[s], *rest) for f, s, *rest in data] + [(0, "other", 1, 1.0, 1.0, 0.1)]
     df = spark.createDataFrame(data, "frame_id int, subject_corrected string, joint int, x double, y double, likelihood double").withColumn("reason", F.lit("r"))
     got = T.anatomical_swap(df, ("a", "b"), [1, 2, 3, 4, 5], edges, ["frame_id"], ["joint"]).collect()
     assert len(got) == len(data)
-    touched = {f: sequential_swaps(p, edges) for f, p in frames.items()}
-    assert sum(map(len, touched.values())) > 20
     for r in got:
         if r["subject_corrected"] == "other":
             continue
-        s = "ab".index(r["subject_corrected"])
-        want = frames[r["frame_id"]][s].get(r["joint"])
-        assert (None if r["x"] is None else (r["x"], r["y"])) == want
-        assert r["reason"] == ("anat_swap" if r["joint"] in touched[r["frame_id"]] else "r")
-        if want is not None:
-            low = want[1] < 5
-            before = next(d for d in data if d[0] == r["frame_id"] and d[2] == r["joint"] and d[3] is not None and (d[4] < 5) == low)
-            assert r["likelihood"] == before[5]  # travels with its point
+        f, s, j = r["frame_id"], "ab".index(r["subject_corrected"]), r["joint"]
+        assert r["y"] == frames[f][2 + s][j - 1]
+        assert r["reason"] == ("anat_swap" if j in frames[f][4] else "r")
+        if r["y"] is not None:  # the likelihood travels with its point
+            assert r["likelihood"] == 0.5 + (1 - s if j in frames[f][4] else s) / 10
+
+
+def test_normal_tail_and_quantile(spark):
+    z = [0.0, 0.3, -1.96, 5.5, -8.0, 20.0, 38.0]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in z], "z double").select(prob.normal_two_sided("z").alias("p")).collect()]
+    assert all(math.isclose(p, math.erfc(abs(v) / math.sqrt(2)), rel_tol=1e-6, abs_tol=1e-300) for p, v in zip(got, z) if abs(v) < 37)
+    assert all(math.isclose(p, math.erfc(abs(v) / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-15) for p, v in zip(got, z) if abs(v) < 7)
+    ps = [1e-9, 0.01, 0.3, 0.5, 0.7, 0.999, 0.0, 1.0]
+    df = prob.with_normal_quantile(spark.createDataFrame([(v,) for v in ps], "p double"), "p", "q")
+    q = [r.q for r in df.collect()]
+    assert q[-2:] == [None, None] and all(math.isclose(a, NormalDist().inv_cdf(b), rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(q[:-2], ps))
 
 
 def test_cleanup_keeps_protected_and_unjudged(spark):

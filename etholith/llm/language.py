@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etholith.llm.common import blocks, query, table
+from etholith.llm.common import blocks, query, stored, table
 from etholith.llm.quality import fold
 
 ORDERS = (1, 2, 3)
@@ -113,18 +113,24 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL, landmarks
 
     Rows are those of smallest hash: the share to take follows from each language's number of rows.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id", 5) != 0)).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id", 5) != 0))
     spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_spot")
-    rows = (
-        known.join(counts, "lang")
-        .withColumn("_spot", spot)
+    narrow = stored(usable.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_content"), F.col("lang").alias("_lang"), spot))
+    counts = narrow.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = (
+        narrow.join(counts, "_lang")
         .filter(F.col("_spot") * F.col("_n") <= float(per_lang) * (1 << 30))
-        .orderBy("_spot", "doc_id")
+        .orderBy("_spot", "_id", "_content")
         .limit(total)
+        .dropDuplicates(["_id", "_content"])
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content"))
+    rows = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen), same)
         # Pieces of 100 bytes and more, from a place that follows from the hash.
         .withColumn("_size", (F.lit(100) + F.pmod(F.hash("doc_id", "text"), F.lit(PIECE - 100))))
-        .select("lang", F.expr(f"substring(text, 1 + cast(pmod(_spot, greatest(length(text) - _size, 1)) AS int), _size)").alias("piece"))
+        .select(F.col("_lang").alias("lang"), F.expr("substring(text, 1 + cast(pmod(_spot, greatest(length(text) - _size, 1)) AS int), _size)").alias("piece"))
         .toArrow()
     )
     langs, texts = rows["lang"].to_pylist(), [t.encode() for t in rows["piece"].to_pylist()]
@@ -140,12 +146,16 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL, landmarks
     return KernelModel(texts, langs, chosen)
 
 
-def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
-    """``docs`` with lang_pred and score. A null text, one without a letter, or no model: ``und``, 0."""
+def identify(docs: DataFrame, model: KernelModel | None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with lang_pred and score. A null text, one without a letter, or no model: ``und``, 0.
+
+    Without ``keep_text`` the texts do not travel back from the Python workers.
+    """
     base = docs.drop("lang_pred", "score")
     if model is None:
         return base.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in base.columns if c != "text" or keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -156,16 +166,18 @@ def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
                 best.append(b)
                 score.append(s)
             named = pa.array(model.langs, pa.string()).take(pa.array(np.concatenate(best)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, named, pa.array(np.concatenate(score))], names=[*batch.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in kept), batch["_letters"], named, pa.array(np.concatenate(score))], names=[*kept, "_letters", "_lang", "_score"]
+            )
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    out = base.mapInArrow(run, f"{schema}, _lang string, _score double")
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return out.select(*base.columns, F.when(letters, F.col("_lang")).otherwise("und").alias("lang_pred"), F.when(letters, F.col("_score")).otherwise(0.0).alias("score"))
+    schema = "".join(f"`{c}` {t}, " for c, t in base.dtypes if c in kept)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    out = base.select("*", letters).mapInArrow(run, f"{schema}_letters boolean, _lang string, _score double")
+    return out.select(*kept, F.when(F.col("_letters"), F.col("_lang")).otherwise("und").alias("lang_pred"), F.when(F.col("_letters"), F.col("_score")).otherwise(0.0).alias("score"))
 
 
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    marks = identify(docs, fit(docs))
+    marks = identify(docs, fit(docs), keep_text=False)
     return marks.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

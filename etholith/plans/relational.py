@@ -196,7 +196,7 @@ def tukey_fence(spark, d):
 SOURCES_SQL = f"""ids AS (SELECT * FROM ({FILE_IDS}) WHERE image_id IS NOT NULL),
     manual AS (SELECT image_id, min(ord) AS manual_ord FROM ids WHERE ord % 5 IN (0, 1) GROUP BY 1),
     areas AS (SELECT image_id, min(ord) AS area_ord FROM ids WHERE ord % 5 IN (1, 2) GROUP BY 1),
-    auto AS (SELECT image_id, min(ord) AS auto_ord FROM ids WHERE ord % 5 IN (0, 2, 3) GROUP BY 1)"""
+    auto AS (SELECT image_id, min(ord) AS auto_ord FROM ids WHERE ord % 5 IN (0, 2, 3, 4) GROUP BY 1)"""
 
 
 def _sources(spark, d):
@@ -207,7 +207,7 @@ def _sources(spark, d):
         rows = named.filter((F.col("ord") % 5).isin(*rests))
         return W.dedupe_first(rows, ["image_id"], ["ord"]).select("image_id", F.col("ord").alias(out))
 
-    return source((0, 1), "manual_ord"), source((1, 2), "area_ord"), source((0, 2, 3), "auto_ord")
+    return source((0, 1), "manual_ord"), source((1, 2), "area_ord"), source((0, 2, 3, 4), "auto_ord")
 
 
 @query(

@@ -10,8 +10,8 @@ from etholith.functions import geometry as G
 from etholith.functions import ids
 from etholith.functions import masks as M
 from etholith.operators import aggregates as A
+from etholith.operators import filters as L
 from etholith.operators import rasters
-from etholith.operators.frames import in_ranges
 from etholith.operators.ordered import with_group_stats
 from etholith.plans.register import R, query, rd
 from etholith.session import spread
@@ -517,23 +517,25 @@ def threshold(spark, d):
     )
 
 
-SPECS = """SELECT n_nationkey AS spec_id, n_nationkey % 4 AS video_id, s * 1000 + n_nationkey * 300 AS start,
-        least(s * 1000 + n_nationkey * 300 + 150, 14000) AS end_exclusive
+FRAMES_SQL = "(SELECT max(l_orderkey) + 1 FROM lineitem)"
+SPECS = f"""SELECT n_nationkey AS spec_id, n_nationkey % 4 AS video_id, s * 1000 + n_nationkey * 300 AS start,
+        least(s * 1000 + n_nationkey * 300 + 150, {FRAMES_SQL}) AS end_exclusive
         FROM nation, range(2) t(s) WHERE n_nationkey % 6 <> 5
-        UNION ALL SELECT n_nationkey, n_nationkey % 4, 0, 14000 FROM nation WHERE n_nationkey = 5"""
+        UNION ALL SELECT n_nationkey, n_nationkey % 4, 0, {FRAMES_SQL} FROM nation WHERE n_nationkey % 6 = 5"""
 
 
 def segment_specs(spark, d):
-    """A range text per nation, unfolded; nation 5 has none and means the whole video."""
+    """A range text per nation, unfolded; every sixth has none and means the whole video."""
     k = F.col("n_nationkey").cast("long")
+    frames = V.table(spark, d, "lineitem").agg((F.max("l_orderkey") + 1).alias("n"))
 
     def part(s: int):
         return F.concat((s * 1000 + k * 300).cast("string"), F.lit("-"), (s * 1000 + k * 300 + 150).cast("string"))
 
     spec = F.when(k % 6 != 5, F.concat_ws(",", part(0), part(1)))
     return (
-        V.table(spark, d, "nation").filter((k % 6 != 5) | (k == 5))
-        .select(k.alias("spec_id"), (k % 4).alias("video_id"), F.inline(ids.segment_ranges(spec, F.lit(14000).cast("long"))))
+        V.table(spark, d, "nation").withColumn("_frames", frames.scalar())
+        .select(k.alias("spec_id"), (k % 4).alias("video_id"), F.inline(ids.segment_ranges(spec, F.col("_frames"))))
     )
 
 
@@ -545,14 +547,13 @@ def segment_ranges(spark, d):
 @query(
     "frame_segments",
     f"""SELECT video_id, joint, count(*) AS n, count(DISTINCT frame_id) AS n_frames FROM kpts k
-        WHERE EXISTS (SELECT 1 FROM ({SPECS}) s WHERE s.spec_id <> 5 AND s.video_id = k.video_id AND k.frame_id >= s.start
+        WHERE EXISTS (SELECT 1 FROM ({SPECS}) s WHERE s.video_id = k.video_id AND k.frame_id >= s.start
         AND k.frame_id < s.end_exclusive) GROUP BY 1, 2""",
     "kpts",
 )
 def frame_segments(spark, d):
-    ranges = segment_specs(spark, d).filter("spec_id <> 5")
     return (
-        in_ranges(V.keypoints(spark, d), ranges, ["video_id"])
+        L.frame_segments(V.keypoints(spark, d), segment_specs(spark, d))
         .groupBy("video_id", "joint")
         .agg(F.count("*").alias("n"), F.countDistinct("frame_id").alias("n_frames"))
     )

@@ -18,15 +18,16 @@ def event_stream(spark, d):
     "stream_binned_time",
     f"""WITH b AS (SELECT event_type AS behavior, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 1e6) AS BIGINT) AS e FROM events),
         p AS (SELECT behavior, s, e, unnest(range(s // 30000000, e // 30000000 + 1)) * 30000000 AS bin FROM b),
-        o AS (SELECT behavior, bin, least(e, bin + 30000000) - greatest(s, bin) AS us FROM p),
-        m AS (SELECT max(bin) AS top FROM o WHERE us > 0)
-        SELECT bin AS bin_us, behavior, {R('sum(us) / 1e6')} AS dur_in_bin, count(*) AS n_pieces FROM o, m WHERE us > 0 AND bin + 30000000 <= top - 600000000 GROUP BY 1, 2""",
+        o AS (SELECT behavior, bin, least(e, bin + 30000000) - greatest(s, bin) AS us FROM p)
+        SELECT bin AS bin_us, behavior, {R('sum(us) / 1e6')} AS dur_in_bin, count(*) AS n_pieces FROM o WHERE us > 0 GROUP BY 1, 2""",
 )
 def stream_binned_time(spark, d):
-    stream = event_stream(spark, d).select(
-        F.col("ts").cast("timestamp").alias("start"), F.col("event_type").alias("behavior"), F.col("value").alias("duration_sec")
-    )
-    out = ST.drain(ST.binned_time(stream, "start"), "binned-time")
+    def binned(events):
+        bouts = events.select(F.col("ts").cast("timestamp").alias("start"), F.col("event_type").alias("behavior"), F.col("value").alias("duration_sec"))
+        return ST.binned_time(bouts, "start")
+
+    end = F.col("bin_start") + F.expr("INTERVAL 30 SECONDS")
+    out = ST.closed(binned(event_stream(spark, d)), binned(V.table(spark, d, "events")), end, "binned-time")
     return out.select(F.unix_micros("bin_start").alias("bin_us"), "behavior", rd("dur_in_bin").alias("dur_in_bin"), "n_pieces")
 
 
@@ -47,13 +48,14 @@ def stream_merge_runs(spark, d):
         g AS (SELECT *, CASE WHEN t - lag(t) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY animal_id ORDER BY t)),
         z AS (SELECT *, sum(fresh) OVER (PARTITION BY animal_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
         SELECT animal_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n_events FROM z GROUP BY animal_id, k
-        HAVING count(*) >= 2 AND max(t) + 1800000000 <= (SELECT max(t) FROM f) - 600000000""",
+        HAVING count(*) >= 2""",
 )
 def stream_swap_zones(spark, d):
-    flagged = event_stream(spark, d).filter("value > 20").select(
-        F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 20).alias("animal_id")
-    )
-    out = ST.drain(ST.swap_zones(flagged, "at", ["animal_id"], "30 minutes"), "swap-zones")
+    def zones(events):
+        flagged = events.filter("value > 20").select(F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 20).alias("animal_id"))
+        return ST.swap_zones(flagged, "at", ["animal_id"], "30 minutes")
+
+    out = ST.closed(zones(event_stream(spark, d)), zones(V.table(spark, d, "events")), F.col("end"), "swap-zones")
     return out.select("animal_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events")
 
 

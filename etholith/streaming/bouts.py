@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
@@ -24,7 +24,7 @@ from pyspark.sql.types import (
 )
 
 from etholith.functions.ids import run_priority
-from etholith.session import shared_dir
+from etholith.session import cut_lineage, shared_dir
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -32,20 +32,38 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append stream over what is there now and read its Parquet output."""
+def run_to_end(stream: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Run an append stream over what is there now: its Parquet output, and the watermark it ended with."""
     spark = stream.sparkSession
     folder = run_folder(spark, name)
-    (
+    query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/state")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    query.awaitTermination()
+    progress = query.lastProgress
+    watermark = (progress["eventTime"] or {}).get("watermark", "1970-01-01T00:00:00.000Z") if progress else "1970-01-01T00:00:00.000Z"
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), watermark
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """The output of :func:`run_to_end` alone: windows still open at the end are not in it."""
+    return run_to_end(stream, name)[0]
+
+
+def closed(stream: DataFrame, batch: DataFrame, end: Column, name: str) -> DataFrame:
+    """The stream's windows, and from its batch twin those that end after the last watermark.
+
+    For a source that has come to its end. ``end`` is the window's end in the output's columns.
+    """
+    out, watermark = run_to_end(stream, name)
+    # Written first: a filter on a session's end must not reach the events before they are merged.
+    still_open = cut_lineage(batch).filter(end > F.to_timestamp(F.lit(watermark)))
+    return out.unionByName(still_open.select(*out.columns))
 
 
 def binned_time(bouts: DataFrame, ts: str, width: str = "30 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -164,6 +182,8 @@ class FirstContact(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803 - Spark API
         import pandas as pd
 
+        if timerValues.getCurrentWatermarkInMs() >= self._end_ms:  # the session is reported; late rows leave no state
+            return
         if not self._armed.exists():
             self._handle.registerTimer(self._end_ms)
             self._armed.update((True,))
@@ -189,6 +209,7 @@ class FirstContact(StatefulProcessor):
             columns=LATENCY_OUT.fieldNames(),
         ).astype({"first_us": "Int64"})
         self._first.clear()
+        self._armed.clear()
 
     def close(self) -> None:
         pass

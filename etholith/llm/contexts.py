@@ -69,35 +69,63 @@ def _decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node, (byte[:, None] >> (7 - at)) & 1
 
 
+#: Rows of a group that are weighed at once; slices end between third-latest bytes.
+SLICE = 40_000
+
+
 class Subtree:
-    """The nodes at depth 2 to ``depth`` below one pair of latest bytes."""
+    """The nodes at depth 2 to ``depth`` below one pair of latest bytes, and what they say of each row.
+
+    Depth 3 and deeper are weighed slice by slice; depth 2 (255 nodes) sums over the slices.
+    """
 
     def __init__(self, older: np.ndarray, byte: np.ndarray, n: np.ndarray, depth: int):
-        node, bit = _decisions(byte)
-        key = (older[:, None] << 8 | node).ravel()
-        each = np.repeat(n, 8).astype(np.float64)
-        self.bit, flat = bit.ravel(), bit.ravel()
-        level, place = np.unique(key, return_inverse=True)
-        ones = np.bincount(place, each * flat, len(level))
+        self.node, self.bit = _decisions(byte)
+        self.zeros, self.ones, below = np.zeros(256), np.zeros(256), np.zeros(256)
+        self.deeper = None if depth == 2 else np.empty(self.node.shape)
+        third = older & 255
+        order = np.argsort(third, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(third[order])) + 1, len(order))
+        a = 0
+        while a < len(order):
+            b = int(ends[min(np.searchsorted(ends, a + SLICE), len(ends) - 1)])
+            rows = order[a:b]
+            each = np.repeat(n[rows], 8).astype(np.float64)
+            node, bit = self.node[rows].ravel(), self.bit[rows].ravel()
+            self.ones += np.bincount(node, each * bit, 256)
+            self.zeros += np.bincount(node, each * (1 - bit), 256)
+            if depth > 2:
+                p, at, weighted = self._slice(older[rows], node, bit, each, depth)
+                self.deeper[rows] = p.reshape(-1, 8)
+                below += np.bincount(at, weighted, 256)
+            a = b
+        if depth == 2:
+            self.weighted, self.stop = log_estimate(self.zeros, self.ones), np.ones(256)
+        else:
+            self.weighted, self.stop = weigh(self.zeros, self.ones, below)
+
+    @staticmethod
+    def _slice(older, node, bit, each, depth):
+        """Probabilities as depth 3 and deeper have them; decisions and ln weights of the depth 3 nodes."""
+        level, place = np.unique(np.repeat(older, 8) << 8 | node, return_inverse=True)
+        ones = np.bincount(place, each * bit, len(level))
         zeros = np.bincount(place, each, len(level)) - ones
         weighted = log_estimate(zeros, ones)
-        self.levels = [(place, zeros, ones, np.ones(len(level)))]  # the deepest level has only itself
-        for d in range(depth - 1, 1, -1):
+        p = (np.where(bit == 1, ones[place], zeros[place]) + 0.5) / (zeros + ones + 1.0)[place]
+        for d in range(depth - 1, 2, -1):
             parent = level >> 8 & ((1 << 8 * (d - 2)) - 1)  # the oldest byte goes
             level, up = np.unique(parent << 8 | (level & 255), return_inverse=True)
             zeros, ones = np.bincount(up, zeros, len(level)), np.bincount(up, ones, len(level))
             weighted, stop = weigh(zeros, ones, np.bincount(up, weighted, len(level)))
             place = up[place]
-            self.levels.append((place, zeros, ones, stop))
-        self.nodes, self.zeros, self.ones, self.weighted = level, zeros, ones, weighted
+            own = (np.where(bit == 1, ones[place], zeros[place]) + 0.5) / (zeros + ones + 1.0)[place]
+            p = stop[place] * own + (1 - stop[place]) * p
+        return p, level & 255, weighted
 
     def probability(self) -> np.ndarray:
-        """(rows * 8) probabilities of the decisions taken, as depth 2 and deeper have them."""
-        p = None
-        for place, zeros, ones, stop in self.levels:
-            own = (np.where(self.bit == 1, ones[place], zeros[place]) + 0.5) / (zeros + ones + 1.0)[place]
-            p = own if p is None else stop[place] * own + (1 - stop[place]) * p
-        return p
+        """(rows, 8) probabilities of the decisions taken, as depth 2 and deeper have them."""
+        own = (np.where(self.bit == 1, self.ones[self.node], self.zeros[self.node]) + 0.5) / (self.zeros + self.ones + 1.0)[self.node]
+        return own if self.deeper is None else self.stop[self.node] * own + (1 - self.stop[self.node]) * self.deeper
 
 
 class Top:
@@ -114,7 +142,7 @@ class Top:
     def mixed(self, latest: int, node: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
         for row in (latest, 256):
             counts = self.counts[row, node]
-            own = (np.where(bit == 1, counts[:, 1], counts[:, 0]) + 0.5) / (counts.sum(axis=1) + 1.0)
+            own = (np.where(bit == 1, counts[..., 1], counts[..., 0]) + 0.5) / (counts.sum(axis=-1) + 1.0)
             stop = self.stop[row, node]
             p = stop * own + (1 - stop) * p
         return p
@@ -196,6 +224,8 @@ class Lookup:
 
 
 LIST, WORD, TEXT = 0, 1, 2
+#: Bytes of text handled at once, and listed keys kept before they are merged.
+BLOCK, MERGE = 1 << 19, 1_000_000
 
 
 def packed(depth: int, shard_bytes: int):
@@ -203,28 +233,36 @@ def packed(depth: int, shard_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, size = TaskContext.get().partitionId() << 32, 0
-        empty = {LIST: (np.zeros(0, np.int64), np.zeros(0, np.int64)), WORD: (np.zeros(0, np.int64), np.zeros(0, np.int64))}
-        lists = dict(empty)
+        lists = {LIST: [], WORD: []}
+
+        def merged(kind):
+            if not lists[kind]:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return _tally(*(np.concatenate(x) for x in zip(*lists[kind], strict=True)))
+
+        def add(kind, found):
+            lists[kind].append(found)
+            if sum(len(k) for k, _ in lists[kind][1:]) > MERGE:
+                lists[kind] = [merged(kind)]
 
         def flush():
-            for kind, (key, n) in lists.items():
+            for kind in lists:
+                key, n = merged(kind)
+                lists[kind] = []
                 for a in range(0, len(key), 50_000):
                     part = key[a : a + 50_000]
                     yield pa.record_batch({"shard": np.full(len(part), shard), "kind": np.full(len(part), kind, np.int8), "key": part, "n": n[a : a + 50_000], "texts": pa.nulls(len(part), pa.binary())})
 
-        def merge(kind, found):
-            lists[kind] = _tally(*(np.concatenate(x) for x in zip(lists[kind], found, strict=True)))
-
         for batch in batches:
-            for i, j, data, offsets in blocks(batch["text"]):
+            for i, j, data, offsets in blocks(batch["text"], BLOCK):
                 if size and size + len(data) > shard_bytes:
                     yield from flush()
-                    shard, size, lists = shard + 1, 0, dict(empty)
+                    shard, size = shard + 1, 0
                 part = batch.slice(i, j - i)
                 learned = part["learned"].to_numpy(zero_copy_only=False).astype(np.int64)
                 s = Stream(data, offsets, depth)
-                merge(LIST, _tally_codes(s.code, learned[s.text]))
-                merge(WORD, _tally(s.words, learned[s.word_text]))
+                add(LIST, _tally_codes(s.code, learned[s.text]))
+                add(WORD, _tally(s.words, learned[s.word_text]))
                 size += len(data)
                 out = pa.BufferOutputStream()
                 with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -246,8 +284,8 @@ def model_values(lists: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def upper(rows):
         _, tree = subtree(rows)
-        last = rows["latest"][0].as_py() & 255
-        return pa.table({"last": np.full(len(tree.nodes), last, np.int32), "node": tree.nodes.astype(np.int32), "zeros": tree.zeros, "ones": tree.ones, "below": tree.weighted})
+        last = np.full(255, rows["latest"][0].as_py() & 255, np.int32)
+        return pa.table({"last": last, "node": np.arange(1, 256, dtype=np.int32), "zeros": tree.zeros[1:], "ones": tree.ones[1:], "below": tree.weighted[1:]})
 
     level = totals.groupBy("latest").applyInArrow(upper, "last int, node int, zeros double, ones double, below double")
     level = level.groupBy("last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow().sort_by([("last", "ascending"), ("node", "ascending")])
@@ -255,9 +293,8 @@ def model_values(lists: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def valued(rows):
         key, tree = subtree(rows)
-        node, bit = _decisions(key & 255)
-        p = sent.value.mixed(rows["latest"][0].as_py() & 255, node.ravel(), bit.ravel(), tree.probability())
-        return pa.table({"key": key, "value": np.log10(p).reshape(-1, 8).sum(axis=1)})
+        p = sent.value.mixed(rows["latest"][0].as_py() & 255, tree.node, tree.bit, tree.probability())
+        return pa.table({"key": key, "value": np.log10(p).sum(axis=1)})
 
     return totals.groupBy("latest").applyInArrow(valued, "key long, value double")
 
@@ -290,7 +327,7 @@ def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: in
             for part in pa.ipc.open_stream(raw.as_py()):
                 n = part.num_rows
                 tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-                for i, j, data, offsets in blocks(part["text"]):
+                for i, j, data, offsets in blocks(part["text"], BLOCK):
                     s = Stream(data, offsets, depth)
                     score[i:j] = np.bincount(s.text, tables[LIST](s.code), j - i)
                     if len(s.words):

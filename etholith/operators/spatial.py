@@ -98,7 +98,9 @@ def candidate_pairs(
         .withColumn("_cell_x", _cell(F.col("x"), size))
         .withColumn("_cell_y", _cell(F.col("y"), size))
     )
-    dist = F.hypot(F.col("x") - F.col("_tx"), F.col("y") - F.col("_ty")) * px_size
+    # A plain root: equal squares of pixel distances give equal distances, so that ties are ties.
+    dx, dy = F.col("x") - F.col("_tx"), F.col("y") - F.col("_ty")
+    dist = F.sqrt((dx * dx + dy * dy).cast("double")) * px_size
     return (
         probing.join(near, [*by, "_cell_x", "_cell_y"])
         .withColumn("dist", dist)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from etholith import views as V
-from etholith.functions.prob import normal_start_sql, normal_step_sql, normal_two_sided_sql
+from etholith.functions.prob import normal_start_sql, normal_step_sql, normal_two_sided_sql, upper_tail_sql
 from etholith.operators import joins as J
 from etholith.operators import resample as B
 from etholith.operators import spatial as P
@@ -452,10 +452,34 @@ def bootstrap_replicates(spark, d):
     return rounded(B.replicate_means(diffs, [], "diff", ["animal_id"]), "mean")
 
 
-@query("bca_ci_mean")
+def _below_sql(x: str) -> str:
+    return f"(CASE WHEN {x} < 0 THEN {upper_tail_sql(f'abs({x})')} ELSE 1e0 - {upper_tail_sql(f'abs({x})')} END)"
+
+
+@query(
+    "bca_ci_mean",
+    f"""WITH v AS (SELECT row_number() OVER (ORDER BY animal_id) - 1 AS idx, (o - coalesce(chance, 0))::DOUBLE AS x, count(*) OVER () AS n FROM ({ROLLED})),
+        a AS (SELECT rep, draw, n, (48271 * rep + 16807 * draw + 69621 + 12345) % 2147483647 AS h1 FROM (SELECT max(n) AS n FROM v), range(1, 2001) r(rep), range(0, n) q(draw)),
+        b AS (SELECT *, (h1 * h1) % 2147483647 AS h2 FROM a), c AS (SELECT *, (48271 * h2 + 16807 * h1 + 1013904223) % 2147483647 AS h3 FROM b),
+        e AS (SELECT rep, (((h3 * h3) % 2147483647 + 31 * h1) % 2147483647) % n AS idx FROM c),
+        m AS (SELECT rep, avg(x) AS mean FROM e JOIN v USING (idx) GROUP BY rep),
+        s AS (SELECT count(*) AS n, avg(x) AS theta, min(x) = max(x) AS flat FROM v),
+        j AS (SELECT any_value(s.n) AS n, any_value(theta) AS theta, any_value(flat) AS flat, -sum((theta - x) ** 3) / (6 * sum((theta - x) ** 2) ** 1.5) AS accel FROM v, s),
+        p0 AS (SELECT j.*, (SELECT count(*) FILTER (mean < theta) / count(*)::DOUBLE FROM m) AS below, (SELECT list(mean ORDER BY mean) FROM m) AS reps FROM j),
+        p1 AS (SELECT *, {normal_start_sql('below')} AS x0 FROM p0), p2 AS (SELECT *, {normal_step_sql('below', 'x0')} AS e0 FROM p1),
+        p3 AS (SELECT *, x0 - e0 / (1 + x0 * e0 / 2) AS z0 FROM p2),
+        p4 AS (SELECT *, z0 - 1.9599639845400545 AS zl, z0 + 1.9599639845400545 AS zh FROM p3),
+        p5 AS (SELECT *, z0 + zl / (1 - accel * zl) AS ul, z0 + zh / (1 - accel * zh) AS uh FROM p4),
+        p6 AS (SELECT *, (len(reps) - 1) * {_below_sql('ul')} AS il, (len(reps) - 1) * {_below_sql('uh')} AS ih FROM p5),
+        p7 AS (SELECT *, reps[floor(il)::INTEGER + 1] + (il - floor(il)) * (reps[ceil(il)::INTEGER + 1] - reps[floor(il)::INTEGER + 1]) AS lo,
+          reps[floor(ih)::INTEGER + 1] + (ih - floor(ih)) * (reps[ceil(ih)::INTEGER + 1] - reps[floor(ih)::INTEGER + 1]) AS hi FROM p6)
+        SELECT n, {R('theta', 5)} AS theta, CASE WHEN n >= 3 AND NOT flat THEN {R('lo', 5)} END AS ci_low, CASE WHEN n >= 3 AND NOT flat THEN {R('hi', 5)} END AS ci_high FROM p7""",
+    "counts",
+)
 def bca_ci_mean(spark, d):
     pairs = study.real_chance_pairs(rollup_of(spark, d), "manual_both", "manual_chance_overlap")
-    return B.bca_ci_mean(pairs.select("animal_id", (F.col("x") - F.col("y")).alias("diff")), [], "diff", ["animal_id"])
+    out = B.bca_ci_mean(pairs.select("animal_id", (F.col("x") - F.col("y")).alias("diff")), [], "diff", ["animal_id"])
+    return rounded(out, "theta", "ci_low", "ci_high", digits=5)
 
 
 @query("bca_ci_ccc")
@@ -493,13 +517,32 @@ def match_candidates(spark, d):
     return pairs.groupBy("image_id").agg(F.count("*").alias("n_pairs"), rd(F.sum("dist")).alias("total_dist"))
 
 
-@query("greedy_nearest_match")
+GREEDY = f"""RECURSIVE ga AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {', '.join(V.ORDER_KEY)}) AS k FROM points WHERE marker = 'GFP'),
+    gb AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {', '.join(V.ORDER_KEY)}) AS k FROM points WHERE marker = 'cFOS'),
+    near AS (SELECT a.image_id, a.k, any_value(a.l_orderkey) AS a_order, list(struct_pack(d := (a.x - b.x) ** 2 + (a.y - b.y) ** 2, k := b.k, o := b.l_orderkey)
+        ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.k) AS spots
+      FROM ga a JOIN gb b ON a.image_id = b.image_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 100 GROUP BY 1, 2),
+    turn AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY k) AS i FROM near),
+    walk AS (SELECT DISTINCT image_id, 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS a_order, NULL::BIGINT AS b_order, NULL::DOUBLE AS d FROM turn
+      UNION ALL SELECT image_id, i, CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit.k) END, a_order, hit.o, hit.d FROM (
+        SELECT w.image_id, t.i, w.taken, t.a_order, list_filter(t.spots, lambda s: NOT list_contains(w.taken, s.k))[1] AS hit
+        FROM walk w JOIN turn t ON t.image_id = w.image_id AND t.i = w.i + 1)),
+    matched AS (SELECT image_id, a_order, b_order, sqrt(d) AS dist FROM walk WHERE b_order IS NOT NULL)"""
+
+
+@query("greedy_nearest_match", f"WITH {GREEDY} SELECT image_id, a_order, b_order, {R('dist')} AS dist FROM matched", "points")
 def greedy_nearest_match(spark, d):
     m = P.greedy_nearest_match(keyed_points(spark, d, "GFP"), keyed_points(spark, d, "cFOS"), ["image_id"])
-    return m.select("image_id", F.col("a_key.l_orderkey").alias("a_order"), F.col("b_key.l_orderkey").alias("b_order"), "dist")
+    return m.select("image_id", F.col("a_key.l_orderkey").alias("a_order"), F.col("b_key.l_orderkey").alias("b_order"), rd("dist").alias("dist"))
 
 
-@query("colocalisation_counts")
+@query(
+    "colocalisation_counts",
+    f"""WITH {GREEDY}, n AS (SELECT image_id, count(*) FILTER (marker = 'GFP') AS g, count(*) FILTER (marker = 'cFOS') AS c FROM points GROUP BY 1),
+        q AS (SELECT image_id, g, c, coalesce(p, 0) AS p FROM n LEFT JOIN (SELECT image_id, count(*) AS p FROM matched GROUP BY 1) USING (image_id))
+        SELECT image_id, g AS total_gfp, c AS total_cfos, p AS double_positive, g - p AS gfp_only, c - p AS cfos_only FROM q""",
+    "points",
+)
 def colocalisation_counts(spark, d):
     m = P.greedy_nearest_match(keyed_points(spark, d, "GFP"), keyed_points(spark, d, "cFOS"), ["image_id"])
     return P.coloc_counts(V.points(spark, d), m)

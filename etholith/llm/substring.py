@@ -31,8 +31,10 @@ from etholith.llm.common import Words, binary, blocks, mix, query, signed, span_
 WIDTH = 35
 GRAM = 8
 FILTER_BITS = 26
-HOT = 20_000
+HOT = 2_000
 SHARD_WORDS = 400_000
+#: Segments copied out of a block at once.
+SLICE = 8_192
 
 
 # --- the index of one shard -----------------------------------------------------------------
@@ -256,8 +258,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, filter
                     continue
                 _, one, n = np.unique(content, return_index=True, return_counts=True)
                 flat, ws, we = words.joined()
-                seg = binary(flat, ws[start[one]], we[start[one] + count[one] + width - 2])
-                yield pa.record_batch({"key": signed(key[one]), "seg": seg, "n": n.astype(np.int64)})
+                for a in range(0, len(one), SLICE):
+                    part = one[a : a + SLICE]
+                    seg = binary(flat, ws[start[part]], we[start[part] + count[part] + width - 2])
+                    yield pa.record_batch({"key": signed(key[part]), "seg": seg, "n": n[a : a + SLICE].astype(np.int64)})
 
     def indexed(batches):
         held, size = [], 0

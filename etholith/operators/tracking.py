@@ -35,6 +35,8 @@ SKELETON = (
     ("spine_2", "right_bhip", 74.0),
     ("spine_2", "left_bhip", 77.2),
 )
+# Costs that differ by rounding only are a tie.
+TIE = 1e-9
 # Neighbours that add a cost while detections are assigned.
 COST_NEIGHBOURS = {
     "tail_2": (("tail_1", 102.4), ("tail_tip", 111.8)),
@@ -122,11 +124,11 @@ def detection_cost(obj: int, prefix: str = "") -> Column:
     return F.coalesce(F.col(f"{prefix}d{obj}"), F.col(f"{prefix}c{obj}"))
 
 
-def assign_pair(pair: DataFrame) -> DataFrame:
-    """Cheaper of the two exclusive assignments of detections ``a_*`` and ``b_*``; ties keep the first."""
+def assign_pair(pair: DataFrame, tie: float = TIE) -> DataFrame:
+    """Cheaper of the two exclusive assignments of detections ``a_*`` and ``b_*``; costs no more than ``tie`` apart keep the first."""
     straight = F.col("a_cost1") + F.col("b_cost2")
     crossed = F.col("a_cost2") + F.col("b_cost1")
-    first = straight <= crossed
+    first = straight - crossed <= tie
     return pair.withColumns(
         {
             "cost_straight": straight,
@@ -173,6 +175,7 @@ def assign_frames(
     neighbours: Mapping = COST_NEIGHBOURS,
     tolerance: float = TOLERANCE_PX,
     joint: str = "joint",
+    tie: float = TIE,
 ) -> DataFrame:
     """Object and reason for every detection; joints of a frame are settled in input order.
 
@@ -230,7 +233,7 @@ def assign_frames(
         def cost(d: Column, obj: int) -> Column:
             return d[f"k{obj}"] + _excess(state["one" if obj == 1 else "two"], j, d["x"], d["y"], neighbours)
 
-        straight = cost(p, 1) + cost(q, 2) <= cost(p, 2) + cost(q, 1)
+        straight = cost(p, 1) + cost(q, 2) - (cost(p, 2) + cost(q, 1)) <= tie
         decided = F.when(lone, p["alone"] == "obj1").otherwise(F.coalesce(straight, F.lit(True)))
 
         def settle(first: Column) -> Column:
@@ -305,7 +308,7 @@ def _swap_batches(joints: list, edges: list, rounds: int):
         for a, b, t in pairs:
             for i, k in ((a, b), (b, a)):
                 d = np.hypot(at[:, i, 0] - xy[:, k, 0], at[:, i, 1] - xy[:, k, 1])
-                ok[:, i] &= ~(d > t)  # an absent neighbour gives NaN and is no violation
+                ok[:, i] &= ~(d > t + TIE)  # an absent neighbour gives NaN and is no violation
         return ok
 
     def run(batches):

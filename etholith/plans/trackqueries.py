@@ -219,10 +219,7 @@ def pair_self_join(spark, d):
     "masks kpts",
 )
 def assign_pair(spark, d):
-    out = T.assign_pair(paired_detections(spark, d))
-    # Equal costs may differ in the last bit; they count as a tie, which keeps the first order.
-    tied = F.abs(F.col("cost_straight") - F.col("cost_crossed")) <= 1e-9
-    return out.groupBy("video_id", "joint", F.when(tied, "obj1").otherwise(F.col("a_assigned")).alias("a_assigned")).agg(
+    return T.assign_pair(paired_detections(spark, d)).groupBy("video_id", "joint", "a_assigned").agg(
         F.count("*").alias("n"), F.sum("frame_id").alias("sum_frame"), rd(F.sum(F.least("cost_straight", "cost_crossed"))).alias("cost")
     )
 
@@ -243,7 +240,37 @@ def assigned_frames(spark, d):
     return T.assign_frames(cut_lineage(evidence_of(spark, d)), ["video_id", "frame_id"], ORDER, CELL_NEIGHBOURS, tolerance=1.0)
 
 
-@query("assign_frames")
+def _stretch(d: str, o: int) -> str:
+    return f"coalesce(greatest(0, sqrt(({d}u - x{o}) ** 2 + ({d}v - y{o}) ** 2) - {CHAIN_LIMIT} / {CELL}), 0)"
+
+
+ASSIGNED = f"""RECURSIVE {EVIDENCE},
+    dt AS (SELECT *, u IS NULL OR v IS NULL AS blank, row_number() OVER (PARTITION BY video_id, frame_id, joint, u IS NULL OR v IS NULL
+      ORDER BY l_partkey, l_suppkey, l_extendedprice, subject) AS rn FROM ev),
+    lone AS (SELECT *, CASE WHEN oob THEN NULL WHEN in1 AND NOT in2 THEN 'obj1' WHEN in2 AND NOT in1 THEN 'obj2' WHEN in1 AND in2 THEN NULL
+      WHEN least(d1, d2) > 1 THEN NULL WHEN d1 < d2 THEN 'obj1' ELSE 'obj2' END AS by_mask,
+      CASE WHEN oob THEN 'out_of_bounds' WHEN in1 AND in2 THEN 'overlap' WHEN in1 OR in2 THEN 'mask_unique' WHEN least(d1, d2) > 1 THEN 'no_mask'
+      ELSE 'mask_nearest' END AS why FROM dt),
+    pq AS (SELECT video_id, frame_id, joint, max(u) FILTER (rn = 1) AS pu, max(v) FILTER (rn = 1) AS pv, max(d1) FILTER (rn = 1) AS p1, max(d2) FILTER (rn = 1) AS p2,
+      max(u) FILTER (rn = 2) AS qu, max(v) FILTER (rn = 2) AS qv, max(d1) FILTER (rn = 2) AS q1, max(d2) FILTER (rn = 2) AS q2,
+      max(coalesce(by_mask, CASE WHEN c1 < c2 THEN 'obj1' ELSE 'obj2' END)) FILTER (rn = 1) AS alone FROM lone WHERE NOT blank AND rn <= 2 GROUP BY 1, 2, 3),
+    walk AS (SELECT DISTINCT video_id, frame_id, 0::BIGINT AS joint, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, NULL::DOUBLE AS x2, NULL::DOUBLE AS y2, NULL::BOOLEAN AS straight FROM kpts
+      UNION ALL SELECT video_id, frame_id, joint, CASE WHEN first THEN pu ELSE qu END, CASE WHEN first THEN pv ELSE qv END,
+        CASE WHEN first THEN qu ELSE pu END, CASE WHEN first THEN qv ELSE pv END, first FROM (
+        SELECT w.video_id, w.frame_id, w.joint + 1 AS joint, pu, pv, qu, qv, CASE WHEN pu IS NULL THEN NULL WHEN qu IS NULL THEN alone = 'obj1'
+          ELSE (p1 + {_stretch('p', 1)} + q2 + {_stretch('q', 2)}) - (p2 + {_stretch('p', 2)} + q1 + {_stretch('q', 1)}) <= 1e-9 END AS first
+        FROM walk w LEFT JOIN pq ON pq.video_id = w.video_id AND pq.frame_id = w.frame_id AND pq.joint = w.joint + 1 WHERE w.joint < 7)),
+    given AS (SELECT l.*, CASE WHEN blank OR l.rn > 2 THEN NULL WHEN (l.rn = 1) = straight THEN 'obj1' ELSE 'obj2' END AS assigned,
+      CASE WHEN blank THEN 'nan_coords' WHEN l.rn > 2 THEN 'extra_detection' WHEN q1 IS NOT NULL THEN 'exclusive_pair'
+        WHEN by_mask IS NULL THEN why || '_centroid_fallback' ELSE why END AS reason
+      FROM lone l LEFT JOIN walk USING (video_id, frame_id, joint) LEFT JOIN pq USING (video_id, frame_id, joint))"""
+
+
+@query(
+    "assign_frames",
+    f"WITH {ASSIGNED} SELECT joint, subject, assigned, reason, count(*) AS n, CAST(sum(frame_id) AS BIGINT) AS sum_frame FROM given GROUP BY 1, 2, 3, 4",
+    "masks kpts",
+)
 def assign_frames(spark, d):
     return assigned_frames(spark, d).groupBy("joint", "subject", "assigned", "reason").agg(
         F.count("*").alias("n"), F.sum("frame_id").alias("sum_frame")
@@ -302,7 +329,44 @@ def toggle_range_swap(spark, d):
     )
 
 
-@query("anatomical_swap")
+def _keeps(at: str, around: str, limit: str) -> str:
+    """Whether joint ``j`` at the place ``at`` has of it stays within reach of the neighbours ``around`` has."""
+    far = [f"coalesce(({at}x[j] - {around}x[j {o} 1]) ** 2 + ({at}y[j] - {around}y[j {o} 1]) ** 2 > ({limit} + 1e-9) ** 2, false)" for o in "-+"]
+    return f"NOT ({far[0]} OR {far[1]})"
+
+
+def _with_joint(own: str, other: str) -> str:
+    return f"CASE WHEN k IS NULL THEN {own} ELSE list_transform(range(1, 8), lambda i: CASE WHEN i = k THEN {other}[i] ELSE {own}[i] END) END"
+
+
+def swaps_sql(points: str, limit: str = f"{CHAIN_LIMIT}") -> str:
+    """``exchanged`` (video_id, frame_id, joints): joints in the order of their exchanges, from ``points`` (.., side, joint, px, py).
+
+    One side at a time takes its turn; two turns without an exchange end a frame, and ten rounds do.
+    """
+    lists = ", ".join(f"list_transform(range(1, 8), lambda i: map_extract_value(map_from_entries(list(({'joint'}, {c})) FILTER (side = {s})), i)) AS {n}{c[1]}"
+                      for s, n in ((0, "o"), (1, "p")) for c in ("px", "py"))
+    return f"""start AS (SELECT video_id, frame_id, {lists} FROM {points} GROUP BY 1, 2 HAVING min(side) < max(side)),
+    turns AS (SELECT video_id, frame_id, 0 AS t, ox, oy, px, py, []::BIGINT[] AS joints, 0 AS idle FROM start
+      UNION ALL SELECT video_id, frame_id, t + 1, {_with_joint('px', 'ox')}, {_with_joint('py', 'oy')}, {_with_joint('ox', 'px')}, {_with_joint('oy', 'py')},
+        CASE WHEN k IS NULL THEN joints ELSE list_append(joints, k) END,
+        CASE WHEN k IS NOT NULL THEN 0 ELSE idle + 1 END FROM (
+        SELECT *, list_filter(range(1, 8), lambda j: ox[j] IS NOT NULL AND px[j] IS NOT NULL AND NOT ({_keeps('o', 'o', limit)}) AND {_keeps('p', 'o', limit)} AND {_keeps('o', 'p', limit)})[1] AS k
+        FROM turns WHERE t < 20 AND NOT (t % 2 = 0 AND idle >= 2))),
+    exchanged AS (SELECT video_id, frame_id, arg_max(joints, t) AS joints FROM turns GROUP BY 1, 2)"""
+
+
+SWAP_POINTS = """lp AS (SELECT video_id, frame_id, joint, CASE subject WHEN 's1' THEN 0 ELSE 1 END AS side, x AS px, y AS py FROM (SELECT *, row_number() OVER (
+    PARTITION BY video_id, frame_id, subject, joint ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM kpts WHERE x IS NOT NULL AND y IS NOT NULL) WHERE rn = 1)"""
+
+
+@query(
+    "anatomical_swap",
+    f"""WITH RECURSIVE {SWAP_POINTS}, {swaps_sql('lp')}
+        SELECT subject AS subject_corrected, joint, CASE WHEN coalesce(list_contains(joints, joint), false) THEN 'anat_swap' ELSE 'exclusive_pair' END AS reason,
+        count(*) AS n, CAST(sum(frame_id) AS BIGINT) AS sum_frame FROM kpts LEFT JOIN exchanged USING (video_id, frame_id) GROUP BY 1, 2, 3""",
+    "kpts",
+)
 def anatomical_swap(spark, d):
     rows = V.keypoints(spark, d, spread_out=True).withColumnRenamed("subject", "subject_corrected").withColumn("reason", F.lit("exclusive_pair"))
     order = ["joint", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -364,13 +428,34 @@ def removed_details(spark, d):
     return rounded(out, "x_original", "y_original", "likelihood_original")
 
 
-@query("repair_tracks")
+REPAIRED = f"""{ASSIGNED},
+    ow AS (SELECT *, CASE assigned WHEN 'obj1' THEN 's1' WHEN 'obj2' THEN 's2' ELSE subject END AS sc FROM given),
+    lp AS (SELECT *, CASE sc WHEN 's1' THEN 0 ELSE 1 END AS side, u AS px, v AS py FROM ow WHERE NOT blank
+      QUALIFY row_number() OVER (PARTITION BY video_id, frame_id, sc, joint ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, subject DESC) = 1),
+    {swaps_sql('lp', f'{CHAIN_LIMIT} / {CELL}')},
+    hit AS (SELECT ow.*, len(list_filter(coalesce(joints, []), lambda i: i = joint)) AS n_swaps, CASE sc WHEN 's1' THEN 0 ELSE 1 END AS side
+      FROM ow LEFT JOIN exchanged USING (video_id, frame_id)),
+    mv AS (SELECT h.video_id, h.frame_id, h.joint, h.subject, h.sc, CASE WHEN n_swaps > 0 THEN 'anat_swap' ELSE h.reason END AS reason,
+      {', '.join(f'CASE WHEN n_swaps > 0 THEN l.{c} ELSE h.{c} END AS {c}' for c in ('u', 'v', 'likelihood', 'oob', 'in1', 'in2', 'd1', 'd2'))}
+      FROM hit h LEFT JOIN lp l ON n_swaps > 0 AND l.video_id = h.video_id AND l.frame_id = h.frame_id AND l.joint = h.joint
+        AND l.side = CASE WHEN n_swaps % 2 = 1 THEN 1 - h.side ELSE h.side END),
+    st AS (SELECT *, CASE WHEN u IS NULL THEN 'not_checked' WHEN joint = 1 THEN 'kept_protected' WHEN oob THEN 'removed'
+      WHEN CASE sc WHEN 's1' THEN in1 ELSE in2 END THEN 'kept' WHEN CASE sc WHEN 's1' THEN d1 ELSE d2 END <= 1 THEN 'kept' ELSE 'removed' END AS mask_status FROM mv)"""
+
+
+@query(
+    "repair_tracks",
+    f"""WITH {REPAIRED} SELECT video_id, frame_id, joint, subject, sc AS subject_corrected, CASE WHEN mask_status <> 'removed' THEN {R('u')} END AS x,
+        CASE WHEN mask_status <> 'removed' THEN {R('v')} END AS y, CASE WHEN mask_status = 'removed' THEN 0.0 ELSE {R('likelihood')} END AS likelihood, reason, mask_status FROM st""",
+    "masks kpts",
+)
 def repair(spark, d):
     out = repair_tracks(
         cell_points(spark, d), slots(spark, d), ["slot"], SIZE, SIZE, ORDER, JOINTS, {"obj1": "s1", "obj2": "s2"},
         CELL_CHAIN, CELL_NEIGHBOURS, 1.0, protected=(1,),
     )
-    return out.select("video_id", "frame_id", "joint", "subject", "subject_corrected", "x", "y", "likelihood", "reason", "mask_status")
+    out = out.select("video_id", "frame_id", "joint", "subject", "subject_corrected", "x", "y", "likelihood", "reason", "mask_status")
+    return rounded(out, "x", "y").withColumn("likelihood", F.when(F.col("mask_status") == "removed", 0.0).otherwise(rd("likelihood")))
 
 
 DEDUPED = """dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id, subject, joint

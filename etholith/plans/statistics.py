@@ -456,24 +456,33 @@ def _below_sql(x: str) -> str:
     return f"(CASE WHEN {x} < 0 THEN {upper_tail_sql(f'abs({x})')} ELSE 1e0 - {upper_tail_sql(f'abs({x})')} END)"
 
 
-@query(
-    "bca_ci_mean",
-    f"""WITH v AS (SELECT row_number() OVER (ORDER BY animal_id) - 1 AS idx, (o - coalesce(chance, 0))::DOUBLE AS x, count(*) OVER () AS n FROM ({ROLLED})),
-        a AS (SELECT rep, draw, n, (48271 * rep + 16807 * draw + 69621 + 12345) % 2147483647 AS h1 FROM (SELECT max(n) AS n FROM v), range(1, 2001) r(rep), range(0, n) q(draw)),
+# Row numbers drawn by replicate ``rep`` out of ``n`` rows, as the counter hash draws them.
+DRAWS = """a AS (SELECT rep, draw, n, (48271 * rep + 16807 * draw + 69621 + 12345) % 2147483647 AS h1 FROM (SELECT max(n) AS n FROM v), range(1, 2001) r(rep), range(0, n) q(draw)),
         b AS (SELECT *, (h1 * h1) % 2147483647 AS h2 FROM a), c AS (SELECT *, (48271 * h2 + 16807 * h1 + 1013904223) % 2147483647 AS h3 FROM b),
-        e AS (SELECT rep, (((h3 * h3) % 2147483647 + 31 * h1) % 2147483647) % n AS idx FROM c),
-        m AS (SELECT rep, avg(x) AS mean FROM e JOIN v USING (idx) GROUP BY rep),
-        s AS (SELECT count(*) AS n, avg(x) AS theta, min(x) = max(x) AS flat FROM v),
-        j AS (SELECT any_value(s.n) AS n, any_value(theta) AS theta, any_value(flat) AS flat, -sum((theta - x) ** 3) / (6 * sum((theta - x) ** 2) ** 1.5) AS accel FROM v, s),
-        p0 AS (SELECT j.*, (SELECT count(*) FILTER (mean < theta) / count(*)::DOUBLE FROM m) AS below, (SELECT list(mean ORDER BY mean) FROM m) AS reps FROM j),
+        e AS (SELECT rep, (((h3 * h3) % 2147483647 + 31 * h1) % 2147483647) % n AS idx FROM c)"""
+
+
+def _bca_sql(digits: int) -> str:
+    """Bounds from ``m`` (rep, stat) and ``j`` (n, theta, flat, accel)."""
+    at = "reps[floor({0})::INTEGER + 1] + ({0} - floor({0})) * (reps[ceil({0})::INTEGER + 1] - reps[floor({0})::INTEGER + 1])"
+    return f"""p0 AS (SELECT j.*, (SELECT count(*) FILTER (stat < theta) / count(*)::DOUBLE FROM m) AS below, (SELECT list(stat ORDER BY stat) FROM m) AS reps FROM j),
         p1 AS (SELECT *, {normal_start_sql('below')} AS x0 FROM p0), p2 AS (SELECT *, {normal_step_sql('below', 'x0')} AS e0 FROM p1),
         p3 AS (SELECT *, x0 - e0 / (1 + x0 * e0 / 2) AS z0 FROM p2),
         p4 AS (SELECT *, z0 - 1.9599639845400545 AS zl, z0 + 1.9599639845400545 AS zh FROM p3),
         p5 AS (SELECT *, z0 + zl / (1 - accel * zl) AS ul, z0 + zh / (1 - accel * zh) AS uh FROM p4),
         p6 AS (SELECT *, (len(reps) - 1) * {_below_sql('ul')} AS il, (len(reps) - 1) * {_below_sql('uh')} AS ih FROM p5),
-        p7 AS (SELECT *, reps[floor(il)::INTEGER + 1] + (il - floor(il)) * (reps[ceil(il)::INTEGER + 1] - reps[floor(il)::INTEGER + 1]) AS lo,
-          reps[floor(ih)::INTEGER + 1] + (ih - floor(ih)) * (reps[ceil(ih)::INTEGER + 1] - reps[floor(ih)::INTEGER + 1]) AS hi FROM p6)
-        SELECT n, {R('theta', 5)} AS theta, CASE WHEN n >= 3 AND NOT flat THEN {R('lo', 5)} END AS ci_low, CASE WHEN n >= 3 AND NOT flat THEN {R('hi', 5)} END AS ci_high FROM p7""",
+        p7 AS (SELECT *, {at.format('il')} AS lo, {at.format('ih')} AS hi FROM p6)
+        SELECT n, {R('theta', digits)} AS theta, CASE WHEN n >= 3 AND NOT flat THEN {R('lo', digits)} END AS ci_low,
+        CASE WHEN n >= 3 AND NOT flat THEN {R('hi', digits)} END AS ci_high FROM p7"""
+
+
+@query(
+    "bca_ci_mean",
+    f"""WITH v AS (SELECT row_number() OVER (ORDER BY animal_id) - 1 AS idx, (o - coalesce(chance, 0))::DOUBLE AS x, count(*) OVER () AS n FROM ({ROLLED})),
+        {DRAWS}, m AS (SELECT rep, avg(x) AS stat FROM e JOIN v USING (idx) GROUP BY rep),
+        s AS (SELECT count(*) AS n, avg(x) AS theta, min(x) = max(x) AS flat FROM v),
+        j AS (SELECT any_value(s.n) AS n, any_value(theta) AS theta, any_value(flat) AS flat, -sum((theta - x) ** 3) / (6 * sum((theta - x) ** 2) ** 1.5) AS accel FROM v, s),
+        {_bca_sql(5)}""",
     "counts",
 )
 def bca_ci_mean(spark, d):
@@ -482,10 +491,28 @@ def bca_ci_mean(spark, d):
     return rounded(out, "theta", "ci_low", "ci_high", digits=5)
 
 
-@query("bca_ci_ccc")
+def _ccc_sql(n: str, sx: str, sy: str, sxx: str, syy: str, sxy: str) -> str:
+    return f"2 * ({sxy} - {sx} * {sy} / {n}) / ({sxx} - {sx} * {sx} / {n} + {syy} - {sy} * {sy} / {n} + (({sx} - {sy}) / {n}) ** 2 * ({n} - 1))"
+
+
+@query(
+    "bca_ci_ccc",
+    f"""WITH an AS (SELECT animal_id, sum(manual_total) AS p, sum(auto_total) AS q FROM counts GROUP BY 1),
+        v AS (SELECT row_number() OVER (ORDER BY animal_id) - 1 AS idx, p - avg(p) OVER () AS x, q - avg(p) OVER () AS y, count(*) OVER () AS n FROM an),
+        {DRAWS}, k AS (SELECT rep, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM e JOIN v USING (idx) GROUP BY rep),
+        m AS (SELECT rep, {_ccc_sql('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS stat FROM k),
+        w AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy,
+          min(x) = max(x) AND min(y) = max(y) AS flat FROM v),
+        l AS (SELECT w.n, flat, {_ccc_sql('w.n', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS theta,
+          {_ccc_sql('(w.n - 1)', '(sx - x)', '(sy - y)', '(sxx - x * x)', '(syy - y * y)', '(sxy - x * y)')} AS loo FROM v, w),
+        g AS (SELECT *, avg(loo) OVER () - loo AS d FROM l),
+        j AS (SELECT any_value(n)::BIGINT AS n, any_value(theta) AS theta, any_value(flat) AS flat, sum(d ** 3) / (6 * sum(d ** 2) ** 1.5) AS accel FROM g),
+        {_bca_sql(6)}""",
+    "counts",
+)
 def bca_ci_ccc(spark, d):
     animals = V.counts(spark, d).groupBy("animal_id").agg(F.sum("manual_total").alias("m"), F.sum("auto_total").alias("a"))
-    return B.bca_ci_ccc(animals, [], "m", "a", ["animal_id"])
+    return rounded(B.bca_ci_ccc(animals, [], "m", "a", ["animal_id"]), "theta", "ci_low", "ci_high")
 
 
 # ---------------------------------------------------------------- spatial

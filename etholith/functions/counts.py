@@ -42,9 +42,10 @@ def density_mm2(count: Column, area_um2: Column) -> Column:
     return ratio(count, area_um2 / F.lit(1e6))
 
 
-def overlap_index(both: Column, chance: Column, a_total: Column, b_total: Column) -> Column:
-    """0 at chance level, 1 at the largest possible overlap."""
-    return ratio(both - chance, F.least(a_total, b_total) - chance)
+def overlap_index(both: Column, chance: Column, a_total: Column, b_total: Column, noise: float = 1e-9) -> Column:
+    """0 at chance level, 1 at the largest possible overlap; NULL where ``noise`` or less is left between them."""
+    room = F.least(a_total, b_total) - chance
+    return F.when(F.abs(room) > noise, ratio(both - chance, room))
 
 
 def direction(delta: Column) -> Column:

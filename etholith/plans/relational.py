@@ -494,13 +494,14 @@ def rollup_of(spark, d, by=("animal_id",)):
     f"""SELECT animal_id, n_images, n_images AS n_manual, a AS manual_a_only, b AS manual_b_only, o AS manual_both, {R('area', 2)} AS area_um2,
         ta AS manual_a_total, tb AS manual_b_total, n AS manual_n_cells, {R('chance')} AS manual_chance_overlap,
         {R('100 * o / nullif(ta, 0)')} AS manual_overlap_pct_a, {R('100 * o / nullif(tb, 0)')} AS manual_overlap_pct_b,
+        CASE WHEN abs(least(ta, tb) - chance) > 1e-9 THEN {R('(o - chance) / (least(ta, tb) - chance)')} END AS manual_overlap_index,
         {R('100 * o / nullif(n, 0)')} AS manual_coloc_pct, {R('ta / nullif(area / 1e6, 0)')} AS manual_a_density,
         {R('tb / nullif(area / 1e6, 0)')} AS manual_b_density, {R('o / nullif(area / 1e6, 0)')} AS manual_both_density FROM ({ROLLED})""",
     "counts",
 )
 def animal_rollup(spark, d):
-    out = rollup_of(spark, d).drop("manual_overlap_index")
-    names = [c for c in out.columns if c.endswith(("_overlap", "_pct_a", "_pct_b", "_pct", "_density"))]
+    out = rollup_of(spark, d)
+    names = [c for c in out.columns if c.endswith(("_overlap", "_pct_a", "_pct_b", "_pct", "_density", "_index"))]
     return rounded(rounded(out, *names), "area_um2", digits=2)
 
 

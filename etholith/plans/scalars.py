@@ -290,9 +290,7 @@ def count_totals(spark, d):
 def overlap_index(spark, d):
     t = C.count_totals(*_triple())
     chance = C.chance_overlap(t["a_total"], t["b_total"], t["n_cells"])
-    room = F.least(t["a_total"], t["b_total"]) - chance
-    # Rounding noise in the denominator is no room for overlap.
-    idx = F.when(F.abs(room) > 1e-9, C.overlap_index(F.col("both_n"), chance, t["a_total"], t["b_total"]))
+    idx = C.overlap_index(F.col("both_n"), chance, t["a_total"], t["b_total"])
     return (
         V.counts(spark, d)
         .withColumn("idx", idx)

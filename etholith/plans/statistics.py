@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from etholith import views as V
@@ -576,6 +578,12 @@ def colocalisation_counts(spark, d):
 
 
 N_ROT = 20
+def rotated_sql(radius: int, tag: str = "") -> str:
+    """Rotation counts ``o``, observed counts ``re`` at ``radius``; names end in ``tag``."""
+    text = ROTATED.replace("<= 100)", f"<= {radius * radius})").replace("** 2) <= 10)", f"** 2) <= {radius})")
+    return re.sub(r"\b(g|t|q|h|o|re) AS \(", rf"\1{tag} AS (", re.sub(r"\b(FROM|JOIN) (g|t|q|h|o)\b", rf"\1 \2{tag}", text)).replace("q.image_id", f"q{tag}.image_id").replace("t.image_id, t.rotation", f"t{tag}.image_id, t{tag}.rotation")
+
+
 ROTATED = f"""g AS (SELECT image_id, avg(x) FILTER (marker = 'GFP') AS cx, avg(y) FILTER (marker = 'GFP') AS cy FROM points GROUP BY 1
       HAVING count(*) FILTER (marker = 'GFP') >= 2 AND count(*) FILTER (marker = 'cFOS') >= 2),
     t AS (SELECT image_id, cx, cy, rotation, ((image_id * 37 + rotation * 171) % 3600) / 10.0::DOUBLE AS a FROM g, range(1, {N_ROT + 1}) r(rotation)),
@@ -619,6 +627,31 @@ def null_distribution(spark, d):
     return B.null_distribution(turned, real, ["image_id"])
 
 
-@query("real_vs_chance")
+def _tested(radius: int) -> str:
+    tag = f"_{radius}"
+    return f"""{rotated_sql(radius, tag)}, pt{tag} AS (SELECT count(*) AS n_tested, count(*) FILTER (p < 0.05) AS n_sig FROM (
+        SELECT image_id, least(1.0, 2 * least((count(*) FILTER (overlap >= r) + 1) / (count(*) + 1), (count(*) FILTER (overlap <= r) + 1) / (count(*) + 1))) AS p
+        FROM (SELECT o.image_id, overlap, coalesce(real_overlap, 0) AS r FROM o{tag} o LEFT JOIN re{tag} w USING (image_id)) GROUP BY 1))"""
+
+
+@query(
+    "real_vs_chance",
+    f"""WITH ro AS ({ROLLED}), {_signed_rank_sql("SELECT o::DOUBLE AS x, coalesce(chance, 0)::DOUBLE AS y FROM ro").replace("t AS (SELECT", "sr AS (SELECT")},
+        v AS (SELECT row_number() OVER (ORDER BY animal_id) - 1 AS idx, (o - coalesce(chance, 0))::DOUBLE AS x, count(*) OVER () AS n FROM ro),
+        {DRAWS}, m AS (SELECT rep, avg(x) AS stat FROM e JOIN v USING (idx) GROUP BY rep),
+        w0 AS (SELECT count(*) AS n, avg(x) AS theta, min(x) = max(x) AS flat, stddev_samp(x) AS sd FROM v),
+        j AS (SELECT any_value(w0.n) AS n, any_value(theta) AS theta, any_value(flat) AS flat, -sum((theta - x) ** 3) / (6 * sum((theta - x) ** 2) ** 1.5) AS accel FROM v, w0),
+        bca AS (WITH {_bca_sql(5)}), tt AS (SELECT theta / (sd / sqrt(n)) AS t, (n - 1)::DOUBLE AS dof FROM w0),
+        {_tested(5)}, {_tested(10)}
+        SELECT n_pairs, {R('z')} AS wilcoxon_z, {R('abs(z / sqrt(n_pairs))')} AS effect_r, {R(normal_two_sided_sql('z'))} AS wilcoxon_p, 'normal' AS method,
+        {R('tt.t')} AS t, dof::BIGINT AS dof, {R(t_two_sided_sql('tt.t', 'dof'))} AS t_p, bca.theta AS mean_diff, ci_low, ci_high,
+        (SELECT {R('avg(CASE WHEN abs(least(ta, tb) - chance) > 1e-9 THEN (o - chance) / (least(ta, tb) - chance) END)', 5)} FROM ro) AS mean_overlap_index,
+        pt_5.n_tested AS n_tested_5, pt_5.n_sig AS n_sig_5, pt_10.n_tested AS n_tested_10, pt_10.n_sig AS n_sig_10 FROM sr, tt, bca, pt_5, pt_10""",
+    "points counts",
+)
 def real_vs_chance(spark, d):
-    return study.real_vs_chance(rollup_of(spark, d), V.points(spark, d), "image_id", n_rotations=N_ROT)
+    out = study.real_vs_chance(
+        rollup_of(spark, d), V.points(spark, d), "image_id", n_rotations=N_ROT, method="normal", angles=table_angles(spark, d)
+    )
+    out = rounded(out, "wilcoxon_z", "effect_r", "wilcoxon_p", "t", "t_p")
+    return rounded(out, "mean_diff", "ci_low", "ci_high", "mean_overlap_index", digits=5)

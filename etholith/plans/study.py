@@ -65,6 +65,7 @@ def real_vs_chance(
     n_rotations: int = B.ROTATIONS,
     reps: int = B.REPLICATES,
     method: str = "exact",
+    angles: DataFrame | None = None,
 ) -> DataFrame:
     """One row: paired tests, bootstrap interval, overlap index and rotation-null summary."""
     pairs = real_chance_pairs(animals, "manual_both", "manual_chance_overlap")
@@ -80,7 +81,7 @@ def real_vs_chance(
     out = wilcoxon
     extra = [t, ci, index]
     for r in radii:
-        p = B.rotation_null(points, [group], r, n_rotations)
+        p = B.rotation_null(points, [group], r, n_rotations, angles=angles)
         extra.append(
             p.agg(
                 F.count("p_value").alias(f"n_tested_{int(r)}"),

@@ -144,7 +144,27 @@ def _outline(on: np.ndarray) -> tuple:
     return ex.astype("float64"), ey.astype("float64"), len(xs), float(xs.mean()), float(ys.mean())
 
 
-def outline(mask: Column, h: int, w: int, packed: bool = False) -> Column:
+def _column(value: Column | int) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+@pandas_udf(ArrayType(LongType()))
+def _words(packed: pd.Series, n: pd.Series) -> pd.Series:
+    def of(value, size: int) -> np.ndarray:
+        bits = np.zeros(-(-size // WORD_BITS) * WORD_BITS, np.uint8)
+        flat = np.unpackbits(np.frombuffer(value, dtype=np.uint8))[:size]
+        bits[: len(flat)] = flat
+        return np.packbits(bits, bitorder="little").view("<u4").astype("int64")
+
+    return pd.Series([None if v is None else of(v, int(k)) for v, k in zip(packed, n)])
+
+
+def to_words(packed: Column, h: Column | int, w: Column | int) -> Column:
+    """The word form of a packed mask; height and width may differ by row."""
+    return _words(packed, (_column(h) * _column(w)).cast("long"))
+
+
+def outline(mask: Column, h: Column | int, w: Column | int, packed: bool = False) -> Column:
     """Struct (edge_x, edge_y, area, cx, cy) of a word mask, or of a packed one.
 
     One mask per row, decoded in tasks from Arrow batches. The nearest set pixel
@@ -152,16 +172,16 @@ def outline(mask: Column, h: int, w: int, packed: bool = False) -> Column:
     small part of a large mask.
     """
 
-    def bits(value) -> np.ndarray:
+    def bits(value, rows: int, columns: int) -> np.ndarray:
         if packed:
             flat = np.unpackbits(np.frombuffer(value, dtype=np.uint8))
         else:
             flat = np.unpackbits(np.asarray(value).astype("<u4").view(np.uint8), bitorder="little")
-        return flat[: h * w].reshape(h, w).astype(bool)
+        return flat[: rows * columns].reshape(rows, columns).astype(bool)
 
     @pandas_udf(OUTLINE)
-    def of(values: pd.Series) -> pd.DataFrame:
-        rows = [(None,) * 5 if v is None else _outline(bits(v)) for v in values]
+    def of(values: pd.Series, hs: pd.Series, ws: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 5 if v is None else _outline(bits(v, int(a), int(b))) for v, a, b in zip(values, hs, ws)]
         return pd.DataFrame(rows, columns=OUTLINE.fieldNames())
 
-    return of(mask)
+    return of(mask, _column(h).cast("long"), _column(w).cast("long"))

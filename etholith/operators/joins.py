@@ -106,9 +106,18 @@ def bout_bin_join(bouts: DataFrame, width: float = 30.0) -> DataFrame:
     )
 
 
-def frame_cogroup(keypoints: DataFrame, mask_frames: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keypoints beside the two masks of their frame; frames without masks keep NULLs."""
-    return keypoints.join(mask_frames, list(on), "left")
+def frame_cogroup(keypoints: DataFrame, mask_frames: DataFrame, on: Sequence[str], centroids: DataFrame | None = None) -> DataFrame:
+    """Keypoints beside the two masks of their frame; frames without masks keep NULLs.
+
+    ``centroids`` (the key, obj_id, x, y; one row per object) add the stored tracks as ``t1``, ``t2``.
+    """
+    on = list(on)
+    frames = mask_frames
+    if centroids is not None:
+        spot = F.struct("x", "y")
+        tracks = centroids.groupBy(*on).agg(*[F.first(F.when(F.col("obj_id") == o, spot), ignorenulls=True).alias(f"t{o}") for o in (1, 2)])
+        frames = mask_frames.join(tracks, on, "full")
+    return keypoints.join(frames, on, "left")
 
 
 def roi_attach(images: DataFrame, rois: DataFrame, prefix: str = "prefix") -> DataFrame:

@@ -46,14 +46,22 @@ COST_NEIGHBOURS = {
 }
 
 
-def mask_frames(masks: DataFrame, key: Sequence[str], h: int, w: int, obj: str = "obj_id") -> DataFrame:
-    """One row per frame: words, edge pixels and centroid of both objects.
+def mask_frames(masks: DataFrame, key: Sequence[str], h: int | None = None, w: int | None = None, obj: str = "obj_id") -> DataFrame:
+    """One row per frame: words, size, edge pixels and centroid of both objects.
 
-    Per-mask work happens here, once, before any keypoint is joined.
+    ``masks`` has ``words``, or ``packed`` as :func:`etholith.sources.files.read_mask_shards` returns
+    it. Without ``h`` and ``w`` the sizes are its columns of these names, row by row. Per-mask work
+    happens here, once, before any keypoint is joined.
     """
-    seen = masks.withColumn("_o", M.outline(F.col("words"), h, w))
+    high = F.col("h") if h is None else F.lit(h)
+    wide = F.col("w") if w is None else F.lit(w)
+    if "words" not in masks.columns:
+        masks = masks.withColumn("words", M.to_words(F.col("packed"), high, wide))
+    seen = masks.withColumn("_o", M.outline(F.col("words"), high, wide))
     picked = F.struct(
         F.col("words").alias("words"),
+        high.cast("long").alias("h"),
+        wide.cast("long").alias("w"),
         *[F.col(f"_o.{c}").alias(c) for c in ("edge_x", "edge_y", "cx", "cy")],
     )
     return seen.groupBy(*key).agg(
@@ -64,23 +72,29 @@ def mask_frames(masks: DataFrame, key: Sequence[str], h: int, w: int, obj: str =
 EVIDENCE = ("oob", *[f"{c}{o}" for o in (1, 2) for c in ("has", "in", "d", "c")])
 
 
-def mask_evidence(rows: DataFrame, h: int, w: int) -> DataFrame:
+def mask_evidence(rows: DataFrame, h: int | None = None, w: int | None = None) -> DataFrame:
     """What each keypoint sees of the two masks of its frame, in place of the masks.
 
     ``oob``; per object: ``has`` (a mask is there), ``in``, mask distance ``d``
     (NULL for an empty mask) and centroid distance ``c`` (NULL without one). The
     mask payload ends here: later shuffles carry a few numbers per keypoint.
+    Without ``h`` and ``w`` the frame's own mask size holds; a stored centroid
+    (``t1``, ``t2`` of ``frame_cogroup``) goes before the mean of the mask.
     """
+    high = F.coalesce("m1.h", "m2.h") if h is None else F.lit(h)
+    wide = F.coalesce("m1.w", "m2.w") if w is None else F.lit(w)
     px, py = M.pixel_of(F.col("x")), M.pixel_of(F.col("y"))
-    inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
-    out = rows.withColumn("oob", ~inside).withColumn("_at", F.when(inside, py * w + px))
+    inside = (px >= 0) & (px < wide) & (py >= 0) & (py < high)
+    out = rows.withColumn("oob", ~inside).withColumn("_at", F.when(inside, py * wide + px))
     for o in (1, 2):
         side = F.col(f"m{o}")
+        tracked = f"t{o}" in rows.columns
+        cx, cy = (F.coalesce(f"t{o}.{c}", f"m{o}.c{c}") if tracked else side[f"c{c}"] for c in "xy")
         out = out.withColumns(
             {
                 f"has{o}": side.isNotNull(),
                 f"in{o}": M.word_bit(side["words"], F.col("_at")),
-                f"c{o}": F.hypot(F.col("x") - side["cx"], F.col("y") - side["cy"]),
+                f"c{o}": F.hypot(F.col("x") - cx, F.col("y") - cy),
             }
         )
         # The pixel under a point inside the mask is its nearest one.
@@ -88,7 +102,7 @@ def mask_evidence(rows: DataFrame, h: int, w: int) -> DataFrame:
         out = out.withColumn(
             f"d{o}", F.when(F.col(f"in{o}"), own).otherwise(M.nearest(side["edge_x"], side["edge_y"], F.col("x"), F.col("y")))
         )
-    return out.drop("_at", "m1", "m2")
+    return out.drop("_at", "m1", "m2", "t1", "t2")
 
 
 def assign_single(tolerance: float = TOLERANCE_PX) -> Column:

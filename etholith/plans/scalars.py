@@ -477,14 +477,9 @@ def unpack_centroid(spark, d):
         FROM (SELECT vec_id, embedding, unnest(range(-1, 9)) AS px FROM embeddings), range(-1, 9) t(py)""",
 )
 def mask_bit(spark, d):
-    def byte(row: int):
-        bits = [F.when(M.word_bit(F.col("words"), F.lit(row * 8 + c)), 1 << (7 - c)).otherwise(0) for c in range(8)]
-        return F.lpad(F.hex(sum(bits[1:], bits[0])), 2, "0")
-
-    packed = F.unhex(F.concat(*[byte(r) for r in range(8)]))
     axis = F.sequence(F.lit(-1).cast("long"), F.lit(8).cast("long"))
     probes = (
-        V.masks(spark, d).select("vec_id", packed.alias("packed"))
+        V.masks(spark, d).select("vec_id", V.packed(F.col("words")).alias("packed"))
         .withColumn("px", F.explode(axis)).withColumn("py", F.explode(axis))
     )
     return probes.select("vec_id", "px", "py", M.mask_bit(F.col("packed"), 8, 8, F.col("px"), F.col("py")).alias("is_set"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from etholith import views as V
@@ -14,7 +16,8 @@ from etholith.operators import windows as W
 from etholith.operators.filters import likelihood_gate
 from etholith.plans.register import R, query, rd, rounded
 from etholith.plans.repair import repair_tracks
-from etholith.session import cut_lineage
+from etholith.session import cut_lineage, shared_dir
+from etholith.sources.sinks import write_mask_shards
 
 # The keypoint view in mask units: an 8x8 mask covers 576 px, so one cell is 72 px.
 CELL = 72.0
@@ -450,14 +453,32 @@ REPAIRED = f"""{ASSIGNED},
     "masks kpts",
 )
 def repair(spark, d):
+    return _repaired(spark, d, slots(spark, d), SIZE, SIZE)
+
+
+def _repaired(spark, d, frames, h, w):
     out = repair_tracks(
-        cell_points(spark, d), slots(spark, d), ["slot"], SIZE, SIZE, ORDER, JOINTS, {"obj1": "s1", "obj2": "s2"},
+        cell_points(spark, d), frames, ["slot"], h, w, ORDER, JOINTS, {"obj1": "s1", "obj2": "s2"},
         CELL_CHAIN, CELL_NEIGHBOURS, 1.0, protected=(1,),
     )
     out = out.select("video_id", "frame_id", "joint", "subject", "subject_corrected", "x", "y", "likelihood", "reason", "mask_status")
     return rounded(out, "x", "y").withColumn("likelihood", F.when(F.col("mask_status") == "removed", 0.0).otherwise(rd("likelihood")))
 
 
+@query("repair_from_shards", f"WITH {REPAIRED} SELECT reason, mask_status, count(*) AS n, CAST(sum(frame_id) AS BIGINT) AS sum_frame FROM st GROUP BY 1, 2", "masks kpts")
+def repair_from_shards(spark, d):
+    """Masks written as packed shards to the shared folder, read again, and repaired with their own sizes."""
+    folder = f"{shared_dir(spark)}/mask-shards-{uuid.uuid4().hex}"
+    rows = V.masks(spark, d).select(
+        (F.floor(F.col("vec_id") / 2) % 4).alias("animal"), F.floor(F.col("vec_id") / 2).cast("long").alias("frame_id"),
+        (F.col("vec_id") % 2 + 1).alias("obj_id"), F.lit(SIZE).alias("h"), F.lit(SIZE).alias("w"), V.packed(F.col("words")).alias("packed"),
+    )
+    write_mask_shards(rows, folder)
+    back = spark.read.parquet(folder).withColumnRenamed("frame_id", "slot")
+    out = _repaired(spark, d, T.mask_frames(back, ["slot"]), None, None)
+    return out.groupBy("reason", "mask_status").agg(F.count("*").alias("n"), F.sum("frame_id").alias("sum_frame"))
+
+
 DEDUPED = """dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id, subject, joint
     ORDER BY CASE WHEN x IS NULL OR y IS NULL THEN 1 ELSE 0 END, l_partkey, l_suppkey, l_extendedprice) AS rn FROM kpts) WHERE rn = 1)"""
 CELLS = ", ".join(

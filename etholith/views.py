@@ -185,6 +185,17 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(words: Column) -> Column:
+    """The 8x8 word mask as 8 bytes, one per row, most significant bit first."""
+    from etholith.functions.masks import word_bit
+
+    def byte(row: int) -> Column:
+        bits = [F.when(word_bit(words, F.lit(row * 8 + c)), 1 << (7 - c)).otherwise(0) for c in range(8)]
+        return F.lpad(F.hex(sum(bits[1:], bits[0])), 2, "0")
+
+    return F.unhex(F.concat(*[byte(r) for r in range(8)]))
+
+
 def mask_slots(spark: SparkSession, sf_dir: str) -> int:
     """Number of mask frames, two masks each; keypoint frames go round them, so their number grows with the table."""
     return max(1, table(spark, sf_dir, "embeddings").count() // 2)

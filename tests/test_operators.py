@@ -403,3 +403,31 @@ def test_cleanup_keeps_protected_and_unjudged(spark):
     assert [r["x"] for r in got] == [1.0, 1.0, None, None, 1.0, None, 1.0, 1.0, 1.0]
     assert [r["likelihood"] for r in got] == [0.9, 0.9, 0.0, 0.0, 0.9, 0.9, 0.9, 0.9, 0.9]
     assert got[2]["orig_x"] == 1.0 and got[2]["orig_likelihood"] == 0.9
+
+
+def test_packed_masks_of_own_sizes_and_stored_tracks(spark):
+    rng = np.random.default_rng(9)
+    grids = {(1, 1): rng.random((5, 7)) > 0.4, (1, 2): rng.random((5, 7)) > 0.6, (2, 1): rng.random((9, 4)) > 0.5}
+    masks = spark.createDataFrame(
+        [(f, o, *g.shape, bytearray(np.packbits(g).tobytes())) for (f, o), g in grids.items()], "frame_id int, obj_id int, h int, w int, packed binary"
+    )
+    points = [(f, x, y) for f in (1, 2, 3) for x, y in ((0.0, 0.0), (3.2, 6.4), (6.0, 4.0), (-1.0, 2.0))]
+    kp = spark.createDataFrame(points, "frame_id int, x double, y double")
+    tracks = spark.createDataFrame([(1, 1, 10.0, 10.0), (3, 2, 0.0, 0.0)], "frame_id int, obj_id int, x double, y double")
+    got = T.mask_evidence(J.frame_cogroup(kp, T.mask_frames(masks, ["frame_id"]), ["frame_id"], tracks)).collect()
+    assert len(got) == len(points)
+    for r in got:
+        for o in (1, 2):
+            g = grids.get((r["frame_id"], o))
+            assert r[f"has{o}"] == (g is not None)
+            if g is None:
+                continue
+            px, py = round(r["x"]), round(r["y"])
+            inside = 0 <= px < g.shape[1] and 0 <= py < g.shape[0]
+            assert r["oob"] != inside and r[f"in{o}"] == (bool(g[py, px]) if inside else None)
+            ys, xs = np.nonzero(g)
+            assert math.isclose(r[f"d{o}"], np.hypot(xs - r["x"], ys - r["y"]).min())
+            cx, cy = (10.0, 10.0) if (r["frame_id"], o) == (1, 1) else (xs.mean(), ys.mean())
+            assert math.isclose(r[f"c{o}"], math.hypot(r["x"] - cx, r["y"] - cy))
+    three = [r for r in got if r["frame_id"] == 3]
+    assert all(r["c2"] == math.hypot(r["x"], r["y"]) and r["c1"] is None for r in three)

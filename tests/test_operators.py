@@ -430,4 +430,4 @@ def test_packed_masks_of_own_sizes_and_stored_tracks(spark):
             cx, cy = (10.0, 10.0) if (r["frame_id"], o) == (1, 1) else (xs.mean(), ys.mean())
             assert math.isclose(r[f"c{o}"], math.hypot(r["x"] - cx, r["y"] - cy))
     three = [r for r in got if r["frame_id"] == 3]
-    assert all(r["c2"] == math.hypot(r["x"], r["y"]) and r["c1"] is None for r in three)
+    assert all(math.isclose(r["c2"], math.hypot(r["x"], r["y"])) and r["c1"] is None for r in three)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from etholith.functions import masks as M
+from etholith.session import cut_lineage
 
 # Channel order of a merged image, alert level of overlapping masks.
 CHANNEL_ORDER = {"ch01": "c1", "ch00": "c2", "ch02": "c3"}
@@ -35,10 +36,9 @@ def merge_channels(projected: DataFrame, by: Sequence[str], channel: str = "chan
 
 def mask_stats(masks: DataFrame, h: int, w: int) -> DataFrame:
     """Area and centroid of each mask; an empty mask has no centroid."""
-    centre = M.pixel_mean(M.set_pixels(F.col("words"), h * w), w)
-    return masks.withColumn("_c", centre).withColumns(
-        {"area": M.area(F.col("words")), "cx": F.col("_c.x"), "cy": F.col("_c.y")}
-    ).drop("_c")
+    return masks.withColumn("_o", M.outline(F.col("words"), h, w)).withColumns(
+        {"area": F.col("_o.area"), "cx": F.col("_o.cx"), "cy": F.col("_o.cy")}
+    ).drop("_o")
 
 
 def mask_iou(pairs: DataFrame, a: str = "words1", b: str = "words2") -> DataFrame:
@@ -96,22 +96,85 @@ def _labels(on: np.ndarray) -> np.ndarray:
         lab = grown
 
 
+OBJECTS = "array<struct<label:int,area:long,sx:long,sy:long>>"
+BORDERS = "array<struct<side:string,offset:int,label:int>>"
+
+
+def _objects(labels: np.ndarray) -> list[dict]:
+    """Number and coordinate sums of each label's pixels."""
+    ys, xs = np.nonzero(labels >= 0)
+    found, at = np.unique(labels[ys, xs], return_inverse=True)
+    sums = [np.bincount(at, v, len(found)).astype(int) for v in (np.ones(len(at)), xs, ys)]
+    return [dict(zip(("label", "area", "sx", "sy"), map(int, o), strict=True)) for o in zip(found, *sums, strict=True)]
+
+
+def _borders(labels: np.ndarray) -> list[dict]:
+    sides = {"left": labels[:, 0], "right": labels[:, -1], "top": labels[0], "bottom": labels[-1]}
+    return [{"side": s, "offset": int(k), "label": int(v[k])} for s, v in sides.items() for k in np.flatnonzero(v >= 0)]
+
+
 def connected_objects(
-    tiles: DataFrame, by: Sequence[str], h: int, w: int, on: str = "class_map", min_area: float = 0.0
+    tiles: DataFrame,
+    by: Sequence[str],
+    h: int,
+    w: int,
+    on: str = "class_map",
+    min_area: float = 0.0,
+    grid: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Objects of a class map: (tile key, label, area, cx, cy), the label being its first pixel.
 
-    A tile is one bounded raster row; labelling runs in tasks on Arrow batches.
+    A tile is one bounded raster row; labelling runs in tasks on Arrow batches and one row per object
+    leaves them. With ``grid``, the tiles of an image (``by``) lie side by side at these two whole
+    numbers (column, row); an object over several tiles is one row with the first tile (by row, then
+    column) it touches, its label there, and a centroid in image pixels.
     """
 
-    @pandas_udf("array<int>")
-    def label(pixels: pd.Series) -> pd.Series:
-        return pixels.map(lambda p: _labels(np.asarray(p).reshape(h, w) > 0).ravel())
-
-    pixels = tiles.select(*by, F.posexplode(label(F.col(on))).alias("pos", "label")).filter("label >= 0")
-    objects = pixels.groupBy(*by, "label").agg(
-        F.count(F.lit(1)).alias("area"),
-        F.avg(F.col("pos") % w).alias("cx"),
-        F.avg(F.floor(F.col("pos") / w)).alias("cy"),
+    @pandas_udf(f"struct<objects:{OBJECTS},borders:{BORDERS}>")
+    def label(pixels: pd.Series) -> pd.DataFrame:
+        found = [_labels(np.asarray(p).reshape(h, w) > 0) for p in pixels]
+        return pd.DataFrame({"objects": [_objects(v) for v in found], "borders": [_borders(v) if grid else [] for v in found]})
+
+    place = [*by, *(grid or ())]
+    labelled = tiles.select(*place, label(F.col(on)).alias("_l"))
+    if not grid:
+        objects = labelled.select(*by, F.inline("_l.objects"))
+        out = objects.select(*by, "label", "area", (F.col("sx") / F.col("area")).alias("cx"), (F.col("sy") / F.col("area")).alias("cy"))
+        return out.filter(F.col("area") >= min_area)
+    col, row = grid
+    labelled = cut_lineage(labelled)
+    objects = labelled.select(*place, F.inline("_l.objects"))
+    edge = labelled.select(*place, F.inline("_l.borders"))
+    # A tile's border meets the next tile's; only labels on borders take part in the merging.
+    spot = lambda c, r: F.struct(F.col(r).alias("r"), F.col(c).alias("c"), F.col("label").alias("l"))
+    links = None
+    for own, other, dc, dr in (("right", "left", 1, 0), ("bottom", "top", 0, 1)):
+        a = edge.filter(F.col("side") == own).select(*by, (F.col(col) + dc).alias("_c"), (F.col(row) + dr).alias("_r"), "offset", spot(col, row).alias("a"))
+        b = edge.filter(F.col("side") == other).select(*by, F.col(col).alias("_c"), F.col(row).alias("_r"), "offset", spot(col, row).alias("b"))
+        met = a.join(b, [*by, "_c", "_r", "offset"]).select(*by, "a", "b").distinct()
+        links = met if links is None else links.union(met)
+    root = _least_linked(links, by)
+    placed = objects.withColumn("a", spot(col, row)).join(root, [*by, "a"], "left").withColumn("_root", F.coalesce("root", "a"))
+    merged = placed.groupBy(*by, "_root").agg(
+        F.sum("area").alias("area"),
+        (F.sum(F.col("sx") + F.col("area") * F.col(col) * w) / F.sum("area")).alias("cx"),
+        (F.sum(F.col("sy") + F.col("area") * F.col(row) * h) / F.sum("area")).alias("cy"),
     )
-    return objects.filter(F.col("area") >= min_area)
+    out = merged.select(*by, F.col("_root.c").alias(col), F.col("_root.r").alias(row), F.col("_root.l").alias("label"), "area", "cx", "cy")
+    return out.filter(F.col("area") >= min_area)
+
+
+def _least_linked(links: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, a, root): for every linked node the least one it reaches. Labels move along links and, by
+    jumping to the label's own label, twice as far in each round; each round is written once."""
+    both = cut_lineage(links.union(links.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))))
+    state = cut_lineage(both.groupBy(*by, "a").agg(F.min("b").alias("root")).withColumn("root", F.least("a", "root")))
+    while True:
+        near = both.join(state.select(*by, F.col("a").alias("b"), "root"), [*by, "b"]).groupBy(*by, "a").agg(F.min("root").alias("_n"))
+        moved = state.join(near, [*by, "a"]).select(*by, "a", F.least("root", "_n").alias("_t"), F.col("root").alias("_old"))
+        ahead = state.select(*by, F.col("a").alias("_t"), F.col("root").alias("_far"))
+        new = moved.join(ahead, [*by, "_t"]).select(*by, "a", F.least("_t", "_far").alias("root"), "_old")
+        new = cut_lineage(new)
+        state = new.drop("_old")
+        if new.filter("root <> _old").isEmpty():
+            return state

@@ -431,3 +431,25 @@ def test_packed_masks_of_own_sizes_and_stored_tracks(spark):
             assert math.isclose(r[f"c{o}"], math.hypot(r["x"] - cx, r["y"] - cy))
     three = [r for r in got if r["frame_id"] == 3]
     assert all(math.isclose(r["c2"], math.hypot(r["x"], r["y"])) and r["c1"] is None for r in three)
+
+
+def test_objects_over_tile_borders(spark):
+    """A ring, a snake and dots on a 20 x 15 image cut into tiles of 5 x 5, against labels of the whole image."""
+    image = np.zeros((15, 20), dtype=int)
+    image[2:9, 2] = image[2:9, 12] = 1
+    image[2, 2:13] = image[8, 2:13] = 1
+    image[11, 0:20] = image[12, 19] = image[13, 1:20] = image[14, 0] = 1
+    image[5, 5] = image[0, 19] = image[4, 16] = image[5, 15] = 1
+    tiles = [(7, c, r, image[r * 5 : r * 5 + 5, c * 5 : c * 5 + 5].ravel().tolist()) for c in range(4) for r in range(3)]
+    df = spark.createDataFrame(tiles, "image int, col int, row int, class_map array<int>")
+    got = X.connected_objects(df, ["image"], 5, 5, grid=("col", "row")).collect()
+    labels = X._labels(image > 0)
+    want = {}
+    for k in np.unique(labels[labels >= 0]):
+        ys, xs = np.nonzero(labels == k)
+        want[len(xs), round(xs.mean(), 9), round(ys.mean(), 9)] = want.get((len(xs), round(xs.mean(), 9), round(ys.mean(), 9)), 0) + 1
+    have = {}
+    for r in got:
+        key = (r["area"], round(r["cx"], 9), round(r["cy"], 9))
+        have[key] = have.get(key, 0) + 1
+    assert have == want and len(got) == 7

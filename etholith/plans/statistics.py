@@ -84,6 +84,55 @@ def behaviour_report(spark, d):
     return rounded(out, "statistic", "z", "effect_r", "p_value", "p_holm", "median_S1", "median_S2")
 
 
+def _tested_sql(by: str, from_: str = "t") -> str:
+    """Columns of a signed-rank test with the normal tail."""
+    keys = f"{by}, " if by else ""
+    return f"""tn AS (SELECT *, CASE WHEN n_pairs < 2 THEN 'too few pairs' WHEN n_zero = n_pairs THEN 'all diffs zero' ELSE '' END AS note FROM {from_}),
+        tp AS (SELECT {keys}n_pairs, n_zero, note, CASE WHEN note = '' THEN v END AS v, CASE WHEN note = '' THEN z END AS z, CASE WHEN note = '' THEN {normal_two_sided_sql('z')} END AS p FROM tn)"""
+
+
+TESTED = f"n_pairs, n_zero, {R('v')} AS statistic, {R('z')} AS z, {R('z / sqrt(n_pairs)')} AS effect_r, note, {R('p')} AS p_value, CASE WHEN note = '' THEN 'normal' END AS method"
+
+
+@query(
+    "latency_test",
+    f"""WITH {LATENCY}, {_signed_rank_sql("SELECT animal_id, max(latency_sec) FILTER (session_type = 'S1') AS x, max(latency_sec) FILTER (session_type = 'S2') AS y FROM latency GROUP BY 1")},
+        {_tested_sql('')} SELECT {TESTED} FROM tp""",
+    "bouts",
+)
+def latency_test(spark, d):
+    return rounded(study.latency_test(latency_of(spark, d), SESSIONS, method="normal"), "statistic", "z", "effect_r", "p_value")
+
+
+@query(
+    "initiator_test",
+    f"""WITH {LONG_ROUTED}, {_signed_rank_sql(f"SELECT behavior, session_type, animal_id, exp_duration_sec AS x, stim_duration_sec AS y FROM totals WHERE behavior IN {in_sql(DIRECTIONAL)}", "behavior, session_type")},
+        {_tested_sql('behavior, session_type')},
+        ad AS (SELECT behavior, session_type, {_holm('', 'i')} AS h FROM (SELECT *, row_number() OVER (ORDER BY p, behavior, session_type) AS i, count(*) OVER () AS m FROM tp WHERE p IS NOT NULL))
+        SELECT behavior, session_type, {TESTED}, {R('h')} AS p_holm FROM tp LEFT JOIN ad USING (behavior, session_type)""",
+    "bouts",
+)
+def initiator_test(spark, d):
+    out = study.initiator_test(V.bouts(spark, d), SESSIONS, BEHAVIORS, DIRECTIONAL, method="normal")
+    return rounded(out, "statistic", "z", "effect_r", "p_value", "p_holm")
+
+
+OVER_ANIMALS = """an AS (SELECT animal_id, 'lines' AS channel, sum(manual_total) AS x, sum(auto_total) AS y FROM counts GROUP BY 1
+      UNION ALL SELECT animal_id, 'reference', sum(manual_total), sum(ref_total) FROM counts GROUP BY 1)"""
+
+
+@query(
+    "agreement_over_animals",
+    f"""WITH {OVER_ANIMALS}, k AS (SELECT channel, x, y, rank() OVER (PARTITION BY channel ORDER BY round(x, 6)) + (count(*) OVER (PARTITION BY channel, round(x, 6)) - 1) / 2.0::DOUBLE AS rx,
+          rank() OVER (PARTITION BY channel ORDER BY round(y, 6)) + (count(*) OVER (PARTITION BY channel, round(y, 6)) - 1) / 2.0::DOUBLE AS ry FROM an)
+        SELECT channel, count(*) AS n, {R('corr(rx, ry)')} AS rho, {R('2 * covar_samp(x, y) / (var_samp(x) + var_samp(y) + (avg(x) - avg(y)) ** 2)')} AS ccc FROM k GROUP BY 1""",
+    "counts",
+)
+def agreement_over_animals(spark, d):
+    channels = {"lines": ("manual_total", "auto_total"), "reference": ("manual_total", "ref_total")}
+    return rounded(study.agreement_over_animals(V.counts(spark, d), channels), "rho", "ccc")
+
+
 DELTA = "SELECT *, round(auto_total - manual_total, 6) AS delta, CASE WHEN image_id % 9 = 0 THEN 'Training' ELSE 'Held-out' END AS status FROM counts"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,26 @@ def latency_test(latency: DataFrame, sessions: tuple[str, str], method: str = "e
     return S.paired_signed_rank(latency, [], "animal_id", "session_type", sessions, "latency_sec", method=method)
 
 
+def initiator_test(
+    bouts: DataFrame, sessions: Sequence[str], behaviors: Sequence[str], directional: Sequence[str], method: str = "exact"
+) -> DataFrame:
+    """Time started by the subject against time started by the partner, per directional behaviour and session."""
+    totals = A.bout_totals(L.min_duration(bouts), sessions, behaviors).filter(F.col("behavior").isin(list(directional)))
+    pairs = totals.select("behavior", "session_type", "animal_id", F.col("exp_duration_sec").alias("x"), F.col("stim_duration_sec").alias("y"))
+    by = ["behavior", "session_type"]
+    tests = cut_lineage(S.with_signed_rank_p(S.signed_rank(pairs, by, method=method), method))
+    return S.p_adjust(tests, [], "p_value", "holm", "p_holm")
+
+
+def agreement_over_animals(images: DataFrame, channels: Mapping[str, tuple[str, str]], animal: str = "animal_id", digits: int = 6) -> DataFrame:
+    """Sums per animal and channel, then rank correlation and concordance across animals."""
+    sums = images.groupBy(animal).agg(*[F.sum(c).alias(c) for c in dict.fromkeys(c for pair in channels.values() for c in pair)])
+    sides = [F.struct(F.lit(name).alias("channel"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for name, (x, y) in channels.items()]
+    long = sums.select(animal, F.inline(F.array(*sides)))
+    rho = S.spearman(long, ["channel"], F.round("x", digits), F.round("y", digits))
+    return null_safe_join(rho, S.ccc(long, ["channel"], "x", "y").drop("n"), ["channel"])
+
+
 def real_chance_pairs(animals: DataFrame, real: str, chance: str) -> DataFrame:
     """Observed beside chance overlap per animal; a missing value counts 0."""
     return animals.select(

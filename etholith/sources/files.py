@@ -37,29 +37,31 @@ def _whole_files(spark: SparkSession, path: str | Sequence[str], glob: str) -> D
 # ---------------------------------------------------------------- bouts
 
 
+#: What a header cell must look like, by field; each field has one cell at least, the duration exactly one.
+BOUT_FIELDS = {
+    "animal": re.compile(r"animal"),
+    "start": re.compile(r"start"),
+    "end": re.compile(r"end"),
+    "behavior": re.compile(r"behaviou?r"),
+    "duration": re.compile(r".*duration.*"),
+}
+
+
 def _header_columns(file: str, header: str) -> dict[str, int]:
-    """Positions of the needed columns in one header line; an error names what is missing."""
-    names = [c.strip().strip('"').lower() for c in header.lstrip("﻿").split(",")]
-    wanted = {"animal": ("animal",), "start": ("start",), "end": ("end",), "behavior": ("behavior", "behaviour")}
-    found = {}
-    for field, accepted in wanted.items():
-        at = [i for i, c in enumerate(names) if c in accepted]
-        if at:
-            found[field] = at[0]
-    missing = [f for f in wanted if f not in found]
-    if missing:
-        raise ValueError(f"{file}: missing columns: {', '.join(missing)}; available: {', '.join(names)}")
-    durations = [i for i, c in enumerate(names) if "duration" in c]
-    if len(durations) != 1:
-        raise ValueError(f"{file}: expected one duration column, found {len(durations)}; available: {', '.join(names)}")
-    return {**found, "duration": durations[0], "_width": len(names)}
+    """Positions of the fields in one header line, and its width."""
+    names = [c.strip().strip('"').lower() for c in header.lstrip("\ufeff").split(",")]
+    at = {field: [i for i, c in enumerate(names) if look.fullmatch(c)] for field, look in BOUT_FIELDS.items()}
+    wrong = [f"{f} ({len(p)} columns)" for f, p in at.items() if not p or (f == "duration" and len(p) > 1)]
+    if wrong:
+        raise ValueError(f"{file}: the header {names} does not settle {', '.join(wrong)}")
+    return {**{f: p[0] for f, p in at.items()}, "_width": len(names)}
 
 
 def read_bouts(spark: SparkSession, path: str, session_type: str, strict: bool = True) -> DataFrame:
     """Bouts of every CSV file of one session folder.
 
-    Header lines are looked at first (one line per file); files of one header
-    are then read together with its column positions.
+    The first line of each file stays with its file; only the different headers come to the driver,
+    where their column positions are worked out. All files are then read as one table of lines.
     """
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -67,28 +69,32 @@ def read_bouts(spark: SparkSession, path: str, session_type: str, strict: bool =
         "value",
         F.monotonically_increasing_id().alias("at"),
     )
-    headers = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
-    if not headers:
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
+    heads = heads.select("file", F.col("h.at").alias("_first"), F.rtrim(F.col("h.value"), F.lit("\r")).alias("header"))
+    different = heads.groupBy("header").agg(F.min("file").alias("file")).collect()
+    if not different:
         raise FileNotFoundError(f"no CSV files in {path}")
-    by_header: dict[str, list[str]] = {}
-    for row in headers:
-        by_header.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
-    out: DataFrame | None = None
-    for header, found in by_header.items():
-        at = _header_columns(os.path.basename(found[0]), header)
-        schema = ", ".join(f"c{i} string" for i in range(at["_width"]))
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(found)
-        col = {k: F.col(f"c{i}") for k, i in at.items() if k != "_width"}
-        part = raw.select(
-            ids.strip_suffix(col["animal"]).alias("animal_id"),
-            F.lit(session_type).alias("session_type"),
-            ids.parse_behaviour(col["behavior"], F.lit(session_type), strict).alias("_b"),
-            ids.hms_to_sec(col["start"]).alias("start_sec"),
-            ids.hms_to_sec(col["end"]).alias("end_sec"),
-            col["duration"].try_cast("double").alias("duration_sec"),
-        ).select("animal_id", "session_type", "_b.behavior", "_b.actor", "_b.target", "start_sec", "end_sec", "duration_sec")
-        out = part if out is None else out.unionByName(part)
-    return out
+    places = {r["header"]: _header_columns(os.path.basename(r["file"]), r["header"]) for r in different}
+    width = max(p["_width"] for p in places.values())
+    of_header = F.create_map(
+        *[c for h, p in places.items() for c in (F.lit(h), F.struct(*[F.lit(p[f]).alias(f) for f in BOUT_FIELDS]))]
+    )
+    parsed = F.from_csv(F.rtrim(F.col("value"), F.lit("\r")), ", ".join(f"c{i} string" for i in range(width)))
+    rows = (
+        lines.join(heads, "file")
+        .filter((F.col("at") != F.col("_first")) & (F.trim("value") != ""))
+        .select(parsed.alias("_c"), F.element_at(of_header, F.col("header")).alias("_p"))
+        .select(F.array(*[F.col(f"_c.c{i}") for i in range(width)]).alias("_c"), "_p")
+    )
+    col = {f: F.get(F.col("_c"), F.col(f"_p.{f}")) for f in BOUT_FIELDS}
+    return rows.select(
+        ids.strip_suffix(col["animal"]).alias("animal_id"),
+        F.lit(session_type).alias("session_type"),
+        ids.parse_behaviour(col["behavior"], F.lit(session_type), strict).alias("_b"),
+        ids.hms_to_sec(col["start"]).alias("start_sec"),
+        ids.hms_to_sec(col["end"]).alias("end_sec"),
+        col["duration"].try_cast("double").alias("duration_sec"),
+    ).select("animal_id", "session_type", "_b.behavior", "_b.actor", "_b.target", "start_sec", "end_sec", "duration_sec")
 
 
 # ---------------------------------------------------------------- markers

@@ -7,15 +7,20 @@ side, once, whatever the number of probes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from etholith.session import cut_lineage
 
 MATCH_RADIUS_UM = 10.0
+# Side of a tile of the greedy match, in radii.
+TILE = 32
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -83,9 +88,12 @@ def radius_count(
 
 
 def candidate_pairs(
-    a: DataFrame, b: DataFrame, by: Sequence[str], radius: float, px_size: float = 1.0
+    a: DataFrame, b: DataFrame, by: Sequence[str], radius: float, px_size: float = 1.0, cells: bool = False
 ) -> DataFrame:
-    """Pairs within the radius: (group, a_key, b_key, dist). Both sides bring key, x, y."""
+    """Pairs within the radius: (group, a_key, b_key, dist). Both sides bring key, x, y.
+
+    With ``cells`` also the grid cell of a.
+    """
     by = list(by)
     size = radius / px_size
     spots = b.dropna(subset=["x", "y"]).select(
@@ -105,46 +113,74 @@ def candidate_pairs(
         probing.join(near, [*by, "_cell_x", "_cell_y"])
         .withColumn("dist", dist)
         .filter(F.col("dist") <= radius)
-        .select(*by, "a_key", "b_key", "dist")
+        .select(*by, "a_key", "b_key", "dist", *(["_cell_x", "_cell_y"] if cells else []))
     )
 
 
+def _settle(pairs):
+    """Arrow step for one tile: the nearest free b of each a in turn, where no earlier a can still ask for it.
+
+    ``_rank`` says how many earlier points reach b at all; as many must be settled in this tile. Rows
+    of settled points come back as ``won`` or not at all, those of others as open.
+    """
+    ai, bi, dist, rank = (pairs[c].to_numpy() for c in ("_ai", "_bi", "dist", "_rank"))
+    order = np.lexsort((bi, dist, ai))
+    edge = np.append(np.flatnonzero(np.append(True, np.diff(ai[order]))), len(order))
+    taken, reached, keep, won = set(), Counter(), [], []
+    for lo, hi in zip(edge, edge[1:]):
+        rows = order[lo:hi]
+        free = next((r for r in rows if bi[r] not in taken), None)
+        if free is not None and reached[bi[free]] != rank[free]:
+            keep.append(rows)
+            won.append(np.zeros(len(rows), bool))
+            continue
+        reached.update(bi[rows].tolist())
+        if free is not None:
+            taken.add(bi[free])
+            keep.append(np.array([free]))
+            won.append(np.array([True]))
+    at = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    kept = pairs.drop_columns(["_ai", "_bi", "_rank", "_tile_x", "_tile_y"]).take(at)
+    return kept.append_column("won", [np.concatenate(won) if won else np.zeros(0, bool)])
+
+
 def greedy_nearest_match(
     a: DataFrame, b: DataFrame, by: Sequence[str], radius: float = MATCH_RADIUS_UM, px_size: float = 1.0
 ) -> DataFrame:
     """One-to-one matches (group, a_key, b_key, dist) of the first-come nearest rule.
 
-    In order of ``a.key`` each a takes the nearest free b within the radius, the
-    first b on ties. The order is honoured without a sequential pass: in a round
-    every a whose nearest free b is within reach of no earlier unmatched a is
-    settled, all at once, for all groups; settled points leave, and rounds repeat
-    until no pair is left. Each round settles at least the first a of every
-    group, and on unordered points almost all of them within a few rounds.
+    In order of ``a.key`` each a takes the nearest free b within the radius, the first b on ties. The
+    order is honoured without a pass over a whole group: each round cuts the plane into tiles of
+    ``TILE`` radii, and inside a tile every a is settled whose nearest free b no earlier unsettled a can
+    reach (see :func:`_settle`). What depends on points beyond the border waits for the next round,
+    whose tiles are shifted. A round settles at least the first open a of every group, and any chain
+    of competing points inside one tile at once.
     """
     by = list(by)
-    edges = cut_lineage(candidate_pairs(a, b, by, radius, px_size))
+    edges = cut_lineage(candidate_pairs(a, b, by, radius, px_size, cells=True))
     settled: list[DataFrame] = []
+    number = 0
     while True:
-        first = edges.groupBy(*by, "b_key").agg(F.min("a_key").alias("_first"))
-        nearest = (
-            edges.groupBy(*by, "a_key")
-            .agg(F.min(F.struct("dist", "b_key")).alias("_n"))
-            .select(*by, "a_key", "_n.b_key", "_n.dist")
-        )
-        won = cut_lineage(
-            nearest.join(first, [*by, "b_key"])
-            .filter(F.col("_first") == F.col("a_key"))
-            .select(*by, "a_key", "b_key", "dist")
-        )
-        if won.isEmpty():
-            break
-        settled.append(won)
-        edges = cut_lineage(
-            edges.join(won.select(*by, "a_key"), [*by, "a_key"], "left_anti").join(
-                won.select(*by, "b_key"), [*by, "b_key"], "left_anti"
-            )
+        shift = F.lit(number % 2 * (TILE // 2))
+        tiled = edges.withColumns({f"_tile_{c}": F.floor((F.col(f"_cell_{c}") + shift) / TILE) for c in "xy"})
+        tile = [*by, "_tile_x", "_tile_y"]
+        ranked = tiled.withColumns(
+            {
+                "_rank": F.row_number().over(Window.partitionBy(*by, "b_key").orderBy("a_key")) - 1,
+                "_ai": F.dense_rank().over(Window.partitionBy(*tile).orderBy("a_key")),
+                "_bi": F.dense_rank().over(Window.partitionBy(*tile).orderBy("b_key")),
+            }
         )
-    return reduce(DataFrame.unionByName, settled) if settled else won
+        schema = StructType([*edges.schema.fields, StructField("won", BooleanType())])
+        done = cut_lineage(ranked.groupBy(*tile).applyInArrow(_settle, schema))
+        won = done.filter("won").select(*by, "a_key", "b_key", "dist")
+        if not number or not won.isEmpty():
+            settled.append(won)
+        edges = done.filter("NOT won").drop("won").join(won.select(*by, "b_key"), [*by, "b_key"], "left_anti").select(*edges.columns)
+        number += 1
+        if edges.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        edges = cut_lineage(edges)
 
 
 def coloc_counts(points: DataFrame, matches: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:

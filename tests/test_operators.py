@@ -453,3 +453,18 @@ def test_objects_over_tile_borders(spark):
         key = (r["area"], round(r["cx"], 9), round(r["cy"], 9))
         have[key] = have.get(key, 0) + 1
     assert have == want and len(got) == 7
+
+
+def test_greedy_match_along_a_line(spark):
+    """A chain of 400 points, each competing with the next: rounds follow the tiles crossed, not the points."""
+    n = 400
+    a = spark.createDataFrame([(1, k, 6.0 * k, 0.0) for k in range(n)], "g int, key int, x double, y double")
+    b = spark.createDataFrame([(1, k, 6.0 * k - 3.5, 0.0) for k in range(n + 1)], "g int, key int, x double, y double")
+    got = {r["a_key"]: r["b_key"] for r in P.greedy_nearest_match(a, b, ["g"], 10.0).collect()}
+    free, want = set(range(n + 1)), {}
+    for k in range(n):
+        near = [(abs(6.0 * j - 3.5 - 6.0 * k), j) for j in free if abs(6.0 * j - 3.5 - 6.0 * k) <= 10]
+        if near:
+            want[k] = min(near)[1]
+            free.remove(want[k])
+    assert got == want

@@ -24,7 +24,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from etholith.llm.common import ALNUM, Words, binary, blocks, lower, query, stored, table
 
 WINDOW = 10
-SLOP = 2
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
 
@@ -115,6 +114,8 @@ def intersect(win: Windows, n_terms: np.ndarray, flat: np.ndarray, begin: np.nda
 
     ``flat`` has the posting lists one after another, that of term ``t`` at ``begin[t]`` with
     ``n_terms[t]`` positions; ``first`` the first word of each document and the number of words.
+    A window matches at a place if each of its words occurs, in the same document, no more than
+    ``slop`` words from where the window has it.
     """
     width, span = win.ids.shape[1], int(first[-1]) + 4 * slop + 64
     number = np.where(win.ids >= 0, n_terms[win.ids], np.iinfo(np.int64).max)
@@ -126,29 +127,39 @@ def intersect(win: Windows, n_terms: np.ndarray, flat: np.ndarray, begin: np.nda
     w = np.repeat(np.arange(len(alive)), n)
     at = np.repeat(begin[rare] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     start = flat[at].astype(np.int64) - order[w, 0]
-    off = np.zeros(len(w), np.int64)
+    if slop:  # the rarest word, too, may be off
+        shift = np.arange(-slop, slop + 1)
+        pairs = np.unique(np.stack([np.repeat(w, len(shift)), (start[:, None] + shift).ravel()], axis=1), axis=0)
+        w, start = pairs[:, 0], pairs[:, 1]
+    ok = (start >= 0) & (start < first[-1])
+    w, start = w[ok], start[ok]
     doc = np.searchsorted(first, start, "right") - 1
-    ok = start >= 0
-    ok[ok] = first[np.minimum(doc[ok] + 1, len(first) - 1)] >= start[ok] + win.length[alive[w[ok]]]
-    w, start, off = w[ok], start[ok], off[ok]
-    for k in range(1, width):
+    ok = first[doc + 1] >= start + win.length[alive[w]]
+    w, start, doc = w[ok], start[ok], doc[ok]
+    off = np.zeros(len(w), np.int64)
+    for k in range(0 if slop else 1, width):
         place = order[w, k]
         term = win.ids[alive[w], place]
         past = term < 0
-        want = np.where(past, 0, term) * span + start + place + slop
+        home = np.where(past, 0, term) * span + slop
+        want, low, high = home + start + place, home + first[doc], home + first[doc + 1]
         right = np.searchsorted(key, want)
-        gap = np.minimum(np.abs(key[np.minimum(right, len(key) - 1)] - want), np.abs(want - key[np.maximum(right - 1, 0)]))
+        after, before = key[np.minimum(right, len(key) - 1)], key[np.maximum(right - 1, 0)]
+        gap = np.minimum(
+            np.where((after >= want) & (after < high), after - want, span), np.where((before >= low) & (before < want), want - before, span)
+        )
         gap = np.where(past, 0, gap)
         ok = gap <= slop
-        w, start, off = w[ok], start[ok], np.maximum(off, gap)[ok]
+        w, start, doc, off = w[ok], start[ok], doc[ok], np.maximum(off, gap)[ok]
     return alive[w], start, off
 
 
-def search(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, content, n_words, spans, items, n_near) for every row of the index.
 
     ``spans`` are the merged [from, to) word ranges inside exact matches, ``items`` the sorted
-    item_ids with an exact match, ``n_near`` the number of matches with words up to ``slop`` off.
+    item_ids with an exact match, ``n_near`` the number of windows that match with words up to
+    ``slop`` off and nowhere in the document exactly.
     The benchmark goes through in blocks of ``block_bytes`` (by running sums of text sizes), each
     against all shards; more blocks mean more passes over the index, never fewer items.
     """
@@ -182,8 +193,11 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
             if len(flat):
                 w, start, off = intersect(win, n_terms, flat, begin, first, slop)
                 doc = np.searchsorted(first, start, "right") - 1
-                near += np.bincount(doc[off > 0], minlength=n_docs)
-                w, start, doc = (x[off == 0] for x in (w, start, doc))
+                exact = off == 0
+                kinds = len(win.length)
+                only = np.setdiff1d(doc[~exact] * kinds + w[~exact], doc[exact] * kinds + w[exact])
+                near += np.bincount(only // kinds, minlength=n_docs)
+                w, start, doc = (x[exact] for x in (w, start, doc))
                 cover = np.zeros(int(first[-1]) + 1, np.int64)
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + win.length[w], -1)
@@ -235,7 +249,7 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
     return merged.withColumn("spans", joined).select(*out_type.names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_k")).drop("_k")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """:func:`search` over a fresh index of ``docs``. Null and empty texts have no words and no hits."""
     return search(build_index(docs.select("doc_id", "text"), shard_bytes), benchmark, width, slop, block_bytes)
 
@@ -250,7 +264,20 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFra
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content")), "left_anti")
 
 
-@query("op10_decontaminate")
+WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS ws FROM documents),
+i AS (SELECT item_id, {WORDS_SQL} AS ws FROM benchmark),
+iw AS (SELECT item_id, least(len(ws), 10) AS n, md5(array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ')) AS h
+  FROM i, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(k) WHERE len(ws) > 0),
+dw AS (SELECT r, k, n, md5(array_to_string(ws[k:k + n - 1], ' ')) AS h FROM d, (SELECT DISTINCT n FROM iw) s, unnest(range(1, len(ws) - n + 2)) t(k)),
+m AS (SELECT DISTINCT r, k, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.h = iw.h),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
+its AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)"""
+
+
+@query("op10_decontaminate", SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
@@ -261,5 +288,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
         (n_hit() > 0).alias("contaminated"),
-        "n_near",
     )

@@ -54,14 +54,28 @@ ITEMS = [(1, "Alpha beta gamma"), (2, "one two three four five six seven eight n
          (6, "w w w")]
 
 
+def proximity(text, slop):
+    """Windows (of each item) that match some place within ``slop`` words and none exactly."""
+    w, n = words(text), 0
+    for _, item in ITEMS:
+        v = words(item)
+        for k in range(max(1, len(v) - 9) if v else 0):
+            win = v[k : k + 10]
+            off = [max(min((abs(p - s - i) for p, x in enumerate(w) if x == y), default=99) for i, y in enumerate(win)) for s in range(len(w) - len(win) + 1)]
+            n += bool(off) and 0 < min(off) <= slop
+    return n
+
+
 @pytest.mark.parametrize("block,shard", [(8 << 20, 16 << 20), (40, 64)])
 def test_cases(spark, block, shard):
     docs = spark.createDataFrame([(d, t, 0) for d, t in CASES], "doc_id long, text string, spans int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = contamination(docs, bench, block_bytes=block, shard_bytes=shard).select("doc_id", "n_words", n_hit().alias("h"), "items", "spans", "n_near").collect()
+    got = contamination(docs, bench, slop=2, block_bytes=block, shard_bytes=shard).select("doc_id", "n_words", n_hit().alias("h"), "items", "spans", "n_near").collect()
     want = sorted(((d, n, len(h), sorted(f)) for d, n, h, f in brute(CASES, ITEMS)), key=str)
     assert sorted(((r.doc_id, r.n_words, r.h, sorted(r["items"])) for r in got), key=str) == want
-    assert next(r for r in got if r.doc_id == 9).n_near > 0
+    near = [(r.doc_id, r.n_near) for r in got]
+    assert sorted(near, key=str) == sorted(((d, proximity(t, 2)) for d, t in CASES), key=str)
+    assert dict(near)[9] == 1 and contamination(docs, bench, block_bytes=block).filter("n_near > 0").count() == 0
     clean = remove_contaminated(docs, bench, block_bytes=block)
     assert clean.columns == docs.columns
     assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 9]

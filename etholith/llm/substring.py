@@ -6,9 +6,9 @@ windows with one anchor form a segment (their words, at most ``2 * width - gram`
 are counted over the whole corpus; a window whose anchor occurs once occurs once, so only segments
 of repeated anchors travel, as text, and equal segments are collapsed with their number before
 they reach a shard. Which anchors repeat is told to the scan by a filter of a fixed number of bits
-(it may let more pass, never less). A second such filter names anchors of over ``hot`` occurrences:
-their windows travel one by one under their own hash, so no anchor gathers all contexts of a very
-common passage in one task.
+(it may let more pass, never less). Different segments of an anchor with over ``hot`` occurrences, the
+contexts of a very common passage, are cut into single windows, which go to shards by their own hash
+and are put together again, so that no anchor gathers them all in one task.
 
 Per shard the segments are indexed: a suffix order of the words as deep as the longest segment, its
 BWT in a wavelet matrix, and counts of occurrences. Every segment is then streamed through the index
@@ -18,7 +18,6 @@ or more occurrences, and intervals of ``width`` words or more are reported.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etholith.llm.common import Words, binary, blocks, mix, query, signed, span_hashes, table
+from etholith.llm.common import Words, binary, blocks, mix, query, signed, span_hashes, stored, table
 
 WIDTH = 35
 GRAM = 8
@@ -182,21 +181,11 @@ class Segments:
         stop = np.flatnonzero(np.append(new[1:] | ~valid[1:], True) & valid) + 1
         self.start, self.count, self.anchor = begin, stop - begin, grams[place[begin]]
 
-    def routed(self, repeated: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, windows, key, content) of what travels; hot anchors' windows go one by one."""
+    def routed(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, windows, anchor, content) of the segments that travel."""
         keep = within(repeated, self.anchor)
-        start, count, key = self.start[keep], self.count[keep], self.anchor[keep]
-        alone = within(hot, key)
-        if alone.any():
-            n = count[alone]
-            each = np.repeat(start[alone] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            start = np.concatenate([start[~alone], each])
-            count = np.concatenate([count[~alone], np.ones(len(each), np.int64)])
-            key = np.concatenate([key[~alone], np.zeros(len(each), np.uint64)])
-            order = np.argsort(start, kind="stable")
-            start, count, key = start[order], count[order], key[order]
-        content = span_hashes(self.hash, start, start + count + self.width - 1)
-        return start, count, np.where(key == 0, content, key), content
+        start, count = self.start[keep], self.count[keep]
+        return start, count, self.anchor[keep], span_hashes(self.hash, start, start + count + self.width - 1)
 
 
 def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -243,17 +232,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, filter
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
     counted = texts.select("text").mapInArrow(_anchors(width, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    from etholith.llm.common import stored
-
     counted = stored(counted.filter("n > 1"))
     repeated = spark.sparkContext.broadcast(_filter(counted, filter_bits))
-    many = spark.sparkContext.broadcast(_filter(counted.filter(F.col("n") > hot), 20))
+    crowded = counted.filter(F.col("n") > hot)
+    some = crowded.limit(1).count() > 0
+    many = spark.sparkContext.broadcast(_filter(crowded, 20))
 
     def distinct(batches):
         for batch in batches:
             for _, _, data, offsets in blocks(batch["text"]):
                 words = Words(data, offsets)
-                start, count, key, content = Segments(words, width, gram).routed(repeated.value, many.value)
+                start, count, key, content = Segments(words, width, gram).routed(repeated.value)
                 if not len(start):
                     continue
                 _, one, n = np.unique(content, return_index=True, return_counts=True)
@@ -261,7 +250,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, filter
                 for a in range(0, len(one), SLICE):
                     part = one[a : a + SLICE]
                     seg = binary(flat, ws[start[part]], we[start[part] + count[part] + width - 2])
-                    yield pa.record_batch({"key": signed(key[part]), "seg": seg, "n": n[a : a + SLICE].astype(np.int64)})
+                    yield pa.record_batch({"key": signed(key[part]), "seg": seg, "n": n[a : a + SLICE].astype(np.int64), "many": pa.array(within(many.value, key[part]))})
 
     def indexed(batches):
         held, size = [], 0
@@ -306,7 +295,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, filter
         for batch in batches:
             for i, j, data, offsets in blocks(batch["text"]):
                 words = Words(data, offsets)
-                start, _, key, content = Segments(words, width, gram).routed(repeated.value, many.value)
+                start, _, key, content = Segments(words, width, gram).routed(repeated.value)
                 row = words.text[start]
                 part = batch.slice(i, j - i)
                 yield pa.record_batch(
@@ -319,15 +308,47 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, filter
                     }
                 )
 
-    found = (
-        texts.select("text")
-        .mapInArrow(distinct, "key long, seg binary, n long")
-        .groupBy("key", "seg")
-        .agg(F.sum("n").alias("n"))
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(indexed, "key long, seg_hash long, bits long")
-    )
+    def windows(batches):
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch["seg"]):
+                words = Words(data, offsets)
+                h = words.hashes()
+                n = np.diff(words.first) - width + 1
+                owner = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                start = words.first[owner] + at
+                own = span_hashes(h, words.first[:-1], words.first[1:])
+                content = span_hashes(h, start, start + width)
+                part = batch.slice(i, j - i)
+                for a in range(0, len(owner), SLICE):
+                    b = slice(a, a + SLICE)
+                    seg = binary(data, words.starts[start[b]], words.ends[start[b] + width - 1])
+                    yield pa.record_batch(
+                        {
+                            "key": signed(content[b]),
+                            "seg": seg,
+                            "n": part["n"].take(pa.array(owner[b])),
+                            "of_key": part["key"].take(pa.array(owner[b])),
+                            "of_hash": signed(own[owner[b]]),
+                            "at": at[b],
+                        }
+                    )
+
+    def searched_by_key(segments):
+        return segments.repartition("key").sortWithinPartitions("key").mapInArrow(indexed, "key long, seg_hash long, bits long")
+
+    segments = texts.select("text").mapInArrow(distinct, "key long, seg binary, n long, many boolean")
+    segments = segments.groupBy("key", "seg", "many").agg(F.sum("n").alias("n")).select("key", "seg", "n", "many")
+    if some:
+        segments = stored(segments)
+        single = segments.filter("many").select("key", "seg", "n").repartition("key", "seg").mapInArrow(windows, "key long, seg binary, n long, of_key long, of_hash long, at long")
+        alone = single.groupBy("key", "seg").agg(F.sum("n").alias("n"))
+        hits = stored(searched_by_key(segments.filter("NOT many").select("key", "seg", "n").union(alone)))
+        back = single.select("key", "of_key", "of_hash", "at").join(hits.select("key"), "key")
+        back = back.groupBy("of_key", "of_hash").agg(F.bit_or(F.expr("shiftleft(1L, cast(at AS int))")).alias("bits"))
+        found = hits.union(back)
+    else:
+        found = searched_by_key(segments.select("key", "seg", "n"))
     kind = dict(docs.dtypes)["doc_id"]
     where = texts.mapInArrow(placed, f"doc_id {kind}, content long, start long, key long, seg_hash long")
     return where.join(found, ["key", "seg_hash"]).select("doc_id", "content", "start", "bits")
@@ -379,7 +400,16 @@ def mark_repeats(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     return joined.mapInArrow(kept, f"{schema}, n_words long, n_removed long, kept string")
 
 
-@query("op1_substring_dedup")
+SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT r, k, md5(array_to_string(ws[k:k + 34], ' ')) AS h FROM d, unnest(range(1, len(ws) - 33)) t(k)),
+again AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM w JOIN again USING (h)),
+words AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
+@query("op1_substring_dedup", SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

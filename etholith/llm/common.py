@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -153,6 +154,15 @@ def binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
+def _give_back() -> None:
+    """Memory that freed arrays still hold goes back to the machine; a reused worker starts small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after, bytes, offsets) of runs of texts of about ``limit`` bytes; null is empty.
 
@@ -170,6 +180,7 @@ def blocks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    _give_back()
 
 
 def signed(h: np.ndarray) -> np.ndarray:

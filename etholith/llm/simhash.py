@@ -46,8 +46,8 @@ def fingerprints(words: Words, n_texts: int, shingle: int = SHINGLE, seed: int =
     stop = we[np.minimum(at + shingle, first[1:][owner]) - 1]
     raw, digest = flat.tobytes(), xxhash.xxh64_intdigest
     ones = np.zeros((n_texts, 64), np.int64)
-    for a in range(0, len(at), 1 << 18):
-        part = slice(a, a + (1 << 18))
+    for a in range(0, len(at), 1 << 16):
+        part = slice(a, a + (1 << 16))
         h = np.array([digest(raw[s:e], seed) for s, e in zip(ws[at[part]].tolist(), stop[part].tolist(), strict=True)], dtype=np.uint64)
         bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
         who, begin = np.unique(owner[part], return_index=True)

@@ -146,9 +146,10 @@ def gap_fill_flag(
 ) -> DataFrame:
     """Every missing frame inside the span once per known object, flagged ``is_gap``."""
     key = list(key)
-    missing = expand_ranges(gaps(rows, key, axis, chunk), "start", "end_exclusive", axis)
     objects = rows.select(*key, obj).distinct()
-    filled = missing.select(*key, axis).join(objects, key).withColumn("is_gap", F.lit(True))
+    # Objects join the gaps, which are few, and only then do gaps unfold into frames.
+    missing = expand_ranges(gaps(rows, key, axis, chunk).join(objects, key), "start", "end_exclusive", axis)
+    filled = missing.select(*key, axis, obj).withColumn("is_gap", F.lit(True))
     own = rows.select(*key, axis, obj).distinct().withColumn("is_gap", F.lit(False))
     return own.unionByName(filled)
 

@@ -43,6 +43,10 @@ def write_mask_shards(
     )
 
 
+#: Files that the objects of one class and image are dealt out to, at most.
+PARTS_PER_IMAGE = 8
+
+
 def write_objects_by_image(objects: DataFrame, folder: str, image: str = "image_id", marker: str = "marker") -> None:
     """Objects as GeoJSON features, one per line, in a folder per class and image.
 
@@ -56,9 +60,9 @@ def write_objects_by_image(objects: DataFrame, folder: str, image: str = "image_
             F.struct(F.struct(F.col(marker).alias("name")).alias("classification")).alias("properties"),
         )
     )
-    objects.select(F.col(marker).alias("class"), F.col(image).alias("image"), feature.alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy("class", "image").text(folder)
+    lines = objects.select(F.col(marker).alias("class"), F.col(image).alias("image"), feature.alias("value"))
+    spread = lines.repartition("class", "image", F.pmod(F.xxhash64("value"), F.lit(PARTS_PER_IMAGE)))
+    spread.write.mode("overwrite").partitionBy("class", "image").text(folder)
 
 
 def write_cleanup_report(cleaned: DataFrame, folder: str, subjects: Sequence[str], keys: Sequence[str], subject: str = "subject_corrected") -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from etholith import views as V
 from etholith.operators import windows as W
 from etholith.plans.register import R, query, rd
-from etholith.session import shared_dir
+from etholith.session import cut_lineage, shared_dir
 from etholith.sources import files
 from etholith.sources.keypoints import read_keypoints_wide, write_keypoints_wide
 
@@ -77,6 +77,34 @@ def read_keypoints(spark, d):
     )
 
 
+@query(
+    "read_keypoints_videos",
+    f"""WITH dd AS (SELECT * FROM kpts QUALIFY row_number() OVER (PARTITION BY video_id, frame_id, subject, joint
+          ORDER BY CASE WHEN x IS NULL OR y IS NULL THEN 1 ELSE 0 END, l_partkey, l_suppkey, l_extendedprice) = 1),
+        al AS (SELECT f.video_id, f.frame_id, s.subject, j.joint FROM (SELECT DISTINCT video_id, frame_id FROM dd) f, (SELECT DISTINCT subject FROM dd) s, range(1, 8) j(joint))
+        SELECT video_id, subject, 'Joint_' || CAST(joint AS VARCHAR) AS joint, count(*) AS n, count(x) AS n_x, {R('sum(x)')} AS x, {R('sum(y)')} AS y, {R('sum(likelihood)')} AS likelihood
+        FROM al LEFT JOIN dd USING (video_id, frame_id, subject, joint) GROUP BY 1, 2, 3""",
+    "kpts",
+)
+def read_keypoints_videos(spark, d):
+    """As ``read_keypoints``, for every video: each is a wide table in a folder of its own."""
+    kept = cut_lineage(
+        W.dedupe_prefer_coords(
+            V.keypoints(spark, d).withColumn("joint", F.concat(F.lit("joint_"), F.col("joint").cast("string"))),
+            ["video_id", "frame_id", "subject", "joint"], ["l_partkey", "l_suppkey", "l_extendedprice"],
+        )
+    )
+    folder, out = _folder(spark, "keypoints"), None
+    for video in sorted(r["video_id"] for r in kept.select("video_id").distinct().collect()):
+        path = f"{folder}/video-{video}"
+        write_keypoints_wide(kept.filter(F.col("video_id") == video), path, "view", ("s1", "s2"), [f"joint_{j}" for j in range(1, 8)])
+        part = read_keypoints_wide(spark, path).withColumn("video_id", F.lit(video).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("video_id", "subject", "joint").agg(
+        F.count("*").alias("n"), F.count("x").alias("n_x"), *[rd(F.sum(c)).alias(c) for c in ("x", "y", "likelihood")]
+    )
+
+
 @query(
     "read_auto_counts",
     f"""SELECT lower('Count' || CAST(animal_id % 50 AS VARCHAR) || '_' || CAST(image_id AS VARCHAR)) AS image_id, cohort, {R('a_only')} AS auto_a_only,

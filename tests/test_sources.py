@@ -219,3 +219,15 @@ def test_reports(spark, tmp_path):
         "center": ("2", "1", "50.0"), "nose": ("1", "0", "0.0"), "TOTAL": ("3", "1", "33.33")
     }
     assert spark.read.option("header", True).csv(str(tmp_path / "rep" / "removed_details")).count() == 1
+
+
+def test_keypoints_of_every_video(spark):
+    from etholith import views as V
+    from etholith.plans.roundtrips import read_keypoints_videos
+
+    sf = "/root/testdata/sf0.001"
+    seen = V.keypoints(spark, sf).groupBy("video_id").agg(F.countDistinct("frame_id", "subject", "joint").alias("n")).collect()
+    frames = {r.video_id: r.n for r in V.keypoints(spark, sf).groupBy("video_id").agg(F.countDistinct("frame_id").alias("n")).collect()}
+    got = read_keypoints_videos(spark, sf).groupBy("video_id").agg(F.sum("n").alias("n"), F.sum("n_x").alias("n_x")).collect()
+    assert {r.video_id: r.n for r in got} == {v: n * 2 * 7 for v, n in frames.items()} and len(got) == 4
+    assert all(0 < r.n_x <= next(s.n for s in seen if s.video_id == r.video_id) for r in got)

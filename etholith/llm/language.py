@@ -7,8 +7,8 @@ texts (Nyström): kernel values to them, whitened, are features of a one-versus-
 regression. Scoring takes whole texts; presence rows of many texts at once are multiplied by the
 landmarks' presence columns, then by the weights.
 
-Landmarks and training texts are a bounded sample: about ``PER_LANG`` texts for each language,
-``TOTAL`` at most, each shown by a piece of up to ``PIECE`` bytes.
+Landmarks and training texts are a bounded sample: ``PER_LANG`` texts for each language, ``TOTAL`` at
+most, shared evenly but with ``LEAST`` left for each, each shown by a piece of up to ``PIECE`` bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from etholith.llm.common import blocks, query, stored, table
@@ -26,6 +26,7 @@ from etholith.llm.quality import fold
 ORDERS = (1, 2, 3)
 PER_LANG = 200
 TOTAL = 4000
+LEAST = 10
 LANDMARKS = 24
 PIECE = 4000
 RIDGE = 1e-2
@@ -111,18 +112,21 @@ class KernelModel:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL, landmarks: int = LANDMARKS) -> KernelModel | None:
     """The model of the non-null languages outside the held-out fold; none if there is no such text.
 
-    Rows are those of smallest hash: the share to take follows from each language's number of rows.
+    Distinct rows of smallest hash within each language. The first filter leaves some more of each than its share.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id", 5) != 0))
     spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_spot")
-    narrow = stored(usable.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_content"), F.col("lang").alias("_lang"), spot))
+    narrow = stored(usable.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_content"), F.col("lang").alias("_lang"), spot).distinct())
     counts = narrow.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = max(LEAST, min(per_lang, total // max(1, counts.count())))
+    order = Window.partitionBy("_lang").orderBy("_spot", "_id", "_content")
     chosen = (
         narrow.join(counts, "_lang")
-        .filter(F.col("_spot") * F.col("_n") <= float(per_lang) * (1 << 30))
-        .orderBy("_spot", "_id", "_content")
-        .limit(total)
+        .filter(F.col("_spot") * F.col("_n") <= (share + 8 * share**0.5 + 16) * (1 << 30))
+        .withColumn("_rank", F.row_number().over(order))
+        .filter(F.col("_rank") <= share)
         .dropDuplicates(["_id", "_content"])
+        .drop("_rank")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content"))
     rows = (

@@ -45,3 +45,15 @@ def test_cases(spark):
     assert all(r.lang_pred in ("en", "fr") for r in got if r.doc_id not in (1, 2, 3))
     assert identify(df, fit(df.limit(0))).filter("lang_pred <> 'und' OR score > 0").count() == 0
     assert identify(df.limit(0), model).count() == 0
+
+
+def test_rare_languages_keep_their_rows(spark):
+    # 25 languages of 400 rows and five of 12, each of words of its own.
+    rows = [(1000 * k + i, f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 5 + "abcdefgh"[i % 8], f"l{k:02}", 0) for k in range(30) for i in range(400 if k < 25 else 12)]
+    rows += [(5_000_000, "same same", "l24", 0)] * 3000  # repeated rows take no room
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    model = fit(df, per_lang=200, total=300, landmarks=4)
+    assert model.langs == [f"l{k:02}" for k in range(30)]
+    got = identify(df, model).select("lang", "lang_pred").where("doc_id <> 5000000").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.99
+    assert np.mean([r.lang == r.lang_pred for r in got if r.lang >= "l25"]) > 0.99

@@ -730,3 +730,15 @@ def real_vs_chance_full(spark, d):
     out = study.real_vs_chance(rollup_of(spark, d), V.points(spark, d), "image_id", method="normal")
     out = rounded(out, "wilcoxon_z", "effect_r", "wilcoxon_p", "t", "t_p")
     return rounded(out, "mean_diff", "ci_low", "ci_high", "mean_overlap_index", digits=5)
+
+
+@query("behaviour_report_ci")
+def behaviour_report_ci(spark, d):
+    out = study.behaviour_report(V.bouts(spark, d), SESSIONS, BEHAVIORS, DIRECTIONAL, method="normal", intervals=True)
+    return rounded(out, "statistic", "z", "effect_r", "p_value", "p_holm", "median_S1", "median_S2", "mean_diff", "ci_low", "ci_high")
+
+
+@query("key_stats_full")
+def key_stats_full(spark, d):
+    out = study.key_stats_full(deltas(spark, d), rollup_of(spark, d), "manual_total", "auto_total", "cohort", COHORTS, method="normal")
+    return rounded(rounded(out, "statistic", "effect_size", digits=4), "p_value", "p_fdr")

@@ -27,10 +27,12 @@ def routed_durations(
 
 
 def behaviour_report(
-    bouts: DataFrame, sessions: tuple[str, str], behaviors: Sequence[str], directional: Sequence[str], method: str = "exact"
+    bouts: DataFrame, sessions: tuple[str, str], behaviors: Sequence[str], directional: Sequence[str], method: str = "exact",
+    intervals: bool = False,
 ) -> DataFrame:
     """Per behaviour: medians of both sessions, signed-rank test, effect size and Holm p.
 
+    With ``intervals`` also the mean difference of the sessions and its BCa bounds.
     The routed totals (one row per animal, session and behaviour) and the tests
     (one row per behaviour) are written once; each is read by several branches.
     """
@@ -40,7 +42,13 @@ def behaviour_report(
     wide = med.groupBy("behavior").agg(
         *[F.max(F.when(F.col("session_type") == s, F.col("m"))).alias(f"median_{s}") for s in sessions]
     )
-    return S.p_adjust(tests, [], "p_value", "holm", "p_holm").join(wide, "behavior")
+    out = S.p_adjust(tests, [], "p_value", "holm", "p_holm").join(wide, "behavior")
+    if not intervals:
+        return out
+    sides = [F.max(F.when(F.col("session_type") == s, F.col("duration"))) for s in sessions]
+    diff = routed.groupBy("behavior", "view", "animal_id").agg((sides[0] - sides[1]).alias("diff"))
+    ci = B.bca_ci_mean(diff, ["behavior", "view"], "diff", ["animal_id"]).withColumnRenamed("theta", "mean_diff").drop("n")
+    return null_safe_join(out, ci, ["behavior", "view"], "left")
 
 
 def latency_test(latency: DataFrame, sessions: tuple[str, str], method: str = "exact") -> DataFrame:
@@ -160,3 +168,59 @@ def key_stats(images: DataFrame, animals: DataFrame, manual: str, auto: str, by:
     return out
 
 
+def _result(df: DataFrame, block: str, test: Column | str, note: Column, **values: Column) -> DataFrame:
+    name = F.lit(test) if isinstance(test, str) else test
+    numbers = [values.get(c, F.lit(None)).cast("double").alias(c) for c in ("statistic", "p_value", "effect_size")]
+    return df.select(F.lit(block).alias("block"), name.alias("test"), *numbers, values.get("n", F.lit(None)).cast("long").alias("n"), note.alias("note"))
+
+
+def key_stats_full(
+    images: DataFrame, animals: DataFrame, manual: str, auto: str, by: str, batches: Sequence[str],
+    flag: str = "status", levels: tuple[str, str] = ("Held-out", "Training"), method: str = "exact",
+) -> DataFrame:
+    """The whole result table: block, test, statistic, p_value, effect_size, n, note, p_fdr.
+
+    :func:`key_stats` with p values, overlap index, bootstrap and concordance intervals, agreement over
+    animals, and the over-fit and batch checks of ``auto - manual``, whose p values are one family (``p_fdr``).
+    """
+    text = F.format_string
+    pairs = real_chance_pairs(animals, "manual_both", "manual_chance_overlap")
+    parts = []
+    for name, p in (("GFP vs cFos", real_chance_pairs(animals, "manual_a_total", "manual_b_total")), ("Real vs chance overlap", pairs)):
+        r = S.with_signed_rank_p(S.signed_rank(p, [], method=method), method)
+        parts.append(_result(r, "A", f"{name} (signed rank)", F.col("note"), statistic=F.col("z"), p_value=F.col("p_value"), effect_size=F.abs("effect_r"), n=F.col("n_pairs")))
+    parts.append(_result(S.paired_t(pairs, []), "A", "Real vs chance overlap (paired t)", F.lit(""), statistic=F.col("t"), p_value=F.col("p_value"), n=F.col("n_pairs")))
+    for name, col in (("GFP counts", "manual_a_total"), ("cFOS counts", "manual_b_total"), ("Colocalized", "manual_both"), ("Chance overlap", "manual_chance_overlap")):
+        m = null_safe_join(A.descriptives(animals, [], col).withColumn("_k", F.lit(1)), animals.agg(F.avg(col).alias("_mean")).withColumn("_k", F.lit(1)), ["_k"])
+        parts.append(_result(m, "A", f"{name} (median, IQR)", text("mean=%.1f", "_mean"), statistic=F.col("median_value"), effect_size=F.col("iqr"), n=F.col("n_values")))
+    index = animals.agg(F.avg("manual_overlap_index").alias("m"), F.count("manual_overlap_index").alias("n"))
+    parts.append(_result(index, "A", "Overlap index (mean across animals)", F.lit("0=chance level, 1=theoretical max"), statistic=F.col("m"), n=F.col("n")))
+    span = text("95%% CI [%.2f, %.2f]", "ci_low", "ci_high")
+    boot = B.bca_ci_mean(pairs.select("animal_id", (F.col("x") - F.col("y")).alias("diff")), [], "diff", ["animal_id"])
+    parts.append(_result(boot, "A", "Bootstrap 95% CI, real-chance diff", span, statistic=F.col("theta"), n=F.col("n")))
+
+    image_ci = B.bca_ci_ccc(images, [by], manual, auto, ["image_id"])
+    parts.append(_result(image_ci, "B", F.concat(F.lit("Agreement CCC "), F.col(by)), span, statistic=F.col("theta"), n=F.col("n")))
+    sums = images.groupBy("animal_id").agg(F.sum(manual).alias("m"), F.sum(auto).alias("a"))
+    rho = agreement_over_animals(images, {"all": (manual, auto)}).select("channel", "rho")
+    own = B.bca_ci_ccc(sums, [], "m", "a", ["animal_id"]).withColumn("channel", F.lit("all"))
+    parts.append(_result(null_safe_join(own, rho, ["channel"]), "B", "Agreement CCC, per animal", F.concat(span, text(", rho=%.2f", "rho")), statistic=F.col("theta"), n=F.col("n")))
+    b = S.bland_altman(images, [by], manual, auto)
+    limits = text("95%% LoA [%.2f, %.2f]", F.col("bias") - 1.96 * F.col("sd_diff"), F.col("bias") + 1.96 * F.col("sd_diff"))
+    parts.append(_result(b, "B", F.concat(F.lit("Bias "), F.col(by)), limits, statistic=F.col("bias"), effect_size=F.col("sd_diff"), n=F.col("n")))
+
+    gap = images.withColumn("delta", F.round(F.col(auto) - F.col(manual), 6))
+    sides = [F.struct(F.lit(c).alias("batch"), F.when(F.col(by) == c, "batch").otherwise("rest").alias("side")) for c in batches]
+    split = gap.select("delta", F.inline(F.array(*sides)))
+    for name, df, key, column, pair in (("Overfitting ", gap, by, flag, levels), ("Batch ", split, "batch", "side", ("batch", "rest"))):
+        r = S.with_rank_sum_p(S.delta_check_statistic(df, [key], column, pair, "delta", method), method)
+        note = text(f"exploratory, FDR; median {pair[0]}=%.1f, {pair[1]}=%.1f", "median_first", "median_second")
+        parts.append(_result(r, "B", F.concat(F.lit(name), F.col(key)), note, statistic=F.col("z"), p_value=F.col("p_value"), n=F.col("n1") + F.col("n2")))
+    error = gap.groupBy(by, flag).agg(F.avg(F.abs("delta")).alias("e"), F.count("delta").alias("n"))
+    parts.append(_result(error, "B", F.concat_ws(" ", F.lit("Mean |error|"), by, flag), F.lit(""), statistic=F.col("e"), n=F.col("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = cut_lineage(out)
+    family = F.col("note").startswith("exploratory, FDR")
+    return S.p_adjust(out.filter(family), [], "p_value", "bh", "p_fdr").unionByName(out.filter(~F.coalesce(family, F.lit(False))), allowMissingColumns=True)

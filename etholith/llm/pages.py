@@ -4,7 +4,7 @@ A page is read into blocks of text under a tree of elements. What an element say
 footer, form, advert, comments, hidden) takes its subtree out. Each remaining block gives points for
 its length and its commas to its parent, half of them to the grandparent and less to those above; a
 container's points are discounted by the share of its text that is inside links. The container with
-the most points is kept, with those of its siblings that score well or are prose, and headings.
+the most points is kept, with those of its siblings that have points and few links or are prose, and headings.
 
 The parser is a small helper that sees one page at a time; Spark deals out the pages.
 """
@@ -236,7 +236,9 @@ def main_text(source: str | None) -> str:
                 continue
             density = linked[k] / size[k]
             prose = page.tag[k] in ("p", "pre", "blockquote") and (density < 0.25 if size[k] > 80 else density == 0)
-            if score[k] >= limit or prose or page.tag[k] in HEADINGS:
+            # Part of the article, however short beside the best: text worth points, or a section beside a section, with few links.
+            part = density < 0.25 and (score[k] > 0 or page.tag[k] == page.tag[best] == "section")
+            if part or score[k] >= limit or prose or page.tag[k] in HEADINGS:
                 kept.add(k)
     inside = [False] * n
     for k in range(n):

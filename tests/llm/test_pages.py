@@ -25,6 +25,8 @@ CASES = [
     (f"<div><a href=x>{LONG}</a> <a href=y>{LONG}</a></div><div><p>{LONG}</p></div>", LONG),
     ("<p>a < b and c > d</p><table><tr><td>1<td>2<tr><td>3</table>", "a < b and c > d\n\n1\n\n2\n\n3"),
     (f"<article><p>{LONG}</p><script>never closed <p>no</p>", LONG),
+    (f"<div><section><h2>A</h2>{'<p>' + LONG + '</p>'}{'<p>' + LONG * 3 + '</p>'}<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><h2>B</h2><p>{'word ' * 50}</p></section><section><p>Short.</p></section>"
+     f"<div><a href=/>{LONG}</a></div></div>", "\n\n".join(["A", LONG, LONG * 3, LONG, LONG, LONG, "B", ("word " * 50).strip(), "Short."])),
     ("<nav>only</nav><footer>this</footer>", ""),
 ]
 

@@ -10,7 +10,8 @@ survivors are verified bit by bit, and only a spanning forest of the links leave
 
 A bucket of more than ``BUCKET`` different fingerprints is not held in a task. Its members go another
 exact way: two fingerprints are within four bits if and only if some value is within two bits of
-both, so each is linked to the least fingerprint that reaches the same value.
+both, so each is linked to the least fingerprint that reaches the same value. For an odd radius one
+of the two is a bit nearer, and the least of the nearer ones is linked to.
 """
 
 from __future__ import annotations
@@ -166,7 +167,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
                     continue
                 full = None
             cut = int(np.searchsorted(key, key[-1]))
-            yield from linked(key[:cut], fp[:cut])
+            if cut:  # a bucket may be larger than a batch
+                yield from linked(key[:cut], fp[:cut])
             key, fp = key[cut:], fp[cut:]
             if len(key) > bucket:
                 full = key[0]
@@ -179,20 +181,22 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
         nodes.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(paired, "a long, b long")
     )
     crowded = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    reach = [0] + [sum(1 << i for i in c) for n in range(1, radius // 2 + 1) for c in combinations(range(64), n)]
+    reach = [0] + [sum(1 << i for i in c) for n in range(1, (radius + 1) // 2 + 1) for c in combinations(range(64), n)]
 
     def ball(batches):
         masks = np.array(reach, dtype=np.uint64)
+        near = np.bitwise_count(masks) <= radius // 2
         for batch in batches:
             fp = batch["fp"].to_numpy().view(np.uint64)
             for i in range(0, len(fp), 100):
                 part = fp[i : i + 100]
-                yield pa.record_batch({"z": signed((part[:, None] ^ masks).ravel()), "fp": signed(np.repeat(part, len(masks)))})
+                yield pa.record_batch({"z": signed((part[:, None] ^ masks).ravel()), "fp": signed(np.repeat(part, len(masks))), "near": np.tile(near, len(part))})
 
     out = found.filter("b IS NOT NULL")
-    if radius % 2 == 0 and crowded.limit(1).count():
-        around = crowded.mapInArrow(ball, "z long, fp long")
-        least = around.groupBy("z").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    if crowded.limit(1).count():
+        around = crowded.mapInArrow(ball, "z long, fp long, near boolean")
+        # For an odd radius only those within the lesser half may be linked to: the others reach as far as one bit more.
+        least = around.groupBy("z").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND b IS NOT NULL").drop("n")
         out = out.union(around.join(least, "z").select(F.col("fp").alias("a"), "b").filter("a <> b").distinct())
     return out
 

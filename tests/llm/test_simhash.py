@@ -66,6 +66,30 @@ def test_links_connect(spark, bucket):
     assert len({root(f) for f in fps}) == len(set(want))
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_crowded_buckets_at_any_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    fps = {int(c) ^ sum(1 << int(b) for b in set(rng.integers(0, 63, k))) for c in rng.integers(0, 2**63, 8) for k in range(8) for _ in range(12)}
+    fps = sorted(fps)
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a bucket is crowded only where it outgrows a batch
+    try:
+        found = links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, bucket=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in found:
+        assert (r.a ^ r.b).bit_count() <= radius
+        a, b = sorted((root(r.a), root(r.b)))
+        parent[b] = a
+    assert len({root(f) for f in fps}) == len(set(classes([(f, f) for f in fps], radius)))
+
+
 def test_cases(spark):
     texts = [None, "", " \n", "one", "ONE", "one two three", "One two THREE", "one two three four five", "word " * 3000, "é ü", None]
     df = spark.createDataFrame([(i, t, 1.5) for i, t in enumerate(texts)] + [(3, "one", 2.5), (None, "one", 0.5)], "doc_id long, text string, fp double")

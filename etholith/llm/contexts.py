@@ -224,8 +224,8 @@ class Lookup:
 
 
 LIST, WORD, TEXT = 0, 1, 2
-#: Bytes of text handled at once, and listed keys kept before they are merged.
-BLOCK, MERGE = 1 << 19, 1_000_000
+#: Bytes of text and rows handled at once, and listed keys kept before they are merged: these bound a worker's memory.
+BLOCK, ROWS, MERGE = 1 << 18, 1024, 250_000
 
 
 def packed(depth: int, shard_bytes: int):
@@ -253,7 +253,7 @@ def packed(depth: int, shard_bytes: int):
                     part = key[a : a + 50_000]
                     yield pa.record_batch({"shard": np.full(len(part), shard), "kind": np.full(len(part), kind, np.int8), "key": part, "n": n[a : a + 50_000], "texts": pa.nulls(len(part), pa.binary())})
 
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             for i, j, data, offsets in blocks(batch["text"], BLOCK):
                 if size and size + len(data) > shard_bytes:
                     yield from flush()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from etholith.llm.common import query, stored, table
 from etholith.operators.ordered import row_index
 
 CAP = 3
+#: Parts that rows of equal id, source and text are numbered in.
+PARTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,43 +43,81 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     return ranked.select("source", "source_size", F.when(share > F.col("most"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
-def draw(doc_id: str) -> Column:
-    """A number in [0, 1) that depends on the id only: 52 bits of its MD5."""
-    text = F.concat(F.lit("mix-"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+def content() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def draw(doc_id: str, content: str, nth: str) -> Column:
+    """A number in [0, 1): 52 bits of the MD5 of id, text digest and the row's number among equal rows."""
+    text = F.concat(F.lit("mix-"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("-"), F.col(nth).cast("string"), F.lit("-"), F.col(content))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_nth``: the number, from 0, of a row among those of equal doc_id, source and ``_content``.
+
+    Only rows that are equal to others are exchanged; their places are cut into ``PARTS`` parts that are
+    numbered apart and shifted by the sizes of earlier parts, so no task sees more than a part of them.
+    """
+    names = ["doc_id", "source", "_content"]
+    keys = rows.groupBy(names).count().filter("count > 1").select([F.col(c).alias(f"_key_{c}") for c in names])
+    keys = stored(keys)
+    if keys.isEmpty():
+        return rows.withColumn("_nth", F.lit(0).cast("long"))
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in names]
+    once = rows.join(keys, same, "left_anti").withColumn("_nth", F.lit(0).cast("long"))
+    many = stored(rows.join(keys, same, "left_semi").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))))
+    sizes = many.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select([F.col(c).alias(f"_key_{c}") for c in names] + [F.col("_part").alias("_key_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")])
+    own = many.withColumn("_in", F.row_number().over(Window.partitionBy(*names, "_part").orderBy(F.lit(0))) - 1)
+    shifted = own.join(shift, [*same, F.col("_part") == F.col("_key_part")]).withColumn("_nth", F.col("_in") + F.col("_before"))
+    return once.unionByName(shifted.select(*rows.columns, "_nth"))
+
+
+def copies(rate: Column, draw: Column) -> Column:
+    """floor(rate) and one more where the draw falls below the fraction."""
+    return F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
+
+
+def rated(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, _content, ...) with source_size, target and copies."""
+    per = per.withColumnRenamed("source", "_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    joined = numbered(rows).join(per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return joined.withColumn("copies", copies(rate, draw("doc_id", "_content", "_nth")).cast("long")).drop("_nth", "_content")
+
+
 def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of ``docs``.
 
     ``copies`` is floor(target / source_size) plus one with the probability of the fraction, drawn
-    from doc_id, so reruns and retries agree (repeated rows draw alike). Null and empty texts have
-    size 0; a source of size 0 has target 0 and no copies.
+    from doc_id, text and the row's number among rows of equal doc_id, source and text: reruns and
+    retries agree, and rows without an id or with a repeated one are drawn one by one. Null and empty
+    texts have size 0; a source of size 0 has target 0 and no copies.
     """
-    sizes = stored(docs.select("doc_id", "source", size_of("text").alias("size")))
-    per = targets(sizes, cap).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return (
-        sizes.join(per, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source")
-        .withColumn("copies", (F.floor(rate) + F.when(draw("doc_id") < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
-    )
+    sizes = stored(docs.select("doc_id", "source", size_of("text").alias("size"), content().alias("_content")))
+    return rated(sizes, targets(sizes, cap))
 
 
 def emit(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, numbered from 0 in ``copy``."""
-    per = targets(docs.select("source", size_of("text").alias("size")), cap).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    base = docs.drop("copy", "source_size", "target", "_source")
-    copies = (F.floor(rate) + F.when(draw("doc_id") < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    """``docs`` with each row as often as the mix takes it, numbered from 0 in ``copy``.
+
+    Of rows that agree in doc_id, source and text but not in other columns any may be the one taken
+    once more.
+    """
+    per = targets(docs.select("source", size_of("text").alias("size")), cap)
+    base = docs.drop("copy", "copies", "source_size", "target", "_source")
+    n = F.col("copies").cast("int")
     return (
-        base.join(per, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("copy", F.explode(F.array_remove(F.sequence(F.lit(0), copies), copies)))
+        rated(base.withColumn("_content", content()), per)
+        .withColumn("copy", F.explode(F.array_remove(F.sequence(F.lit(0), n), n)))
         .select(*base.columns, "copy")
     )
 
 
-SQL_TARGETS = """sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+SQL_TARGETS = """sizes AS (SELECT doc_id, source, md5(coalesce(text, '')) AS content,
+  row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS nth, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT source, source_size, 3 * source_size AS most,
   1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w FROM per),
@@ -88,7 +128,7 @@ level AS (SELECT coalesce(arg_min(l, k) FILTER (most / w >= l), 0) AS l
 per_source AS (SELECT source, source_size, least(l * w, CAST(most AS DOUBLE)) AS target FROM ranked, level),
 drawn AS (SELECT sizes.doc_id, sizes.source, size, source_size, target,
   CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  CAST(('0x' || substr(md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  CAST(('0x' || substr(md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '-' || nth || '-' || content), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sizes JOIN per_source ON sizes.source IS NOT DISTINCT FROM per_source.source)"""
 
 

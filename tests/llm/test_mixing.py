@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from etholith.llm.mixing import draw, emit, mix
 
 
@@ -50,5 +52,16 @@ def test_empty(spark):
 
 
 def test_draw(spark):
-    u = [r.u for r in spark.range(2000).select(draw("id").alias("u")).collect()]
-    assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / 2000 - 0.5) < 0.03
+    rows = spark.range(2000).select("id", F.md5(F.lit("")).alias("c"), F.lit(0).alias("n"))
+    for u in ([r.u for r in df.select(draw("id", "c", "n").alias("u")).collect()] for df in (rows, rows.select(F.lit(None).alias("id"), "c", F.col("id").alias("n")))):
+        assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / 2000 - 0.5) < 0.03
+
+
+def test_rows_without_or_with_equal_ids_hit_the_target(spark):
+    rows = [(None, f"a b c {k % 2}", "s0") for k in range(1000)] + [(7, "x y z w", "s1")] * 1000 + [(None, f"v{k} u t s", "s2") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mix(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 3 and all(abs(r.taken - r.target) <= 0.05 * r.target for r in got)
+    again = mix(df.repartition(2)).groupBy("source", "size", "copies").count().collect()
+    assert sorted(again) == sorted(mix(df).groupBy("source", "size", "copies").count().collect())
+    assert emit(df).count() == mix(df).agg(F.sum("copies")).first()[0]

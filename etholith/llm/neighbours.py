@@ -5,7 +5,8 @@ sample. Tasks index the rows they hold, block by block: codes are split into 16-
 each substring's values point to their rows. A query asks for every code within a Hamming radius. By
 the pigeonhole principle such a code is close in one substring, so all present values near the
 query's are probed, the codes behind them are verified, and what is left is ranked by exact Euclidean
-distance. Where a block holds fewer than ``least`` such codes the radius is widened until it does.
+distance. Where a block holds fewer than ``least`` (or ``k``) such codes
+the radius is widened until it does.
 
 Every row is indexed; queries travel to the blocks in groups of a fixed size.
 """
@@ -117,12 +118,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BIT
                 index = MultiIndex(turns.codes(x))
                 out_q, out_v, out_s = [], [], []
                 for i, own, code in zip(range(len(q_id)), q_id, q_code, strict=True):
-                    reach = radius
-                    at = index.within(code, reach)
-                    while len(at) < min(least, len(ids)):
-                        reach += 4
+                    reach, others = radius, int((ids != own).sum())
+                    while True:
                         at = index.within(code, reach)
-                    at = at[ids[at] != own]
+                        at = at[ids[at] != own]
+                        if len(at) >= min(max(least, k), others):
+                            break
+                        reach += 4
                     score = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
                     best = np.lexsort((ids[at], score))[:k]
                     out_q.append(np.full(len(best), own))

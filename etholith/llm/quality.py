@@ -140,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, views: int = V
     """The network learned from at most ``sample`` rows of each label outside the held-out fold.
 
     Rows are chosen by smallest hash of their id. At most ``2 * sample * views`` chunks come to the
-    driver, whatever the input. Without rows of both labels the network stays at 0.5 and above.
+    driver, whatever the input. Of several texts with one doc_id that of the least content hash is
+    learned, once with each label the id has; the order is by doc_id and label, so the network does not
+    depend on the partitioning. Without rows of both labels the network stays as it was drawn.
     """
     known = labels.filter((fold("doc_id", 5) != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     few = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
@@ -152,17 +154,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, views: int = V
                 start, left, first = cut(data, offsets, views)
                 rows = chunk_bytes(data, start, left)
                 packed = [rows[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield pa.record_batch({"doc_id": batch["doc_id"].slice(i, j - i), "quality": batch["quality"].slice(i, j - i), "chunks": pa.array(packed, pa.binary())})
+                yield pa.record_batch({"doc_id": batch["doc_id"].slice(i, j - i), "quality": batch["quality"].slice(i, j - i), "content": batch["content"].slice(i, j - i), "chunks": pa.array(packed, pa.binary())})
 
     kind, label = dict(docs.dtypes)["doc_id"], dict(labels.dtypes)["quality"]
     rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "quality", "text")
-        .mapInArrow(views_of, f"doc_id {kind}, quality {label}, chunks binary")
-        .dropDuplicates(["doc_id"])
+        docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
+        .join(F.broadcast(chosen), "doc_id")  # 2 * sample rows
+        .select("doc_id", "quality", "content", "text")
+        .mapInArrow(views_of, f"doc_id {kind}, quality {label}, content long, chunks binary")
+        .groupBy("doc_id", "quality")
+        .agg(F.min_by("chunks", "content").alias("chunks"))
         .toArrow()
-        .sort_by("doc_id")
+        .sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     )
     label = rows["quality"].to_numpy().astype(np.float64)
     if not 0 < label.sum() < len(label):

@@ -135,8 +135,10 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): enough links to connect all fingerprints (column ``fp``, distinct) within ``radius`` bits.
 
-    ``radius`` is at most 4: that many blocks may be touched.
+    ``radius`` is at most 4: that many blocks may be touched; another one is a ValueError.
     """
+    if not 0 <= radius <= 4:
+        raise ValueError("radius must be from 0 to 4 bits")
 
     def keyed(batches):
         number = np.arange(len(MASKS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

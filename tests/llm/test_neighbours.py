@@ -55,3 +55,11 @@ def test_cases(spark):
     few = df.filter("vec_id < 4")
     assert nearest(few, few.filter("vec_id = 0")).count() == 3
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
+
+
+def test_many_neighbours(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(6).normal(size=(3000, 8)))]
+    df = spark.createDataFrame(rows + [rows[0]], "vec_id long, embedding array<double>")
+    got = nearest(df, df.filter("vec_id = 0"), k=2000)
+    assert got.count() == 2000 and got.filter("vec_id = 0").count() == 0
+    assert nearest(df, df.filter("vec_id = 0"), k=5000).count() == 2999

@@ -47,3 +47,15 @@ def test_cases(spark):
     assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
     assert classify(docs.limit(0), labels).count() == 0
     assert classify(docs, labels.limit(0)).count() == 5
+
+
+def test_repeated_ids_and_labels(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").limit(120)
+    other = docs.filter("doc_id % 3 = 0").selectExpr("doc_id", "reverse(text) AS text")
+    docs = docs.union(other).union(docs.filter("doc_id % 7 = 0"))
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality").union(docs.filter("doc_id % 5 = 0").selectExpr("doc_id", "1 AS quality"))
+    ways = [docs.repartition(1), docs.repartition(7), docs.orderBy(docs.text.desc())]
+    found = [sorted((r.doc_id, r.text, r.score) for r in classify(way, labels, sample=40).collect()) for way in ways]
+    assert all([r[:2] for r in rows] == [r[:2] for r in found[0]] for rows in found)
+    scores = np.array([[r[2] for r in rows] for rows in found])
+    assert abs(scores - scores[0]).max() < 1e-6 and len(set(scores[0].round(4))) > 50  # sums of single floats may differ by block

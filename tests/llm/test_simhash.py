@@ -103,3 +103,10 @@ def test_cases(spark):
     kept = keep_first(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(c for _, c in want.values()))
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_radius_out_of_reach(spark):
+    nodes = spark.createDataFrame([(0,), (31,)], "fp long")
+    for radius in (5, -1):
+        with pytest.raises(ValueError):
+            links(nodes, radius)

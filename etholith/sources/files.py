@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etholith.functions import ids
 from etholith.functions.geometry import polygon_area, ring_centroid
+from etholith.sources.archives import read_archives
 
-# Member names of mask and centroid archives.
-MASK_KEY = re.compile(r"^frame(\d+)_obj(\d+)_mask_(packed|shape|gap)$")
-CENTROID_KEY = re.compile(r"^centroids_obj(\d+)$")
 
 
 def _file_name(path: Column) -> Column:
@@ -202,8 +197,9 @@ def read_object_geojson(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(name, pattern, 1).alias("prefix"), F.regexp_extract(name, pattern, 2).alias("marker"), "value"
     ).filter(F.col("marker") != "")
     both = files.groupBy("prefix").agg(F.countDistinct("marker").alias("n")).filter("n = 2").select("prefix")
-    lines = F.concat(F.lit("["), F.array_join(F.split(F.trim("value"), r"\r?\n"), ","), F.lit("]"))
-    text = F.when(F.trim("value").startswith("["), F.col("value")).otherwise(lines)
+    whole = F.regexp_replace("value", r"^\s+|\s+$", "")
+    lines = F.concat(F.lit("["), F.array_join(F.split(whole, r"\r?\n"), ","), F.lit("]"))
+    text = F.when(whole.startswith("["), whole).otherwise(lines)
     return (
         files.join(both, "prefix", "left_semi")
         .select("prefix", "marker", F.posexplode(F.from_json(text, f"ARRAY<{_FEATURE}>")).alias("ord", "f"))
@@ -271,53 +267,14 @@ def list_images(spark: SparkSession, path: str, contains: Sequence[str] = (), gl
 # ---------------------------------------------------------------- archives
 
 
-def _archives(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-        .select("path", "content")
-    )
-
-
 def read_mask_shards(spark: SparkSession, path: str | Sequence[str], keys_only: bool = False) -> DataFrame:
     """Mask rows (path, frame_id, obj_id, h, w, packed, is_gap) of ``shard_*.npz`` archives.
 
-    With ``keys_only`` just (path, frame_id, obj_id) is made and no mask is
-    decoded, for censuses of large folders.
+    Filters on frame_id and obj_id reach the archives: other members are not read. With
+    ``keys_only`` just (path, frame_id, obj_id) is made from the archives' directories, for
+    censuses of large folders.
     """
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                with np.load(io.BytesIO(content)) as npz:
-                    hits = [MASK_KEY.match(k) for k in npz.files]
-                found = sorted({(int(m[1]), int(m[2])) for m in hits if m and m[3] == "packed"})
-                yield pd.DataFrame([(file, f, o) for f, o in found], columns=["path", "frame_id", "obj_id"])
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "frame_id", "obj_id", "h", "w", "packed", "is_gap"]
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                out = []
-                with np.load(io.BytesIO(content)) as npz:
-                    names = set(npz.files)
-                    for key in npz.files:
-                        m = MASK_KEY.match(key)
-                        if not m or m[3] != "packed":
-                            continue
-                        stem = key[: -len("packed")]
-                        h, w = (int(v) for v in npz[stem + "shape"])
-                        gap = stem + "gap" in names and bool(npz[stem + "gap"][0])
-                        out.append((file, int(m[1]), int(m[2]), h, w, npz[key].tobytes(), gap))
-                        if len(out) == 64:  # masks are large: small batches
-                            yield pd.DataFrame(out, columns=columns)
-                            out = []
-                if out:
-                    yield pd.DataFrame(out, columns=columns)
-
-    files = _archives(spark, path, "shard_*.npz")
-    if keys_only:
-        return files.mapInPandas(keys, "path string, frame_id long, obj_id int")
-    return files.mapInPandas(rows, "path string, frame_id long, obj_id int, h int, w int, packed binary, is_gap boolean")
+    return read_archives(spark, "mask_archive", path, keysOnly=str(keys_only).lower())
 
 
 def read_centroids(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -325,23 +282,7 @@ def read_centroids(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     Empty arrays give no rows and frame numbers are rounded to integers.
     """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                with np.load(io.BytesIO(content)) as npz:
-                    for key in npz.files:
-                        m = CENTROID_KEY.match(key)
-                        if not m or npz[key].shape[0] == 0:
-                            continue
-                        a = npz[key].astype("float64")
-                        yield pd.DataFrame(
-                            {"path": file, "obj_id": int(m[1]), "frame_id": np.rint(a[:, 0]).astype("int64"), "x": a[:, 1], "y": a[:, 2]}
-                        )
-
-    return _archives(spark, path, "centroids.npz").mapInPandas(
-        rows, "path string, obj_id int, frame_id long, x double, y double"
-    )
+    return read_archives(spark, "centroid_archive", path)
 
 
 def latest_centroids(rows: DataFrame, key: Sequence[str] = ()) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from etholith.operators.aggregates import cleanup_summary
 from etholith.operators.frames import gaps
+from etholith.operators.ordered import null_safe_join
 from etholith.operators.tracking import removed_details
 from etholith.operators.windows import shard_of
+from etholith.sources.archives import register
 
 FRAMES_PER_SHARD = 500
 
@@ -43,28 +45,83 @@ def write_mask_shards(
     )
 
 
+def write_mask_archives(
+    masks: DataFrame, folder: str, key: Sequence[str] = ("animal",), frames_per_shard: int = FRAMES_PER_SHARD, run: Column | None = None
+) -> None:
+    """Masks (frame_id, obj_id, h, w, packed, optionally is_gap) as ``shard_*.npz`` of so many present frames.
+
+    ``run`` names the folder of a row's key (default: the key's values joined by ``_``, and
+    ``_merged_shards``). An archive is written by one task, row by row.
+    """
+    key = list(key)
+    run = F.concat(F.concat_ws("_", *[F.col(c).cast("string") for c in key]), F.lit("_merged_shards")) if run is None else run
+    shards = shard_of(masks, key, frames_per_shard).select(*key, "frame_id", "shard")
+    name = F.concat(run, F.lit("/shard_"), F.lpad(F.col("shard").cast("string"), 5, "0"), F.lit(".npz"))
+    gap = [F.coalesce("is_gap", F.lit(False)).alias("is_gap")] if "is_gap" in masks.columns else []
+    rows = null_safe_join(masks, shards, [*key, "frame_id"]).select(
+        name.alias("archive"), F.col("frame_id").cast("long"), F.col("obj_id").cast("int"), F.col("h").cast("int"), F.col("w").cast("int"), "packed", *gap
+    )
+    register(masks.sparkSession)
+    rows.repartition("archive").sortWithinPartitions("archive", "frame_id", "obj_id").write.format("mask_archive").mode("overwrite").save(folder)
+
+
+def write_centroid_archives(centroids: DataFrame, folder: str, key: Sequence[str] = ("animal",), run: Column | None = None) -> None:
+    """Centroids (obj_id, frame_id, x, y) as one ``centroids.npz`` per key, an array of (frame, x, y) per object."""
+    key = list(key)
+    run = F.concat(F.concat_ws("_", *[F.col(c).cast("string") for c in key]), F.lit("_merged_shards")) if run is None else run
+    sizes = centroids.groupBy(*key, "obj_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = null_safe_join(centroids, sizes, [*key, "obj_id"]).select(
+        F.concat(run, F.lit("/centroids.npz")).alias("archive"), F.col("obj_id").cast("int"), F.col("frame_id").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"), "n"
+    )
+    register(centroids.sparkSession)
+    rows.repartition("archive").sortWithinPartitions("archive", "obj_id", "frame_id").write.format("centroid_archive").mode("overwrite").save(folder)
+
+
 #: Files that the objects of one class and image are dealt out to, at most.
 PARTS_PER_IMAGE = 8
 
 
-def write_objects_by_image(objects: DataFrame, folder: str, image: str = "image_id", marker: str = "marker") -> None:
-    """Objects as GeoJSON features, one per line, in a folder per class and image.
-
-    ``ring`` holds the outline. Lines, not one list per image, so that an image
-    of any size is written by many tasks. Images without objects get no folder.
-    """
-    feature = F.to_json(
+def _feature(marker: str) -> Column:
+    return F.to_json(
         F.struct(
             F.lit("Feature").alias("type"),
             F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates")).alias("geometry"),
             F.struct(F.struct(F.col(marker).alias("name")).alias("classification")).alias("properties"),
         )
     )
-    lines = objects.select(F.col(marker).alias("class"), F.col(image).alias("image"), feature.alias("value"))
+
+
+def write_objects_by_image(objects: DataFrame, folder: str, image: str = "image_id", marker: str = "marker") -> None:
+    """Objects as GeoJSON features, one per line, in a folder per class and image.
+
+    ``ring`` holds the outline. Lines, not one list per image, so that an image
+    of any size is written by many tasks. Images without objects get no folder.
+    """
+    lines = objects.select(F.col(marker).alias("class"), F.col(image).alias("image"), _feature(marker).alias("value"))
     spread = lines.repartition("class", "image", F.pmod(F.xxhash64("value"), F.lit(PARTS_PER_IMAGE)))
     spread.write.mode("overwrite").partitionBy("class", "image").text(folder)
 
 
+def write_lines(lines: DataFrame, folder: str, order: Sequence[str]) -> None:
+    """Text files named by the column ``archive``, each holding its ``value`` lines in this order.
+
+    A file is written by one task, line by line; the number of files is not bounded.
+    """
+    register(lines.sparkSession)
+    rows = lines.repartition("archive").sortWithinPartitions("archive", *order).select("archive", "value")
+    rows.write.format("named_text").mode("overwrite").save(folder)
+
+
+def write_object_files(objects: DataFrame, folder: str, image: str = "image_id", marker: str = "marker") -> None:
+    """One ``<image>_<class>objects.geojson`` per image and class that has objects, a feature per line.
+
+    ``ring`` holds the outline. For images too large for one writing task there is
+    :func:`write_objects_by_image`.
+    """
+    name = F.concat(F.col(image), F.lit("_"), F.col(marker), F.lit("objects.geojson"))
+    write_lines(objects.select(name.alias("archive"), _feature(marker).alias("value")), folder, ["value"])
+
+
 def write_cleanup_report(cleaned: DataFrame, folder: str, subjects: Sequence[str], keys: Sequence[str], subject: str = "subject_corrected") -> None:
     """The two report tables: summary and removed details."""
     summary = cleanup_summary(cleaned, subjects, subject=subject).orderBy(

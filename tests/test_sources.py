@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from etholith.operators.joins import cross_check_starts
 from etholith.operators.tracking import segment_status
+from etholith.sources import archives as A
 from etholith.sources import files as S
 from etholith.sources import sinks as K
 from etholith.sources.keypoints import read_keypoints_wide, write_keypoints_wide
@@ -231,3 +232,63 @@ def test_keypoints_of_every_video(spark):
     got = read_keypoints_videos(spark, sf).groupBy("video_id").agg(F.sum("n").alias("n"), F.sum("n_x").alias("n_x")).collect()
     assert {r.video_id: r.n for r in got} == {v: n * 2 * 7 for v, n in frames.items()} and len(got) == 4
     assert all(0 < r.n_x <= next(s.n for s in seen if s.video_id == r.video_id) for r in got)
+
+
+def _masks(spark, frames, parts):
+    rng = np.random.default_rng(1)
+    data = [("a" if f % 3 else "b", f, o, 9, 11, rng.bytes(13), f % 4 == 0) for f in frames for o in (1, 2, 12)]
+    schema = "animal string, frame_id long, obj_id int, h int, w int, packed binary, is_gap boolean"
+    return spark.createDataFrame(data, schema).repartition(parts), {(d[0], d[1], d[2]): d[3:] for d in data}
+
+
+def test_archive_source_splits_and_prunes(spark, tmp_path):
+    masks, want = _masks(spark, range(0, 90, 2), 3)
+    folder = str(tmp_path / "m")
+    K.write_mask_archives(masks, folder, frames_per_shard=20)
+    names = sorted(p.relative_to(folder).as_posix() for p in (tmp_path / "m").rglob("*.npz"))
+    assert names == ["a_merged_shards/shard_00000.npz", "a_merged_shards/shard_00001.npz", "b_merged_shards/shard_00000.npz"]
+    assert not list((tmp_path / "m").rglob("_temporary*"))
+    with np.load(f"{folder}/{names[0]}") as npz:  # as other tools read it
+        assert {int(k[5:12]) for k in npz.files} == set([f for f in range(0, 90, 2) if f % 3][:20])
+    got = S.read_mask_shards(spark, folder)
+    pieces = A.read_archives(spark, "mask_archive", folder, splitBytes=700)
+    assert pieces.rdd.getNumPartitions() > 10
+    for df in (got, pieces, S.read_mask_shards(spark, [f"file://{folder}/a_merged_shards", f"{folder}/b_merged_shards"])):
+        assert {(r.path.split("/")[-2][0], r.frame_id, r.obj_id): (r.h, r.w, bytes(r.packed), r.is_gap) for r in df.collect()} == want
+        assert df.count() == len(want)
+    some = got.filter("frame_id >= 30 AND frame_id < 60 AND obj_id IN (2, 12) AND frame_id <> 44")
+    assert {(r.frame_id, r.obj_id) for r in some.collect()} == {(f, o) for _, f, o in want if 30 <= f < 60 and o in (2, 12) and f != 44}
+    reader = A.MaskReader({"path": folder})
+    assert list(reader.pushFilters([A.GreaterThan(("frame_id",), 30), A.In(("obj_id",), (1, 2)), A.EqualTo(("path",), "x")])) == [A.EqualTo(("path",), "x")]
+    assert reader.wanted("frame_id", 31) and not reader.wanted("frame_id", 30) and not reader.wanted("obj_id", 12)
+    (tmp_path / "none").mkdir()
+    assert S.read_mask_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_archive_sink_is_all_or_nothing(spark, tmp_path):
+    masks, _ = _masks(spark, range(8), 2)
+    folder = str(tmp_path / "m")
+    K.write_mask_archives(masks, folder)
+    before = sorted(p.name for p in (tmp_path / "m").rglob("*"))
+    bad = masks.withColumn("h", F.when(F.col("frame_id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("h")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        K.write_mask_archives(bad, folder)
+    rows_apart = masks.selectExpr("'x/shard_00000.npz' AS archive", "frame_id", "obj_id", "h", "w", "packed").repartition(2, "frame_id")
+    with pytest.raises(Exception, match="more than one task"):
+        rows_apart.write.format("mask_archive").mode("append").save(folder)
+    assert sorted(p.name for p in (tmp_path / "m").rglob("*")) == before
+    K.write_mask_archives(masks.filter("animal = 'a'"), folder)  # overwrites
+    assert [p.name for p in (tmp_path / "m").iterdir()] == ["a_merged_shards"]
+
+
+def test_centroid_archives(spark, tmp_path):
+    tracks = [("a", o, f, float(f) / 3, -float(f)) for o in (1, 2) for f in range(0, 5000, o)]
+    df = spark.createDataFrame(tracks, "animal string, obj_id int, frame_id long, x double, y double").repartition(4)
+    K.write_centroid_archives(df, str(tmp_path / "c"))
+    with np.load(tmp_path / "c" / "a_merged_shards" / "centroids.npz") as npz:
+        assert npz["centroids_obj2"].shape == (2500, 3) and npz["centroids_obj2"][1].tolist() == [2.0, 2 / 3, -2.0]
+    back = S.read_centroids(spark, str(tmp_path / "c"))
+    assert sorted((r.obj_id, r.frame_id, r.x, r.y) for r in back.collect()) == sorted(t[1:] for t in tracks)
+    assert back.filter("obj_id = 2 AND frame_id < 10").count() == 5
+    np.savez(tmp_path / "centroids.npz", centroids_obj7=np.asfortranarray(np.arange(12.0).reshape(4, 3)))
+    assert rows(S.read_centroids(spark, str(tmp_path / "centroids.npz")).select("obj_id", "frame_id", "x", "y"))[1] == (7, 3, 4.0, 5.0)

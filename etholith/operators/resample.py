@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from etholith.functions import prob
-from etholith.functions.geometry import rotate
 from etholith.operators.ordered import null_safe_join, row_index, with_group_stats
-from etholith.operators.spatial import overlapping, radius_count
+from etholith.operators.spatial import radius_count
 from etholith.session import broadcast_if_small, cut_lineage
 
 # Modulus and multipliers of the counter hash, study defaults.
@@ -171,32 +170,35 @@ def bca_ci_ccc(
 
 
 def angle_table(groups: DataFrame, by: Sequence[str], n_rotations: int = ROTATIONS, seed: int = 123) -> DataFrame:
-    """Uniform angles (group, rotation, angle in degrees) from the counter hash."""
+    """Uniform angles (group, rotation, angle in degrees) from the counter hash.
+
+    A single whole-number column is its own key, so that other engines can replay the angles;
+    other keys go through a hash.
+    """
+    by = list(by)
     rot = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_rotations).cast("long")))
-    key = F.pmod(F.xxhash64(*by), F.lit(1_000_003))
+    whole = len(by) == 1 and dict(groups.dtypes)[by[0]] in ("tinyint", "smallint", "int", "bigint")
+    key = F.pmod(F.col(by[0]).cast("long") if whole else F.xxhash64(*by), F.lit(1_000_003))
     return groups.select(*by).distinct().withColumn("rotation", rot).withColumn(
         "angle",
         counter_index(F.col("rotation"), key, F.lit(3_600_000).cast("long"), seed) / F.lit(10_000.0),
     )
 
 
-def rotated_overlaps(
-    points: DataFrame,
-    by: Sequence[str],
-    radius: float,
-    angles: DataFrame,
-    moving: str = "GFP",
-    fixed: str = "cFOS",
-) -> DataFrame:
-    """Overlap count of every rotation of the moving class about its own mean.
+#: Degrees by which an interval of angles is widened, so that a distance of exactly the radius counts.
+_EDGE = 1e-8
+
+
+def overlap_intervals(points: DataFrame, by: Sequence[str], radii: Sequence[float], moving: str, fixed: str) -> DataFrame:
+    """Rows (group, x, y, weight, radius, lo, hi): angles in degrees at which a moving point is within the radius of a fixed one.
 
-    Rows (group, rotation, overlap) for groups with two points or more of each
-    class, rotations without any overlap included.
+    The moving class turns about its own mean. In polar coordinates about it a moving point meets a
+    fixed one at an interval of angles, if their distances from the mean differ by the radius at most:
+    one equi-join on bands of that distance, for all radii. Intervals of a point are disjoint: they are
+    merged in order by running maxima. Groups with under two points of a class have none.
     """
     by = list(by)
     known = points.dropna(subset=["x", "y"])
-    a = known.filter(F.col("marker") == moving)
-    b = known.filter(F.col("marker") == fixed)
     enough = (
         known.groupBy(*by)
         .agg(
@@ -206,31 +208,105 @@ def rotated_overlaps(
             F.avg(F.when(F.col("marker") == moving, F.col("y"))).alias("_cy"),
         )
         .filter("_na >= 2 AND _nb >= 2")
+        .select(*by, "_cx", "_cy")
+    )
+
+    def polar(marker: str, tag: str) -> DataFrame:
+        places = known.filter(F.col("marker") == marker).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("weight")).join(enough, by)
+        dx, dy = F.col("x").cast("double") - F.col("_cx"), F.col("y").cast("double") - F.col("_cy")
+        return places.select(*by, "x", "y", "weight", F.hypot(dx, dy).alias(f"_r{tag}"), F.degrees(F.atan2(dy, dx)).alias(f"_at{tag}"))
+
+    widest = float(max(radii))
+    a = polar(moving, "a").withColumn("_band", F.floor(F.col("_ra") / widest))
+    near = F.explode(F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)]))
+    b = polar(fixed, "b").select(*by, "_rb", "_atb", near.alias("_shift")).withColumn("_band", F.floor(F.col("_rb") / widest) + F.col("_shift"))
+    ra, rb, r = F.col("_ra"), F.col("_rb"), F.col("radius")
+    pairs = a.join(b.drop("_shift"), [*by, "_band"]).filter(F.abs(ra - rb) <= widest + 1e-9)
+    pairs = pairs.withColumn("radius", F.explode(F.array(*[F.lit(float(x)) for x in radii]))).filter(F.abs(ra - rb) <= r + 1e-9)
+    cosine = 1 + ((ra - rb) * (ra - rb) - r * r) / (2 * ra * rb)
+    half = F.when(ra + rb <= r + 1e-9, 180.0).otherwise(F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))))) + _EDGE
+    lo = F.pmod(F.col("_atb") - F.col("_ata") - F.col("_half"), F.lit(360.0))
+    turned = pairs.withColumn("_half", half).withColumn("lo", lo).withColumn("hi", F.col("lo") + 2 * F.col("_half"))
+    span = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    whole = F.array(span(F.lit(0.0), F.lit(360.0)))
+    lo, hi = F.col("lo"), F.col("hi")
+    cut = F.when(F.col("_half") >= 180, whole).when(hi >= 360, F.array(span(lo, F.lit(360.0)), span(F.lit(0.0), hi - 360))).otherwise(F.array(span(lo, hi)))
+    point = [*by, "x", "y", "weight", "radius"]
+    parts = turned.select(*point, F.explode(cut).alias("_s")).select(*point, "_s.lo", "_s.hi")
+    order = Window.partitionBy(*point).orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = parts.withColumn("_new", F.when(before.isNull() | (lo > before), 1).otherwise(0))
+    islands = fresh.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*point, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
+
+
+def overlaps_at(points: DataFrame, by: Sequence[str], radii: Sequence[float], angles: DataFrame, moving: str = "GFP", fixed: str = "cFOS") -> DataFrame:
+    """Overlap count (group, radius, rotation, overlap) of every rotation of the moving class about its own mean.
+
+    For groups with two points or more of each class; rotations without any overlap are there. Angles
+    are ranked per group once and looked up by whole degree; an interval of :func:`overlap_intervals`
+    covers a stretch of them, so it adds its weight at one rank and takes it away at another, and running
+    sums over the ranks are the counts. No row per point and rotation is made.
+    """
+    by = list(by)
+    known = points.dropna(subset=["x", "y"])
+    both = [F.count(F.when(F.col("marker") == m, 1)) >= 2 for m in (moving, fixed)]
+    enough = known.groupBy(*by).agg((both[0] & both[1]).alias("_enough")).filter("_enough").select(*by)
+    turns = angles.join(enough, by).select(*by, "rotation", F.pmod(F.col("angle").cast("double"), F.lit(360.0)).alias("angle"))
+    ranked = turns.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("angle", "rotation")) - 1)
+    ranked = cut_lineage(ranked)
+    # Sorted angles by whole degree, with the number of angles before: every degree of every group is there.
+    degree = F.floor("angle").cast("int").alias("_degree")
+    held = ranked.groupBy(*by, degree).agg(F.collect_list("angle").alias("_angles"))
+    grid = ranked.select(*by).distinct().withColumn("_degree", F.explode(F.sequence(F.lit(0), F.lit(360))))
+    size = F.coalesce(F.size("_angles"), F.lit(0))
+    earlier = F.sum(size).over(Window.partitionBy(*by).orderBy("_degree").rowsBetween(Window.unboundedPreceding, 0)) - size
+    degrees = grid.join(held, [*by, "_degree"], "left").withColumn("_before", earlier)
+    ends = F.array(
+        F.struct(F.col("lo").alias("_at"), F.lit(True).alias("_opens"), F.col("weight").alias("_w")),
+        F.struct(F.col("hi").alias("_at"), F.lit(False).alias("_opens"), (-F.col("weight")).alias("_w")),
     )
-    plan = angles.join(enough.select(*by, "_cx", "_cy"), by)
-    places = a.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
-    rx, ry = rotate(F.col("x").cast("double"), F.col("y").cast("double"), F.col("angle"), F.col("_cx"), F.col("_cy"))
-    turned = places.join(plan, by).select(*by, "rotation", rx.alias("x"), ry.alias("y"), "weight")
-    hits = overlapping(turned, b, by, radius).groupBy(*by, "rotation").agg(F.sum("weight").alias("overlap"))
-    return plan.select(*by, "rotation").join(hits, [*by, "rotation"], "left").fillna({"overlap": 0})
+    spans = overlap_intervals(points, by, radii, moving, fixed).select(*by, "radius", F.inline(ends)).withColumn("_degree", F.floor("_at").cast("int"))
+    at = F.col("_at")
+    passed = F.size(F.filter("_angles", lambda a: F.when(F.col("_opens"), a < at).otherwise(a <= at)))
+    rank = (F.col("_before") + F.when(F.col("_angles").isNotNull(), passed).otherwise(0)).cast("int")
+    events = spans.join(degrees, [*by, "_degree"]).select(*by, "radius", rank.alias("_k"), "_w").groupBy(*by, "radius", "_k").agg(F.sum("_w").alias("_w"))
+    plan = ranked.withColumn("radius", F.explode(F.array(*[F.lit(float(x)) for x in radii])))
+    summed = F.sum(F.coalesce("_w", F.lit(0))).over(Window.partitionBy(*by, "radius").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    return plan.join(events, [*by, "radius", "_k"], "left").select(*by, "radius", "rotation", summed.alias("overlap"))
 
 
-def rotation_null(
+def rotated_overlaps(
     points: DataFrame,
     by: Sequence[str],
-    radius: float = 5.0,
+    radius: float,
+    angles: DataFrame,
+    moving: str = "GFP",
+    fixed: str = "cFOS",
+) -> DataFrame:
+    """:func:`overlaps_at` for one radius: rows (group, rotation, overlap)."""
+    return overlaps_at(points, by, [radius], angles, moving, fixed).drop("radius")
+
+
+def rotation_nulls(
+    points: DataFrame,
+    by: Sequence[str],
+    radii: Sequence[float] = (5.0, 10.0),
     n_rotations: int = ROTATIONS,
     seed: int = 123,
     angles: DataFrame | None = None,
 ) -> DataFrame:
-    """Two-sided rotation p of the observed overlap; NULL with under two points of a class."""
+    """Two-sided rotation p of the observed overlap per group and radius; NULL with under two points of a class."""
     by = list(by)
     groups = points.select(*by).distinct()
     turns = angles if angles is not None else angle_table(groups, by, n_rotations, seed)
-    null = rotated_overlaps(points, by, radius, turns)
-    real = radius_count(points, by, radius).select(*by, F.col("n_overlap").alias("real_overlap"))
-    compared = null.join(real, by)
-    tails = compared.groupBy(*by).agg(
+    null = overlaps_at(points, by, radii, turns)
+    real = None
+    for radius in radii:
+        one = radius_count(points, by, radius).select(*by, F.lit(float(radius)).alias("radius"), F.col("n_overlap").alias("real_overlap"))
+        real = one if real is None else real.union(one)
+    compared = null.join(real, [*by, "radius"])
+    tails = compared.groupBy(*by, "radius").agg(
         F.max("real_overlap").alias("real_overlap"),
         F.count(F.lit(1)).alias("n_rotations"),
         F.count(F.when(F.col("overlap") >= F.col("real_overlap"), 1)).alias("n_ge"),
@@ -238,7 +314,20 @@ def rotation_null(
     )
     smaller = F.least((F.col("n_ge") + 1) / (F.col("n_rotations") + 1), (F.col("n_le") + 1) / (F.col("n_rotations") + 1))
     p = F.when(F.col("n_rotations").isNotNull(), F.least(F.lit(1.0), 2 * smaller))
-    return groups.join(tails, by, "left").withColumn("p_value", p)
+    every = groups.withColumn("radius", F.explode(F.array(*[F.lit(float(x)) for x in radii])))
+    return every.join(tails, [*by, "radius"], "left").withColumn("p_value", p)
+
+
+def rotation_null(
+    points: DataFrame,
+    by: Sequence[str],
+    radius: float = 5.0,
+    n_rotations: int = ROTATIONS,
+    seed: int = 123,
+    angles: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`rotation_nulls` for one radius."""
+    return rotation_nulls(points, by, [radius], n_rotations, seed, angles).drop("radius")
 
 
 def null_distribution(overlaps: DataFrame, real: DataFrame, by: Sequence[str]) -> DataFrame:

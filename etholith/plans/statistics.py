@@ -626,52 +626,43 @@ def colocalisation_counts(spark, d):
     return P.coloc_counts(V.points(spark, d), m)
 
 
-N_ROT = 20
 def rotated_sql(radius: int, tag: str = "") -> str:
-    """Rotation counts ``o``, observed counts ``re`` at ``radius``; names end in ``tag``."""
-    text = ROTATED.replace("<= 100)", f"<= {radius * radius})").replace("** 2) <= 10)", f"** 2) <= {radius})")
-    return re.sub(r"\b(g|t|q|h|o|re) AS \(", rf"\1{tag} AS (", re.sub(r"\b(FROM|JOIN) (g|t|q|h|o)\b", rf"\1 \2{tag}", text)).replace("q.image_id", f"q{tag}.image_id").replace("t.image_id, t.rotation", f"t{tag}.image_id, t{tag}.rotation")
-
-
-ROTATED = f"""g AS (SELECT image_id, avg(x) FILTER (marker = 'GFP') AS cx, avg(y) FILTER (marker = 'GFP') AS cy FROM points GROUP BY 1
+    """Rotation counts ``o`` and observed counts ``re`` at ``radius``, by the angles at which two points meet; names end in ``tag``."""
+    return f"""g{tag} AS (SELECT image_id, avg(x) FILTER (marker = 'GFP') AS cx, avg(y) FILTER (marker = 'GFP') AS cy FROM points GROUP BY 1
       HAVING count(*) FILTER (marker = 'GFP') >= 2 AND count(*) FILTER (marker = 'cFOS') >= 2),
-    t AS (SELECT image_id, cx, cy, rotation, ((image_id * 37 + rotation * 171) % 3600) / 10.0::DOUBLE AS a FROM g, range(1, {N_ROT + 1}) r(rotation)),
-    q AS (SELECT p.image_id, rotation, row_number() OVER () AS pid, cx + (x - cx) * cos(radians(a)) - (y - cy) * sin(radians(a)) AS rx,
-      cy + (x - cx) * sin(radians(a)) + (y - cy) * cos(radians(a)) AS ry FROM points p JOIN t USING (image_id) WHERE marker = 'GFP'),
-    h AS (SELECT image_id, rotation, count(*) AS overlap FROM (SELECT DISTINCT q.image_id, rotation, pid FROM q JOIN points b ON b.image_id = q.image_id
-      AND b.marker = 'cFOS' AND sqrt((rx - b.x) ** 2 + (ry - b.y) ** 2) <= 10) GROUP BY 1, 2),
-    o AS (SELECT t.image_id, t.rotation, coalesce(overlap, 0) AS overlap FROM t LEFT JOIN h USING (image_id, rotation)),
-    re AS (SELECT image_id, count(*) AS real_overlap FROM points p WHERE marker = 'GFP' AND EXISTS (SELECT 1 FROM points b WHERE b.image_id = p.image_id
-      AND b.marker = 'cFOS' AND (p.x - b.x) ** 2 + (p.y - b.y) ** 2 <= 100) GROUP BY 1)"""
-
-
-def table_angles(spark, d):
-    """Angles from the image number, so that SQL can replay them."""
-    images = V.points(spark, d).select("image_id").distinct()
-    turned = images.withColumn("rotation", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N_ROT).cast("long"))))
-    return turned.withColumn("angle", (F.col("image_id") * 37 + F.col("rotation") * 171) % 3600 / F.lit(10.0))
-
-
-@query(
-    "rotation_null",
-    f"""WITH {ROTATED} SELECT image_id, coalesce(real_overlap, 0) AS real_overlap, count(*) AS n_rotations, count(*) FILTER (overlap >= coalesce(real_overlap, 0)) AS n_ge,
-        count(*) FILTER (overlap <= coalesce(real_overlap, 0)) AS n_le, {R('least(1.0, 2 * least((count(*) FILTER (overlap >= coalesce(real_overlap, 0)) + 1) / (count(*) + 1), (count(*) FILTER (overlap <= coalesce(real_overlap, 0)) + 1) / (count(*) + 1)))')}
-        AS p_value FROM o LEFT JOIN re USING (image_id) GROUP BY image_id, real_overlap""",
-    "points",
-)
+    h1{tag} AS (SELECT image_id, rotation, (48271 * rotation + 16807 * (image_id % 1000003) + {69_621 * 123 + 12_345}) % {B.P} AS h FROM g{tag}, range(1, {B.ROTATIONS + 1}) r(rotation)),
+    h3{tag} AS (SELECT *, (48271 * ((h * h) % {B.P}) + 16807 * h + 1013904223) % {B.P} AS k FROM h1{tag}),
+    t{tag} AS (SELECT image_id, rotation, (((k * k) % {B.P} + 31 * h) % {B.P}) % 3600000 / 10000.0::DOUBLE AS a FROM h3{tag}),
+    p{tag} AS (SELECT image_id, marker, row_number() OVER () AS pid, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS r, degrees(atan2(y - cy, x - cx)) AS at FROM points JOIN g{tag} USING (image_id)),
+    w{tag} AS (SELECT i.image_id, i.pid, j.at - i.at AS mid, CASE WHEN i.r + j.r <= {radius} + 1e-9 THEN 180
+        ELSE degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 1 + ((i.r - j.r) ** 2 - {radius * radius}) / (2 * i.r * j.r))))) END + 1e-8 AS half
+      FROM p{tag} i JOIN p{tag} j ON i.image_id = j.image_id AND i.marker = 'GFP' AND j.marker = 'cFOS' AND abs(i.r - j.r) <= {radius} + 1e-9),
+    h{tag} AS (SELECT image_id, rotation, count(DISTINCT pid) AS overlap FROM w{tag} JOIN t{tag} USING (image_id)
+      WHERE abs(a - mid - 360 * round((a - mid) / 360)) <= half GROUP BY 1, 2),
+    o{tag} AS (SELECT t{tag}.image_id, t{tag}.rotation, coalesce(overlap, 0) AS overlap FROM t{tag} LEFT JOIN h{tag} USING (image_id, rotation)),
+    re{tag} AS (SELECT image_id, count(*) AS real_overlap FROM points p WHERE marker = 'GFP' AND EXISTS (SELECT 1 FROM points b WHERE b.image_id = p.image_id
+      AND b.marker = 'cFOS' AND (p.x - b.x) ** 2 + (p.y - b.y) ** 2 <= {radius * radius}) GROUP BY 1)"""
+
+
+ROTATED = rotated_sql(10)
+P_SQL = "least(1.0, 2 * least((count(*) FILTER (overlap >= r) + 1) / (count(*) + 1), (count(*) FILTER (overlap <= r) + 1) / (count(*) + 1)))"
+NULL_SQL = f"""WITH {ROTATED}, c AS (SELECT image_id, overlap, coalesce(real_overlap, 0) AS r FROM o LEFT JOIN re USING (image_id))
+    SELECT image_id, max(r) AS real_overlap, count(*) AS n_rotations, count(*) FILTER (overlap >= r) AS n_ge, count(*) FILTER (overlap <= r) AS n_le, {R(P_SQL)} AS p_value
+    FROM c GROUP BY 1 UNION ALL SELECT DISTINCT image_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
+    FROM points WHERE image_id NOT IN (SELECT image_id FROM c)"""
+HISTOGRAM_SQL = f"""WITH {ROTATED} SELECT image_id, overlap, count(*) AS n_rotations, coalesce(any_value(real_overlap), 0) AS real_overlap FROM o
+    LEFT JOIN re USING (image_id) GROUP BY 1, 2"""
+
+
+@query("rotation_null", NULL_SQL, "points")
 def rotation_null(spark, d):
-    return rounded(B.rotation_null(V.points(spark, d), ["image_id"], 10.0, angles=table_angles(spark, d)), "p_value")
+    return rounded(B.rotation_null(V.points(spark, d), ["image_id"], 10.0), "p_value")
 
 
-@query(
-    "null_distribution",
-    f"""WITH {ROTATED} SELECT image_id, overlap, count(*) AS n_rotations, coalesce(any_value(real_overlap), 0) AS real_overlap FROM o
-        LEFT JOIN re USING (image_id) GROUP BY 1, 2""",
-    "points",
-)
+@query("null_distribution", HISTOGRAM_SQL, "points")
 def null_distribution(spark, d):
     points = V.points(spark, d)
-    return null_histogram(points, "image_id", table_angles(spark, d))
+    return null_histogram(points, "image_id", B.angle_table(points, ["image_id"]))
 
 
 def null_histogram(points, group: str, angles):
@@ -682,14 +673,11 @@ def null_histogram(points, group: str, angles):
 
 def _tested(radius: int) -> str:
     tag = f"_{radius}"
-    return f"""{rotated_sql(radius, tag)}, pt{tag} AS (SELECT count(*) AS n_tested, count(*) FILTER (p < 0.05) AS n_sig FROM (
-        SELECT image_id, least(1.0, 2 * least((count(*) FILTER (overlap >= r) + 1) / (count(*) + 1), (count(*) FILTER (overlap <= r) + 1) / (count(*) + 1))) AS p
+    return f"""{rotated_sql(radius, tag)}, pt{tag} AS (SELECT count(*) AS n_tested, count(*) FILTER (p < 0.05) AS n_sig FROM (SELECT image_id, {P_SQL} AS p
         FROM (SELECT o.image_id, overlap, coalesce(real_overlap, 0) AS r FROM o{tag} o LEFT JOIN re{tag} w USING (image_id)) GROUP BY 1))"""
 
 
-@query(
-    "real_vs_chance",
-    f"""WITH ro AS ({ROLLED}), {_signed_rank_sql("SELECT o::DOUBLE AS x, coalesce(chance, 0)::DOUBLE AS y FROM ro").replace("t AS (SELECT", "sr AS (SELECT")},
+CHANCE_SQL = f"""WITH ro AS ({ROLLED}), {_signed_rank_sql("SELECT o::DOUBLE AS x, coalesce(chance, 0)::DOUBLE AS y FROM ro").replace("t AS (SELECT", "sr AS (SELECT")},
         v AS (SELECT row_number() OVER (ORDER BY animal_id) - 1 AS idx, (o - coalesce(chance, 0))::DOUBLE AS x, count(*) OVER () AS n FROM ro),
         {DRAWS}, m AS (SELECT rep, avg(x) AS stat FROM e JOIN v USING (idx) GROUP BY rep),
         w0 AS (SELECT count(*) AS n, avg(x) AS theta, min(x) = max(x) AS flat, stddev_samp(x) AS sd FROM v),
@@ -699,39 +687,22 @@ def _tested(radius: int) -> str:
         SELECT n_pairs, {R('z')} AS wilcoxon_z, {R('abs(z / sqrt(n_pairs))')} AS effect_r, {R(normal_two_sided_sql('z'))} AS wilcoxon_p, 'normal' AS method,
         {R('tt.t')} AS t, dof::BIGINT AS dof, {R(t_two_sided_sql('tt.t', 'dof'))} AS t_p, bca.theta AS mean_diff, ci_low, ci_high,
         (SELECT {R('avg(CASE WHEN abs(least(ta, tb) - chance) > 1e-9 THEN (o - chance) / (least(ta, tb) - chance) END)', 5)} FROM ro) AS mean_overlap_index,
-        pt_5.n_tested AS n_tested_5, pt_5.n_sig AS n_sig_5, pt_10.n_tested AS n_tested_10, pt_10.n_sig AS n_sig_10 FROM sr, tt, bca, pt_5, pt_10""",
-    "points counts",
-)
-def real_vs_chance(spark, d):
-    out = study.real_vs_chance(
-        rollup_of(spark, d), V.points(spark, d), "image_id", n_rotations=N_ROT, method="normal", angles=table_angles(spark, d)
-    )
-    out = rounded(out, "wilcoxon_z", "effect_r", "wilcoxon_p", "t", "t_p")
-    return rounded(out, "mean_diff", "ci_low", "ci_high", "mean_overlap_index", digits=5)
-
-
-# The three above take the angles their SQL replays: 20 rotations, a least p of 0.095, so none is ever under 0.05. Those
-# below make all B.ROTATIONS at the angles of the counter hash (table_angles repeats itself after 400).
-
-
-@query("rotation_null_full")
-def rotation_null_full(spark, d):
-    return rounded(B.rotation_null(V.points(spark, d), ["image_id"], 10.0), "p_value")
-
-
-@query("null_distribution_full")
-def null_distribution_full(spark, d):
-    points = V.points(spark, d)
-    return null_histogram(points, "image_id", B.angle_table(points, ["image_id"]))
+        pt_5.n_tested AS n_tested_5, pt_5.n_sig AS n_sig_5, pt_10.n_tested AS n_tested_10, pt_10.n_sig AS n_sig_10 FROM sr, tt, bca, pt_5, pt_10"""
 
 
-@query("real_vs_chance_full")
-def real_vs_chance_full(spark, d):
+@query("real_vs_chance", CHANCE_SQL, "points counts")
+def real_vs_chance(spark, d):
     out = study.real_vs_chance(rollup_of(spark, d), V.points(spark, d), "image_id", method="normal")
     out = rounded(out, "wilcoxon_z", "effect_r", "wilcoxon_p", "t", "t_p")
     return rounded(out, "mean_diff", "ci_low", "ci_high", "mean_overlap_index", digits=5)
 
 
+# Names of an earlier round, when the three above made 20 rotations: the same rows.
+query("rotation_null_full", NULL_SQL, "points")(rotation_null)
+query("null_distribution_full", HISTOGRAM_SQL, "points")(null_distribution)
+query("real_vs_chance_full", CHANCE_SQL, "points counts")(real_vs_chance)
+
+
 @query("behaviour_report_ci")
 def behaviour_report_ci(spark, d):
     out = study.behaviour_report(V.bouts(spark, d), SESSIONS, BEHAVIORS, DIRECTIONAL, method="normal", intervals=True)

@@ -108,8 +108,9 @@ def real_vs_chance(
     index = animals.agg(F.avg("manual_overlap_index").alias("mean_overlap_index"))
     out = wilcoxon
     extra = [t, ci, index]
+    tested = cut_lineage(B.rotation_nulls(points, [group], radii, n_rotations, angles=angles))
     for r in radii:
-        p = B.rotation_null(points, [group], r, n_rotations, angles=angles)
+        p = tested.filter(F.col("radius") == float(r))
         extra.append(
             p.agg(
                 F.count("p_value").alias(f"n_tested_{int(r)}"),

@@ -295,22 +295,43 @@ def test_full_rotation_queries(spark, monkeypatch):
             near = np.hypot(*(a[:, None] - b).transpose(2, 0, 1)) <= 10
             want.setdefault(r.image_id, []).append((r.rotation, int(near.any(axis=1).sum())))
     assert all(len(v) == B.ROTATIONS == 1000 for v in want.values())
-    hist = {(r.image_id, r.overlap): r.n_rotations for r in Q.null_distribution_full(spark, "").collect()}
+    hist = {(r.image_id, r.overlap): r.n_rotations for r in Q.null_distribution(spark, "").collect()}
     assert hist == Counter((i, n) for i, v in want.items() for _, n in v)
-    got = {r.image_id: r for r in Q.rotation_null_full(spark, "").collect()}
+    got = {r.image_id: r for r in Q.rotation_null(spark, "").collect()}
     for i, v in want.items():
         real = got[i].real_overlap
         ge, le = sum(n >= real for _, n in v), sum(n <= real for _, n in v)
         assert (got[i].n_rotations, got[i].n_ge, got[i].n_le) == (1000, ge, le)
         assert abs(got[i].p_value - min(1, 2 * min(ge + 1, le + 1) / 1001)) < 1e-6
-    # All of image 1 overlaps: 20 rotations cannot say so, 1,000 can.
-    assert got[1].real_overlap == 30 and got[1].p_value < 0.05 and got[3].p_value is None
-    assert Q.rotation_null(spark, "").filter("p_value < 0.05").count() == 0
+    assert got[1].real_overlap == 30 and got[1].p_value < 0.05 and got[3].p_value is None  # all of image 1 overlaps
     monkeypatch.setattr(Q, "rollup_of", lambda spark, d: spark.createDataFrame([(k, 2.0 + k, 1.0, 0.5) for k in range(4)], "animal_id long, manual_both double, manual_chance_overlap double, manual_overlap_index double"))
-    out = Q.real_vs_chance_full(spark, "").first()
+    out = Q.real_vs_chance(spark, "").first()
     assert (out.n_tested_5, out.n_tested_10) == (2, 2) and out.n_sig_5 >= 1 and out.n_sig_10 >= 1
 
 
+def test_rotation_by_intervals(spark):
+    """Ties at right angles, a point on the mean, dense and repeated points, uneven angles; two radii from one join."""
+    rng = np.random.default_rng(9)
+    pts = [("q", "GFP", x, y) for x, y in ((-10.0, 0.0), (10.0, 0.0), (0.0, 10.0), (0.0, -10.0), (0.0, 0.0), (0.0, 0.0))]
+    pts += [("q", "cFOS", x, y) for x, y in ((15.0, 0.0), (3.0, 4.0), (0.0, -7.0))]
+    pts += [("r", m, float(x), float(y)) for m in ("GFP", "cFOS") for x, y in rng.integers(0, 25, (60, 2))]
+    pts += [("s", "GFP", 1.0, 2.0), ("s", "cFOS", 1.0, 2.0), ("r", "cFOS", None, 2.0)]
+    turns = [(g, k, a) for g in "qrs" for k, a in enumerate([0.0, 90.0, 180.0, 270.0, 360.0, 0.0, 45.0, -90.0, 359.999, *rng.uniform(0, 360, 25).tolist()])]
+    df = spark.createDataFrame(pts, "g string, marker string, x double, y double")
+    angles = spark.createDataFrame(turns, "g string, rotation int, angle double")
+    got = {(r.g, r.radius, r.rotation): r.overlap for r in B.overlaps_at(df, ["g"], [5.0, 2.0], angles).collect()}
+    want = {}
+    for g, k, angle in turns:
+        a, b = (np.array([p[2:] for p in pts if p[:2] == (g, m) and p[2] is not None]) for m in ("GFP", "cFOS"))
+        if len(a) > 1 and len(b) > 1:
+            t, c = np.radians(angle), a.mean(axis=0)
+            moved = (a - c) @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]]) + c
+            far = np.hypot(*(moved[:, None] - b).transpose(2, 0, 1)).min(axis=1)
+            for radius in (5.0, 2.0):
+                want[g, radius, k] = int((far <= radius + 1e-9).sum())
+    assert got == want and len(got) == 2 * 2 * 34
+
+
 def test_whole_result_tables(spark):
     from etholith.plans import statistics as Q
 

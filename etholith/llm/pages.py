@@ -1,10 +1,16 @@
 """Operator 6: main text of web pages by tree scoring.
 
-A page is read into blocks of text under a tree of elements. What an element says it is (navigation,
-footer, form, advert, comments, hidden) takes its subtree out. Each remaining block gives points for
-its length and its commas to its parent, half of them to the grandparent and less to those above; a
-container's points are discounted by the share of its text that is inside links. The container with
-the most points is kept, with those of its siblings that have points and few links or are prose, and headings.
+A page is read into blocks of text under a tree of elements. Each block gives points for its length and
+its commas to its parent, half of them to the grandparent and less to those above; a container's points
+are discounted by the share of its text that is inside links. The container with the most points is
+kept, with those of its siblings that have points and few links or are prose, lists, tables or headings.
+
+Elements that by their kind are no article (navigation, footer, form, script, hidden ones) are not read.
+What classes and ids say is weighed: a name counts only if every part of it is a word for page furniture
+or for its layout (``comment-list``, but not ``related-work``). Readers' comments, adverts, notices and
+bars give no points and are left out of what is kept. Other furniture gives a quarter of its points and
+is left out where links, or short text without a heading, agree with its name. A page whose heading
+is under such a name is read again without names.
 
 The parser is a small helper that sees one page at a time; Spark deals out the pages.
 """
@@ -24,7 +30,7 @@ from etholith.llm.common import query, table
 
 # Element names of the HTML standard by role, and words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe object svg math select xmp noembed noframes".split())
+RAW = frozenset("script style textarea title template iframe object svg select xmp noembed noframes annotation annotation-xml".split())
 BREAKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -33,13 +39,25 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p pre blockquote li td dd dt figcaption h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("head nav aside footer form menu button dialog search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
-BOILERPLATE = re.compile(
-    r"^(ads?|adverts?|advertisements?|advertising|adsense|adbox|banners?|sponsor(ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|newsletters?|"
-    r"subscribe|subscription|signup|login|side-?bars?|widgets?|related|recommended|recommendations|share|sharing|social|comments?|disqus|respond|replies|"
-    r"breadcrumbs?|menus?|navs?|navbar|navigation|topnav|footers?|headers?|masthead|pop-?ups?|modals?|overlay|pagination|pager|skip-?link|toolbar|"
-    r"copyright|legal|disclaimer|paywall|outbrain|taboola|hidden|sr-only|visually-hidden)$"
+FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion promotions outbrain taboola "
+    "comment comments commentary commentlist disqus respond reply replies cookie cookies consent gdpr notice notices newsletter newsletters subscribe subscription "
+    "signup login paywall popup popups modal modals overlay sidebar sidebars widget widgets breadcrumb breadcrumbs menu menus nav navs navbar navigation topnav "
+    "footer footers masthead pagination pager toolbar hidden skiplink".split()
+)
+FURNITURE = frozenset("header headers banner banners related recommended recommendations share sharing social copyright legal disclaimer side skip".split())
+LAYOUT = frozenset(
+    "left right top bottom main site page global primary secondary box bar block section area wrapper wrap container inner outer list item items link links "
+    "button buttons slot unit text content body thread count title panel icon icons posts post articles stories message holder inline native only sr visually author meta".split()
 )
-KEEPS = frozenset("article main body html".split())
+#: A head or foot of one of these belongs to it.
+OWNERS = frozenset("section article entry post story content chapter".split())
+#: Words that also tell of a single paragraph, list item or heading what it is.
+TELLING = frozenset(
+    "ad ads advert advertisement sponsored promo comment comments reply cookie cookies consent gdpr newsletter subscribe paywall breadcrumb breadcrumbs hidden".split()
+)
+CHILDREN_OF_PROSE = frozenset("p pre blockquote ul ol dl table figure".split())
+FORMS = frozenset("form fieldset".split())
 #: An open element of the key is closed by a start tag of the values.
 CLOSES = {
     "li": frozenset(["li"]),
@@ -54,39 +72,56 @@ CLOSES = {
 FENCES = frozenset("ul ol dl table article section div aside main body html blockquote form nav header footer".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: White space of the HTML standard and no-break spaces.
 BLANK = re.compile(r"[\s ]+")
 
 
-def _refused(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element says that it is not part of the article."""
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+UNTOLD, ASIDE, AWAY, UNREAD = range(4)
+
+
+def _named(word: str, tag: str) -> int:
+    """What one class or id says of its element."""
+    parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])|\d+", word) if p]
+    parts = [p.lower() for p in parts]
+    own = [p for p in parts if p in FOREIGN or p in FURNITURE]
+    if not own or any(p not in LAYOUT and p not in FOREIGN and p not in FURNITURE for p in parts):
+        return UNTOLD
+    if parts[0] in OWNERS and own[0] in ("header", "headers", "title"):
+        return UNTOLD
+    if tag in PROSE:
+        return AWAY if any(p in TELLING for p in own) else UNTOLD
+    return AWAY if any(p in FOREIGN for p in own) or parts == ["side", "bar"] or parts[:2] == ["skip", "link"] else ASIDE
+
+
+def _judged(tag: str, attributes: str, in_article: bool, forms: bool, names: bool) -> int:
+    """Whether an element is read, and what it says of itself."""
+    if (tag in DROPPED and not (forms and tag in FORMS)) or (tag == "header" and not in_article):
+        return UNREAD
     if not attributes or tag in ("html", "body"):
-        return False
-    for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
-        value = (a or b or c).strip().lower()
+        return UNTOLD
+    found = UNTOLD
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        value = (a or b or c).strip()
         name = name.lower()
-        if bare or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in KEEPS:
-            for word in value.split():
-                parts = [word, *re.split(r"[-_]+", word)]
-                if BOILERPLATE.match(parts[0]) or BOILERPLATE.match(parts[1]) or BOILERPLATE.match(parts[-1]):
-                    return True
-    return False
+        low = value.lower()
+        if name == "hidden" or (name == "aria-hidden" and low == "true"):
+            return UNREAD
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low):
+            return UNREAD
+        if name == "role" and low in ROLES and not (forms and low == "form"):
+            return UNREAD
+        if name in ("class", "id") and names:
+            found = max([found, *(_named(word, tag) for word in value.split())])
+    return found
 
 
 class Page:
-    """Elements (parent, tag) in page order, and the text blocks below them with their link text."""
+    """Elements (parent, tag, what they say of themselves) in page order, and the text blocks below them with their link text."""
 
-    def __init__(self, source: str):
-        self.parent, self.tag, self.blocks = [-1], ["#root"], []
+    def __init__(self, source: str, forms: bool = False, names: bool = True):
+        self.parent, self.tag, self.said, self.blocks = [-1], ["#root"], [UNTOLD], []
+        self._forms, self._names = forms, names
         self._stack, self._open, self._refuse, self._links = [0], Counter(), 0, 0
         self._refused_at, self._text, self._linked, self._owner = [], [], 0, 0
         at, raw = 0, None
@@ -103,7 +138,7 @@ class Page:
             if token[1]:
                 self._end(name)
             elif name in RAW:
-                if token[0].endswith("/>") and name in ("svg", "math"):
+                if token[0].endswith("/>") and name == "svg":
                     continue
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = close.end() if close else len(source)
@@ -175,8 +210,13 @@ class Page:
         self._open[name] += 1
         if name == "a":
             self._links += 1
-        if _refused(name, attributes, self._open["article"] + self._open["main"] > 0):
-            self._flush()
+        said = _judged(name, attributes, self._open["article"] + self._open["main"] + self._open["section"] > 0, self._forms, self._names)
+        if name not in BREAKS:  # of a word or two inside a block there is nothing to weigh
+            said = UNREAD if said in (AWAY, UNREAD) else UNTOLD
+        self.said.append(said)
+        if said == UNREAD:
+            if name in BREAKS:
+                self._flush()
             self._refuse += 1
             self._refused_at.append(k)
 
@@ -198,25 +238,37 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    if not page.blocks:
+    if not page.blocks:  # a page that is one form, as some tools write them
+        page = Page(source, forms=True)
+    away = [False] * len(page.tag)
+    for k in range(1, len(away)):
+        away[k] = page.said[k] == AWAY or away[page.parent[k]]
+    if any(away[k] for k, tag in enumerate(page.tag) if tag == "h1") and not any(tag == "h1" and not away[k] for k, tag in enumerate(page.tag)):
+        page = Page(source, names=False)
+        away = [False] * len(page.tag)
+    blocks = [b for b in page.blocks if not away[b[0]]]
+    if not blocks:
         return ""
     n = len(page.tag)
-    points, size, linked = [0.0] * n, [0] * n, [0] * n
-    for owner, text, links in page.blocks:
+    points, size, linked, longest = [0.0] * n, [0] * n, [0] * n, [0] * n
+    for owner, text, links in blocks:
         size[owner] += len(text)
         linked[owner] += links
+        longest[owner] = max(longest[owner], 80 if page.tag[owner] in HEADINGS else len(text))
         if len(text) >= 25 and page.tag[owner] not in HEADINGS:
             value = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
             # A container with text of its own is the paragraph's parent itself.
             k, share = (page.parent[owner] if page.tag[owner] in PROSE else owner), 1.0
-            level = 1
+            level, weight = 1, 1.0
             while k > 0:
-                points[k] += value * share
+                weight = min(weight, 0.25 if page.said[k] == ASIDE else 1.0)
+                points[k] += value * share * weight
                 level += 1
                 k, share = page.parent[k], 1 / 2 if level == 2 else 1 / (3 * (level - 1))
     for k in range(n - 1, 0, -1):
         size[page.parent[k]] += size[k]
         linked[page.parent[k]] += linked[k]
+        longest[page.parent[k]] = max(longest[page.parent[k]], longest[k])
     score = [p * (1 - linked[k] / size[k]) if size[k] else 0.0 for k, p in enumerate(points)]
     best = max(range(n), key=lambda k: (score[k], -k))
     if score[best] <= 0:
@@ -235,15 +287,18 @@ def main_text(source: str | None) -> str:
             if page.parent[k] != page.parent[best] or not size[k]:
                 continue
             density = linked[k] / size[k]
-            prose = page.tag[k] in ("p", "pre", "blockquote") and (density < 0.25 if size[k] > 80 else density == 0)
+            prose = page.tag[k] in CHILDREN_OF_PROSE and (density < 0.25 if size[k] > 80 else density == 0)
             # Part of the article, however short beside the best: text worth points, or a section beside a section, with few links.
             part = density < 0.25 and (score[k] > 0 or page.tag[k] == page.tag[best] == "section")
             if part or score[k] >= limit or prose or page.tag[k] in HEADINGS:
                 kept.add(k)
     inside = [False] * n
     for k in range(n):
-        inside[k] = k in kept or (k > 0 and inside[page.parent[k]])
-    return "\n\n".join(text for owner, text, _ in page.blocks if inside[owner] or best == 0)
+        whole = best == 0 or k in kept or (k > 0 and inside[page.parent[k]])
+        # Furniture by its name goes where its links, or short text without a heading, agree.
+        agreed = page.said[k] == ASIDE and size[k] and k != best and (linked[k] > 0.3 * size[k] or longest[k] < 80)
+        inside[k] = whole and not agreed and (k == 0 or best != 0 or inside[page.parent[k]])
+    return "\n\n".join(text for owner, text, _ in blocks if inside[owner])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from etholith.operators.frames import in_ranges
@@ -17,26 +17,51 @@ PROTECTED_JOINTS = ("nose",)
 TUKEY_FACTOR = 1.5
 
 
+def _long_enough(default: float, by_behavior: Mapping[str, float] | None) -> Column:
+    limit = F.lit(default)
+    for behavior, seconds in (by_behavior or {}).items():
+        limit = F.when(F.col("behavior") == behavior, seconds).otherwise(limit)
+    return F.col("duration_sec") >= limit
+
+
 def min_duration(
     bouts: DataFrame, default: float = MIN_BOUT_SEC, by_behavior: Mapping[str, float] | None = None
 ) -> DataFrame:
     """Bouts at least as long as the threshold of their behaviour."""
-    limit = F.lit(default)
-    for behavior, seconds in (by_behavior or {}).items():
-        limit = F.when(F.col("behavior") == behavior, seconds).otherwise(limit)
-    return bouts.filter(F.col("duration_sec") >= limit)
+    return bouts.filter(_long_enough(default, by_behavior))
 
 
 def min_duration_report(
-    bouts: DataFrame, default: float = MIN_BOUT_SEC, by: Sequence[str] = ()
+    bouts: DataFrame, default: float = MIN_BOUT_SEC, by: Sequence[str] = (), by_behavior: Mapping[str, float] | None = None
 ) -> DataFrame:
-    """Kept and total bouts of :func:`min_duration`."""
-    kept = F.col("duration_sec") >= default
+    """Kept and total bouts of :func:`min_duration` with the same thresholds."""
     return bouts.groupBy(*by).agg(
-        F.count(F.when(kept, 1)).alias("n_kept"), F.count(F.lit(1)).alias("n_total")
+        F.count(F.when(_long_enough(default, by_behavior), 1)).alias("n_kept"), F.count(F.lit(1)).alias("n_total")
     )
 
 
+def observed_min_duration(
+    bouts: DataFrame, default: float = MIN_BOUT_SEC, by_behavior: Mapping[str, float] | None = None
+) -> tuple[DataFrame, Observation]:
+    """:func:`min_duration`, and kept and total bouts counted in the pass that filters.
+
+    The observation has ``n_kept`` and ``n_total`` once an action has read the bouts; no second scan is made.
+    Write the rows or aggregate them: an action that sorts by range reads its input twice and counts it twice.
+    """
+    return _observed(bouts, _long_enough(default, by_behavior))
+
+
+def observed_drop_null_keys(df: DataFrame, key: str) -> tuple[DataFrame, Observation]:
+    """:func:`drop_null_keys`, and kept and total rows counted in the pass that filters."""
+    return _observed(df, F.col(key).isNotNull())
+
+
+def _observed(df: DataFrame, keep: Column) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.when(keep, 1)).alias("n_kept"), F.count(F.lit(1)).alias("n_total"))
+    return counted.filter(keep), seen
+
+
 def drop_null_keys(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull())
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from etholith import views as V
 from etholith.operators import windows as W
 from etholith.plans.register import R, query, rd
-from etholith.session import cut_lineage, shared_dir
+from etholith.session import shared_dir
 from etholith.sources import files
-from etholith.sources.keypoints import read_keypoints_wide, write_keypoints_wide
+from etholith.sources.keypoints import read_keypoints_wide, write_keypoints_videos, write_keypoints_wide
 
 
 def _folder(spark, name: str) -> str:
@@ -57,7 +57,7 @@ def read_bouts(spark, d):
 
 @query(
     "read_keypoints",
-    f"""WITH dd AS (SELECT * FROM kpts WHERE video_id = 0 QUALIFY row_number() OVER (PARTITION BY frame_id, subject, joint
+    f"""WITH dd AS (SELECT * FROM kpts QUALIFY row_number() OVER (PARTITION BY frame_id, subject, joint
           ORDER BY CASE WHEN x IS NULL OR y IS NULL THEN 1 ELSE 0 END, l_partkey, l_suppkey, l_extendedprice) = 1),
         al AS (SELECT f.frame_id, s.subject, j.joint FROM (SELECT DISTINCT frame_id FROM dd) f, (SELECT DISTINCT subject FROM dd) s, range(1, 8) j(joint))
         SELECT subject, 'Joint_' || CAST(joint AS VARCHAR) AS joint, count(*) AS n, count(x) AS n_x, {R('sum(x)')} AS x, {R('sum(y)')} AS y, {R('sum(likelihood)')} AS likelihood
@@ -65,9 +65,9 @@ def read_bouts(spark, d):
     "kpts",
 )
 def read_keypoints(spark, d):
-    """One video as a wide table with four header rows, in as many parts as the writer makes, read back long."""
+    """All frames as one wide table with four header rows, in as many parts as the writer makes, read back long."""
     kept = W.dedupe_prefer_coords(
-        V.keypoints(spark, d).filter("video_id = 0").withColumn("joint", F.concat(F.lit("joint_"), F.col("joint").cast("string"))),
+        V.keypoints(spark, d).withColumn("joint", F.concat(F.lit("joint_"), F.col("joint").cast("string"))),
         ["frame_id", "subject", "joint"], ["l_partkey", "l_suppkey", "l_extendedprice"],
     )
     folder = _folder(spark, "keypoints")
@@ -87,19 +87,14 @@ def read_keypoints(spark, d):
     "kpts",
 )
 def read_keypoints_videos(spark, d):
-    """As ``read_keypoints``, for every video: each is a wide table in a folder of its own."""
-    kept = cut_lineage(
-        W.dedupe_prefer_coords(
-            V.keypoints(spark, d).withColumn("joint", F.concat(F.lit("joint_"), F.col("joint").cast("string"))),
-            ["video_id", "frame_id", "subject", "joint"], ["l_partkey", "l_suppkey", "l_extendedprice"],
-        )
+    """As ``read_keypoints``, every video in a folder of its own: one write and one read for all of them."""
+    kept = W.dedupe_prefer_coords(
+        V.keypoints(spark, d).withColumn("joint", F.concat(F.lit("joint_"), F.col("joint").cast("string"))),
+        ["video_id", "frame_id", "subject", "joint"], ["l_partkey", "l_suppkey", "l_extendedprice"],
     )
-    folder, out = _folder(spark, "keypoints"), None
-    for video in sorted(r["video_id"] for r in kept.select("video_id").distinct().collect()):
-        path = f"{folder}/video-{video}"
-        write_keypoints_wide(kept.filter(F.col("video_id") == video), path, "view", ("s1", "s2"), [f"joint_{j}" for j in range(1, 8)])
-        part = read_keypoints_wide(spark, path).withColumn("video_id", F.lit(video).cast("long"))
-        out = part if out is None else out.unionByName(part)
+    folder = _folder(spark, "keypoints")
+    write_keypoints_videos(kept, folder, "view", ("s1", "s2"), [f"joint_{j}" for j in range(1, 8)])
+    out = read_keypoints_wide(spark, folder, with_path=True).withColumn("video_id", F.element_at(F.split("path", "/"), -2).cast("long"))
     return out.groupBy("video_id", "subject", "joint").agg(
         F.count("*").alias("n"), F.count("x").alias("n_x"), *[rd(F.sum(c)).alias(c) for c in ("x", "y", "likelihood")]
     )

@@ -6,67 +6,85 @@ import csv
 import io
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etholith.functions.ids import title_joint
+from etholith.sources.sinks import write_lines
 
 COORDS = ("x", "y", "likelihood")
+FRAMES_PER_PART = 50_000
 
 
-def _header(spark: SparkSession, path: str) -> list[list[str]]:
-    """The four header rows, in file order: the first lines of one small read."""
-    text = spark.read.option("lineSep", "\n").text(path).limit(4).collect()
+#: First cells of the header rows, in file order.
+HEADER_ROWS = ("scorer", "individuals", "bodyparts", "coords")
+#: A comma outside quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
+    """The four header rows of the first file: an early look, so that a wrong table fails before any work."""
+    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path).limit(4).collect()
     rows = [next(csv.reader(io.StringIO(r["value"].rstrip("\r")))) for r in text]
-    if len(rows) < 4 or [r[0] for r in rows] != ["scorer", "individuals", "bodyparts", "coords"]:
-        raise ValueError(f"{path}: expected the header rows scorer, individuals, bodyparts, coords")
+    if len(rows) < 4 or tuple(r[0] for r in rows) != HEADER_ROWS:
+        raise ValueError(f"{path}: expected the header rows {', '.join(HEADER_ROWS)}")
     return rows
 
 
+def _columns(lines: DataFrame, individuals: Sequence[str] | None, joints: Sequence[str] | None) -> DataFrame:
+    """Per file, which column holds which coordinate of whom: (path, _columns array of subject, joint, x, y, likelihood places)."""
+    first = F.get("_cells", F.lit(0))
+    heads = lines.filter(first.isin(*HEADER_ROWS)).groupBy("path").agg(
+        *[F.max(F.when(first == name, F.col("_cells"))).alias(f"_{name}") for name in HEADER_ROWS[1:]]
+    )
+    people = F.array_sort(F.array_distinct(F.slice("_individuals", F.lit(2), F.size("_individuals"))))
+    if individuals is not None:
+        wanted = F.array_sort(F.array(*[F.lit(i) for i in individuals]))
+        told = F.concat(F.col("path"), F.lit(f": expected the individuals {sorted(individuals)}, found "), F.array_join(people, ", "))
+        heads = heads.withColumn("_individuals", F.when(people == wanted, F.col("_individuals")).otherwise(F.raise_error(told)))
+    at = heads.select("path", "_individuals", "_bodyparts", F.posexplode("_coords").alias("_at", "coord")).filter("_at > 0")
+    joint = F.get("_bodyparts", F.col("_at"))
+    if joints is not None:
+        spelling = F.create_map(*[F.lit(v) for j in joints for v in (j.lower(), j)])
+        joint = F.try_element_at(spelling, F.lower(joint))
+    named = at.select("path", F.get("_individuals", F.col("_at")).alias("subject"), joint.alias("joint"), "coord", "_at").filter("joint IS NOT NULL")
+    each = named.groupBy("path", "subject", "joint").agg(*[F.max(F.when(F.col("coord") == c, F.col("_at"))).alias(c) for c in COORDS])
+    return each.groupBy("path").agg(F.collect_list(F.struct("subject", "joint", *COORDS)).alias("_columns"))
+
+
 def read_keypoints_wide(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     individuals: Sequence[str] | None = None,
     joints: Sequence[str] | None = None,
+    with_path: bool = False,
 ) -> DataFrame:
-    """Long keypoints (frame_id, subject, joint, x, y, likelihood) of one wide file.
+    """Long keypoints (frame_id, subject, joint, x, y, likelihood) of any number of wide files, read at once.
 
-    With ``joints`` names are matched without regard to case and take the listed
-    spelling; other joints are left out. With ``individuals`` any other set of
-    names in the header is an error.
+    Every file has its own four header rows and columns in its own order; folders are searched
+    recursively. With ``joints`` names are matched without regard to case and take the listed
+    spelling; other joints are left out. With ``individuals`` any other set of names in a header is
+    an error, as is a file with rows but without header. ``with_path`` adds the file's path.
     """
-    _, people, parts, coords = _header(spark, path)
+    _, people, *_ = _header(spark, path)
     if individuals is not None and set(people[1:]) != set(individuals):
         raise ValueError(f"{path}: expected the individuals {sorted(individuals)}, found {sorted(set(people[1:]))}")
-    spelling = {j.lower(): j for j in joints} if joints is not None else None
-    found: dict[tuple[str, str], dict[str, int]] = {}
-    for i in range(1, len(coords)):
-        joint = parts[i] if spelling is None else spelling.get(parts[i].lower())
-        if joint is not None:
-            found.setdefault((people[i], joint), {})[coords[i]] = i
-    schema = ", ".join(f"c{i} string" for i in range(len(coords)))
-    body = (
-        spark.read.schema(schema).csv(path, mode="PERMISSIVE")
-        .withColumn("_frame", F.col("c0").try_cast("double").cast("long"))
-        .filter(F.col("_frame").isNotNull())
-    )
-
-    def value(at: dict[str, int], coord: str):
-        if coord not in at:
-            return F.lit(None).cast("double")
-        v = F.col(f"c{at[coord]}").try_cast("double")
+    cells = F.transform(F.split(F.regexp_replace("value", r"\r$", ""), _COMMA, -1), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), cells.alias("_cells"))
+    frame = F.get("_cells", F.lit(0)).try_cast("double").cast("long")
+    body = lines.select("path", frame.alias("frame_id"), "_cells").filter("frame_id IS NOT NULL")
+    body = body.join(_columns(lines, individuals, joints).withColumnRenamed("path", "_of"), F.col("path") == F.col("_of"), "left")
+    headless = F.raise_error(F.concat("path", F.lit(": rows without the header rows scorer, individuals, bodyparts, coords")))
+
+    def value(at: Column) -> Column:
+        v = F.get("_cells", at).try_cast("double")
         return F.when(~F.isnan(v), v)
 
-    points = F.array(
-        *[
-            F.struct(
-                F.lit(who).alias("subject"), F.lit(joint).alias("joint"),
-                *[value(at, c).alias(c) for c in COORDS],
-            )
-            for (who, joint), at in found.items()
-        ]
+    points = F.transform(
+        F.when(F.col("_of").isNotNull(), F.col("_columns")).otherwise(headless),
+        lambda c: F.struct(c["subject"].alias("subject"), c["joint"].alias("joint"), *[value(c[k]).alias(k) for k in COORDS]),
     )
-    return body.select(F.col("_frame").alias("frame_id"), F.inline(points))
+    return body.select(*(["path"] if with_path else []), "frame_id", F.inline(points))
 
 
 def to_wide(
@@ -95,6 +113,49 @@ def to_wide(
     )
 
 
+def _titles(df: DataFrame, joints: Sequence[str]) -> dict[str, str]:
+    return dict(df.sparkSession.createDataFrame([(j,) for j in joints], "j string").select("j", title_joint(F.col("j"))).collect())
+
+
+def _header_text(df: DataFrame, scorer: str, individuals: Sequence[str], joints: Sequence[str]) -> str:
+    pairs = [(who, j) for who in sorted(individuals) for j in sorted(joints)]
+    titles = _titles(df, joints)
+    return "\n".join(
+        [
+            ",".join(["scorer", *[scorer for _ in pairs for _ in COORDS]]),
+            ",".join(["individuals", *[who for who, _ in pairs for _ in COORDS]]),
+            ",".join(["bodyparts", *[titles[j] for _, j in pairs for _ in COORDS]]),
+            ",".join(["coords", *[c for _ in pairs for c in COORDS]]),
+        ]
+    )
+
+
+def _line(cells: Sequence[str]) -> Column:
+    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells])
+
+
+def write_keypoints_videos(
+    df: DataFrame,
+    folder: str,
+    scorer: str,
+    individuals: Sequence[str],
+    joints: Sequence[str],
+    video: str = "video_id",
+    frames_per_part: int = FRAMES_PER_PART,
+) -> None:
+    """Wide CSV of all videos in one write: ``<video>/part_<n>.csv``, each with the four header rows and frames in order.
+
+    A part holds a fixed stretch of frame numbers, so a long video is written by many tasks.
+    """
+    wide = to_wide(df, [video, "frame_id"], individuals, joints)
+    part = F.lpad(F.floor(F.col("frame_id") / frames_per_part).cast("string"), 6, "0")
+    name = F.concat(F.col(video).cast("string"), F.lit("/part_"), part, F.lit(".csv"))
+    lines = wide.select(name.alias("archive"), F.col("frame_id").alias("place"), _line(wide.columns[1:]).alias("value"))
+    header = _header_text(df, scorer, individuals, joints)
+    heads = lines.groupBy("archive").agg((F.min("place") - 1).alias("place")).withColumn("value", F.lit(header))
+    write_lines(lines.union(heads), folder, ["place"])
+
+
 def write_keypoints_wide(
     df: DataFrame, path: str, scorer: str, individuals: Sequence[str], joints: Sequence[str], subject: str = "subject"
 ) -> None:
@@ -104,18 +165,8 @@ def write_keypoints_wide(
     frame and the header is put before the first row of each part.
     """
     wide = to_wide(df, ["frame_id"], individuals, joints, subject)
-    cells = wide.columns[1:]
-    pairs = [(who, j) for who in sorted(individuals) for j in sorted(joints)]
-    titles = dict(df.sparkSession.createDataFrame([(j,) for j in joints], "j string").select("j", title_joint(F.col("j"))).collect())
-    header = "\n".join(
-        [
-            ",".join(["scorer", *[scorer for _ in cells]]),
-            ",".join(["individuals", *[who for who, _ in pairs for _ in COORDS]]),
-            ",".join(["bodyparts", *[titles[j] for _, j in pairs for _ in COORDS]]),
-            ",".join(["coords", *[c for _ in pairs for c in COORDS]]),
-        ]
-    )
-    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in wide.columns])
+    header = _header_text(df, scorer, individuals, joints)
+    line = _line(wide.columns)
     spread = wide.repartitionByRange("frame_id").sortWithinPartitions("frame_id")
 
     def with_header(batches):

@@ -552,3 +552,15 @@ def test_greedy_match_along_a_line(spark):
             want[k] = min(near)[1]
             free.remove(want[k])
     assert got == want
+
+
+def test_duration_counts_by_behaviour_in_one_pass(spark):
+    df = spark.createDataFrame([("a", 0.4), ("a", 0.6), ("b", 0.6), ("b", 2.0), ("b", None), (None, 5.0)], "behavior string, duration_sec double")
+    limits = {"b": 1.0}
+    kept, seen = L.observed_min_duration(df, by_behavior=limits)
+    assert sorted(kept.collect(), key=str) == sorted(L.min_duration(df, by_behavior=limits).collect(), key=str)
+    assert seen.get == {"n_kept": 3, "n_total": 6}
+    report = {r.behavior: (r.n_kept, r.n_total) for r in L.min_duration_report(df, by=["behavior"], by_behavior=limits).collect()}
+    assert report == {"a": (1, 2), "b": (1, 3), None: (1, 1)}
+    named, seen = L.observed_drop_null_keys(df, "behavior")
+    assert named.count() == 5 and seen.get == {"n_kept": 5, "n_total": 6}

@@ -11,7 +11,7 @@ from etholith.operators.tracking import segment_status
 from etholith.sources import archives as A
 from etholith.sources import files as S
 from etholith.sources import sinks as K
-from etholith.sources.keypoints import read_keypoints_wide, write_keypoints_wide
+from etholith.sources.keypoints import read_keypoints_wide, write_keypoints_videos, write_keypoints_wide
 from etholith.sources.runs import SHARDS_MARKER, discover_runs, read_start_frames
 
 
@@ -160,6 +160,26 @@ def test_keypoints(spark, tmp_path):
     assert lines == ["0,3.0,4.0,0.8,1.0,2.0,0.9", "1,5.0,6.0,,,,"]
 
 
+def test_keypoint_files_have_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "v"
+    (folder / "b").mkdir(parents=True)
+    (folder / "a.csv").write_text("scorer,s,s,s,s\nindividuals,m,m,m,m\nbodyparts,A,A,B,B\ncoords,x,y,x,y\n0,1,2,3,4\n")
+    (folder / "b" / "b.csv").write_text('scorer,s,s,s,s,s\r\nindividuals,m,m,n,m,"m"\r\nbodyparts,B,B,"a, b",A,A\r\ncoords,y,x,likelihood,x,y\r\n7,40,30,0.5,10,\r\n')
+    got = {(r.frame_id, r.subject, r.joint): (r.x, r.y, r.likelihood) for r in read_keypoints_wide(spark, str(folder)).collect()}
+    assert got == {(0, "m", "A"): (1.0, 2.0, None), (0, "m", "B"): (3.0, 4.0, None), (7, "m", "A"): (10.0, None, None), (7, "m", "B"): (30.0, 40.0, None), (7, "n", "a, b"): (None, None, 0.5)}
+    with pytest.raises(Exception, match="expected the individuals"):
+        read_keypoints_wide(spark, str(folder), ("m",)).collect()
+    (folder / "c.csv").write_text("3,1,2,3,4\n")
+    with pytest.raises(Exception, match="without the header rows"):
+        read_keypoints_wide(spark, [str(folder / "a.csv"), str(folder / "c.csv")]).collect()
+    long = spark.createDataFrame([(v, f, "m", "a", float(f), 1.0, None) for v in (1, 2) for f in range(0, 25, v)], "video_id long, frame_id long, subject string, joint string, x double, y double, likelihood double")
+    write_keypoints_videos(long, str(tmp_path / "w"), "s", ("m",), ("a",), frames_per_part=10)
+    files = sorted(p.relative_to(tmp_path / "w").as_posix() for p in (tmp_path / "w").rglob("*.csv"))
+    assert files == [f"{v}/part_00000{k}.csv" for v in (1, 2) for k in range(3)]
+    lines = (tmp_path / "w" / "1" / "part_000001.csv").read_text().splitlines()
+    assert lines[0] == "scorer,s,s,s" and lines[4:] == [f"{f},{float(f)},1.0," for f in range(10, 20)]
+
+
 def test_archives(spark, tmp_path):
     rng = np.random.default_rng(0)
     masks = {}

@@ -7,22 +7,27 @@ often a task is retried.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from etholith.functions import prob
 from etholith.operators.ordered import null_safe_join, row_index, with_group_stats
 from etholith.operators.spatial import radius_count
-from etholith.session import broadcast_if_small, cut_lineage
+from etholith.session import cut_lineage
 
 # Modulus and multipliers of the counter hash, study defaults.
 P = 2_147_483_647
 REPLICATES = 2_000
 CONFIDENCE = 0.95
 ROTATIONS = 1_000
-_DRAW_BLOCK = 65_536
+#: Rows of a group packed into one, replicates a task makes of them, and draws held at once.
+VALUE_BLOCK = 65_536
+REPS_PER_TASK = 250
+DRAWS_AT_ONCE = 1 << 20
 
 
 def counter_index(rep: Column, draw: Column, n: Column, seed: int) -> Column:
@@ -34,47 +39,71 @@ def counter_index(rep: Column, draw: Column, n: Column, seed: int) -> Column:
     return ((h4 + 31 * h1) % P) % n
 
 
-def replicate_draws(groups: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """Rows (group, rep, idx): ``n_group`` draws per replicate.
+def _counter_indexes(rep: int, first: int, last: int, n: int, seed: int) -> np.ndarray:
+    """:func:`counter_index` of the draws ``first .. last - 1`` of one replicate."""
+    h1 = (48_271 * rep + 16_807 * np.arange(first, last, dtype=np.int64) + 69_621 * seed + 12_345) % P
+    h2 = h1 * h1 % P
+    h3 = (48_271 * h2 + 16_807 * h1 + 1_013_904_223) % P
+    return (h3 * h3 % P + 31 * h1) % P % n
 
-    Replicates and blocks of draws are spread over tasks before they unfold.
-    """
-    starts = F.sequence(F.lit(0).cast("long"), F.col("n_group") - 1, F.lit(_DRAW_BLOCK).cast("long"))
-    spread = (
-        groups.select(
-            *by,
-            "n_group",
-            F.explode(F.sequence(F.lit(1).cast("long"), F.lit(reps).cast("long"))).alias("rep"),
-        )
-        .withColumn("_from", F.explode(starts))
-        .repartition(*by, "rep", "_from")
-    )
-    to = F.least(F.col("_from") + _DRAW_BLOCK, F.col("n_group")) - 1
-    return spread.withColumn("_draw", F.explode(F.sequence(F.col("_from"), to))).select(
-        *by, "rep", counter_index(F.col("rep"), F.col("_draw"), F.col("n_group"), seed).alias("idx")
-    )
 
+def resampled_sums(df: DataFrame, by: Sequence[str], values: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """Rows (group, rep, n, one sum per value): every replicate draws as many rows as its group has, with replacement.
 
-def _indexed(df: DataFrame, by: Sequence[str], values: Sequence[str], order: Sequence[str]) -> tuple:
-    """Numbered rows, written once (draws and group sizes both read them), and group sizes."""
-    kept = df.dropna(subset=list(values)).select(*by, *dict.fromkeys([*values, *order]))
+    A draw is never a row of Spark. The numbered rows of a group are packed into blocks of ``VALUE_BLOCK``;
+    a task takes a block and some replicates, counts how often each replicate draws each row of the
+    block (the counter hash says so without any exchange), and returns the counts times the values.
+    What is exchanged is a copy of the values per ``REPS_PER_TASK`` replicates, and one row of sums per
+    replicate and block. A group of one block costs rows times replicates draws; one of k blocks has
+    its draws replayed in each of them.
+    """
+    by, values = list(by), list(values)
+    kept = df.dropna(subset=values).select(*by, *dict.fromkeys([*values, *order]))
     rows = cut_lineage(row_index(kept, by, order).select(*by, "idx", *values))
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"))
-    return broadcast_if_small(rows), groups
+    block = F.floor(F.col("idx") / VALUE_BLOCK).alias("_block")
+    packed = rows.groupBy(*by, block).agg(F.sort_array(F.collect_list(F.struct("idx", *values))).alias("_rows"))
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    key = [*by, "_one"]  # also without groups there is something to join by
+    packed = null_safe_join(packed.withColumn("_one", F.lit(1)), groups.withColumn("_one", F.lit(1)), key).drop("_one")
+    starts = F.sequence(F.lit(1).cast("long"), F.lit(reps).cast("long"), F.lit(REPS_PER_TASK).cast("long"))
+    dealt = packed.withColumn("_rep", F.explode(starts)).repartition(*by, "_block", "_rep")
+    sums = [f"sum_{v}" for v in values]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = batch["_rows"][i].values
+                n, first = batch["n"][i].as_py(), batch["_block"][i].as_py() * VALUE_BLOCK
+                matrix = np.stack([held.field(v).to_numpy(zero_copy_only=False).astype(np.float64) for v in values], axis=1)
+                start = batch["_rep"][i].as_py()
+                numbers = np.arange(start, min(start + REPS_PER_TASK, reps + 1))
+                out = np.empty((len(numbers), len(values)))
+                for k, rep in enumerate(numbers.tolist()):
+                    count = np.zeros(len(matrix), np.int64)
+                    for a in range(0, n, DRAWS_AT_ONCE):
+                        at = _counter_indexes(rep, a, min(a + DRAWS_AT_ONCE, n), n, seed) - first
+                        count += np.bincount(at[(at >= 0) & (at < len(matrix))], minlength=len(matrix))
+                    out[k] = count @ matrix
+                row = batch.slice(i, 1)
+                same = [pa.concat_arrays([row[c]] * len(numbers)) for c in by]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(numbers), pa.array(np.full(len(numbers), n)), *[pa.array(c) for c in out.T]], names=[*by, "rep", "n", *sums])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "rep long, n long", *[f"`{c}` double" for c in sums]])
+    parts = dealt.select(*by, "_block", "_rep", "n", "_rows").mapInArrow(drawn, schema)
+    return parts.groupBy(*by, "rep").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
 
 
 def replicate_means(
     df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], reps: int = REPLICATES, seed: int = 1
 ) -> DataFrame:
     """Bootstrap replicates of a mean: (group, rep, mean). ``order`` fixes the row numbering."""
-    rows, groups = _indexed(df, by, [value], order)
-    draws = replicate_draws(groups, by, reps, seed)
-    drawn = null_safe_join(draws, rows, [*by, "idx"])
-    return drawn.groupBy(*by, "rep").agg(F.avg(value).alias("mean"))
+    sums = resampled_sums(df, by, [value], order, reps, seed)
+    return sums.select(*by, "rep", (F.col(f"sum_{value}") / F.col("n")).alias("mean"))
 
 
 def _interval(reps: DataFrame, stats: DataFrame, by: Sequence[str], stat: str, conf: float) -> DataFrame:
-    lists = reps.groupBy(*by).agg(F.collect_list(stat).alias("_reps"))
+    lists = cut_lineage(reps.groupBy(*by).agg(F.collect_list(stat).alias("_reps")))  # read once, as a join or a subquery
     joined = (
         null_safe_join(stats, lists, by, "left")
         if by
@@ -147,11 +176,11 @@ def bca_ci_ccc(
         return [c.alias(f"{prefix}{k}") for k, c in parts.items()]
 
     names = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    rows, groups = _indexed(base, by, ["_x", "_y"], order)
-    draws = replicate_draws(groups, by, reps, seed)
-    drawn = null_safe_join(draws, rows, [*by, "idx"])
-    replicates = drawn.groupBy(*by, "rep").agg(*sums("")).select(
-        *by, "rep", _ccc_of(*[F.col(k) for k in names]).alias("ccc")
+    x1, y1 = F.col("_x"), F.col("_y")
+    moments = base.withColumns({"sx": x1, "sy": y1, "sxx": x1 * x1, "syy": y1 * y1, "sxy": x1 * y1})
+    drawn = resampled_sums(moments, by, names[1:], order, reps, seed)
+    replicates = drawn.select(
+        *by, "rep", _ccc_of(F.col("n").cast("double"), *[F.col(f"sum_{k}") for k in names[1:]]).alias("ccc")
     ).filter(F.col("ccc").isNotNull())
     whole = with_group_stats(base, by, **{f"_t_{k}": c for k, c in zip(names, sums(""))})
     a, b = F.col("_x"), F.col("_y")

@@ -564,3 +564,27 @@ def test_duration_counts_by_behaviour_in_one_pass(spark):
     assert report == {"a": (1, 2), "b": (1, 3), None: (1, 1)}
     named, seen = L.observed_drop_null_keys(df, "behavior")
     assert named.count() == 5 and seen.get == {"n_kept": 5, "n_total": 6}
+
+
+def test_replicates_by_counts_equal_draws(spark, monkeypatch):
+    """Counts per block of rows add up to the draws of the counter hash, for one block and for several; the last replicates fill no task."""
+    rng = np.random.default_rng(2)
+    data = [(g, i, float(v)) for g, n in (("a", 23), (None, 7), ("c", 1)) for i, v in enumerate(rng.normal(size=n))] + [("c", 9, None)]
+    df = spark.createDataFrame(data, "g string, i long, v double").repartition(3)
+
+    def index(rep, draw, n, seed=4):
+        h1 = (48271 * rep + 16807 * draw + 69621 * seed + 12345) % B.P
+        h2 = h1 * h1 % B.P
+        h3 = (48271 * h2 + 16807 * h1 + 1013904223) % B.P
+        return (h3 * h3 % B.P + 31 * h1) % B.P % n
+
+    for block, per_task, at_once in ((65536, 250, 1 << 20), (5, 3, 4)):
+        monkeypatch.setattr(B, "VALUE_BLOCK", block)
+        monkeypatch.setattr(B, "REPS_PER_TASK", per_task)
+        monkeypatch.setattr(B, "DRAWS_AT_ONCE", at_once)
+        got = {(r.g, r.rep): r["mean"] for r in B.replicate_means(df, ["g"], "v", ["i"], 10, 4).collect()}
+        assert len(got) == 30
+        for (g, rep), mean in got.items():
+            v = [x for k, _, x in data if k == g and x is not None]
+            assert abs(mean - np.mean([v[index(rep, k, len(v))] for k in range(len(v))])) < 1e-12
+    assert B.replicate_means(df.limit(0), ["g"], "v", ["i"], 10).count() == 0

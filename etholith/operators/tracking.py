@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,33 +154,68 @@ def assign_pair(pair: DataFrame, tie: float = TIE) -> DataFrame:
     )
 
 
-def _excess(places: Column, joint: Column, x: Column, y: Column, neighbours: Mapping) -> Column:
-    """Sum of distances above the limit to already placed neighbours of ``joint``."""
-    listed = F.lit(None)
-    for name, others in neighbours.items():
-        entry = F.array(*[F.struct(F.lit(o).alias("j"), F.lit(float(t)).alias("t")) for o, t in others])
-        listed = F.when(joint == name, entry).otherwise(listed)
-    return F.coalesce(
-        F.aggregate(
-            F.transform(
-                listed,
-                lambda n: F.coalesce(
-                    F.greatest(
-                        F.lit(0.0),
-                        F.hypot(
-                            x - F.try_element_at(places, n["j"])["x"],
-                            y - F.try_element_at(places, n["j"])["y"],
-                        )
-                        - n["t"],
-                    ),
-                    F.lit(0.0),
-                ),
-            ),
-            F.lit(0.0),
-            lambda a, b: a + b,
-        ),
-        F.lit(0.0),
-    )
+def _settle_batches(neighbours: Mapping, tie: float):
+    """Adds ``_first``, whether a joint's first detection is obj1, to frames of joints in their turns.
+
+    All frames of an Arrow batch take one turn at a time, so a turn sees what its frame has placed before.
+    """
+    names = list(dict.fromkeys([*neighbours, *[o for others in neighbours.values() for o, _ in others]]))
+    place = {j: i for i, j in enumerate(names)}
+    most = max([len(v) for v in neighbours.values()], default=0)
+    near, limit = np.full((len(names) + 1, most), -1), np.zeros((len(names) + 1, most))  # the last row is for other joints
+    for j, others in neighbours.items():
+        for k, (o, t) in enumerate(others):
+            near[place[j], k], limit[place[j], k] = place[o], t
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def excess(placed: np.ndarray, joint: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(joint))
+        for k in range(most):
+            other = near[joint, k]
+            d = np.hypot(x - placed[np.arange(len(joint)), other, 0], y - placed[np.arange(len(joint)), other, 1]) - limit[joint, k]
+            total += np.where((other >= 0) & (d > 0), d, 0.0)  # a neighbour not placed gives NaN and costs nothing
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch["_joints"]
+            size = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+            values = listed.flatten()
+            joint = values.field("at").to_numpy(zero_copy_only=False)
+            sides = []
+            for side in ("p", "q"):
+                one = values.field(side)
+                fields = dict(zip([f.name for f in one.type], one.flatten(), strict=True))  # keeps the nulls of the whole
+                sides.append({**{c: numbers(fields[c]) for c in ("x", "y", "k1", "k2")}, "known": fields["k1"].is_valid().to_numpy(zero_copy_only=False) & fields["k2"].is_valid().to_numpy(zero_copy_only=False)})
+                if side == "p":
+                    alone = pc.fill_null(pc.equal(fields["alone"], "obj1"), False).to_numpy(zero_copy_only=False)
+                else:
+                    lone = one.is_null().to_numpy(zero_copy_only=False)
+            p, q = sides
+            frame = np.repeat(np.arange(len(size)), size)
+            turn = np.arange(len(frame)) - np.repeat(np.cumsum(size) - size, size)
+            by_turn = np.argsort(turn, kind="stable")
+            placed = np.full((len(size), 2, len(names) + 1, 2), np.nan)
+            first = alone.copy()
+            for rows in np.split(by_turn, np.cumsum(np.bincount(turn))[:-1]) if len(turn) else []:
+                f, j = frame[rows], joint[rows]
+                cost = {}
+                for name, d in (("p", p), ("q", q)):
+                    for o in (0, 1):
+                        cost[name, o] = d[f"k{o + 1}"][rows] + excess(placed[f, o], j, d["x"][rows], d["y"][rows])
+                straight = cost["p", 0] + cost["q", 1] - (cost["p", 1] + cost["q", 0]) <= tie
+                straight |= ~(p["known"][rows] & q["known"][rows])
+                first[rows] = np.where(lone[rows], alone[rows], straight)
+                told = j < len(names)
+                for d, o, take in ((p, np.where(first[rows], 0, 1), told), (q, np.where(first[rows], 1, 0), told & ~lone[rows])):
+                    placed[f[take], o[take], j[take], 0] = d["x"][rows][take]
+                    placed[f[take], o[take], j[take], 1] = d["y"][rows][take]
+            flags = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(first, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, flags], names=[*batch.schema.names, "_first"])
+
+    return run, names
 
 
 def assign_frames(
@@ -197,6 +233,7 @@ def assign_frames(
     rest is set aside before the frame is folded (``extra_detection``), as are
     rows without coordinates (``nan_coords``) and frames without masks
     (``no_mask_frame``), so the folded array is bounded by the joint vocabulary.
+    The turns are taken by all frames of an Arrow batch together.
     """
     frame = list(frame)
     blank = F.col("x").isNull() | F.col("y").isNull()
@@ -222,55 +259,30 @@ def assign_frames(
         ),
         lambda e: F.struct(e["joint"].alias("joint"), F.get(e["dets"], F.lit(0)).alias("p"), F.get(e["dets"], F.lit(1)).alias("q")),
     )
-    folded = listed.select(*frame, F.filter(paired_up, lambda e: e["p"].isNotNull()).alias("_joints"))
-    joint_type = evidence.schema[joint].dataType.simpleString()
-    place = f"map<{joint_type},struct<x:double,y:double>>"
-    ord_type = rows.schema["_ord"].dataType.simpleString()
-    result = f"array<struct<_ord:{ord_type},assigned:string,reason:string>>"
-    start = F.struct(
-        F.create_map().cast(place).alias("one"),
-        F.create_map().cast(place).alias("two"),
-        F.array().cast(result).alias("out"),
-    )
+    run, known = _settle_batches(neighbours, tie)
 
-    def at(j: Column, d: Column) -> Column:
-        return F.create_map(j, F.struct(d["x"].alias("x"), d["y"].alias("y"))).cast(place)
+    def number(j: Column) -> Column:
+        """The joint's place among those with neighbours; all others share the one after."""
+        at = F.array_position(F.array(*[F.lit(k) for k in known]), j) if known else F.lit(0)
+        return F.when(at > 0, at - 1).otherwise(len(known)).cast("int")
+
+    joints = F.transform(F.filter(paired_up, lambda e: e["p"].isNotNull()), lambda e: F.struct(number(e["joint"]).alias("at"), e["p"].alias("p"), e["q"].alias("q")))
+    folded = listed.select(*frame, joints.alias("_joints"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in folded.schema)
+    flagged = folded.mapInArrow(run, f"{kinds}, _first array<boolean>")
 
     def found(d: Column, obj: Column, why: Column) -> Column:
         return F.struct(d["_ord"].alias("_ord"), obj.alias("assigned"), why.alias("reason"))
 
-    def step(state: Column, e: Column) -> Column:
-        j, p, q = e["joint"], e["p"], e["q"]
-        none = F.create_map().cast(place)
-        lone = q.isNull()
-
-        def cost(d: Column, obj: int) -> Column:
-            return d[f"k{obj}"] + _excess(state["one" if obj == 1 else "two"], j, d["x"], d["y"], neighbours)
-
-        straight = cost(p, 1) + cost(q, 2) - (cost(p, 2) + cost(q, 1)) <= tie
-        decided = F.when(lone, p["alone"] == "obj1").otherwise(F.coalesce(straight, F.lit(True)))
-
-        def settle(first: Column) -> Column:
-            add_one = F.when(first, at(j, p)).when(~lone, at(j, q)).otherwise(none)
-            add_two = F.when(~first, at(j, p)).when(~lone, at(j, q)).otherwise(none)
-            p_obj = F.when(first, "obj1").otherwise("obj2")
-            q_obj = F.when(first, "obj2").otherwise("obj1")
-            pair = F.lit("exclusive_pair")
-            news = F.when(lone, F.array(found(p, p_obj, p["why"]))).otherwise(
-                F.array(found(p, p_obj, pair), found(q, q_obj, pair))
-            )
-            return F.struct(
-                F.map_concat(state["one"], add_one).alias("one"),
-                F.map_concat(state["two"], add_two).alias("two"),
-                F.concat(state["out"], news.cast(result)).alias("out"),
-            )
-
-        # A one-element transform names the decision, so that its costs are worked out once.
-        return F.get(F.transform(F.array(decided), settle), F.lit(0))
-
+    e, first = F.col("_e._joints"), F.col("_e._first")
+    pair = F.lit("exclusive_pair")
+    p = found(e["p"], F.when(first, "obj1").otherwise("obj2"), F.when(e["q"].isNull(), e["p"]["why"]).otherwise(pair))
+    q = F.when(e["q"].isNotNull(), found(e["q"], F.when(first, "obj2").otherwise("obj1"), pair))
     settled = (
-        folded.select(*frame, F.aggregate("_joints", start, step)["out"].alias("_out"))
-        .select(*frame, F.inline_outer("_out"))  # plain inline would test the array's size, folding twice
+        flagged.select(*frame, F.explode(F.arrays_zip("_joints", "_first")).alias("_e"))
+        .select(*frame, F.explode(F.array(p, q)).alias("_r"))
+        .filter("_r IS NOT NULL")
+        .select(*frame, "_r.*")
     )
     unsettled = (
         F.when(F.col("_blank"), "nan_coords").when(F.col("_lost"), "no_mask_frame").otherwise("extra_detection")

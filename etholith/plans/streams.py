@@ -14,6 +14,13 @@ def event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
+def last_event(spark, d):
+    """An event far beyond all others, that closes the windows before it."""
+    far = {"ts": F.lit("2200-01-01 00:00:00"), "value": F.lit(100.0), "event_type": F.lit("end"), "user_id": F.lit(0), "event_id": F.lit(-1)}
+    schema = V.table(spark, d, "events").schema
+    return spark.range(1).select(*[far.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 @query(
     "stream_binned_time",
     f"""WITH b AS (SELECT event_type AS behavior, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 1e6) AS BIGINT) AS e FROM events),
@@ -26,8 +33,7 @@ def stream_binned_time(spark, d):
         bouts = events.select(F.col("ts").cast("timestamp").alias("start"), F.col("event_type").alias("behavior"), F.col("value").alias("duration_sec"))
         return ST.binned_time(bouts, "start")
 
-    end = F.col("bin_start") + F.expr("INTERVAL 30 SECONDS")
-    out = ST.closed(binned(event_stream(spark, d)), binned(V.table(spark, d, "events")), end, "binned-time")
+    out = ST.run_to_close(event_stream(spark, d), binned, last_event(spark, d), "binned-time")
     return out.select(F.unix_micros("bin_start").alias("bin_us"), "behavior", rd("dur_in_bin").alias("dur_in_bin"), "n_pieces")
 
 
@@ -55,7 +61,7 @@ def stream_swap_zones(spark, d):
         flagged = events.filter("value > 20").select(F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 20).alias("animal_id"))
         return ST.swap_zones(flagged, "at", ["animal_id"], "30 minutes")
 
-    out = ST.closed(zones(event_stream(spark, d)), zones(V.table(spark, d, "events")), F.col("end"), "swap-zones")
+    out = ST.run_to_close(event_stream(spark, d), zones, last_event(spark, d), "swap-zones")
     return out.select("animal_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events")
 
 

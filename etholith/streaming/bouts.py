@@ -1,17 +1,18 @@
 """Structured Streaming forms of four batch operators.
 
 Each one equals its batch form on the rows the watermark lets through: rows that
-arrive later than the watermark are dropped by the engine.
+arrive later than the watermark are dropped by the engine. A source that has come
+to its end is closed by a marker event (:func:`run_to_close`).
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
@@ -24,7 +25,7 @@ from pyspark.sql.types import (
 )
 
 from etholith.functions.ids import run_priority
-from etholith.session import cut_lineage, shared_dir
+from etholith.session import shared_dir
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -32,10 +33,8 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def run_to_end(stream: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Run an append stream over what is there now: its Parquet output, and the watermark it ended with."""
-    spark = stream.sparkSession
-    folder = run_folder(spark, name)
+def _run(stream: DataFrame, folder: str) -> None:
+    """An append stream over what is there now, as Parquet."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
@@ -45,25 +44,33 @@ def run_to_end(stream: DataFrame, name: str) -> tuple[DataFrame, str]:
         .start()
     )
     query.awaitTermination()
-    progress = query.lastProgress
-    watermark = (progress["eventTime"] or {}).get("watermark", "1970-01-01T00:00:00.000Z") if progress else "1970-01-01T00:00:00.000Z"
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), watermark
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """The output of :func:`run_to_end` alone: windows still open at the end are not in it."""
-    return run_to_end(stream, name)[0]
+    """The output of an append stream over what is there now; windows still open at the end are not in it."""
+    folder = run_folder(stream.sparkSession, name)
+    _run(stream, folder)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def closed(stream: DataFrame, batch: DataFrame, end: Column, name: str) -> DataFrame:
-    """The stream's windows, and from its batch twin those that end after the last watermark.
+def run_to_close(source: DataFrame, windows: Callable[[DataFrame], DataFrame], marker: DataFrame, name: str) -> DataFrame:
+    """All windows of a source that has come to its end, each event read once.
 
-    For a source that has come to its end. ``end`` is the window's end in the output's columns.
+    ``marker`` has the columns of ``source`` and one row whose time lies beyond every event by more
+    than the watermark's delay. It arrives through a second source of the same query after the events:
+    the watermark moves past them and the engine closes what is open. The marker's own window never
+    closes, so it is in no output. The marker comes twice, as a watermark holds from the next batch on.
     """
-    out, watermark = run_to_end(stream, name)
-    # Written first: a filter on a session's end must not reach the events before they are merged.
-    still_open = cut_lineage(batch).filter(end > F.to_timestamp(F.lit(watermark)))
-    return out.unionByName(still_open.select(*out.columns))
+    spark = source.sparkSession
+    folder = run_folder(spark, name)
+    marks = f"{folder}/marks"
+    marker.limit(0).write.parquet(marks)
+    stream = windows(source.unionByName(spark.readStream.schema(source.schema).parquet(marks)))
+    _run(stream, folder)
+    for _ in range(2):
+        marker.write.mode("append").parquet(marks)
+        _run(stream, folder)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def binned_time(bouts: DataFrame, ts: str, width: str = "30 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -95,32 +102,34 @@ def binned_time(bouts: DataFrame, ts: str, width: str = "30 seconds", delay: str
 def merge_runs(runs: DataFrame, folder: str, key: Sequence[str] = ("animal_id", "frame_id")) -> DataFrame:
     """Running priority merge: the table of winning runs after all available batches.
 
-    Every batch is merged with the standing table and written as a new version,
-    named by the batch, so a batch that is retried writes the same version
-    again. A late run of higher priority replaces a lower one.
+    The best run of each key is kept in the state of a streaming aggregate; a batch writes the keys it
+    has touched, named by the batch, so a batch that is retried writes the same again and none reads or
+    rewrites what earlier ones wrote. A late run of higher priority replaces a lower one.
     """
-    spark = runs.sparkSession
     key = list(key)
-    os_join = "/".join
+    ranked = runs.select(*key, F.struct(run_priority(F.col("run_name")).alias("p"), "run_name").alias("best"))
+    best = ranked.filter(F.col("best.p").isNotNull()).groupBy(*key).agg(F.max("best").alias("best"))
+
+    runs.sparkSession.createDataFrame([], best.schema).write.mode("overwrite").parquet(f"{folder}/table/batch=-1")  # so that there is a table
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        ranked = batch.select(*key, F.struct(run_priority(F.col("run_name")).alias("p"), "run_name").alias("best"))
-        ranked = ranked.filter(F.col("best.p").isNotNull())
-        fresh = ranked.groupBy(*key).agg(F.max("best").alias("best"))
-        if number > 0:
-            standing = batch.sparkSession.read.parquet(os_join([folder, "table", f"v={number - 1}"]))
-            fresh = fresh.unionByName(standing).groupBy(*key).agg(F.max("best").alias("best"))
-        fresh.write.mode("overwrite").parquet(os_join([folder, "table", f"v={number}"]))
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
     query = (
-        runs.writeStream.foreachBatch(upsert)
+        best.writeStream.foreachBatch(append)
         .option("checkpointLocation", f"{folder}/state")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return spark.read.parquet(os_join([folder, "table", f"v={last}"])).select(*key, "best.run_name")
+    return standing_runs(runs.sparkSession, folder, best.schema, key)
+
+
+def standing_runs(spark: SparkSession, folder: str, schema: StructType, key: Sequence[str]) -> DataFrame:
+    """The winning run per key from all changes of :func:`merge_runs`; a change is never worse than the one before."""
+    changes = spark.read.schema(schema).parquet(f"{folder}/table")
+    return changes.groupBy(*key).agg(F.max("best").alias("best")).select(*key, "best.run_name")
 
 
 def swap_zones(flagged: DataFrame, ts: str, by: Sequence[str], gap: str, min_len: int = 2, delay: str = "10 minutes") -> DataFrame:

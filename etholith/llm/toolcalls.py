@@ -9,6 +9,9 @@ checked against schemas, and written with sorted keys and without white space.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,29 +37,75 @@ TURNS = {
 }
 
 
-def _field(name: str) -> Column:
-    return F.try_variant_get("_args", "$['" + name.replace("'", "\\'") + "']", "variant")
+def _field(node: Column, name: str) -> Column:
+    """A property of an object as a variant; null where it is missing (JSON null is a value)."""
+    if re.fullmatch(r"[^'\"\\\[\]]+", name):
+        return F.try_variant_get(node, f"$['{name}']", "variant")
+    return F.try_element_at(F.try_variant_get(node, "$", "map<string,variant>"), F.lit(name))
+
+
+def _is(kind: Column, types: str | list[str]) -> Column:
+    """Whether what `schema_of_variant` says is one of the types."""
+    return kind.rlike("|".join(TYPES[t] for t in ([types] if isinstance(types, str) else types)))
+
+
+def _among(node: Column, kind: Column, values: list) -> Column:
+    """Whether a value equals one of the listed ones, of any type; numbers by their value."""
+    numbers = [float(v) for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    others = [json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in values if isinstance(v, bool) or not isinstance(v, (int, float))]
+    numeric = _is(kind, "number")
+    return F.when(numeric, F.try_variant_get(node, "$", "double").isin(numbers) if numbers else F.lit(False)).otherwise(
+        F.to_json(node).isin(others) if others else F.lit(False)
+    )
+
+
+def _problems(node: Column, schema: dict, path: str) -> Column:
+    """Array of what is wrong with a variant by a schema, nested properties and items included.
+
+    A missing ``type`` allows any, a list of types each of them. Parts of a value are named by their
+    path (``a.b``, ``list[]``). Objects with listed properties take no others unless the schema says so.
+    """
+    kind = F.schema_of_variant(node)
+    number, text = F.try_variant_get(node, "$", "double"), F.try_variant_get(node, "$", "string")
+    told = lambda what, where=path: F.lit(f"{what} {where}".strip())
+    tests = []
+    if "type" in schema:
+        tests.append(F.when(~_is(kind, schema["type"]), told("type")))
+    for word, size, what in (("minLength", F.length(text), "short"), ("maxLength", -F.length(text), "long")):
+        if word in schema:
+            limit = schema[word] if word == "minLength" else -schema[word]
+            tests.append(F.when(_is(kind, "string") & (size < limit), told(what)))
+    for word, wrong, what in (
+        ("minimum", lambda v: number < v, "small"), ("exclusiveMinimum", lambda v: number <= v, "small"),
+        ("maximum", lambda v: number > v, "large"), ("exclusiveMaximum", lambda v: number >= v, "large"),
+    ):
+        if word in schema:
+            tests.append(F.when(_is(kind, "number") & wrong(float(schema[word])), told(what)))
+    if "enum" in schema:
+        tests.append(F.when(~F.coalesce(_among(node, kind, schema["enum"]), F.lit(False)), told("value")))
+    below = lambda name: f"{path}.{name}" if path else name
+    parts, none = [], F.array().cast("array<string>")
+    is_object = _is(kind, "object")
+    for name in schema.get("required", []):
+        tests.append(F.when(is_object & _field(node, name).isNull(), told("missing", below(name))))
+    for name, inner in sorted(schema.get("properties", {}).items()):
+        child = _field(node, name)
+        parts.append(F.when(is_object & child.isNotNull(), _problems(child, inner, below(name))).otherwise(none))
+    if "properties" in schema and not schema.get("additionalProperties", False):
+        others = F.array_except(F.json_object_keys(F.to_json(node)), F.array(*map(F.lit, schema["properties"])).cast("array<string>"))
+        parts.append(F.when(is_object, F.transform(others, lambda k: F.concat(F.lit("unexpected " + (path + "." if path else "")), k))).otherwise(none))
+    if "items" in schema:
+        each = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v: _problems(v, schema["items"], f"{path}[]"))
+        parts.append(F.when(_is(kind, "array"), F.array_distinct(F.flatten(each))).otherwise(none))
+    return F.concat(F.array_compact(F.array(*[t.cast("string") for t in tests], F.lit(None).cast("string"))), *parts)
 
 
 def _faults(schemas: dict) -> Column:
     """Sorted names of what is wrong with the arguments; empty if nothing is."""
     per_tool = F.lit(None).cast("array<string>")
     for tool, schema in sorted(schemas.items()):
-        properties, required = schema.get("properties", {}), schema.get("required", [])
-        tests = [F.when(_field(p).isNull(), F.lit(f"missing {p}")) for p in required]
-        for p, want in sorted(properties.items()):
-            kind = F.schema_of_variant(_field(p))
-            tests.append(F.when(_field(p).isNotNull() & ~kind.rlike(TYPES[want.get("type", "object")]), F.lit(f"type {p}")))
-            text = F.try_variant_get("_args", f"$['{p}']", "string")
-            if "minLength" in want:
-                tests.append(F.when((kind == "STRING") & (F.length(text) < want["minLength"]), F.lit(f"short {p}")))
-            if "enum" in want:
-                tests.append(F.when((kind == "STRING") & ~text.isin(want["enum"]), F.lit(f"value {p}")))
-        unknown = F.transform(F.array_except(F.json_object_keys("arguments"), F.array(*map(F.lit, properties))), lambda k: F.concat(F.lit("unexpected "), k))
-        if schema.get("additionalProperties", False):
-            unknown = F.array().cast("array<string>")
-        found = F.concat(F.array(*[t.cast("string") for t in tests], F.lit(None).cast("string")), unknown)
-        per_tool = F.when(F.col("name") == tool, F.array_sort(F.array_compact(found))).otherwise(per_tool)
+        whole = {"properties": {}, **schema}
+        per_tool = F.when(F.col("name") == tool, F.array_sort(_problems(F.col("_args"), whole, ""))).otherwise(per_tool)
     shape = F.schema_of_variant("_args")
     return (
         F.when(F.col("name").isNull(), F.array().cast("array<string>"))

@@ -58,6 +58,45 @@ def test_cases(spark):
         assert json.dumps(json.loads(r.record), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.record
 
 
+NESTED = {
+    "deep": {
+        "properties": {
+            "a": {"type": "object", "properties": {"b": {"type": "integer", "minimum": 2, "maximum": 5}, "c": {"type": ["string", "null"], "maxLength": 3}}, "required": ["b"]},
+            "list": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "number", "exclusiveMinimum": 0}}, "additionalProperties": True}},
+            "any": {},
+            "pick": {"enum": [1, "two", None, True, {"x": [1]}]},
+            "it's": {"type": "boolean"},
+            'say "so"': {"minLength": 2},
+            "it's \"both\"": {"type": "integer"},
+        },
+        "required": ["it's"],
+    }
+}
+
+
+def test_nested_schemas(spark):
+    good = {"a": {"b": 3, "c": None}, "list": [{"n": 1}, {"n": 0.5, "more": 1}], "any": [1], "pick": 1.0, "it's": True, 'say "so"': "ok", "it's \"both\"": 2}
+    cases = [
+        (good, []),
+        ({"it's": False}, []),
+        ({}, ["missing it's"]),
+        ({**good, "a": {"b": "no", "c": "long", "d": 1}}, ["long a.c", "type a.b", "unexpected a.d"]),
+        ({**good, "a": {"c": 1}}, ["missing a.b", "type a.c"]),
+        ({**good, "a": {"b": 1}}, ["small a.b"]),
+        ({**good, "a": {"b": 6}}, ["large a.b"]),
+        ({**good, "a": [1], "any": None}, ["type a"]),
+        ({**good, "list": [{"n": 0}, {"n": "x"}, 3, {"n": -1}]}, ["small list[].n", "type list[]", "type list[].n"]),
+        ({**good, "list": {}}, ["type list"]),
+        *[({**good, "pick": v}, []) for v in ("two", None, True, {"x": [1]})],
+        *[({**good, "pick": v}, ["value pick"]) for v in (2, "three", False, {"x": [2]}, [])],
+        ({**good, "it's": 1, 'say "so"': "o", "it's \"both\"": "x"}, ["short say \"so\"", "type it's", "type it's \"both\""]),
+    ]
+    calls = [(1, k, f"c{k}", "deep", json.dumps(arguments), None) for k, (arguments, _) in enumerate(cases)]
+    rows = {r.call_id: r.errors for r in link_calls(*frames(spark, calls, [(1, 1, "c0", "r")]), NESTED).collect()}
+    for k, (arguments, want) in enumerate(cases):
+        assert rows[f"c{k}"] == want, arguments
+
+
 def test_long_chain(spark):
     n = 3000
     calls = [(7, k, f"k{k}", "add", '{"a": 1}', f"k{k - 1}" if k else None) for k in range(n)]

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from etholith.llm.common import blocks, query, stored, table
 from etholith.llm.quality import fold
+from etholith.session import broadcast_if_small
 
 ORDERS = (1, 2, 3)
 PER_LANG = 200
@@ -117,7 +118,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL, landmarks
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id", 5) != 0))
     spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_spot")
     narrow = stored(usable.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_content"), F.col("lang").alias("_lang"), spot).distinct())
-    counts = narrow.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per language, so the first filter runs before anything is exchanged by language.
+    counts = broadcast_if_small(stored(narrow.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))))
     share = max(LEAST, min(per_lang, total // max(1, counts.count())))
     order = Window.partitionBy("_lang").orderBy("_spot", "_id", "_content")
     chosen = (

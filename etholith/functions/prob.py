@@ -176,9 +176,13 @@ def rank_sum_p(ranks: pd.Series, n1: pd.Series, observed: pd.Series) -> pd.Serie
     )
 
 
+#: Relative difference under which a replicate equals the estimate.
+TIE = 1e-9
+
+
 def bca_bounds(replicates: np.ndarray, theta: float, accel: float, conf: float) -> tuple | None:
     """Bias-corrected accelerated bounds from sorted replicates (type-7 quantiles)."""
-    below = float(np.mean(replicates < theta))
+    below = float(np.mean(replicates < theta - TIE * max(1.0, abs(theta))))  # a replicate equal but for rounding is not below
     if not 0.0 < below < 1.0:
         return None
     z0 = _NORMAL.inv_cdf(below)

@@ -66,18 +66,17 @@ def _holm(by: str, order: str) -> str:
     return f"least(1.0, max((m - i + 1) * p) OVER ({part}ORDER BY {order} ROWS UNBOUNDED PRECEDING))"
 
 
-@query(
-    "behaviour_report",
-    f"""WITH {LONG_ROUTED}, {_signed_rank_sql("SELECT behavior, view, animal_id, max(duration) FILTER (session_type = 'S1') AS x, max(duration) FILTER (session_type = 'S2') AS y FROM routed GROUP BY 1, 2, 3", "behavior, view")},
+BEHAVIOUR_SQL = f"""WITH {LONG_ROUTED}, {_signed_rank_sql("SELECT behavior, view, animal_id, max(duration) FILTER (session_type = 'S1') AS x, max(duration) FILTER (session_type = 'S2') AS y FROM routed GROUP BY 1, 2, 3", "behavior, view")},
         tn AS (SELECT *, CASE WHEN n_pairs < 2 THEN 'too few pairs' WHEN n_zero = n_pairs THEN 'all diffs zero' ELSE '' END AS note FROM t),
         tp AS (SELECT *, CASE WHEN note = '' THEN {normal_two_sided_sql('z')} END AS p FROM tn),
         ad AS (SELECT behavior, view, {_holm('', 'i')} AS h FROM (SELECT *, row_number() OVER (ORDER BY p, behavior, view) AS i, count(*) OVER () AS m FROM tp WHERE p IS NOT NULL)),
         md AS (SELECT behavior, quantile_cont(duration, 0.5) FILTER (session_type = 'S1') AS m1, quantile_cont(duration, 0.5) FILTER (session_type = 'S2') AS m2 FROM routed GROUP BY 1)
         SELECT behavior, view, n_pairs, n_zero, CASE WHEN note = '' THEN {R('v')} END AS statistic, CASE WHEN note = '' THEN {R('z')} END AS z,
         CASE WHEN note = '' THEN {R('z / sqrt(n_pairs)')} END AS effect_r, note, {R('p')} AS p_value, CASE WHEN note = '' THEN 'normal' END AS method,
-        {R('h')} AS p_holm, {R('m1')} AS "median_S1", {R('m2')} AS "median_S2" FROM tp LEFT JOIN ad USING (behavior, view) JOIN md USING (behavior)""",
-    "bouts",
-)
+        {R('h')} AS p_holm, {R('m1')} AS "median_S1", {R('m2')} AS "median_S2" FROM tp LEFT JOIN ad USING (behavior, view) JOIN md USING (behavior)"""
+
+
+@query("behaviour_report", BEHAVIOUR_SQL, "bouts")
 def behaviour_report(spark, d):
     """The normal tail, since the number of animals grows with the tables; the exact one is an argument away."""
     out = study.behaviour_report(V.bouts(spark, d), SESSIONS, BEHAVIORS, DIRECTIONAL, method="normal")
@@ -516,7 +515,7 @@ DRAWS = """a AS (SELECT rep, draw, n, (48271 * rep + 16807 * draw + 69621 + 1234
 def _bca_sql(digits: int) -> str:
     """Bounds from ``m`` (rep, stat) and ``j`` (n, theta, flat, accel)."""
     at = "reps[floor({0})::INTEGER + 1] + ({0} - floor({0})) * (reps[ceil({0})::INTEGER + 1] - reps[floor({0})::INTEGER + 1])"
-    return f"""p0 AS (SELECT j.*, (SELECT count(*) FILTER (stat < theta) / count(*)::DOUBLE FROM m) AS below, (SELECT list(stat ORDER BY stat) FROM m) AS reps FROM j),
+    return f"""p0 AS (SELECT j.*, (SELECT count(*) FILTER (stat < theta - 1e-9 * greatest(1, abs(theta))) / count(*)::DOUBLE FROM m) AS below, (SELECT list(stat ORDER BY stat) FROM m) AS reps FROM j),
         p1 AS (SELECT *, {normal_start_sql('below')} AS x0 FROM p0), p2 AS (SELECT *, {normal_step_sql('below', 'x0')} AS e0 FROM p1),
         p3 AS (SELECT *, x0 - e0 / (1 + x0 * e0 / 2) AS z0 FROM p2),
         p4 AS (SELECT *, z0 - 1.9599639845400545 AS zl, z0 + 1.9599639845400545 AS zh FROM p3),
@@ -527,6 +526,21 @@ def _bca_sql(digits: int) -> str:
         CASE WHEN n >= 3 AND NOT flat THEN {R('hi', digits)} END AS ci_high FROM p7"""
 
 
+def _bca_by_sql(by: str, digits: int) -> str:
+    """Intervals of the mean of ``v`` (by, idx, x, n) per group: steps up to ``ci`` (by, n, theta, ci_low, ci_high)."""
+    one = _bca_sql(digits)
+    steps = one[one.index("p1 AS"):one.index("SELECT n, ")].rstrip()
+    draws = DRAWS.replace("SELECT rep,", f"SELECT {by}, rep,").replace("(SELECT max(n) AS n FROM v)", f"(SELECT {by}, max(n) AS n FROM v GROUP BY {by})")
+    final = one[one.index("SELECT n, "):].replace("SELECT n, ", f"SELECT {by}, n, ", 1)
+    return f"""{draws}, m AS (SELECT {by}, rep, avg(x) AS stat FROM e JOIN v USING ({by}, idx) GROUP BY {by}, rep),
+        th AS (SELECT {by}, count(*) AS n, avg(x) AS theta, min(x) = max(x) AS flat FROM v GROUP BY {by}),
+        j AS (SELECT {by}, any_value(th.n) AS n, any_value(theta) AS theta, any_value(flat) AS flat,
+          -sum((theta - x) ** 3) / (6 * nullif(sum((theta - x) ** 2) ** 1.5, 0)) AS accel FROM v JOIN th USING ({by}) GROUP BY {by}),
+        rl AS (SELECT {by}, list(stat ORDER BY stat) AS reps FROM m GROUP BY {by}),
+        pr AS (SELECT *, len(list_filter(reps, lambda s: s < theta - 1e-9 * greatest(1, abs(theta)))) / len(reps)::DOUBLE AS b FROM j JOIN rl USING ({by})),
+        p0 AS (SELECT * EXCLUDE (b), CASE WHEN b > 0 AND b < 1 THEN b END AS below FROM pr), {steps}, ci AS ({final})"""
+
+
 @query(
     "bca_ci_mean",
     f"""WITH v AS (SELECT row_number() OVER (ORDER BY animal_id) - 1 AS idx, (o - coalesce(chance, 0))::DOUBLE AS x, count(*) OVER () AS n FROM ({ROLLED})),
@@ -703,7 +717,15 @@ query("null_distribution_full", HISTOGRAM_SQL, "points")(null_distribution)
 query("real_vs_chance_full", CHANCE_SQL, "points counts")(real_vs_chance)
 
 
-@query("behaviour_report_ci")
+DIFFS = """v AS (SELECT behavior, view, row_number() OVER (PARTITION BY behavior, view ORDER BY animal_id) - 1 AS idx, x, count(*) OVER (PARTITION BY behavior, view) AS n
+        FROM (SELECT behavior, view, animal_id, (max(duration) FILTER (session_type = 'S1') - max(duration) FILTER (session_type = 'S2'))::DOUBLE AS x FROM routed GROUP BY 1, 2, 3) WHERE x IS NOT NULL)"""
+REPORT_CI_SQL = (
+    f"WITH {LONG_ROUTED}, {DIFFS}, {_bca_by_sql('behavior, view', 6)}, report AS (" + BEHAVIOUR_SQL.replace(f"{LONG_ROUTED}, ", "")
+    + ") SELECT report.*, theta AS mean_diff, ci_low, ci_high FROM report LEFT JOIN ci USING (behavior, view)"
+)
+
+
+@query("behaviour_report_ci", REPORT_CI_SQL, "bouts")
 def behaviour_report_ci(spark, d):
     out = study.behaviour_report(V.bouts(spark, d), SESSIONS, BEHAVIORS, DIRECTIONAL, method="normal", intervals=True)
     return rounded(out, "statistic", "z", "effect_r", "p_value", "p_holm", "median_S1", "median_S2", "mean_diff", "ci_low", "ci_high")

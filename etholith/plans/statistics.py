@@ -526,19 +526,27 @@ def _bca_sql(digits: int) -> str:
         CASE WHEN n >= 3 AND NOT flat THEN {R('hi', digits)} END AS ci_high FROM p7"""
 
 
-def _bca_by_sql(by: str, digits: int) -> str:
-    """Intervals of the mean of ``v`` (by, idx, x, n) per group: steps up to ``ci`` (by, n, theta, ci_low, ci_high)."""
+def _draws_by(by: str) -> str:
+    return DRAWS.replace("SELECT rep,", f"SELECT {by}, rep,").replace("(SELECT max(n) AS n FROM v)", f"(SELECT {by}, max(n) AS n FROM v GROUP BY {by})")
+
+
+def _bounds_by_sql(by: str, digits: int) -> str:
+    """From ``m`` (by, rep, stat) and ``j`` (by, n, theta, flat, accel) to ``ci`` (by, n, theta, ci_low, ci_high)."""
     one = _bca_sql(digits)
     steps = one[one.index("p1 AS"):one.index("SELECT n, ")].rstrip()
-    draws = DRAWS.replace("SELECT rep,", f"SELECT {by}, rep,").replace("(SELECT max(n) AS n FROM v)", f"(SELECT {by}, max(n) AS n FROM v GROUP BY {by})")
     final = one[one.index("SELECT n, "):].replace("SELECT n, ", f"SELECT {by}, n, ", 1)
-    return f"""{draws}, m AS (SELECT {by}, rep, avg(x) AS stat FROM e JOIN v USING ({by}, idx) GROUP BY {by}, rep),
+    return f"""rl AS (SELECT {by}, list(stat ORDER BY stat) AS reps FROM m GROUP BY {by}),
+        pr AS (SELECT *, len(list_filter(reps, lambda s: s < theta - 1e-9 * greatest(1, abs(theta)))) / len(reps)::DOUBLE AS b FROM j JOIN rl USING ({by})),
+        p0 AS (SELECT * EXCLUDE (b), CASE WHEN b > 0 AND b < 1 THEN b END AS below FROM pr), {steps}, ci AS ({final})"""
+
+
+def _bca_by_sql(by: str, digits: int) -> str:
+    """Intervals of the mean of ``v`` (by, idx, x, n) per group."""
+    return f"""{_draws_by(by)}, m AS (SELECT {by}, rep, avg(x) AS stat FROM e JOIN v USING ({by}, idx) GROUP BY {by}, rep),
         th AS (SELECT {by}, count(*) AS n, avg(x) AS theta, min(x) = max(x) AS flat FROM v GROUP BY {by}),
         j AS (SELECT {by}, any_value(th.n) AS n, any_value(theta) AS theta, any_value(flat) AS flat,
           -sum((theta - x) ** 3) / (6 * nullif(sum((theta - x) ** 2) ** 1.5, 0)) AS accel FROM v JOIN th USING ({by}) GROUP BY {by}),
-        rl AS (SELECT {by}, list(stat ORDER BY stat) AS reps FROM m GROUP BY {by}),
-        pr AS (SELECT *, len(list_filter(reps, lambda s: s < theta - 1e-9 * greatest(1, abs(theta)))) / len(reps)::DOUBLE AS b FROM j JOIN rl USING ({by})),
-        p0 AS (SELECT * EXCLUDE (b), CASE WHEN b > 0 AND b < 1 THEN b END AS below FROM pr), {steps}, ci AS ({final})"""
+        {_bounds_by_sql(by, digits)}"""
 
 
 @query(
@@ -735,3 +743,62 @@ def behaviour_report_ci(spark, d):
 def key_stats_full(spark, d):
     out = study.key_stats_full(deltas(spark, d), rollup_of(spark, d), "manual_total", "auto_total", "cohort", COHORTS, method="normal")
     return rounded(rounded(out, "statistic", "effect_size", digits=4), "p_value", "p_fdr")
+
+
+CHANNELS = {"GFP": ("manual_total", "auto_total"), "cFOS": ("manual_total", "ref_total"), "both": ("auto_total", "ref_total")}
+
+
+def _ccc_by_sql(by: str, digits: int) -> str:
+    """Concordance and its interval per group of ``v`` (by, idx, x, y, n), x and y about the mean of x."""
+    sums = "sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy"
+    return f"""{_draws_by(by)}, kk AS (SELECT {by}, rep, count(*)::DOUBLE AS n, {sums} FROM e JOIN v USING ({by}, idx) GROUP BY {by}, rep),
+        m AS (SELECT {by}, rep, {_ccc_sql('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS stat FROM kk),
+        w AS (SELECT {by}, count(*)::DOUBLE AS nn, {sums}, min(x) = max(x) AND min(y) = max(y) AS flat FROM v GROUP BY {by}),
+        l AS (SELECT {by}, nn, flat, {_ccc_sql('nn', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS theta,
+          {_ccc_sql('(nn - 1)', '(sx - x)', '(sy - y)', '(sxx - x * x)', '(syy - y * y)', '(sxy - x * y)')} AS loo FROM v JOIN w USING ({by})),
+        gg AS (SELECT *, avg(loo) OVER (PARTITION BY {by}) - loo AS dd FROM l),
+        j AS (SELECT {by}, any_value(nn)::BIGINT AS n, any_value(theta) AS theta, any_value(flat) AS flat, sum(dd ** 3) / (6 * sum(dd ** 2) ** 1.5) AS accel FROM gg GROUP BY {by}),
+        {_bounds_by_sql(by, digits)}"""
+
+
+LONG_CHANNELS = "lo AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS channel, image_id, animal_id, cohort, status, {x}::DOUBLE AS x, {y}::DOUBLE AS y, round({y} - {x}, 6) AS delta FROM ({DELTA})" for c, (x, y) in CHANNELS.items()
+) + ")"
+CHANNEL_TESTS = EACH_REST[EACH_REST.index("r AS (SELECT"):].replace("status, batch", "channel, kind").replace("'batch'", "'first'").replace("'rest'", "'second'").replace("z AS (SELECT", "zz AS (SELECT")
+
+
+@query(
+    "key_stats_channels",
+    f"""WITH {LONG_CHANNELS}, un AS (SELECT channel, 'images' AS level, image_id AS unit, x, y FROM lo
+          UNION ALL SELECT channel, 'animals', animal_id, sum(x), sum(y) FROM lo GROUP BY channel, animal_id),
+        v AS (SELECT channel, level, row_number() OVER (PARTITION BY channel, level ORDER BY unit) - 1 AS idx, x - avg(x) OVER (PARTITION BY channel, level) AS x,
+          y - avg(x) OVER (PARTITION BY channel, level) AS y, count(*) OVER (PARTITION BY channel, level) AS n FROM un),
+        {_ccc_by_sql('channel, level', 6)},
+        rk AS (SELECT channel, {_mid_rank('round(x, 6)', 'channel')} AS rx, {_mid_rank('round(y, 6)', 'channel')} AS ry FROM un WHERE level = 'animals'),
+        rh AS (SELECT channel, 'animals' AS level, corr(rx, ry) AS rho FROM rk GROUP BY 1),
+        ba AS (SELECT channel, count(*) AS n, avg(y - x) AS bi, stddev_samp(y - x) AS sd FROM lo GROUP BY 1),
+        q AS (SELECT channel, 'overfit' AS kind, delta, CASE status WHEN 'Held-out' THEN 'first' ELSE 'second' END AS side FROM lo
+          UNION ALL SELECT channel, 'batch', delta, CASE cohort WHEN '{COHORTS[0]}' THEN 'first' ELSE 'second' END FROM lo),
+        {CHANNEL_TESTS}, zp AS (SELECT *, {normal_two_sided_sql('z')} AS p FROM zz),
+        fa AS (SELECT channel, kind, least(1.0, min(p * mm / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS f
+          FROM (SELECT *, row_number() OVER (ORDER BY p, channel, kind) AS i, count(*) OVER () AS mm FROM zp WHERE channel IN ('GFP', 'cFOS') AND p IS NOT NULL)),
+        er AS (SELECT channel, status, avg(abs(delta)) AS er, count(*) AS n FROM lo GROUP BY 1, 2)
+        SELECT channel, 'ccc_' || level AS test, {R('theta')} AS statistic, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS DOUBLE) AS p_fdr, {R('rho')} AS effect_size, n, {R('ci_low', 5)} AS low, {R('ci_high', 5)} AS high
+          FROM ci LEFT JOIN rh USING (channel, level)
+        UNION ALL SELECT channel, 'bias', {R('bi', 4)}, NULL, NULL, {R('sd', 4)}, n, {R('bi - 1.96 * sd', 4)}, {R('bi + 1.96 * sd', 4)} FROM ba
+        UNION ALL SELECT channel, kind, {R('z')}, {R('p')}, {R('f')}, NULL, n1 + n2, {R('m1', 4)}, {R('m2', 4)} FROM zp LEFT JOIN fa USING (channel, kind)
+        UNION ALL SELECT channel, 'error_' || CASE status WHEN 'Held-out' THEN 'held_out' ELSE 'training' END, {R('er', 4)}, NULL, NULL, NULL, n, NULL, NULL FROM er""",
+    "counts",
+)
+def key_stats_channels(spark, d):
+    """The validation part of the result table for three channels; one family of four adjusted tests."""
+    out = study.channel_stats(deltas(spark, d), CHANNELS, COHORTS[0], method="normal")
+    fine, five = F.col("test").isin("overfit", "batch"), F.col("test").startswith("ccc_")
+    digits = lambda c, a, b: F.when(a, rd(c, b[0])).otherwise(rd(c, b[1]))
+    return out.withColumns(
+        {
+            **{c: digits(c, five | fine, (6, 4)) for c in ("statistic", "effect_size")},
+            **{c: digits(c, five, (5, 4)) for c in ("low", "high")},
+            "p_value": rd("p_value"), "p_fdr": rd("p_fdr"),
+        }
+    )

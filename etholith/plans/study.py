@@ -225,3 +225,60 @@ def key_stats_full(
     out = cut_lineage(out)
     family = F.col("note").startswith("exploratory, FDR")
     return S.p_adjust(out.filter(family), [], "p_value", "bh", "p_fdr").unionByName(out.filter(~F.coalesce(family, F.lit(False))), allowMissingColumns=True)
+
+
+def channel_stats(
+    images: DataFrame,
+    channels: Mapping[str, tuple[str, str]],
+    batch: str,
+    by: str = "cohort",
+    family: Sequence[str] = ("GFP", "cFOS"),
+    flag: str = "status",
+    levels: tuple[str, str] = ("Held-out", "Training"),
+    method: str = "exact",
+) -> DataFrame:
+    """Validation of the automatic counts per channel, as rows (channel, test, statistic, p_value, p_fdr, effect_size, n, low, high).
+
+    ``channels`` names the manual and the automatic column of each. ``ccc_images`` and ``ccc_animals`` are
+    concordances over images and over animals' sums with their bootstrap interval (``low``, ``high``), the
+    second with the rank correlation as ``effect_size``; ``bias`` has the spread of the differences and the
+    limits of agreement; ``overfit`` (by ``flag``) and ``batch`` (the one against the rest) are rank-sum
+    tests of ``auto - manual`` with both medians, and those of the ``family`` channels are adjusted
+    together; ``error_*`` is the mean absolute difference per level of ``flag``.
+    """
+    sides = [F.struct(F.lit(c).alias("channel"), F.col(m).cast("double").alias("x"), F.col(a).cast("double").alias("y")) for c, (m, a) in channels.items()]
+    long = cut_lineage(images.select("image_id", "animal_id", by, flag, F.inline(F.array(*sides))))
+    animals = long.groupBy("channel", "animal_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+    def unit(df: DataFrame, level: str, key: str) -> DataFrame:
+        return df.select("channel", F.lit(level).alias("level"), F.col(key).cast("long").alias("unit"), "x", "y")
+
+    def row(df: DataFrame, test: Column, **values: Column) -> DataFrame:
+        numbers = [values.get(c, F.lit(None)).cast("double").alias(c) for c in ("statistic", "p_value", "p_fdr", "effect_size")]
+        ends = [values.get(c, F.lit(None)).cast("double").alias(c) for c in ("low", "high")]
+        return df.select("channel", test.alias("test"), *numbers, values["n"].cast("long").alias("n"), *ends)
+
+    both = cut_lineage(unit(long, "images", "image_id").union(unit(animals, "animals", "animal_id")))
+    rho = S.spearman(animals, ["channel"], F.round("x", 6), F.round("y", 6)).select("channel", F.lit("animals").alias("level"), "rho")
+    ccc = null_safe_join(B.bca_ci_ccc(both, ["channel", "level"], "x", "y", ["unit"]), rho, ["channel", "level"], "left")
+    parts = [row(ccc, F.concat(F.lit("ccc_"), "level"), statistic=F.col("theta"), effect_size=F.col("rho"), n=F.col("n"), low=F.col("ci_low"), high=F.col("ci_high"))]
+    b = S.bland_altman(long, ["channel"], "x", "y")
+    parts.append(row(b, F.lit("bias"), statistic=F.col("bias"), effect_size=F.col("sd_diff"), n=F.col("n"), low=F.col("loa_lower"), high=F.col("loa_upper")))
+    gap = long.withColumn("delta", F.round(F.col("y") - F.col("x"), 6))
+    checks = F.array(
+        F.struct(F.lit("overfit").alias("check"), F.when(F.col(flag) == levels[0], "first").when(F.col(flag) == levels[1], "second").alias("side")),
+        F.struct(F.lit("batch").alias("check"), F.when(F.col(by) == batch, "first").otherwise("second").alias("side")),
+    )
+    split = gap.select("channel", "delta", F.inline(checks))
+    tested = cut_lineage(S.with_rank_sum_p(S.delta_check_statistic(split, ["channel", "check"], "side", ("first", "second"), "delta", method), method))
+    own = F.coalesce(F.col("channel").isin(list(family)), F.lit(False))
+    adjusted = S.p_adjust(tested.filter(own), [], "p_value", "bh", "p_fdr").unionByName(tested.filter(~own), allowMissingColumns=True)
+    parts.append(
+        row(adjusted, F.col("check"), statistic=F.col("z"), p_value=F.col("p_value"), p_fdr=F.col("p_fdr"), n=F.col("n1") + F.col("n2"), low=F.col("median_first"), high=F.col("median_second"))
+    )
+    errors = gap.filter(F.col(flag).isin(*levels)).groupBy("channel", flag).agg(F.avg(F.abs("delta")).alias("e"), F.count("delta").alias("n"))
+    parts.append(row(errors, F.concat(F.lit("error_"), F.lower(F.regexp_replace(flag, "[^A-Za-z]", "_"))), statistic=F.col("e"), n=F.col("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

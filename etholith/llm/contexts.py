@@ -9,8 +9,8 @@ frozen, so the code length of a byte is a function of it and its context.
 Counts come from all learned texts. The scan packs texts into shards of about ``SHARD_BYTES`` and
 lists, per shard, its distinct contexts with the next byte and its distinct words (for the base
 score) with their numbers in learned texts; the packed texts and the lists are written once. Totals
-are summed per context. Contexts meet by their two latest bytes to be weighed; the levels above, at
-most 65,280 nodes, are summed and sent to all tasks. Every shard then gets back, by a join, values
+are summed per context. Contexts meet by their two latest bytes to be weighed, or by three where two
+are shared by many; the levels above, at most 65,280 nodes, are summed and sent to all tasks. Every shard then gets back, by a join, values
 for what it listed, whether a learned text has it or not: no task ever holds the whole model.
 """
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,12 +77,13 @@ SLICE = 40_000
 class Subtree:
     """The nodes at depth 2 to ``depth`` below one pair of latest bytes, and what they say of each row.
 
-    Depth 3 and deeper are weighed slice by slice; depth 2 (255 nodes) sums over the slices.
+    Depth 3 and deeper are weighed slice by slice; depth 2 (255 nodes) sums over the slices. Rows may be
+    those of some third-latest bytes only: their sums add up to the pair's, which :meth:`settle` is given.
     """
 
     def __init__(self, older: np.ndarray, byte: np.ndarray, n: np.ndarray, depth: int):
         self.node, self.bit = _decisions(byte)
-        self.zeros, self.ones, below = np.zeros(256), np.zeros(256), np.zeros(256)
+        self.zeros, self.ones, self.below, self.depth = np.zeros(256), np.zeros(256), np.zeros(256), depth
         self.deeper = None if depth == 2 else np.empty(self.node.shape)
         third = older & 255
         order = np.argsort(third, kind="stable")
@@ -97,12 +99,12 @@ class Subtree:
             if depth > 2:
                 p, at, weighted = self._slice(older[rows], node, bit, each, depth)
                 self.deeper[rows] = p.reshape(-1, 8)
-                below += np.bincount(at, weighted, 256)
+                self.below += np.bincount(at, weighted, 256)
             a = b
-        if depth == 2:
-            self.weighted, self.stop = log_estimate(self.zeros, self.ones), np.ones(256)
-        else:
-            self.weighted, self.stop = weigh(self.zeros, self.ones, below)
+
+    def settle(self, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> None:
+        """Takes the sums of the whole pair in place of those of its own rows."""
+        self.zeros, self.ones, self.below = zeros, ones, below
 
     @staticmethod
     def _slice(older, node, bit, each, depth):
@@ -125,7 +127,13 @@ class Subtree:
     def probability(self) -> np.ndarray:
         """(rows, 8) probabilities of the decisions taken, as depth 2 and deeper have them."""
         own = (np.where(self.bit == 1, self.ones[self.node], self.zeros[self.node]) + 0.5) / (self.zeros + self.ones + 1.0)[self.node]
-        return own if self.deeper is None else self.stop[self.node] * own + (1 - self.stop[self.node]) * self.deeper
+        stop = pair_weights(self.zeros, self.ones, self.below, self.depth)[1][self.node]
+        return own if self.deeper is None else stop * own + (1 - stop) * self.deeper
+
+
+def pair_weights(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ln weighted probability, own share) of nodes at depth 2; where the tree ends there, their own estimate alone."""
+    return (log_estimate(zeros, ones), np.ones(len(zeros))) if depth == 2 else weigh(zeros, ones, below)
 
 
 class Top:
@@ -195,18 +203,20 @@ def _tally_codes(codes: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np
 
 
 class Lookup:
-    """Values of distinct keys by open addressing."""
+    """Values of distinct keys by open addressing; keys are placed block by block, which bounds what placing takes."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, block: int = 1 << 17):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values, self.slot = keys, values, np.full(1 << bits, -1, np.int32)
-        left, at = np.arange(len(keys)), self._home(keys)
-        while len(left):
-            free = self.slot[at] < 0
-            self.slot[at[free]] = left[free]  # of several on one place the last stays
-            placed = self.slot[at] == left
-            left, at = left[~placed], (at[~placed] + 1) & self.mask
+        for a in range(0, len(keys), block):
+            left = np.arange(a, min(a + block, len(keys)), dtype=np.int32)
+            at = self._home(keys[a : a + block])
+            while len(left):
+                free = self.slot[at] < 0
+                self.slot[at[free]] = left[free]  # of several on one place the last stays
+                placed = self.slot[at] == left
+                left, at = left[~placed], (at[~placed] + 1) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
@@ -224,6 +234,8 @@ class Lookup:
 
 
 LIST, WORD, TEXT = 0, 1, 2
+#: Contexts that two latest bytes may share before the third splits them.
+GROUP = 100_000
 #: Bytes of text and rows handled at once, and listed keys kept before they are merged: these bound a worker's memory.
 BLOCK, ROWS, MERGE = 1 << 18, 1024, 250_000
 
@@ -273,33 +285,59 @@ def packed(depth: int, shard_bytes: int):
     return run
 
 
-def model_values(lists: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, value): log10 of the byte's probability for every listed context and byte."""
+def model_values(lists: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
+    """(key, value): log10 of the byte's probability for every listed context and byte.
+
+    Contexts meet by their two latest bytes. A pair with over ``group`` rows is split by the
+    third-latest byte: parts weigh what lies below them, their sums at depth 2 (255 nodes) are added up
+    and handed back to each part.
+    """
     latest = F.expr("cast((key >> 8) & 65535 AS int)").alias("latest")
     totals = stored(lists.groupBy("key").agg(F.sum("n").alias("n")).select("key", "n", latest))
+    sizes = totals.groupBy("latest").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > group) & F.lit(depth > 2))
+    large = stored(sizes.select("latest", F.lit(True).alias("_large")))  # at most 65,280 rows
+    third = F.when(F.col("_large"), F.expr("cast((key >> 24) & 255 AS int)")).otherwise(-1).alias("third")
+    dealt = totals.join(F.broadcast(large), "latest", "left").select("key", "n", "latest", third)
+    pair = ["latest", "third"]
 
     def subtree(rows):
         key = rows["key"].to_numpy()
         return key, Subtree((key >> 24) & ((1 << 8 * (depth - 2)) - 1), key & 255, rows["n"].to_numpy(), depth)
 
-    def upper(rows):
+    def part(rows):
         _, tree = subtree(rows)
-        last = np.full(255, rows["latest"][0].as_py() & 255, np.int32)
-        return pa.table({"last": last, "node": np.arange(1, 256, dtype=np.int32), "zeros": tree.zeros[1:], "ones": tree.ones[1:], "below": tree.weighted[1:]})
-
-    level = totals.groupBy("latest").applyInArrow(upper, "last int, node int, zeros double, ones double, below double")
-    level = level.groupBy("last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow().sort_by([("last", "ascending"), ("node", "ascending")])
+        node = np.flatnonzero(tree.zeros + tree.ones)
+        same = np.full(len(node), rows["latest"][0].as_py(), np.int32)
+        return pa.table({"latest": same, "node": node.astype(np.int32), "zeros": tree.zeros[node], "ones": tree.ones[node], "below": tree.below[node]})
+
+    def weighed(batches):
+        for batch in batches:
+            zeros, ones, below = (batch[c].to_numpy() for c in ("zeros", "ones", "below"))
+            last = batch["latest"].to_numpy() & 255
+            yield pa.record_batch({"last": last.astype(np.int32), "node": batch["node"], "zeros": zeros, "ones": ones, "below": pair_weights(zeros, ones, below, depth)[0]})
+
+    numbers = [F.sum(c).alias(c) for c in ("zeros", "ones", "below")]
+    parts = dealt.groupBy(*pair).applyInArrow(part, "latest int, node int, zeros double, ones double, below double")
+    pairs = stored(parts.groupBy("latest", "node").agg(*numbers))
+    level = pairs.mapInArrow(weighed, "last int, node int, zeros double, ones double, below double")
+    level = level.groupBy("last", "node").agg(*numbers).toArrow().sort_by([("last", "ascending"), ("node", "ascending")])
     sent = lists.sparkSession.sparkContext.broadcast(Top(*(c.to_numpy() for c in level.columns)))
 
-    def valued(rows):
+    def valued(rows, whole):
         key, tree = subtree(rows)
+        if whole.num_rows:
+            sums = np.zeros((3, 256))
+            sums[:, whole["node"].to_numpy()] = [whole[c].to_numpy() for c in ("zeros", "ones", "below")]
+            tree.settle(*sums)
         p = sent.value.mixed(rows["latest"][0].as_py() & 255, tree.node, tree.bit, tree.probability())
         return pa.table({"key": key, "value": np.log10(p).sum(axis=1)})
 
-    return totals.groupBy("latest").applyInArrow(valued, "key long, value double")
+    thirds = dealt.filter("third >= 0").select(*pair).distinct()
+    handed = thirds.join(pairs, "latest").select(F.col("latest").alias("of"), F.col("third").alias("part"), "node", "zeros", "ones", "below")
+    return dealt.groupBy(*pair).cogroup(handed.groupBy("of", "part")).applyInArrow(valued, "key long, value double")
 
 
-def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, group: int = GROUP) -> DataFrame:
     """(doc_id, content, learned, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     ``learned`` says which rows are learned from. Tokens are words and one end per text; null and
@@ -311,7 +349,7 @@ def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: in
     rows = rows.coalesce(max(1, -(-total // shard_bytes)))
     known = stored(rows.mapInArrow(packed(depth, shard_bytes), "shard long, kind byte, key long, n long, texts binary"))
     lists = known.filter(F.col("kind") == LIST).select("shard", "key", "n")
-    codes = lists.join(model_values(lists, depth), "key").select("shard", F.lit(LIST).cast("byte").alias("kind"), "key", "value", F.lit(False).alias("first"))
+    codes = lists.join(model_values(lists, depth, group), "key").select("shard", F.lit(LIST).cast("byte").alias("kind"), "key", "value", F.lit(False).alias("first"))
     same = Window.partitionBy("key")
     words = known.filter(F.col("kind") == WORD).select(
         "shard", "kind", "key", F.sum("n").over(same).cast("double").alias("value"), (F.min("shard").over(same) == F.col("shard")).alias("first")
@@ -319,9 +357,10 @@ def scores(docs: DataFrame, learned: Column, depth: int = DEPTH, shard_bytes: in
     texts = known.filter(F.col("kind") == TEXT).select(F.col("shard").alias("owner"), "texts")
 
     def scored(texts, found):
-        kind, key, value = (found[c].to_numpy() for c in ("kind", "key", "value"))
-        tables = [Lookup(key[kind == k], value[kind == k]) for k in (LIST, WORD)]
-        fresh = int((found["first"].to_numpy() & (value > 0)).sum())
+        kind = found["kind"].to_numpy()
+        tables = [Lookup(*(found[c].to_numpy()[kind == k] for c in ("key", "value"))) for k in (LIST, WORD)]
+        fresh = int(pc.sum(pc.and_(found["first"], pc.greater(found["value"], 0))).as_py() or 0)
+        del kind
         out = []
         for raw in texts["texts"]:
             for part in pa.ipc.open_stream(raw.as_py()):

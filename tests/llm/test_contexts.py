@@ -104,8 +104,8 @@ def test_definition(spark, depth):
     texts += [None, "", "ABA abA", "ABA abA", "zzz unseen \x7f ÿ", " \n"]
     rows = [(t, k % 3 != 0) for k, t in enumerate(texts)]
     df = spark.createDataFrame([(k, t, y, "x") for k, (t, y) in enumerate(rows)], "doc_id long, text string, y boolean, score string")
-    for size in (1 << 25, 150):
-        got = sorted(scores(df, F.col("y"), depth, size).collect(), key=lambda r: r.doc_id)
+    for size, group in ((1 << 25, 100_000), (150, 100_000), (1 << 25, 3), (150, 0)):
+        got = sorted(scores(df, F.col("y"), depth, size, group).collect(), key=lambda r: r.doc_id)
         for r, s, (n, known, total, b) in zip(got, weighted(rows, depth), base(rows), strict=True):
             assert math.isclose(r.score, s, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.base_score, b, rel_tol=1e-9)
             assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)

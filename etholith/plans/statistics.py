@@ -783,7 +783,7 @@ CHANNEL_TESTS = EACH_REST[EACH_REST.index("r AS (SELECT"):].replace("status, bat
         fa AS (SELECT channel, kind, least(1.0, min(p * mm / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS f
           FROM (SELECT *, row_number() OVER (ORDER BY p, channel, kind) AS i, count(*) OVER () AS mm FROM zp WHERE channel IN ('GFP', 'cFOS') AND p IS NOT NULL)),
         er AS (SELECT channel, status, avg(abs(delta)) AS er, count(*) AS n FROM lo GROUP BY 1, 2)
-        SELECT channel, 'ccc_' || level AS test, {R('theta')} AS statistic, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS DOUBLE) AS p_fdr, {R('rho')} AS effect_size, n, {R('ci_low', 5)} AS low, {R('ci_high', 5)} AS high
+        SELECT channel, 'ccc_' || level AS test, {R('theta')} AS statistic, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS DOUBLE) AS p_fdr, {R('rho')} AS effect_size, n, ci_low AS low, ci_high AS high
           FROM ci LEFT JOIN rh USING (channel, level)
         UNION ALL SELECT channel, 'bias', {R('bi', 4)}, NULL, NULL, {R('sd', 4)}, n, {R('bi - 1.96 * sd', 4)}, {R('bi + 1.96 * sd', 4)} FROM ba
         UNION ALL SELECT channel, kind, {R('z')}, {R('p')}, {R('f')}, NULL, n1 + n2, {R('m1', 4)}, {R('m2', 4)} FROM zp LEFT JOIN fa USING (channel, kind)
@@ -798,7 +798,7 @@ def key_stats_channels(spark, d):
     return out.withColumns(
         {
             **{c: digits(c, five | fine, (6, 4)) for c in ("statistic", "effect_size")},
-            **{c: digits(c, five, (5, 4)) for c in ("low", "high")},
+            **{c: digits(c, five, (6, 4)) for c in ("low", "high")},
             "p_value": rd("p_value"), "p_fdr": rd("p_fdr"),
         }
     )

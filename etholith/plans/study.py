@@ -175,6 +175,9 @@ def _result(df: DataFrame, block: str, test: Column | str, note: Column, **value
     return df.select(F.lit(block).alias("block"), name.alias("test"), *numbers, values.get("n", F.lit(None)).cast("long").alias("n"), note.alias("note"))
 
 
+# The labels and notes below are fixed values: names of rows in the study's result table.
+
+
 def key_stats_full(
     images: DataFrame, animals: DataFrame, manual: str, auto: str, by: str, batches: Sequence[str],
     flag: str = "status", levels: tuple[str, str] = ("Held-out", "Training"), method: str = "exact",

@@ -56,7 +56,8 @@ def read_bouts(spark: SparkSession, path: str, session_type: str, strict: bool =
     """Bouts of every CSV file of one session folder.
 
     The first line of each file stays with its file; only the different headers come to the driver,
-    where their column positions are worked out. All files are then read as one table of lines.
+    where their column positions are worked out. All files are then read as one table of lines; a
+    line equal to its file's header is no bout.
     """
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -65,7 +66,7 @@ def read_bouts(spark: SparkSession, path: str, session_type: str, strict: bool =
         F.monotonically_increasing_id().alias("at"),
     )
     heads = lines.filter("block = 0").groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
-    heads = heads.select("file", F.col("h.at").alias("_first"), F.rtrim(F.col("h.value"), F.lit("\r")).alias("header"))
+    heads = heads.select("file", F.rtrim(F.col("h.value"), F.lit("\r")).alias("header"))
     different = heads.groupBy("header").agg(F.min("file").alias("file")).collect()
     if not different:
         raise FileNotFoundError(f"no CSV files in {path}")
@@ -77,7 +78,7 @@ def read_bouts(spark: SparkSession, path: str, session_type: str, strict: bool =
     parsed = F.from_csv(F.rtrim(F.col("value"), F.lit("\r")), ", ".join(f"c{i} string" for i in range(width)))
     rows = (
         lines.join(heads, "file")
-        .filter((F.col("at") != F.col("_first")) & (F.trim("value") != ""))
+        .filter((F.rtrim(F.col("value"), F.lit("\r")) != F.col("header")) & (F.trim("value") != ""))
         .select(parsed.alias("_c"), F.element_at(of_header, F.col("header")).alias("_p"))
         .select(F.array(*[F.col(f"_c.c{i}") for i in range(width)]).alias("_c"), "_p")
     )

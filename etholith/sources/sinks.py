@@ -77,8 +77,8 @@ def write_centroid_archives(centroids: DataFrame, folder: str, key: Sequence[str
     rows.repartition("archive").sortWithinPartitions("archive", "obj_id", "frame_id").write.format("centroid_archive").mode("overwrite").save(folder)
 
 
-#: Files that the objects of one class and image are dealt out to, at most.
-PARTS_PER_IMAGE = 8
+#: Objects of one class and image that a file holds, about.
+OBJECTS_PER_FILE = 50_000
 
 
 def _feature(marker: str) -> Column:
@@ -95,10 +95,13 @@ def write_objects_by_image(objects: DataFrame, folder: str, image: str = "image_
     """Objects as GeoJSON features, one per line, in a folder per class and image.
 
     ``ring`` holds the outline. Lines, not one list per image, so that an image
-    of any size is written by many tasks. Images without objects get no folder.
+    of any size is written by many tasks, as many as its number of objects asks for. Images without
+    objects get no folder.
     """
     lines = objects.select(F.col(marker).alias("class"), F.col(image).alias("image"), _feature(marker).alias("value"))
-    spread = lines.repartition("class", "image", F.pmod(F.xxhash64("value"), F.lit(PARTS_PER_IMAGE)))
+    files = F.ceil(F.count(F.lit(1)) / OBJECTS_PER_FILE).alias("_files")
+    sized = null_safe_join(lines, lines.groupBy("class", "image").agg(files), ["class", "image"])
+    spread = sized.repartition("class", "image", F.pmod(F.xxhash64("value"), F.col("_files"))).drop("_files")
     spread.write.mode("overwrite").partitionBy("class", "image").text(folder)
 
 
